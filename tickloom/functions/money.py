@@ -81,34 +81,38 @@ def clears_margin(rank: Column, value: Column) -> Column:
     return expected_gross(rank) - cost >= C.EDGE_MARGIN * cost
 
 
-def whole_units(budget: Column, cash: Column, fill: Column, product: Column, broker: Column,
-                lot: Column) -> Column:
-    """Most units, in whole lots, that the budget allows and that cash covers with buy charges.
+def lots_cash_covers(cash: Column, fill: Column, product: Column, broker: Column, lot: Column) -> Column:
+    """Most lots whose value and buy charges `cash` covers, up to rounding.
 
-    Buy charges are piecewise linear in the value, so the limit has a closed form per fee branch; one
-    check on either side of it absorbs rounding.
+    Buy charges are piecewise linear in the value, so each fee branch has a closed form.
     """
-    unit = fill * lot
-    wanted = F.floor(F.least(budget, cash) / unit)
     linear = (1 + by_product(product, {k: v[0] for k, v in C.TRANSACTION_TAX.items()})
               + by_product(product, C.STAMP_ON_BUY)
               + (1 + C.GST) * (by_product(product, C.EXCHANGE_FEE) + C.REGULATOR_FEE))
-    gst = 1 + C.GST
+    unit, gst = fill * lot, 1 + C.GST
 
     def flat(fee: float) -> Column:
-        return F.floor((cash - gst * fee) / (unit * linear))
+        return F.floor(F.try_divide(cash - gst * fee, unit * linear))
 
     def rated(rate: float) -> Column:
-        return F.floor(cash / (unit * (linear + gst * rate)))
+        return F.floor(F.try_divide(cash, unit * (linear + gst * rate)))
+
+    return (F.when(product == "option", flat(C.OPTION_BROKERAGE))
+            .when((broker == "zerodha") & (product == "delivery"), rated(0.0))
+            .when(broker == "zerodha", F.greatest(rated(C.ZERODHA_RATE), flat(C.ZERODHA_MAX)))
+            .otherwise(F.least(flat(C.GROWW_MIN), F.greatest(rated(C.GROWW_RATE), flat(C.GROWW_MAX)))))
 
-    limit = (F.when(product == "option", flat(C.OPTION_BROKERAGE))
-             .when((broker == "zerodha") & (product == "delivery"), F.floor(cash / (unit * linear)))
-             .when(broker == "zerodha", F.greatest(rated(C.ZERODHA_RATE), flat(C.ZERODHA_MAX)))
-             .otherwise(F.least(flat(C.GROWW_MIN), F.greatest(rated(C.GROWW_RATE), flat(C.GROWW_MAX)))))
 
-    def covered(lots: Column) -> Column:
+def whole_units(covered: Column, budget: Column, cash: Column, fill: Column, product: Column, broker: Column,
+                lot: Column) -> Column:
+    """Units in whole lots within the budget and, charges included, the cash.
+
+    `covered` comes from `lots_cash_covers`; trying the lot above and the lot itself absorbs its rounding.
+    """
+    def pays(lots: Column) -> Column:
         value = lots * lot * fill
         return value + charges(F.lit("buy"), product, value, broker)["total"] <= cash
 
-    lots = (F.when(covered(limit + 1), limit + 1).when(covered(limit), limit).otherwise(limit - 1))
+    lots = F.when(pays(covered + 1), covered + 1).when(pays(covered), covered).otherwise(covered - 1)
+    wanted = F.floor(F.try_divide(F.least(budget, cash), fill * lot))
     return (F.greatest(F.least(wanted, lots), F.lit(0)) * lot).cast("bigint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import constants as C
@@ -23,7 +23,7 @@ def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function, good to about 1e-15."""
+    """Standard normal distribution function, good to about 1e-15. Pass a plain column: it is named often."""
     a = F.abs(x)
     density = F.exp(-a * a / 2)
     far = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
@@ -33,17 +33,30 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
-def call_value(spot: Column, strike: Column, years: Column, vol: Column, rate: float = C.RATE) -> Column:
-    """Black-Scholes call; intrinsic value once expired. The vol floor guards the denominator only."""
-    spread = F.greatest(vol, F.lit(1e-4)) * F.sqrt(years)
-    d1 = F.try_divide(F.ln(spot / strike) + (rate + 0.5 * vol * vol) * years, spread)
-    alive = spot * normal_cdf(d1) - strike * F.exp(-rate * years) * normal_cdf(d1 - spread)
-    return F.when(years <= 0, F.greatest(spot - strike, F.lit(0.0))).otherwise(alive)
+def price_calls(df: DataFrame, spot: str = "spot", strike: str = "strike", years: str = "years",
+                vol: str = "vol", name: str = "value", rate: float = C.RATE) -> DataFrame:
+    """Adds the Black-Scholes call value; intrinsic value once expired.
 
+    The vol floor guards the denominator only. Each step is a column of its own, so the optimizer keeps
+    one copy of it and the stage stays small enough to compile.
+    """
+    s, k, t, v = (F.col(c) for c in (spot, strike, years, vol))
+    steps = (df.withColumn("_spread", F.greatest(v, F.lit(1e-4)) * F.sqrt(F.greatest(t, F.lit(0.0))))
+             .withColumn("_d1", F.try_divide(F.ln(s / k) + (rate + 0.5 * v * v) * t, F.col("_spread")))
+             .withColumn("_d2", F.col("_d1") - F.col("_spread"))
+             .withColumn("_n1", normal_cdf(F.col("_d1"))).withColumn("_n2", normal_cdf(F.col("_d2"))))
+    alive = s * F.col("_n1") - k * F.exp(-rate * t) * F.col("_n2")
+    return (steps.withColumn(name, F.when(t <= 0, F.greatest(s - k, F.lit(0.0))).otherwise(alive))
+            .drop("_spread", "_d1", "_d2", "_n1", "_n2"))
 
-def call_premium(spot: Column, strike: Column, days_left: Column, realised_vol: Column) -> Column:
-    years = F.greatest(days_left, F.lit(0)) / 365.0
-    return call_value(spot, strike, years, realised_vol * C.VOL_PREMIUM)
+
+def price_premiums(df: DataFrame, spot: str = "spot", strike: str = "strike", days_left: str = "days_left",
+                   realised_vol: str = "realised_vol", name: str = "premium") -> DataFrame:
+    """Adds the premium of calls `days_left` from expiry, at realised volatility plus the usual premium."""
+    return price_calls(
+        df.withColumn("_years", F.greatest(F.col(days_left), F.lit(0)) / 365.0)
+        .withColumn("_vol", F.col(realised_vol) * C.VOL_PREMIUM),
+        spot, strike, "_years", "_vol", name).drop("_years", "_vol")
 
 
 def atm_strike(spot: Column) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.stats import tidy
 
+# Charges and prices are decimals at heart, so many sit exactly on a rounding tie that a double holds a
+# hair above or below. Nudging by one part in 10^12 rounds them the same way in every engine.
+NUDGE = "1.000000000001"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -31,10 +35,8 @@ def report(df: DataFrame, *columns: str, places: int = 6, **exact: int) -> DataF
 
     def plain(c: str):
         kind = kinds[c]
-        if kind in ("double", "float"):
-            return tidy(F.col(c).cast("double"), exact.get(c, places)).alias(c)
-        if kind.startswith("decimal"):
-            return tidy(F.col(c).cast("double"), exact.get(c, places)).alias(c)
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            return tidy(F.col(c).cast("double") * float(NUDGE), exact.get(c, places)).alias(c)
         if kind == "date":
             return F.col(c).cast("string").alias(c)
         if kind.startswith("timestamp"):
@@ -48,7 +50,8 @@ def report(df: DataFrame, *columns: str, places: int = 6, **exact: int) -> DataF
 
 def r(expr: str, name: str | None = None, places: int = 6) -> str:
     """SQL for a rounded column, negative zero folded into zero."""
-    return f"CASE WHEN round({expr}, {places}) = 0 THEN 0.0 ELSE round({expr}, {places}) END AS {name or expr}"
+    rounded = f"round(CAST({expr} AS DOUBLE) * {NUDGE}e0, {places})"
+    return f"CASE WHEN {rounded} = 0 THEN 0e0 ELSE {rounded} END AS {name or expr}"
 
 
 def rs(names: str, places: int = 6) -> str:
