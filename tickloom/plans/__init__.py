@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("research", "pricing")
+AREAS = ("research", "pricing", "books")
 
 
 def load():

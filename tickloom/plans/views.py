@@ -143,12 +143,12 @@ def equity(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(
         F.concat(F.lit("A"), (F.col("o_custkey") % 21).cast("string")).alias("account"),
         F.col("o_orderdate").alias("time"), F.col("o_orderkey").alias("seq"),
-        F.round(F.lit(200000.0) + sign * F.col("o_totalprice") / 10, 2).alias("equity"))
+        F.round(F.lit(200000.0) + sign * F.col("o_totalprice") / 7, 2).alias("equity"))
 
 
 VIEWS["equity"] = """
  SELECT 'A' || (o_custkey % 21) AS account, o_orderdate AS time, o_orderkey AS seq,
-        round(200000.0 + CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE 1.0 END * o_totalprice / 10, 2) AS equity
+        round(200000.0 + CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE 1.0 END * o_totalprice / 7, 2) AS equity
  FROM orders """
 
 
@@ -293,7 +293,7 @@ VIEWS["quotes"] = """
         CASE WHEN event_type = 'purchase' THEN 0.0 ELSE value END AS ltp,
         CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume,
         CAST(floor(epoch(ts)) AS BIGINT) * CASE WHEN event_id % 2 = 1 THEN 1000 ELSE 1 END AS last_trade_epoch,
-        400.0 AS band_hi, 100.0 AS band_lo, ts AS asof, event_id AS seq FROM events """
+        400.0 AS band_hi, 100.0 AS band_lo, ts AS "asof", event_id AS seq FROM events """
 
 
 # --- corporate actions on suppliers' symbols, from part ---
