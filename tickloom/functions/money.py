@@ -81,6 +81,11 @@ def clears_margin(rank: Column, value: Column) -> Column:
     return expected_gross(rank) - cost >= C.EDGE_MARGIN * cost
 
 
+def whole(money: Column, each: Column) -> Column:
+    """How many whole times `each` goes into `money`; nothing is free, so a zero price buys none."""
+    return F.coalesce(F.floor(F.least(F.try_divide(money, each), F.lit(1e15))), F.lit(0))
+
+
 def lots_cash_covers(cash: Column, fill: Column, product: Column, broker: Column, lot: Column) -> Column:
     """Most lots whose value and buy charges `cash` covers, up to rounding.
 
@@ -92,10 +97,10 @@ def lots_cash_covers(cash: Column, fill: Column, product: Column, broker: Column
     unit, gst = fill * lot, 1 + C.GST
 
     def flat(fee: float) -> Column:
-        return F.floor(F.try_divide(cash - gst * fee, unit * linear))
+        return whole(cash - gst * fee, unit * linear)
 
     def rated(rate: float) -> Column:
-        return F.floor(F.try_divide(cash, unit * (linear + gst * rate)))
+        return whole(cash, unit * (linear + gst * rate))
 
     return (F.when(product == "option", flat(C.OPTION_BROKERAGE))
             .when((broker == "zerodha") & (product == "delivery"), rated(0.0))
@@ -114,5 +119,5 @@ def whole_units(covered: Column, budget: Column, cash: Column, fill: Column, pro
         return value + charges(F.lit("buy"), product, value, broker)["total"] <= cash
 
     lots = F.when(pays(covered + 1), covered + 1).when(pays(covered), covered).otherwise(covered - 1)
-    wanted = F.floor(F.try_divide(F.least(budget, cash), fill * lot))
+    wanted = whole(F.least(budget, cash), fill * lot)
     return (F.greatest(F.least(wanted, lots), F.lit(0)) * lot).cast("bigint")

@@ -638,10 +638,10 @@ CSV = "account string, symbol string, side string, qty bigint, price double, rea
 
 
 @query("s09_trade_csv", with_views("ledger", f"""
- SELECT account, symbol, side, qty, {r('round(CAST(price AS DECIMAL(18, 9)), 4)', 'price', 4)}, 'said "' || reason || '", then' AS reason FROM ledger"""))
+ SELECT account, symbol, side, qty, {r('price', places=4)}, 'said "' || reason || '", then' AS reason FROM ledger"""))
 def s09(spark, sf):
     path = scratch_path(spark, "trades")
-    trades = V.ledger(spark, sf).select("account", "symbol", "side", "qty", F.round("price", 4).alias("price"), F.concat(
+    trades = V.ledger(spark, sf).select("account", "symbol", "side", "qty", "price", F.concat(
         F.lit('said "'), F.col("reason"), F.lit('", then')).alias("reason"))
     SR.write_reports({"trades": trades}, path)
     return report(SR.read_trades_csv(spark, f"{path}/trades", CSV), price=4)

@@ -243,7 +243,7 @@ def holdings(spark: SparkSession, sf: str) -> DataFrame:
     minutes = (9 * 60 + F.col("l_suppkey") % 400)
     now = F.date_add(F.to_date("l_shipdate"), days).cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), minutes.cast("int"))
-    move = (F.col("l_discount") - 0.05) * F.col("l_tax") * 100
+    move = (F.col("l_discount") - 0.0513) * F.col("l_tax") * 100
     return li.select(
         F.concat(F.lit("C"), (F.col("l_suppkey") % 21).cast("string")).alias("account"),
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"),
@@ -254,7 +254,7 @@ def holdings(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("l_linenumber") == 6, "entitlement").otherwise("delivery").alias("product"),
         F.when(F.col("l_linestatus") == "O",
                F.date_add(F.to_date("l_shipdate"), F.col("l_quantity").cast("int"))).alias("exit_on"),
-        F.when(F.col("l_linenumber") != 5, F.round(unit_price() * (1 + move), 4)).alias("price"),
+        F.when(F.col("l_linenumber") != 5, unit_price() * (1 + move)).alias("price"),
         F.round(F.col("l_discount") * 5 - 0.25, 4).alias("pred"), (F.col("l_quantity") / 2).cast("int").alias("age"))
 
 
@@ -267,7 +267,7 @@ VIEWS["holdings"] = """
              WHEN l_linenumber = 6 THEN 'entitlement' ELSE 'delivery' END AS product,
         CASE WHEN l_linestatus = 'O' THEN CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) END AS exit_on,
         CASE WHEN l_linenumber <> 5
-             THEN round(l_extendedprice / l_quantity * (1 + (l_discount - 0.05) * l_tax * 100), 4) END AS price,
+             THEN l_extendedprice / l_quantity * (1 + (l_discount - 513e-4) * l_tax * 100) END AS price,
         round(l_discount * 5 - 0.25, 4) AS pred, CAST(floor(l_quantity / 2) AS INTEGER) AS age
  FROM lineitem """
 
