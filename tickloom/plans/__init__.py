@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("research", "pricing", "books", "decisions")
+AREAS = ("research", "pricing", "books", "decisions", "live")
 
 
 def load():
