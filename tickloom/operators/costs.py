@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom import constants as C
 from tickloom.functions.money import charges, fill_price, lots_cash_covers, whole_units
+from tickloom.session import shared_folder
 
 
 def charge_orders(orders: DataFrame) -> DataFrame:
@@ -56,9 +57,9 @@ def worth_it(expected_net: Column) -> Column:
     return F.coalesce(expected_net >= C.EDGE_MULTIPLE * C.INTRADAY_ROUND_TRIP, F.lit(False))
 
 
-def _buy_in_turn(orders: Column, cash: Column, floor: float, stop: bool) -> Column:
+def _buy_in_turn(orders: Column, cash: Column, stopped: Column, floor: float, stop: bool) -> Column:
     """Buys the orders one after another out of `cash`: struct of cash left, stopped flag and the fills."""
-    start = F.struct(cash.alias("cash"), F.lit(False).alias("stopped"),
+    start = F.struct(cash.alias("cash"), stopped.alias("stopped"),
                      F.array().cast("array<struct<units:bigint,spent:double,cash_after:double>>").alias("fills"))
 
     # Each stage is a one-element array, so that later stages name its result instead of spelling it out.
@@ -96,11 +97,13 @@ def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: floa
     """
     columns = [c for c in orders.columns if c not in keys]
     w = W.partitionBy(*keys).orderBy(*order)
-    numbered = orders.withColumn("_at", F.row_number().over(w)).withColumn("_purse", F.col("cash"))
+    numbered = orders.withColumn("_at", F.row_number().over(w)).withColumns(
+        {"_purse": F.col("cash"), "_stopped": F.lit(False)})
     last = 0
     if at_most is None:
-        last = (numbered.agg(F.max("_at")).first()[0] or 1) // (chunk + 1)
+        last = ((numbered.agg(F.max("_at")).first()[0] or 1) - 1) // chunk
     if last:
+        shared_folder(orders.sparkSession)
         numbered = numbered.checkpoint()                          # read once per pass
     done = None
     for n in range(last + 1):
@@ -108,13 +111,16 @@ def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: floa
         if last:
             part = numbered.filter(F.floor((F.col("_at") - 1) / chunk) == n)
         if done is not None:
-            part = part.drop("_purse").join(purse, keys)
-        lists = part.groupBy(*keys).agg(F.max("_purse").alias("_purse"), F.sort_array(F.collect_list(F.struct(
-            "_at", "budget", "fill", "product", "broker", "lot", F.struct(*columns).alias("row")))).alias("_orders"))
-        bought = lists.withColumn("_r", _buy_in_turn(F.col("_orders"), F.col("_purse"), floor, stop))
+            part = part.drop("_purse", "_stopped").join(purse, keys)
+        lists = part.groupBy(*keys).agg(
+            F.max("_purse").alias("_purse"), F.max("_stopped").alias("_stopped"),
+            F.sort_array(F.collect_list(F.struct("_at", "budget", "fill", "product", "broker", "lot",
+                                                 F.struct(*columns).alias("row")))).alias("_orders"))
+        bought = lists.withColumn("_r", _buy_in_turn(
+            F.col("_orders"), F.col("_purse"), F.col("_stopped"), floor, stop))
         if last:
             bought = bought.checkpoint()
-            purse = bought.select(*keys, F.when(F.col("_r.stopped"), 0.0).otherwise(F.col("_r.cash")).alias("_purse"))
+            purse = bought.select(*keys, F.col("_r.cash").alias("_purse"), F.col("_r.stopped").alias("_stopped"))
         rows = bought.select(*keys, F.inline(F.arrays_zip(F.col("_orders.row").alias("row"),
                                                           F.col("_r.fills").alias("fill_of"))))
         rows = rows.select(*keys, "row.*", "fill_of.*")

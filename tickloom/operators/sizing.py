@@ -28,9 +28,8 @@ def confidence_weights(cands: DataFrame, keys: list[str], score: str = "score",
     edged = cands.withColumn("_edge", F.when(sd > 0, by_score).otherwise(by_rank))
     edged = edged.withColumn("_share", F.col("_edge") / F.sum("_edge").over(w))
     groups = edged.groupBy(*keys).agg(F.collect_list(F.struct(
-        F.col("_share").alias("v"), F.struct(*[c for c in cands.columns if c not in keys]).alias("row"))).alias("g"))
-    shares = F.col("w")
-    limit = F.col("cap")
+        F.col("_share").alias("v"), F.struct(*[c for c in cands.columns if c not in keys]).alias("row"))).alias("_g"))
+    limit = F.col("_cap")
 
     def one_pass(v: Column, _: Column) -> Column:
         spare = _total(F.transform(v, lambda x: F.greatest(x - limit, F.lit(0.0))))
@@ -38,17 +37,16 @@ def confidence_weights(cands: DataFrame, keys: list[str], score: str = "score",
         rest = F.when(rest == 0, F.lit(1.0)).otherwise(rest)
         return F.transform(v, lambda x: F.when(x > limit, limit).otherwise(x + spare * x / rest))
 
-    groups = (groups.withColumn("cap", F.greatest(F.lit(cap), 1 / F.size("g")))
-              .withColumn("w", F.aggregate(F.sequence(F.lit(1), F.size("g")),
-                                           F.transform("g", lambda e: e["v"]), one_pass))
-              .withColumn("all_small", ~F.exists(shares, lambda x: x >= floor))
-              .withColumn("kept", F.transform(shares, lambda x: F.when(F.col("all_small") | (x >= floor), x)))
-              .withColumn("sum", _total(F.filter("kept", lambda x: x.isNotNull()))))
-    out = groups.select(*keys, F.inline(F.transform(
-        F.arrays_zip("g", "kept"),
-        lambda e: F.struct(e["g"]["row"].alias("row"),
-                           F.least(e["kept"] / F.col("sum"), F.when(e["kept"].isNotNull(), limit)).alias("weight")))))
-    return out.select(*keys, "row.*", F.when(F.col("weight").isNotNull(), F.col("weight")).alias("weight"))
+    groups = (groups.withColumn("_cap", F.greatest(F.lit(cap), 1 / F.size("_g")))
+              .withColumn("_w", F.aggregate(F.sequence(F.lit(1), F.size("_g")),
+                                            F.transform("_g", lambda e: e["v"]), one_pass))
+              .withColumn("_small", ~F.exists("_w", lambda x: x >= floor))
+              .withColumn("_kept", F.transform("_w", lambda x: F.when(F.col("_small") | (x >= floor), x)))
+              .withColumn("_sum", _total(F.filter("_kept", lambda x: x.isNotNull()))))
+    out = groups.select(*keys, "_sum", "_cap", F.inline(F.arrays_zip(
+        F.col("_g.row").alias("_row"), F.col("_kept").alias("_share"))))
+    weight = F.when(F.col("_share").isNotNull(), F.least(F.col("_share") / F.col("_sum"), limit))
+    return out.select(*keys, "_row.*", weight.alias("weight"))
 
 
 def edge_shares(cands: DataFrame, keys: list[str], edge: str = "edge", cap: float = C.EDGE_SHARE_CAP) -> DataFrame:
