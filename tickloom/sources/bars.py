@@ -11,18 +11,28 @@ from tickloom.functions.calendar import to_zone
 FIELDS = ("open", "high", "low", "close", "volume")
 
 
-def read_bars(spark: SparkSession, path: str, zone: str | None = C.EXCHANGE_ZONE, ts: str = "ts") -> DataFrame:
+def read_bars(spark: SparkSession, path: str, zone: str | None = C.EXCHANGE_ZONE, ts: str | None = None) -> DataFrame:
     """Bars from one parquet file per symbol, or from folders `symbol=...`, with local `ts` and `date`.
 
-    The file stem is the symbol where the table has no symbol column. Column names match in any case;
-    only the bar fields are read, and rows without a close are dropped at the scan. Naive stamps count as
-    UTC; pass no zone where they are local already.
+    The file stem is the symbol where the table has no symbol column. Column names match in any case; the
+    time column is `ts`, or the one time column there is (pandas stores an index under many names, and in
+    nanoseconds, which arrive as integers). Only the bar fields are read, and rows without a close are
+    dropped at the scan. Naive stamps count as UTC; pass no zone where they are local already.
     """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     raw = spark.read.parquet(path)
     names = {c.lower(): c for c in raw.columns}
+    kinds = dict(raw.dtypes)
+    if ts is None:
+        times = [c for c in raw.columns if c.lower() not in (*FIELDS, "symbol")
+                 and (kinds[c].startswith("timestamp") or kinds[c] == "bigint")]
+        ts = names.get("ts") or min(times, key=lambda c: kinds[c] == "bigint")
+    stamp = F.col(f"`{ts}`")
+    if kinds[ts] == "bigint":
+        stamp = F.timestamp_micros(F.floor(stamp / 1000))
     symbol = (F.col(names["symbol"]) if "symbol" in names
               else F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*)\.parquet$", 1))
-    rows = raw.select(symbol.alias("symbol"), to_zone(F.col(names[ts]), zone).alias("ts"),
+    rows = raw.select(symbol.alias("symbol"), to_zone(stamp, zone).alias("ts"),
                       *[F.col(names[f]).cast("double").alias(f) for f in FIELDS])
     return rows.filter(F.col("close").isNotNull()).withColumn("date", F.to_date("ts"))
 
