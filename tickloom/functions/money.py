@@ -9,7 +9,8 @@ from tickloom import constants as C
 
 
 def by_product(product: Column, rates: dict) -> Column:
-    out = F.when(F.lit(False), F.lit(0.0))
+    """The rate of a product; null for an unknown one."""
+    out = F
     for name, rate in rates.items():
         out = out.when(product == name, F.lit(float(rate)))
     return out
@@ -23,6 +24,14 @@ def brokerage(product: Column, value: Column, broker: Column) -> Column:
             .otherwise(banded))
 
 
+def depository(product: Column, value: Column, broker: Column) -> Column:
+    """The fixed charge for taking shares out of the depository, on delivery sells only."""
+    return (F.when(product != "delivery", F.lit(0.0))
+            .when(broker == "zerodha", F.lit(C.ZERODHA_DEPOSITORY))
+            .when(value < C.GROWW_DEPOSITORY_FROM, F.lit(0.0))
+            .otherwise(F.lit(C.GROWW_DEPOSITORY * (1 + C.GST))))
+
+
 def charges(side: Column, product: Column, value: Column, broker: Column) -> dict[str, Column]:
     """Every charge on one executed order, and their total."""
     buy = F.lower(side) == "buy"
@@ -33,20 +42,22 @@ def charges(side: Column, product: Column, value: Column, broker: Column) -> dic
     regulator = value * F.lit(C.REGULATOR_FEE)
     stamp = F.when(buy, value * by_product(product, C.STAMP_ON_BUY)).otherwise(F.lit(0.0))
     gst = F.lit(C.GST) * (fee + exchange + regulator)
-    depository = (F.when(buy | (product != "delivery"), F.lit(0.0))
-                  .when(broker == "zerodha", F.lit(C.ZERODHA_DEPOSITORY))
-                  .when(value < C.GROWW_DEPOSITORY_FROM, F.lit(0.0))
-                  .otherwise(F.lit(C.GROWW_DEPOSITORY * (1 + C.GST))))
+    held = F.when(buy, F.lit(0.0)).otherwise(depository(product, value, broker))
     parts = {"brokerage": fee, "transaction_tax": tax, "exchange_fee": exchange, "regulator_fee": regulator,
-             "stamp": stamp, "gst": gst, "depository": depository}
-    total = fee + tax + exchange + regulator + stamp + gst + depository
+             "stamp": stamp, "gst": gst, "depository": held}
+    total = fee + tax + exchange + regulator + stamp + gst + held
     return {**parts, "total": total}
 
 
 def total_charge(side: str, product: Column | str, value: Column, broker: Column | str = "zerodha") -> Column:
+    """The sum of `charges` for one side: everything in proportion to the value in one rate, plus the fixed parts."""
     product = F.lit(product) if isinstance(product, str) else product
     broker = F.lit(broker) if isinstance(broker, str) else broker
-    return charges(F.lit(side), product, value, broker)["total"]
+    buying = side == "buy"
+    rates = {p: C.TRANSACTION_TAX[p][0 if buying else 1] + (C.STAMP_ON_BUY[p] if buying else 0.0)
+             + (1 + C.GST) * (C.EXCHANGE_FEE[p] + C.REGULATOR_FEE) for p in C.EXCHANGE_FEE}
+    out = value * by_product(product, rates) + (1 + C.GST) * brokerage(product, value, broker)
+    return out if buying else out + depository(product, value, broker)
 
 
 def fill_price(price: Column, side: Column, bps: Column | float) -> Column:
@@ -91,9 +102,9 @@ def lots_cash_covers(cash: Column, fill: Column, product: Column, broker: Column
 
     Buy charges are piecewise linear in the value, so each fee branch has a closed form.
     """
-    linear = (1 + by_product(product, {k: v[0] for k, v in C.TRANSACTION_TAX.items()})
-              + by_product(product, C.STAMP_ON_BUY)
-              + (1 + C.GST) * (by_product(product, C.EXCHANGE_FEE) + C.REGULATOR_FEE))
+    linear = by_product(product, {
+        p: 1 + C.TRANSACTION_TAX[p][0] + C.STAMP_ON_BUY[p] + (1 + C.GST) * (C.EXCHANGE_FEE[p] + C.REGULATOR_FEE)
+        for p in C.EXCHANGE_FEE})
     unit, gst = fill * lot, 1 + C.GST
 
     def flat(fee: float) -> Column:
@@ -116,7 +127,7 @@ def whole_units(covered: Column, budget: Column, cash: Column, fill: Column, pro
     """
     def pays(lots: Column) -> Column:
         value = lots * lot * fill
-        return value + charges(F.lit("buy"), product, value, broker)["total"] <= cash
+        return value + total_charge("buy", product, value, broker) <= cash
 
     lots = F.when(pays(covered + 1), covered + 1).when(pays(covered), covered).otherwise(covered - 1)
     wanted = whole(F.least(budget, cash), fill * lot)

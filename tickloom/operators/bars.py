@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tickloom import constants as C
+from tickloom.functions.stats import order_key
 
 
 def first_seen(value: str, ts: str = "ts"):
@@ -18,7 +19,7 @@ def last_seen(value: str, ts: str = "ts"):
 
 def build_bars(ticks: DataFrame, unit: str = "hour") -> DataFrame:
     """Ticks (symbol, ts, seq, price) to OHLC bars; volume counts ticks."""
-    order = F.struct("ts", "seq")
+    order = order_key(F.col("ts"), F.col("seq"))
     bars = (ticks.groupBy("symbol", F.date_trunc(unit, F.col("ts")).alias("bar_ts"))
             .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"),
                  F.min("price").alias("low"), F.max_by("price", order).alias("close"),

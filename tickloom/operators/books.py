@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom import constants as C
 from tickloom.functions.money import total_charge
-from tickloom.functions.stats import change, trailing
+from tickloom.functions.stats import change, order_key, trailing
 from tickloom.operators.filters import corporate_gaps, held_symbols
 
 KEYS = ["account", "symbol"]
@@ -43,8 +43,15 @@ def _unpack(groups: DataFrame, keys: list[str]) -> DataFrame:
     return groups.select(*keys, F.inline(pairs)).select(*keys, "row.*", "o.*")
 
 
-def _gather(order: list[str], columns: list[str]) -> Column:
-    return F.sort_array(F.collect_list(F.struct(*order, "_u", "price", F.struct(*columns).alias("row"))))
+def _lists(fills: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """One ordered list of fills per group.
+
+    Numbering first brings each group together by one plain shuffle, and the lists are then built in place;
+    collecting straight away would build and ship partial lists.
+    """
+    numbered = fills.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return numbered.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(
+        "_nth", "_u", "price", F.struct(*columns).alias("row")))).alias("_fills"))
 
 
 def _carry(lines: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +78,7 @@ def _fold_long(ledger: DataFrame, order: list[str], columns: list[str], stretch:
     in_day = W.partitionBy(*KEYS, "_day").orderBy(*order)
     cut = (ledger.withColumn("_day", F.to_date("time"))
            .withColumn("_part", F.floor((F.row_number().over(in_day) - 1) / stretch)))
-    parts = cut.groupBy(*at).agg(_gather(order, columns).alias("_fills"))
+    parts = _lists(cut, at, order, columns)
 
     zero = F.lit(0).cast("bigint")
     moves = F.aggregate("_fills", F.struct(zero.alias("s"), zero.alias("low")), lambda acc, f: F.struct(
@@ -114,7 +121,7 @@ def fold_ledger(ledger: DataFrame, order: list[str], split_over: int | None = 40
             hot = counts.select(*KEYS)
             long = _fold_long(fills.join(hot, KEYS, "left_semi"), order, columns, stretch)
             fills = fills.join(hot, KEYS, "left_anti")
-    groups = fills.groupBy(*KEYS).agg(_gather(order, columns).alias("_fills"))
+    groups = _lists(fills, KEYS, order, columns)
     short = _unpack(groups.withColumn("_out", _walk(F.col("_fills"), F.lit(0), F.lit(0.0))), KEYS)
     return short if long is None else short.unionByName(long)
 
@@ -190,7 +197,7 @@ def mark_close(positions: DataFrame, closes: DataFrame, at_least: float = 0.9) -
 
 def day_marks(equity: DataFrame) -> DataFrame:
     """First and last equity of each account-day."""
-    at = F.struct("time", "seq")
+    at = order_key(F.col("time"), F.col("seq"))
     return equity.groupBy("account", F.to_date("time").alias("day")).agg(
         F.min_by("equity", at).alias("open"), F.max_by("equity", at).alias("close"))
 
@@ -298,4 +305,4 @@ def day_open(ticks: DataFrame, opens_at: int = C.SESSION_OPEN) -> DataFrame:
     from tickloom.functions.calendar import second_of_day
     return (ticks.filter(second_of_day(F.col("ts")) >= opens_at)
             .groupBy("symbol", F.to_date("ts").alias("date"))
-            .agg(F.min_by("price", F.struct("ts", "seq")).alias("open")))
+            .agg(F.min_by("price", order_key(F.col("ts"), F.col("seq"))).alias("open")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tickloom import constants as C
-from tickloom.functions.money import charges, fill_price, lots_cash_covers, whole_units
+from tickloom.functions.money import charges, fill_price, lots_cash_covers, total_charge, whole_units
 from tickloom.session import shared_folder
 
 
@@ -75,7 +75,7 @@ def _buy_in_turn(orders: Column, cash: Column, stopped: Column, floor: float, st
                 whole_units(covered, budget, cash, fill, product, broker, lot)),
             lambda units: stage(
                 units * fill, lambda value: stage(
-                    F.when(units > 0, value + charges(F.lit("buy"), product, value, broker)["total"])
+                    F.when(units > 0, value + total_charge("buy", product, value, broker))
                     .otherwise(F.lit(0.0)),
                     lambda spent: F.struct(
                         (cash - spent).alias("cash"), (small & F.lit(stop)).alias("stopped"),
@@ -101,7 +101,8 @@ def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: floa
         {"_purse": F.col("cash"), "_stopped": F.lit(False)})
     last = 0
     if at_most is None:
-        last = ((numbered.agg(F.max("_at")).first()[0] or 1) - 1) // chunk
+        longest = orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        last = ((longest or 1) - 1) // chunk
     if last:
         shared_folder(orders.sparkSession)
         numbered = numbered.checkpoint()                          # read once per pass

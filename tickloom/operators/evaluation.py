@@ -73,15 +73,17 @@ def threshold_sweep(preds: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.4,
     rules += [F.struct(F.lit(f"probability >= {t:.0%}").alias("rule"), F.lit(float(t)).alias("floor"))
               for t in thresholds]
     prob = F.coalesce("prob", F.lit(float("-inf")))
-    taken = (preds.select("date", "net", "success", F.inline(F.filter(F.array(*rules), lambda r: r["floor"] <= prob)))
-             .drop("floor"))
-    days = taken.groupBy("rule", "date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("success").alias("won"), F.sum("net").alias("net"),
-        F.count("net").alias("n_net"))
+    taken = preds.select("date", "net", "success", F.inline(F.filter(F.array(*rules), lambda r: r["floor"] <= prob)))
+    # One table of counts serves both the daily totals and the medians.
+    cells = taken.groupBy("rule", "date", "net").agg(F.count(F.lit(1)).alias("n"), F.sum("success").alias("won"))
+    known = F.col("net").isNotNull()
+    days = cells.groupBy("rule", "date").agg(
+        F.sum("n").alias("n"), F.sum("won").alias("won"), F.sum(F.col("net") * F.col("n")).alias("net"),
+        F.sum(F.when(known, F.col("n"))).alias("n_net"))
     totals = days.groupBy("rule").agg(
         F.avg("n").alias("trades_per_day"), (F.sum("won") / F.sum("n")).alias("success_rate"),
         F.try_divide(F.sum("net"), F.sum("n_net")).alias("avg_net"), F.count(F.lit(1)).alias("_days"))
-    return (totals.join(exact_median(taken, ["rule"], "net", "median_net"), "rule", "left")
+    return (totals.join(exact_median(cells, ["rule"], "net", "median_net", weight="n"), "rule", "left")
             .withColumn("days_with_trades", F.when(F.col("rule") != "all trades", F.col("_days"))).drop("_days"))
 
 

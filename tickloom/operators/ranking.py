@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 ALL = "_all"
 
 
-def ordered_counts(df: DataFrame, by: list[str], value: str, ranges: int = 64) -> DataFrame:
+def ordered_counts(df: DataFrame, by: list[str], value: str, ranges: int = 64,
+                   weight: str | None = None) -> DataFrame:
     """One row per (group, distinct non-null value): rows at it, rows below it, rows in the group.
 
-    Columns: *by, value, n_at, n_below, n_group.
+    A row counts once, or `weight` times. Columns: *by, value, n_at, n_below, n_group.
     """
     keys = by or [ALL]
     rows = df.filter(F.col(value).isNotNull())
     if not by:
         rows = rows.withColumn(ALL, F.lit(0))
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_at"))
+    count = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = rows.groupBy(*keys, value).agg(count.alias("n_at"))
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, points, 1000).alias("_cuts"))
     placed = (counts.join(cuts, keys)
@@ -61,9 +63,10 @@ def pct_rank(df: DataFrame, by: list[str], value: str, name: str = "rank_pct", r
     return df.join(rank, [*by, value], "left")
 
 
-def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median",
+                 weight: str | None = None) -> DataFrame:
     """One row per group: the exact median, found by position instead of collecting the values."""
-    ladder = ordered_counts(df, by, value)
+    ladder = ordered_counts(df, by, value, weight=weight)
     lo, hi = F.floor((F.col("n_group") - 1) / 2), F.floor(F.col("n_group") / 2)
 
     def at(pos: Column) -> Column:

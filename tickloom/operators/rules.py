@@ -19,8 +19,8 @@ from tickloom.functions.stats import change
 from tickloom.operators.costs import fill_batch, size_orders, worth_it
 from tickloom.operators.filters import not_companies
 from tickloom.operators.reports import signed_money
-from tickloom.operators.sizing import (best_book, confidence_weights, conviction_stakes, edge_shares, equal_budget,
-                                       slot_ticket)
+from tickloom.operators.sizing import (confidence_weights, conviction_stakes, edge_shares, equal_budget, slot_ticket,
+                                       with_best_book)
 
 
 def priced(held: DataFrame, prices: DataFrame, on: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -202,10 +202,9 @@ def entries_cost_aware(accounts: DataFrame, picks: DataFrame, prices: DataFrame,
     live = live.select("list", "pos", "symbol", "price", F.coalesce("_rank", "rank_pct", F.lit(0.0)).alias("rank"))
     cands = _not_held(ready.join(live, "list"), positions)
     cands = cands.join(barred.select("account", "symbol"), ["account", "symbol"], "left_anti")
-    cands = _first(cands, "account", max_names, ["pos"]).withColumn("budget", F.col("cash"))
-    book = best_book(cands, ["account"], "rank").filter(F.col("n") > 0)
-    chosen = (cands.drop("budget").join(book, "account")
-              .filter((F.col("pos") <= F.col("n")) & clears_margin(F.col("rank"), F.col("ticket"))))
+    sized = with_best_book(cands.withColumn("budget", F.col("cash")), ["account"], "rank", "budget", max_names)
+    chosen = (sized.withColumn("pos", F.col("k")).drop("budget")
+              .filter((F.col("k") <= F.col("n")) & clears_margin(F.col("rank"), F.col("ticket"))))
     chosen = chosen.withColumn("edge", expected_gross(F.col("rank")) - round_trip_cost(F.col("ticket")))
     shared = edge_shares(chosen, ["account"])
     return _buy(shared.withColumn("budget", F.col("cash") * F.col("share")), max_names, floor=C.MIN_TICKET)

@@ -72,24 +72,34 @@ def edge_shares(cands: DataFrame, keys: list[str], edge: str = "edge", cap: floa
     return c.withColumn("share", share).drop("_n", "_cap", "_above", "_rest", "_rate", "_first", "_level")
 
 
-def best_book(cands: DataFrame, keys: list[str], rank: str = "rank_pct", budget: str = "budget",
-              max_names: int = C.MAX_BOOK) -> DataFrame:
-    """One row per group: how many of its names (in `pos` order) to hold and the ticket; 0 when none pays."""
-    w = W.partitionBy(*keys).orderBy("pos")
+def with_best_book(cands: DataFrame, keys: list[str], rank: str = "rank_pct", budget: str = "budget",
+                   max_names: int = C.MAX_BOOK) -> DataFrame:
+    """The first `max_names` candidates (in `pos` order) with their place `k`, and beside each the group's best
+    book: how many names `n` to hold and the `ticket`; 0 when none pays."""
+    group = W.partitionBy(*keys)
+    w = group.orderBy("pos")
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    n = F.col("n")
-    c = cands.withColumn("n", F.row_number().over(w)).filter(n <= max_names)
-    c = (c.withColumn("ticket", F.col(budget) / n)
-         .withColumn("_cost", round_trip_cost(F.col("ticket")))
+    k = F.col("k")
+    c = cands.withColumn("k", F.row_number().over(w)).filter(k <= max_names)
+    c = (c.withColumn("_ticket", F.col(budget) / k)
+         .withColumn("_cost", round_trip_cost(F.col("_ticket")))
          .withColumn("_gross", expected_gross(F.col(rank)))
          .withColumn("_mean", F.avg("_gross").over(so_far) - F.col("_cost"))
          .withColumn("_worst", F.min("_gross").over(so_far) - F.col("_cost"))
-         .withColumn("_score", F.col("_mean") * F.sqrt(n / (1 + (n - 1) * C.NAME_CORRELATION))))
-    good = ((F.col("ticket") >= C.MIN_TICKET) & (F.col("_worst") >= C.EDGE_MARGIN * F.col("_cost"))
+         .withColumn("_score", F.col("_mean") * F.sqrt(k / (1 + (k - 1) * C.NAME_CORRELATION))))
+    good = ((F.col("_ticket") >= C.MIN_TICKET) & (F.col("_worst") >= C.EDGE_MARGIN * F.col("_cost"))
             & (F.col("_score") > 0))
-    best = F.max_by(F.struct("n", "ticket"), F.when(good, F.struct(F.col("_score"), -n)))
-    return (c.groupBy(*keys).agg(best.alias("_b"))
-            .select(*keys, F.coalesce("_b.n", F.lit(0)).alias("n"), F.coalesce("_b.ticket", F.lit(0.0)).alias("ticket")))
+    best = F.max_by(F.struct(k.alias("n"), F.col("_ticket").alias("ticket")),
+                    F.when(good, F.struct(F.col("_score"), -k))).over(group)
+    return (c.withColumn("_b", best).withColumn("n", F.coalesce("_b.n", F.lit(0)))
+            .withColumn("ticket", F.coalesce("_b.ticket", F.lit(0.0)))
+            .drop("_b", "_ticket", "_cost", "_gross", "_mean", "_worst", "_score"))
+
+
+def best_book(cands: DataFrame, keys: list[str], rank: str = "rank_pct", budget: str = "budget",
+              max_names: int = C.MAX_BOOK) -> DataFrame:
+    """One row per group: the size and ticket of its best book."""
+    return with_best_book(cands, keys, rank, budget, max_names).filter(F.col("k") == 1).select(*keys, "n", "ticket")
 
 
 def conviction_stakes(chosen: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:

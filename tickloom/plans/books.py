@@ -14,7 +14,7 @@ from tickloom.plans import views as V
 from tickloom.plans.pricing import sql_cdf, sql_charges
 from tickloom.plans.registry import query, r, report, rs
 from tickloom.plans.views import FILL_ORDER, VIEWS, with_more, with_views
-from tickloom.session import scratch_path
+from tickloom.session import scratch_path, shared_folder
 from tickloom.sources import accounts as A
 from tickloom.sources import bars as SB
 from tickloom.sources import picks as P
@@ -240,6 +240,12 @@ def fills_done(spark, sf):
     return B.realised(folded(spark, sf))
 
 
+def saved(df):
+    """`df` written once in the shared folder, for the reports that read it several times."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def held_now(spark, sf):
     return B.positions_from_ledger(folded(spark, sf), list(FILL_ORDER))
 
@@ -277,7 +283,7 @@ def supply_prices(spark, sf):
  SELECT account, {r('cash', places=2)}, {r('coalesce(held, 0)', 'held', 2)}, {r('cash + coalesce(held, 0)', 'equity', 2)}
  FROM purses LEFT JOIN worth USING (account)"""))
 def a16(spark, sf):
-    done = fills_done(spark, sf)
+    done = saved(fills_done(spark, sf))
     held = B.positions_from_ledger(done, list(FILL_ORDER))
     return report(B.account_equity(B.cash_from_ledger(done), held, supply_prices(spark, sf)), places=2)
 
@@ -448,7 +454,7 @@ VIEWS["summaries"] = """
 
 
 def summaries(spark, sf):
-    done = fills_done(spark, sf)
+    done = saved(fills_done(spark, sf))
     purses = B.cash_from_ledger(done).withColumn("start_cash", F.lit(200000.0))
     own = spark.createDataFrame([("A7", 20.0)], "account string, target_pct double")
     return R.account_summary(purses, done, V.equity(spark, sf), B.positions_from_ledger(done, list(FILL_ORDER)), own)
@@ -529,7 +535,7 @@ VIEWS["alert_rows"] = f"""
  SELECT id, kind, account, min(text) AS text FROM alert_rows
  WHERE id NOT IN (SELECT '2001-12-31|' || account || '|' || symbol || '|-0.5' FROM held_now) GROUP BY 1, 2, 3"""))
 def r05(spark, sf):
-    done = fills_done(spark, sf)
+    done = saved(fills_done(spark, sf))
     held = B.positions_from_ledger(done, list(FILL_ORDER))
     now = F.lit("2001-12-31").cast("timestamp_ntz")
     seen = held.select(F.concat_ws("|", F.lit("2001-12-31"), "account", "symbol", F.lit("-0.5")).alias("id"))
@@ -623,7 +629,7 @@ def s04(spark, sf):
  FROM purses LEFT JOIN held_now USING (account)"""))
 def s07(spark, sf):
     path = scratch_path(spark, "accounts")
-    done = fills_done(spark, sf)
+    done = saved(fills_done(spark, sf))
     held = B.positions_from_ledger(done, list(FILL_ORDER)).groupBy("account").agg(F.map_from_entries(F.collect_list(
         F.struct("symbol", F.struct("symbol", "qty", "avg_price", F.date_format(
             "opened", "yyyy-MM-dd'T'HH:mm:ss").alias("opened"), "product")))).alias("positions"))

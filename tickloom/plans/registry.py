@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.stats import tidy
-
 # Charges and prices are decimals at heart, so many sit exactly on a rounding tie that a double holds a
 # hair above or below. Nudging by one part in 10^12 rounds them the same way in every engine.
 NUDGE = "1.000000000001"
 
+
+def tidy(value: Column, places: int) -> Column:
+    """Rounded half up by plain arithmetic (cheaper than decimal rounding), negative zero folded into zero."""
+    scale = float(10 ** places)
+    return F.floor(value.cast("double") * (float(NUDGE) * scale) + 0.5) / scale
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -36,7 +41,7 @@ def report(df: DataFrame, *columns: str, places: int = 6, **exact: int) -> DataF
     def plain(c: str):
         kind = kinds[c]
         if kind in ("double", "float") or kind.startswith("decimal"):
-            return tidy(F.col(c).cast("double") * float(NUDGE), exact.get(c, places)).alias(c)
+            return tidy(F.col(c), exact.get(c, places)).alias(c)
         if kind == "date":
             return F.col(c).cast("string").alias(c)
         if kind.startswith("timestamp"):
@@ -50,8 +55,8 @@ def report(df: DataFrame, *columns: str, places: int = 6, **exact: int) -> DataF
 
 def r(expr: str, name: str | None = None, places: int = 6) -> str:
     """SQL for a rounded column, negative zero folded into zero."""
-    rounded = f"round(CAST({expr} AS DOUBLE) * {NUDGE}e0, {places})"
-    return f"CASE WHEN {rounded} = 0 THEN 0e0 ELSE {rounded} END AS {name or expr}"
+    scale = float(10 ** places)
+    return f"floor(CAST({expr} AS DOUBLE) * {float(NUDGE) * scale!r}e0 + 5e-1) / {scale!r}e0 AS {name or expr}"
 
 
 def rs(names: str, places: int = 6) -> str:

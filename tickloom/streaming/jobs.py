@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom import constants as C
 from tickloom.functions.calendar import second_of_day
+from tickloom.functions.stats import order_key
 from tickloom.operators.filters import valid_quotes
 from tickloom.session import scratch_path
 
@@ -59,7 +60,7 @@ def stream_bars(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     Needs symbol, ts, seq, price.
     """
     hour = F.window("ts", "1 hour", "1 hour", "15 minutes")
-    order = F.struct("ts", "seq")
+    order = order_key(F.col("ts"), F.col("seq"))
     return (ticks.withWatermark("ts", delay).groupBy("symbol", hour.alias("w")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", order).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
@@ -79,7 +80,7 @@ def stream_day_open(ticks: DataFrame, opens_at: int = C.SESSION_OPEN) -> DataFra
     """First price of each symbol-day at or after the opening bell. Update mode: a late earlier tick corrects it."""
     return (ticks.filter(second_of_day(F.col("ts")) >= opens_at).withWatermark("ts", "1 day")
             .groupBy("symbol", F.window("ts", "1 day").alias("w"))
-            .agg(F.min_by("price", F.struct("ts", "seq")).alias("open"))
+            .agg(F.min_by("price", order_key(F.col("ts"), F.col("seq"))).alias("open"))
             .select("symbol", F.to_date("w.start").alias("date"), "open"))
 
 
@@ -136,5 +137,5 @@ def stream_once_per_day(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """The first event of each account and day; `day` must follow from `ts`, which lets old days be forgotten."""
     day = F.window("ts", "1 day")
     return (events.withWatermark("ts", delay).groupBy("account", day.alias("w"))
-            .agg(F.min("ts").alias("first"), F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
+            .agg(F.min("ts").alias("first"), F.min_by("seq", order_key(F.col("ts"), F.col("seq"))).alias("seq"))
             .select("account", F.to_date("w.start").alias("date"), "first", "seq"))
