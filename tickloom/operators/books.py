@@ -227,15 +227,15 @@ def day_move(equity: DataFrame) -> DataFrame:
 
 
 def _grid(last: DataFrame, start_cash: float) -> DataFrame:
-    """Accounts x marked days with equity carried forward, the starting cash before the first mark."""
-    span = last.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    days = last.select("day").distinct()
-    every = last.select("account").distinct().select(
-        "account", F.explode(F.sequence(span.select("lo").scalar(), span.select("hi").scalar())).alias("day"))
+    """Accounts by marked days with equity carried forward, the starting cash before the first mark.
+
+    The days are one small array (a calendar), so each account unfolds its own rows.
+    """
+    days = last.agg(F.sort_array(F.collect_set("day"))).scalar()
+    every = last.select("account").distinct().select("account", F.explode(days).alias("day"))
     w = W.partitionBy("account").orderBy("day")
-    grid = every.join(days, "day", "left_semi").join(last, ["account", "day"], "left")
-    return grid.withColumn("equity", F.coalesce(F.last("equity", ignorenulls=True).over(
-        w.rowsBetween(W.unboundedPreceding, 0)), F.lit(start_cash)))
+    return every.join(last, ["account", "day"], "left").withColumn("equity", F.coalesce(
+        F.last("equity", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(start_cash)))
 
 
 def allocator_weights(equity: DataFrame, lookback: int = C.ALLOCATOR_LOOKBACK,

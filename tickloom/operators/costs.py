@@ -33,10 +33,19 @@ def size_orders(orders: DataFrame) -> DataFrame:
             .drop("_covered"))
 
 
+MAX_POINTS = 100_000
+
+
 def calibration_curve(calibration: DataFrame) -> Column:
-    """The measured (score, expected_net) points as one sorted array; a dimension of a few dozen points."""
-    points = calibration.select(F.struct(F.col("score").alias("x"), F.col("expected_net").alias("y")).alias("p"))
-    return points.agg(F.sort_array(F.collect_list("p"))).scalar()
+    """The measured (score, expected_net) points as one sorted array.
+
+    A measurement is a few dozen points; the size is checked, and a table too long to be one fails the query.
+    """
+    point = F.struct(F.col("score").alias("x"), F.col("expected_net").alias("y"))
+    first = calibration.limit(MAX_POINTS + 1).select(point.alias("p"))
+    too_long = F.raise_error(F.lit(f"a calibration may hold {MAX_POINTS} points")).cast("array<struct<x:double,y:double>>")
+    return first.agg(F.when(F.count(F.lit(1)) > MAX_POINTS, too_long)
+                     .otherwise(F.sort_array(F.collect_list("p")))).scalar()
 
 
 def calibrate(scores: DataFrame, calibration: DataFrame, score: str = "score",

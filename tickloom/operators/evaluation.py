@@ -49,9 +49,10 @@ def evaluate_ranker(preds: DataFrame, top: int = 5, cost: float = C.ROUND_TRIP)
               .withColumn("_pos", F.row_number().over(
                   W.partitionBy("date").orderBy(p.desc_nulls_last(), F.col("symbol")))))
     best = (F.col("_pos") <= top) & p.isNotNull()
-    varies = (F.stddev_pop("_rp") > 0) & (F.stddev_pop("_re") > 0)
+    # A day whose ranks do not vary has no correlation; `corr` itself would divide by zero there.
+    ic = F.try_divide(F.covar_pop("_rp", "_re"), F.stddev_pop("_rp") * F.stddev_pop("_re"))
     days = ranked.groupBy("date").agg(
-        F.when(varies, F.corr("_rp", "_re")).alias("ic"), F.avg(ret).alias("mkt"),
+        ic.alias("ic"), F.avg(ret).alias("mkt"),
         F.avg(F.when(best, ret)).alias("ret"), F.count_if(best).alias("n"),
         F.count_if(best & (e > 0)).alias("hits"))
     return days.agg(

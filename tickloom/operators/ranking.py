@@ -52,7 +52,7 @@ def average_rank_in(by: list[Column], value: Column) -> Column:
 
 def pct_rank_in(by: list[Column], value: Column) -> Column:
     """Average-tie rank over the non-null count, for groups known to be small; null values rank null."""
-    return average_rank_in(by, value) / F.count(value).over(W.partitionBy(*by))
+    return F.try_divide(average_rank_in(by, value), F.count(value).over(W.partitionBy(*by)))
 
 
 def pct_rank(df: DataFrame, by: list[str], value: str, name: str = "rank_pct", ranges: int = 64) -> DataFrame:

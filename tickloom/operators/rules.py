@@ -17,7 +17,7 @@ from tickloom.functions.money import clears_margin, exit_cost, expected_gross, f
 from tickloom.functions.options import atm_strike, price_premiums
 from tickloom.functions.stats import change
 from tickloom.operators.costs import fill_batch, size_orders, worth_it
-from tickloom.operators.filters import not_companies
+from tickloom.operators.filters import names_a_fund
 from tickloom.operators.reports import signed_money
 from tickloom.operators.sizing import (confidence_weights, conviction_stakes, edge_shares, equal_budget, slot_ticket,
                                        with_best_book)
@@ -70,7 +70,7 @@ def exits_intraday(held: DataFrame, wanted: DataFrame, on: tuple[str, ...] = ("s
 
 def exits_rank(held: DataFrame, ranks: DataFrame, keep: float = C.KEEP_RANK) -> DataFrame:
     """Holdings below the model's top quarter, a missing rank counting as 0; nothing when no ranks exist."""
-    any_rank = ranks.agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
+    any_rank = ranks.limit(1).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     h = held.join(ranks.select("symbol", F.col("rank_pct").alias("_rank")), "symbol", "left")
     return _leaving(h, F.when(any_rank & (F.coalesce("_rank", F.lit(0.0)) < keep), "fell out of the top 25%")).drop("_rank")
 
@@ -114,8 +114,10 @@ def exits_forced(held: DataFrame, policy: DataFrame, blocklist: DataFrame | None
 
     `policy` (account) holds retired and holds_funds.
     """
-    fund = not_companies(held.select("symbol").distinct(), blocklist).withColumn("_fund", F.lit(True))
-    h = held.join(policy, "account").join(fund, "symbol", "left")
+    h = held.join(policy, "account").withColumn("_fund", names_a_fund(F.split_part("symbol", F.lit("."), F.lit(1))))
+    if blocklist is not None:
+        listed = blocklist.select("symbol").distinct().withColumn("_listed", F.lit(True))
+        h = h.join(listed, "symbol", "left").withColumn("_fund", F.col("_fund") | F.coalesce("_listed", F.lit(False))).drop("_listed")
     open_now = second_of_day(F.col("now")) >= C.ENTRY_FROM
     reason = (F.when(F.col("_fund") & ~F.col("holds_funds"), "not a company")
               .when(F.col("retired") & open_now & (F.col("product") != "entitlement"), "account retired"))

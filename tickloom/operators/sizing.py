@@ -1,4 +1,4 @@
-"""Portfolio sizes per account and tick. Groups are the names one account may hold or buy: a dozen at most."""
+"""Portfolio sizes per account and tick. Groups are the names one account may hold or buy: a dozen or so."""
 
 from __future__ import annotations
 
@@ -9,44 +9,51 @@ from tickloom import constants as C
 from tickloom.functions.money import expected_gross, round_trip_cost
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-
 def confidence_weights(cands: DataFrame, keys: list[str], score: str = "score", rank: str = "rank_pct",
                        cap: float = C.CONFIDENCE_CAP, floor: float = C.CONFIDENCE_FLOOR) -> DataFrame:
     """Adds `weight`: shares that grow with the standardised score, capped, slivers dropped (null weight).
 
-    Each pass cuts what exceeds the cap and spreads it over the names that do not exceed it, those
-    sitting on the cap included, which is why passes repeat up to the number of names.
+    Each pass cuts what exceeds the cap and spreads it over the names that do not exceed it, those sitting
+    on the cap included, which is why passes repeat up to the number of names. Only 1/cap names can ever
+    exceed the cap and all others grow by one common factor, so a pass needs just the largest few and that
+    factor, whatever the size of the group.
     """
     w = W.partitionBy(*keys)
     s = F.coalesce(F.col(score), F.lit(0.0))
     sd = F.coalesce(F.stddev_samp(s).over(w), F.lit(0.0))
     by_score = F.exp(F.try_divide(s - F.avg(s).over(w), sd))
     by_rank = F.greatest(F.coalesce(F.col(rank), F.lit(0.5)) - 0.5, F.lit(1e-6))
-    edged = cands.withColumn("_edge", F.when(sd > 0, by_score).otherwise(by_rank))
-    edged = edged.withColumn("_share", F.col("_edge") / F.sum("_edge").over(w))
-    groups = edged.groupBy(*keys).agg(F.collect_list(F.struct(
-        F.col("_share").alias("v"), F.struct(*[c for c in cands.columns if c not in keys]).alias("row"))).alias("_g"))
+    few = int(1 / cap)
+    c = cands.withColumn("_edge", F.when(sd > 0, by_score).otherwise(by_rank))
+    c = c.withColumn("_share", F.col("_edge") / F.sum("_edge").over(w))
+    c = c.withColumn("_k", F.row_number().over(w.orderBy(F.col("_share").desc())))
+    c = (c.withColumn("_n", F.count(F.lit(1)).over(w))
+         .withColumn("_others", F.coalesce(F.sum(F.when(F.col("_k") > few, F.col("_share"))).over(w), F.lit(0.0))))
+
+    largest = c.filter(F.col("_k") <= few).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_share"), asc=False).alias("_large"), F.max("_n").alias("_n"),
+        F.max("_others").alias("_others"))
     limit = F.col("_cap")
 
-    def one_pass(v: Column, _: Column) -> Column:
-        spare = _total(F.transform(v, lambda x: F.greatest(x - limit, F.lit(0.0))))
-        rest = _total(F.filter(v, lambda x: x <= limit))
-        rest = F.when(rest == 0, F.lit(1.0)).otherwise(rest)
-        return F.transform(v, lambda x: F.when(x > limit, limit).otherwise(x + spare * x / rest))
-
-    groups = (groups.withColumn("_cap", F.greatest(F.lit(cap), 1 / F.size("_g")))
-              .withColumn("_w", F.aggregate(F.sequence(F.lit(1), F.size("_g")),
-                                            F.transform("_g", lambda e: e["v"]), one_pass))
-              .withColumn("_small", ~F.exists("_w", lambda x: x >= floor))
-              .withColumn("_kept", F.transform("_w", lambda x: F.when(F.col("_small") | (x >= floor), x)))
-              .withColumn("_sum", _total(F.filter("_kept", lambda x: x.isNotNull()))))
-    out = groups.select(*keys, "_sum", "_cap", F.inline(F.arrays_zip(
-        F.col("_g.row").alias("_row"), F.col("_kept").alias("_share"))))
-    weight = F.when(F.col("_share").isNotNull(), F.least(F.col("_share") / F.col("_sum"), limit))
-    return out.select(*keys, "_row.*", weight.alias("weight"))
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def one_pass(acc: Column, _: Column) -> Column:
+        spare = total(F.transform(acc["large"], lambda x: F.greatest(x - limit, F.lit(0.0))))
+        rest = total(F.filter(acc["large"], lambda x: x <= limit)) + F.col("_others") * acc["factor"]
+        gain = spare / F.when(rest == 0, F.lit(1.0)).otherwise(rest)
+        return F.struct(F.transform(acc["large"], lambda x: F.when(x > limit, limit).otherwise(x * (1 + gain))).alias("large"),
+                        (acc["factor"] * (1 + gain)).alias("factor"))
+
+    passes = (largest.withColumn("_cap", F.greatest(F.lit(cap), 1 / F.col("_n")))
+              .withColumn("_end", F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("_n")), F.struct(
+                  F.col("_large").alias("large"), F.lit(1.0).alias("factor")), one_pass)))
+    c = c.drop("_n", "_others").join(passes.select(*keys, "_cap", "_end"), keys)
+    c = c.withColumn("_w", F.coalesce(F.get("_end.large", F.col("_k") - 1), F.col("_share") * F.col("_end.factor")))
+    kept = F.when((F.max("_w").over(w) < floor) | (F.col("_w") >= floor), F.col("_w"))
+    c = c.withColumn("_w", kept)
+    weight = F.when(F.col("_w").isNotNull(), F.least(F.col("_w") / F.sum("_w").over(w), limit))
+    return c.withColumn("weight", weight).drop("_edge", "_share", "_k", "_cap", "_end", "_w")
 
 
 def edge_shares(cands: DataFrame, keys: list[str], edge: str = "edge", cap: float = C.EDGE_SHARE_CAP) -> DataFrame:

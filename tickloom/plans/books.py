@@ -630,9 +630,9 @@ def s04(spark, sf):
 def s07(spark, sf):
     path = scratch_path(spark, "accounts")
     done = saved(fills_done(spark, sf))
-    held = B.positions_from_ledger(done, list(FILL_ORDER)).groupBy("account").agg(F.map_from_entries(F.collect_list(
-        F.struct("symbol", F.struct("symbol", "qty", "avg_price", F.date_format(
-            "opened", "yyyy-MM-dd'T'HH:mm:ss").alias("opened"), "product")))).alias("positions"))
+    held = B.positions_from_ledger(done, list(FILL_ORDER)).select("account", F.create_map("symbol", F.struct(
+        "symbol", "qty", "avg_price", F.date_format("opened", "yyyy-MM-dd'T'HH:mm:ss").alias("opened"), "product"))
+        .alias("positions"))                                      # one line per holding
     (B.cash_from_ledger(done).join(held, "account", "left")
      .select(F.col("account").alias("name"), "cash", F.lit(200000.0).alias("start_cash"), "positions").write.json(path))
     t = A.read_accounts(spark, path)

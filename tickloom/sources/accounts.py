@@ -20,8 +20,9 @@ def read_accounts(spark: SparkSession, path: str, names: DataFrame | None = None
                   start_cash: float = C.START_CASH, one_document: bool = False) -> dict[str, DataFrame]:
     """Tables accounts, positions, ledger and equity from account documents.
 
-    One JSON line per account splits over the cluster; `one_document` reads the older single map of
-    accounts. Accounts in `names` without a document start with `start_cash`.
+    JSON lines split over the cluster, and a large account may come in several lines that repeat its name and
+    cash; `one_document` reads the older single map of accounts. Accounts in `names` without a document start
+    with `start_cash`.
     """
     if one_document:
         body = ACCOUNT_SCHEMA.replace(" string", ":string").replace(" double", ":double").replace(
@@ -31,7 +32,7 @@ def read_accounts(spark: SparkSession, path: str, names: DataFrame | None = None
     else:
         docs = spark.read.schema(ACCOUNT_SCHEMA).json(path)
     docs = docs.withColumnRenamed("name", "account")
-    seen = docs.select("account", "cash", "start_cash")
+    seen = docs.select("account", "cash", "start_cash").distinct()
     if names is not None:
         seen = names.select("account").join(seen, "account", "left").select(
             "account", F.coalesce("cash", F.lit(start_cash)).alias("cash"),

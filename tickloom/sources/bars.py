@@ -43,9 +43,14 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 
 def latest_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of the most recently modified file that matches `pattern`, with the file's name as `source`."""
-    rows = spark.read.parquet(pattern).select(
-        "*", F.col("_metadata.file_name").alias("source"),
-        F.col("_metadata.file_modification_time").alias("_at"))
-    files = rows.select("_at", "source").groupBy().agg(F.max_by("source", F.struct("_at", "source")).alias("source"))
-    return rows.join(F.broadcast(files), "source", "left_semi").drop("_at")
+    """Rows of the most recently modified snapshot that matches `pattern`, with its name as `source`.
+
+    A snapshot is a parquet file or a folder of them. Only the listing is read to find it, and then only it.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    snapshot = F.regexp_extract("path", r"^(.*?\.parquet)(/|$)", 1)
+    newest = files.groupBy(snapshot.alias("path")).agg(F.max("modificationTime").alias("at")).orderBy(
+        F.col("at").desc(), F.col("path").desc()).first()
+    if newest is None:
+        raise FileNotFoundError(pattern)
+    return spark.read.parquet(newest["path"]).withColumn("source", F.lit(newest["path"].rsplit("/", 1)[-1]))
