@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom import constants as C
 from tickloom.functions.money import charges, fill_price, lots_cash_covers, total_charge, whole_units
-from tickloom.session import shared_folder
+from tickloom.session import saved
 
 
 def charge_orders(orders: DataFrame) -> DataFrame:
@@ -51,8 +51,7 @@ def calibration_curve(calibration: DataFrame) -> Column:
 def calibrate(scores: DataFrame, calibration: DataFrame, score: str = "score",
               name: str = "expected_net") -> DataFrame:
     """Score to measured net return: linear between points, flat beyond them, null when nothing is measured."""
-    x = F.col(score)
-    curve = F.col("_curve")
+    x, curve = F.col(score), F.col("_curve")
     below = F.size(F.filter(curve, lambda p: p["x"] < x))
     left, right = F.get(curve, below - 1), F.get(curve, below)
     between = left["y"] + (right["y"] - left["y"]) * (x - left["x"]) / (right["x"] - left["x"])
@@ -113,8 +112,7 @@ def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: floa
         longest = orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         last = ((longest or 1) - 1) // chunk
     if last:
-        shared_folder(orders.sparkSession)
-        numbered = numbered.checkpoint()                          # read once per pass
+        numbered = saved(numbered)                                # read once per pass
     done = None
     for n in range(last + 1):
         part = numbered
@@ -129,7 +127,7 @@ def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: floa
         bought = lists.withColumn("_r", _buy_in_turn(
             F.col("_orders"), F.col("_purse"), F.col("_stopped"), floor, stop))
         if last:
-            bought = bought.checkpoint()
+            bought = saved(bought)
             purse = bought.select(*keys, F.col("_r.cash").alias("_purse"), F.col("_r.stopped").alias("_stopped"))
         rows = bought.select(*keys, F.inline(F.arrays_zip(F.col("_orders.row").alias("row"),
                                                           F.col("_r.fills").alias("fill_of"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom import constants as C
 from tickloom.functions.calendar import to_zone
+from tickloom.functions.stats import order_key
 
 
 def names_a_fund(symbol: Column, words: tuple[str, ...] = C.FUND_WORDS) -> Column:
@@ -114,17 +115,16 @@ def merge_quotes(primary: DataFrame, fallback: DataFrame, today: Column | str,
                  zone: str | None = C.EXCHANGE_ZONE) -> DataFrame:
     """One price per symbol: the newest valid primary quote, else the newest fallback row dated today.
 
-    One aggregation: (feed, age) orders the rows of a symbol, and partial results merge before the shuffle.
+    One hash aggregation whose partial results merge before the shuffle, however often a symbol is quoted.
     """
     day = F.lit(today).cast("date") if isinstance(today, str) else today
-    first = valid_quotes(primary, day, zone).withColumn("_feed", F.lit(0))
-    second = (fallback.filter(F.col("ltp").isNotNull()
-                              & (trade_day(F.col("last_trade_epoch"), zone) == day)).withColumn("_feed", F.lit(1)))
-    rows = first.unionByName(second).withColumn("_order", F.struct(
-        -F.col("_feed"), F.unix_micros(F.col("asof").cast("timestamp")), F.col("seq")))
+    first = valid_quotes(primary, day, zone).withColumn("_first", F.lit(True))
+    second = fallback.filter(F.col("ltp").isNotNull()
+                             & (trade_day(F.col("last_trade_epoch"), zone) == day)).withColumn("_first", F.lit(False))
+    rows = first.unionByName(second).withColumn("_order", order_key(F.col("asof"), F.col("seq")))
+    best, other = (F.max_by("ltp", F.when(F.col("_first") == f, F.col("_order"))) for f in (True, False))
     return rows.groupBy("symbol").agg(
-        F.max_by("ltp", "_order").alias("price"),
-        F.when(F.min("_feed") == 0, "primary").otherwise("fallback").alias("source"))
+        F.coalesce(best, other).alias("price"), F.when(F.bool_or("_first"), "primary").otherwise("fallback").alias("source"))
 
 
 def quote_universe(spark, positions: DataFrame, top_lists: list[tuple[DataFrame, int | None]],

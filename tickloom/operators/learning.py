@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tickloom import constants as C
 from tickloom.operators.evaluation import fold_bounds
 from tickloom.operators.ranking import cap_rows
-from tickloom.session import shared_folder
+from tickloom.session import saved
 
 MISSING = -1e6          # below every feature value, so trees can send missing rows their own way
 
@@ -37,10 +37,9 @@ def _walk(d: DataFrame, label: str, features: tuple[str, ...], keep: list[str],
           period: str, trees: int, min_rows: int, seed: int, cap: int | None, cap_keys: list[str]) -> DataFrame:
     """Scores of every test period by a model fitted on the rows before it.
 
-    The table is checkpointed once; the loop runs over periods, whose bounds are all that reaches the driver.
+    The table is written once; the loop runs over periods, whose bounds are all that reaches the driver.
     """
-    shared_folder(d.sparkSession)
-    table = filled(d, features).select(*dict.fromkeys([*keep, "date", label, *cap_keys, *features])).checkpoint()
+    table = saved(filled(d, features).select(*dict.fromkeys([*keep, "date", label, *cap_keys, *features])))
     out = None
     for fold in fold_bounds(table, min_train, period).orderBy("fold").collect():
         train = table.filter(F.col("date") < fold["cutoff"])

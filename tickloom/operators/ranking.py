@@ -27,8 +27,8 @@ def ordered_counts(df: DataFrame, by: list[str], value: str, ranges: int = 64,
     counts = rows.groupBy(*keys, value).agg(count.alias("n_at"))
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, points, 1000).alias("_cuts"))
-    placed = (counts.join(cuts, keys)
-              .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts"))
+    placed = counts.join(cuts, keys) if by else counts.withColumn("_cuts", cuts.select("_cuts").scalar())
+    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     whole = (placed.groupBy(*keys, "_range").agg(F.sum("n_at").alias("_in_range")))
     w = W.partitionBy(*keys)
     whole = whole.select(

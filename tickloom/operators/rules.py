@@ -205,8 +205,8 @@ def entries_cost_aware(accounts: DataFrame, picks: DataFrame, prices: DataFrame,
     cands = _not_held(ready.join(live, "list"), positions)
     cands = cands.join(barred.select("account", "symbol"), ["account", "symbol"], "left_anti")
     sized = with_best_book(cands.withColumn("budget", F.col("cash")), ["account"], "rank", "budget", max_names)
-    chosen = (sized.withColumn("pos", F.col("k")).drop("budget")
-              .filter((F.col("k") <= F.col("n")) & clears_margin(F.col("rank"), F.col("ticket"))))
+    chosen = (sized.withColumn("pos", F.col("place")).drop("budget")
+              .filter((F.col("place") <= F.col("n")) & clears_margin(F.col("rank"), F.col("ticket"))))
     chosen = chosen.withColumn("edge", expected_gross(F.col("rank")) - round_trip_cost(F.col("ticket")))
     shared = edge_shares(chosen, ["account"])
     return _buy(shared.withColumn("budget", F.col("cash") * F.col("share")), max_names, floor=C.MIN_TICKET)

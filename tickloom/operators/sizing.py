@@ -24,16 +24,15 @@ def confidence_weights(cands: DataFrame, keys: list[str], score: str = "score",
     by_score = F.exp(F.try_divide(s - F.avg(s).over(w), sd))
     by_rank = F.greatest(F.coalesce(F.col(rank), F.lit(0.5)) - 0.5, F.lit(1e-6))
     few = int(1 / cap)
+    k, limit = F.col("_k"), F.col("_cap")
     c = cands.withColumn("_edge", F.when(sd > 0, by_score).otherwise(by_rank))
     c = c.withColumn("_share", F.col("_edge") / F.sum("_edge").over(w))
     c = c.withColumn("_k", F.row_number().over(w.orderBy(F.col("_share").desc())))
-    c = (c.withColumn("_n", F.count(F.lit(1)).over(w))
-         .withColumn("_others", F.coalesce(F.sum(F.when(F.col("_k") > few, F.col("_share"))).over(w), F.lit(0.0))))
-
-    largest = c.filter(F.col("_k") <= few).groupBy(*keys).agg(
-        F.sort_array(F.collect_list("_share"), asc=False).alias("_large"), F.max("_n").alias("_n"),
-        F.max("_others").alias("_others"))
-    limit = F.col("_cap")
+    c = c.withColumns({
+        "_n": F.count(F.lit(1)).over(w),
+        "_large": F.sort_array(F.collect_list(F.when(k <= few, F.col("_share"))).over(w), asc=False),
+        "_others": F.coalesce(F.sum(F.when(k > few, F.col("_share"))).over(w), F.lit(0.0))})
+    c = c.withColumn("_cap", F.greatest(F.lit(cap), 1 / F.col("_n")))
 
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
@@ -45,15 +44,14 @@ def confidence_weights(cands: DataFrame, keys: list[str], score: str = "score",
         return F.struct(F.transform(acc["large"], lambda x: F.when(x > limit, limit).otherwise(x * (1 + gain))).alias("large"),
                         (acc["factor"] * (1 + gain)).alias("factor"))
 
-    passes = (largest.withColumn("_cap", F.greatest(F.lit(cap), 1 / F.col("_n")))
-              .withColumn("_end", F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("_n")), F.struct(
-                  F.col("_large").alias("large"), F.lit(1.0).alias("factor")), one_pass)))
-    c = c.drop("_n", "_others").join(passes.select(*keys, "_cap", "_end"), keys)
-    c = c.withColumn("_w", F.coalesce(F.get("_end.large", F.col("_k") - 1), F.col("_share") * F.col("_end.factor")))
-    kept = F.when((F.max("_w").over(w) < floor) | (F.col("_w") >= floor), F.col("_w"))
-    c = c.withColumn("_w", kept)
+    # The passes run once per group, on its first row, and the group then shares the result.
+    passes = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("_n")),
+                         F.struct(F.col("_large").alias("large"), F.lit(1.0).alias("factor")), one_pass)
+    c = c.withColumn("_end", F.when(k == 1, passes)).withColumn("_end", F.max("_end").over(w))
+    c = c.withColumn("_w", F.coalesce(F.get("_end.large", k - 1), F.col("_share") * F.col("_end.factor")))
+    c = c.withColumn("_w", F.when((F.max("_w").over(w) < floor) | (F.col("_w") >= floor), F.col("_w")))
     weight = F.when(F.col("_w").isNotNull(), F.least(F.col("_w") / F.sum("_w").over(w), limit))
-    return c.withColumn("weight", weight).drop("_edge", "_share", "_k", "_cap", "_end", "_w")
+    return c.withColumn("weight", weight).drop("_edge", "_share", "_k", "_n", "_large", "_others", "_cap", "_end", "_w")
 
 
 def edge_shares(cands: DataFrame, keys: list[str], edge: str = "edge", cap: float = C.EDGE_SHARE_CAP) -> DataFrame:
@@ -81,13 +79,13 @@ def edge_shares(cands: DataFrame, keys: list[str], edge: str = "edge", cap: floa
 
 def with_best_book(cands: DataFrame, keys: list[str], rank: str = "rank_pct", budget: str = "budget",
                    max_names: int = C.MAX_BOOK) -> DataFrame:
-    """The first `max_names` candidates (in `pos` order) with their place `k`, and beside each the group's best
+    """The first `max_names` candidates (in `pos` order) with their `place`, and beside each the group's best
     book: how many names `n` to hold and the `ticket`; 0 when none pays."""
     group = W.partitionBy(*keys)
     w = group.orderBy("pos")
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    k = F.col("k")
-    c = cands.withColumn("k", F.row_number().over(w)).filter(k <= max_names)
+    k = F.col("place")
+    c = cands.withColumn("place", F.row_number().over(w)).filter(k <= max_names)
     c = (c.withColumn("_ticket", F.col(budget) / k)
          .withColumn("_cost", round_trip_cost(F.col("_ticket")))
          .withColumn("_gross", expected_gross(F.col(rank)))
@@ -106,7 +104,7 @@ def with_best_book(cands: DataFrame, keys: list[str], rank: str = "rank_pct", bu
 def best_book(cands: DataFrame, keys: list[str], rank: str = "rank_pct", budget: str = "budget",
               max_names: int = C.MAX_BOOK) -> DataFrame:
     """One row per group: the size and ticket of its best book."""
-    return with_best_book(cands, keys, rank, budget, max_names).filter(F.col("k") == 1).select(*keys, "n", "ticket")
+    return with_best_book(cands, keys, rank, budget, max_names).filter(F.col("place") == 1).select(*keys, "n", "ticket")
 
 
 def conviction_stakes(chosen: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:

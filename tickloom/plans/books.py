@@ -14,7 +14,7 @@ from tickloom.plans import views as V
 from tickloom.plans.pricing import sql_cdf, sql_charges
 from tickloom.plans.registry import query, r, report, rs
 from tickloom.plans.views import FILL_ORDER, VIEWS, with_more, with_views
-from tickloom.session import scratch_path, shared_folder
+from tickloom.session import saved, scratch_path
 from tickloom.sources import accounts as A
 from tickloom.sources import bars as SB
 from tickloom.sources import picks as P
@@ -240,12 +240,6 @@ def fills_done(spark, sf):
     return B.realised(folded(spark, sf))
 
 
-def saved(df):
-    """`df` written once in the shared folder, for the reports that read it several times."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def held_now(spark, sf):
     return B.positions_from_ledger(folded(spark, sf), list(FILL_ORDER))
 
@@ -348,7 +342,7 @@ def a11(spark, sf):
  SELECT m.account, m.symbol, {r('coalesce(price, last_price)', 'last_price')}, {r('coalesce(price, prev_close)', 'prev_close')},
         price IS NOT NULL AS marked FROM marked_book m LEFT JOIN usable u ON m.symbol = u.symbol"""))
 def r01(spark, sf):
-    return report(B.mark_close(marked_book(spark, sf), V.prices(spark, sf)),
+    return report(B.mark_close(saved(marked_book(spark, sf)), V.prices(spark, sf)),
                   "account", "symbol", "last_price", "prev_close", "marked")
 
 

@@ -11,6 +11,7 @@ from tickloom.plans import views as V
 from tickloom.plans.pricing import (measured, sql_cdf, sql_charges, sql_exit_cost, sql_round_trip)
 from tickloom.plans.registry import query, r, report, rs
 from tickloom.plans.views import VIEWS, with_more, with_views
+from tickloom.session import saved
 
 LINE = "account, order_id, line, symbol, avg_price"
 LINE_COLUMNS = ("account", "order_id", "line", "symbol", "avg_price")
@@ -175,8 +176,8 @@ def bought_back(spark, sf):
 
 
 def parts(spark, sf):
-    """accounts, pick lists, prices and the open book."""
-    return V.accounts(spark, sf), V.pick_lists(spark, sf), V.prices(spark, sf), V.book(spark, sf)
+    """accounts, pick lists, prices and the open book; lists and book are written, as a desk would have them."""
+    return V.accounts(spark, sf), saved(V.pick_lists(spark, sf)), V.prices(spark, sf), saved(V.book(spark, sf))
 
 
 @query("d07_entries_topn", with_more("accounts pick_lists prices book slots", f"""
@@ -248,21 +249,21 @@ def entries_intraday_sql(order: str) -> str:
  {sql_fills("'intraday'")}""", BOUGHT)
 
 
-def measured_picks(spark, sf):
-    picks = V.pick_lists(spark, sf).withColumn("s", F.col("rank_pct") - F.col("size") / 100)
+def measured_picks(spark, sf, lists):
+    picks = lists.withColumn("s", F.col("rank_pct") - F.col("size") / 100)
     return K.calibrate(picks, measured(spark, sf), "s")
 
 
 @query("d09_entries_intraday", entries_intraday_sql("p.pos"))
 def d09(spark, sf):
-    a, _, prices, book = parts(spark, sf)
-    return bought(U.entries_intraday(a, measured_picks(spark, sf), prices, book))
+    a, lists, prices, book = parts(spark, sf)
+    return bought(U.entries_intraday(a, measured_picks(spark, sf, lists), prices, book))
 
 
 @query("d09_entries_by_edge", entries_intraday_sql("round(net, 12) DESC, p.pos"))
 def d09_edge(spark, sf):
-    a, _, prices, book = parts(spark, sf)
-    picks = measured_picks(spark, sf).withColumn("expected_net", F.round("expected_net", 12))
+    a, lists, prices, book = parts(spark, sf)
+    picks = measured_picks(spark, sf, lists).withColumn("expected_net", F.round("expected_net", 12))
     return bought(U.entries_intraday(a, picks, prices, book, by_edge=True))
 
 
@@ -304,8 +305,7 @@ VIEWS["funded"] = """
             ON b.symbol = p.symbol GROUP BY 1) h ON h.account = a.account """
 
 
-def funded(spark, sf):
-    a, _, prices, book = parts(spark, sf)
+def funded(a, prices, book):
     return B.account_equity(a, book, prices).drop("held").withColumn(
         "power", F.when(F.col("waits"), 0.0).otherwise(2.0))
 
@@ -330,9 +330,9 @@ def funded(spark, sf):
                 CASE WHEN wild THEN 1e0 ELSE 30e-2 END * equity) ELSE ticket END AS budget,
      row_number() OVER (PARTITION BY account ORDER BY pos) AS nth FROM refs), {sql_fills(floor=5000, stop=True)}""", BOUGHT))
 def d11(spark, sf):
-    _, picks, prices, book = parts(spark, sf)
+    a, picks, prices, book = parts(spark, sf)
     scored = V.ranks(spark, sf).select("symbol", ((F.col("rank_pct") - 0.5) * 0.1).alias("expected"))
-    return bought(U.entries_model(funded(spark, sf), picks, prices, book, bought_back(spark, sf), scored))
+    return bought(U.entries_model(funded(a, prices, book), picks, prices, book, bought_back(spark, sf), scored))
 
 
 # --- cross-section reversion: every hour of the index day is a tick of twenty names ---

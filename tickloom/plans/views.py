@@ -77,7 +77,12 @@ LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.struct(*LINE_ORDER)
+    # LINE_ORDER as one decimal: order, line, part and price in cents.
+    def digits(c: str, zeros: int) -> Column:
+        return F.col(c).cast("decimal(12,0)") * F.lit("1" + "0" * zeros).cast(f"decimal({zeros + 1},0)")
+
+    order = (digits("l_orderkey", 24) + digits("l_linenumber", 22) + digits("l_partkey", 11)
+             + F.round(F.col("l_extendedprice") * 100).cast("decimal(11,0)"))
     return (table(spark, sf, "lineitem").withColumn("price", unit_price())
             .groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"))
             .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
