@@ -12,6 +12,9 @@ from tickloom import constants as C
 from tickloom.functions.money import total_charge
 from tickloom.functions.stats import change, order_key, trailing
 from tickloom.operators.filters import corporate_gaps, held_symbols
+from tickloom.session import ship_functions
+
+ship_functions(__name__)
 
 KEYS = ["account", "symbol"]
 

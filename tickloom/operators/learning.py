@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tickloom import constants as C
 from tickloom.operators.evaluation import fold_bounds
 from tickloom.operators.ranking import cap_rows
-from tickloom.session import saved
+from tickloom.session import saved, ship_functions
+
+ship_functions(__name__)
 
 MISSING = -1e6          # below every feature value, so trees can send missing rows their own way
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,3 +58,8 @@ def saved(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "saved")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_functions(module: str) -> None:
+    """Sends a module's functions to Python workers by value, so that workers need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -18,7 +18,9 @@ from tickloom import constants as C
 from tickloom.functions.calendar import second_of_day
 from tickloom.functions.stats import order_key
 from tickloom.operators.filters import valid_quotes
-from tickloom.session import scratch_path
+from tickloom.session import scratch_path, ship_functions
+
+ship_functions(__name__)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
