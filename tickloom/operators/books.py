@@ -268,6 +268,24 @@ def allocator(equity: DataFrame, lookback: int = C.ALLOCATOR_LOOKBACK, cost: flo
     return days.withColumn("equity", F.round(F.lit(start_cash) * grown, 2))
 
 
+def allocator_table(equity: DataFrame, accounts: list[str], lookback: int = C.ALLOCATOR_LOOKBACK,
+                    cost: float = C.SWITCH_COST, start_cash: float = C.START_CASH) -> DataFrame:
+    """The combined book as it is exported: date, equity and one rounded weight column per account."""
+    wide = (allocator_weights(equity, lookback, start_cash).groupBy("day").pivot("account", accounts)
+            .agg(F.round(F.first("weight"), 3)))
+    wide = wide.withColumnsRenamed({a: f"w_{a}" for a in accounts})
+    return allocator(equity, lookback, cost, start_cash).select("day", "equity").join(wide, "day")
+
+
+def all_children(children: dict[str, DataFrame], tag: str = "account") -> DataFrame:
+    """The accounts' trades (or curves) as one table, each row tagged with its account."""
+    out = None
+    for name, rows in children.items():
+        tagged = rows.withColumn(tag, F.lit(name))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out
+
+
 # --- price history ---
 
 def annual_vol(closes: DataFrame, window: int = 60) -> DataFrame:

@@ -82,6 +82,27 @@ def report_rows(summary: DataFrame) -> DataFrame:
     return summary.select("account", "return_pct", F.concat(F.lit("| "), line, F.lit(" |")).alias("line"))
 
 
+def combined_line(combined: DataFrame, start_cash: float = C.START_CASH) -> DataFrame:
+    """The combined book's newest value as a sentence. Needs day and equity."""
+    last = combined.agg(F.max_by("equity", "day").alias("equity"))
+    share = 100 * change(F.col("equity"), F.lit(start_cash))
+    return last.select(F.concat(F.lit("Combined allocator (virtual): Rs "), F.format_number("equity", 0), F.lit(" ("),
+                                signed_money(share, 2), F.lit("%).")).alias("line"))
+
+
+def profit_rows(latest: DataFrame) -> DataFrame:
+    """The latest day's profit as formatted table lines."""
+    line = F.concat_ws(" | ", F.col("account"), signed_money(F.col("profit_rs")),
+                       F.concat(signed_money(F.col("profit_pct"), 2), F.lit("%")))
+    return latest.select("account", "profit_rs", F.concat(F.lit("| "), line, F.lit(" |")).alias("line"))
+
+
+def average_rows(stats: DataFrame) -> DataFrame:
+    """Each account's average profit per day in words."""
+    return stats.select("account", "mean_profit", F.concat(
+        F.col("account"), F.lit(" Rs "), signed_money(F.col("mean_profit"))).alias("line"))
+
+
 def trade_alerts(ledger: DataFrame) -> DataFrame:
     time = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss")
     pnl = F.when(F.col("pnl").isNotNull(), F.concat(F.lit(", P&L Rs "), signed_money(F.col("pnl")))).otherwise("")

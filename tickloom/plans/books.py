@@ -434,6 +434,25 @@ def w06(spark, sf):
     return report(B.allocator(V.equity(spark, sf)), "day", "turnover", "equity", equity=2)
 
 
+DESKS = [f"A{i}" for i in range(21)]
+WEIGHT = "CAST(round(max(weight) FILTER (WHERE account = '{a}'), 3) AS DOUBLE) AS w_{a}"
+
+
+@query("w06_allocator_table", with_views("alloc alloc_days", f"""
+ SELECT CAST(d.day AS VARCHAR) AS day, {r('d.equity', 'equity', 2)}, w.* EXCLUDE (day) FROM alloc_days d
+ JOIN (SELECT day, {', '.join(WEIGHT.format(a=a) for a in DESKS)} FROM alloc GROUP BY 1) w ON w.day = d.day"""))
+def w06_table(spark, sf):
+    return report(B.allocator_table(V.equity(spark, sf), DESKS), equity=2)
+
+
+@query("j15_all_trades", with_views("ledger", f"""
+ SELECT product AS account, symbol, side, qty, {r('price')}, order_id, line FROM ledger"""))
+def j15(spark, sf):
+    fills = V.ledger(spark, sf).select("symbol", "side", "qty", "price", "order_id", "line", "product")
+    books = {p: fills.filter(F.col("product") == p).drop("product") for p in ("delivery", "intraday", "option")}
+    return report(B.all_children(books), "account", "symbol", "side", "qty", "price", "order_id", "line")
+
+
 VIEWS["summaries"] = """
  SELECT account, round(coalesce(eq, cash), 2) AS equity, round(100 * (coalesce(eq, cash) / 200000 - 1), 3) AS return_pct,
         round(cash, 2) AS cash, coalesce(open_positions, 0) AS open_positions, coalesce(closed, 0) AS closed_trades,
@@ -509,6 +528,27 @@ def r04(spark, sf):
     return R.report_rows(summaries(spark, sf)).select("account", "line")
 
 
+@query("r04_profit_lines", with_views("profits", """
+ SELECT account, '| ' || concat_ws(' | ', account, CASE WHEN profit_rs >= 0 THEN '+' ELSE '' END || format('{:,.0f}', profit_rs),
+   CASE WHEN profit_pct >= 0 THEN '+' ELSE '' END || format('{:,.2f}', profit_pct) || '%') || ' |' AS line
+ FROM profits WHERE day = (SELECT max(day) FROM profits)
+ UNION ALL
+ SELECT account, account || ' Rs ' || CASE WHEN avg(profit_rs) >= 0 THEN '+' ELSE '' END || format('{:,.0f}', avg(profit_rs))
+ FROM profits GROUP BY account"""))
+def r04_profit(spark, sf):
+    daily = B.daily_profit(V.equity(spark, sf))
+    lines = R.profit_rows(B.latest_day_profit(daily)).select("account", "line")
+    return lines.unionByName(R.average_rows(B.profit_stats(daily)).select("account", "line"))
+
+
+@query("r04_combined_line", with_views("alloc_days", """
+ SELECT 'Combined allocator (virtual): Rs ' || format('{:,.0f}', arg_max(equity, day)) || ' ('
+   || CASE WHEN arg_max(equity, day) >= 200000 THEN '+' ELSE '' END
+   || format('{:,.2f}', 100 * (arg_max(equity, day) / 200000 - 1)) || '%).' AS line FROM alloc_days"""))
+def r04_combined(spark, sf):
+    return R.combined_line(B.allocator(V.equity(spark, sf)))
+
+
 SIGNED = "CASE WHEN {x} >= 0 THEN '+' ELSE '' END || format('{{:,.{n}f}}', {x})"
 VIEWS["alert_rows"] = f"""
  SELECT strftime(time, '%Y-%m-%dT%H:%M:%S') || '|' || account || '|' || side || '|' || symbol AS id, 'trade' AS kind, account,
