@@ -2,8 +2,6 @@ import datetime as dt
 import json
 
 import pandas as pd
-import pytest
-from pyspark.sql import functions as F
 
 from tickloom.sources import accounts as A
 from tickloom.sources import bars as SB

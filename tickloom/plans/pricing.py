@@ -12,7 +12,7 @@ from tickloom.operators import costs as K
 from tickloom.operators import sizing as Z
 from tickloom.operators.ranking import stable_hash
 from tickloom.plans import views as V
-from tickloom.plans.registry import query, r, report, rs
+from tickloom.plans.registry import query, r, report
 from tickloom.plans.views import VIEWS, with_more, with_views
 
 FILL_KEYS = "account, symbol, CAST(time AS VARCHAR)[1:10] AS day, order_id, line, part"
