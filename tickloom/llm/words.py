@@ -5,45 +5,62 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
 HELD = 64 << 20                        # bytes of words and ids kept per worker
-ODD = re.compile("[\x1c-\x1f]")        # white space to Python, not to the tokenizers' patterns
+# lower-case Latin letters that are single characters in composed form, then marks of ASCII but the apostrophe
+LETTERS = "a-zß-öø-įı-ňŊ-ſ"
+PLAIN = re.compile(f"([{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
 
 
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, from a tokenizers file.
 
-    For tokenizers that never join text across white space (every pattern of theirs ends there): a text's ids are
-    then its words' ids in a row, and each distinct word is encoded once while the cache holds it.
+    For byte-level tokenizers that ignore case and never join text across white space, nor a letter with a mark
+    behind it: a text's ids are then its words' ids in a row, and each distinct word is encoded once while the cache
+    holds it. A word of Latin letters goes straight to the tokenizer's model, as normalising leaves it as it is.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks share the cores
         from tokenizers import Tokenizer
         self.tokenizer, self.known, self.size = Tokenizer.from_file(path), {}, 0
+        letters = (c for c in map(chr, range(0x80, 0x180)) if PLAIN.fullmatch(c))
+        self.bytewise = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text):
-            return self.fresh([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.known.__getitem__, words))
-
-    def fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        if self.size > HELD:
-            self.known, self.size = {}, 0
-        new = [w for w in set(words) if w not in self.known]
-        ids = self.fresh(new)
-        self.known.update(zip(new, ids, strict=True))
-        self.size += sum(map(len, new)) + sum(map(len, ids)) + 200 * len(new)
+        if "<|" in text:                                   # may hold a special token, which has a case
+            return self.whole([text])[0]
+        words = text.encode().lower().split()              # on bytes: A-Z and ASCII white space alone
+        new = {w for w in words if w not in self.known}
+        if new:
+            if self.size > HELD:
+                self.known, self.size, new = {}, 0, set(words)
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        others, tokens = [], self.tokenizer.model.tokenize
+        for word in words:
+            plain = PLAIN.fullmatch(word.decode().lower())
+            if not plain:
+                others.append(word)
+                continue
+            letters, marks = plain.groups()
+            ids = [t.id for t in tokens(letters if letters.isascii() else letters.translate(self.bytewise))]
+            body = pack(f"<{len(ids)}I", *ids)
+            self.known[word] = body + self.mark(marks) if marks else body
+        self.known.update(zip(others, self.whole([w.decode() for w in others]), strict=True))
+        self.size += sum(8 * len(w) + 200 for w in words)
+
+    @lru_cache(maxsize=4_096)                              # noqa: B019  encoders live as long as their worker
+    def mark(self, marks: str) -> bytes:
+        return self.whole([marks])[0]
 
 
 @lru_cache(maxsize=2)
