@@ -9,7 +9,7 @@ from struct import pack
 
 import numpy as np
 
-HELD = 64 << 20                        # bytes of words and ids kept per worker
+HELD = 112 << 20                       # bytes of words and ids kept per worker
 # lower-case Latin letters that are single characters in composed form, then marks of ASCII but the apostrophe
 LETTERS = "a-zß-öø-įı-ňŊ-ſ"
 PLAIN = re.compile(f"([{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
@@ -34,12 +34,14 @@ class WordEncoder:
         if "<|" in text:                                   # may hold a special token, which has a case
             return self.whole([text])[0]
         words = text.encode().lower().split()              # on bytes: A-Z and ASCII white space alone
-        new = {w for w in words if w not in self.known}
-        if new:
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            new = {w for w, known in zip(words, ids, strict=True) if known is None}
             if self.size > HELD:
                 self.known, self.size, new = {}, 0, set(words)
             self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+            ids = map(self.known.__getitem__, words)
+        return b"".join(ids)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -52,8 +54,10 @@ class WordEncoder:
                 others.append(word)
                 continue
             letters, marks = plain.groups()
-            ids = [t.id for t in tokens(letters if letters.isascii() else letters.translate(self.bytewise))]
-            body = pack(f"<{len(ids)}I", *ids)
+            body = self.known.get(word[:-len(marks)]) if marks else None
+            if body is None:
+                ids = [t.id for t in tokens(letters if letters.isascii() else letters.translate(self.bytewise))]
+                body = pack(f"<{len(ids)}I", *ids)
             self.known[word] = body + self.mark(marks) if marks else body
         self.known.update(zip(others, self.whole([w.decode() for w in others]), strict=True))
         self.size += sum(8 * len(w) + 200 for w in words)
