@@ -251,7 +251,8 @@ def render(root: Node) -> str:
         leaving, node, parent = walk.pop()
         now = writers[-1]
         if isinstance(node, str):
-            now.text(node, kept > 0)
+            if parent.tag != "details" or "open" in parent.attributes:
+                now.text(node, kept > 0)
             continue
         tag = node.tag
         if leaving:
