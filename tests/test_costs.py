@@ -1,10 +1,10 @@
+import bisect
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from twins import total_charges, units_by_trial
 from tickloom.functions import money as M
 from tickloom.functions.options import atm_strike, normal_cdf, price_calls
 from tickloom.operators import costs as K
@@ -26,24 +26,27 @@ def test_charges_on_a_ten_thousand_order(spark):
     assert charged(spark, "sell", "delivery", 99, "groww")["depository"] == 0
 
 
-def test_sizes_match_trying_every_count(spark):
+def test_sizes_fit_and_one_lot_more_does_not(spark):
     rng = random.Random(7)
     orders = []
     for i in range(3000):
-        fill = round(rng.uniform(0.5, 4000), 4)
-        lot = rng.choice([1, 1, 1, 5, 75])
         cash = rng.uniform(0, 300_000)
-        orders.append((i, cash * rng.choice([0.3, 1.0, 2.0]), cash, fill, rng.choice(["delivery", "intraday", "option"]),
-                       rng.choice(["zerodha", "groww"]), lot))
-    # Cash that just covers some number of units is where rounding bites.
-    for i in range(3000, 4000):
-        fill, n = round(rng.uniform(5, 500), 2), rng.randint(1, 300)
-        product, broker = rng.choice(["delivery", "intraday", "option"]), rng.choice(["zerodha", "groww"])
-        cash = n * fill + total_charges("buy", product, n * fill, broker) + rng.choice([-1e-6, 1e-6])
-        orders.append((i, cash, cash, fill, product, broker, 1))
+        orders.append((i, cash * rng.choice([0.3, 1.0, 2.0]), cash, round(rng.uniform(0.5, 4000), 4),
+                       rng.choice(["delivery", "intraday", "option"]), rng.choice(["zerodha", "groww"]), rng.choice([1, 1, 1, 5, 75])))
     df = spark.createDataFrame(orders, "id int, budget double, cash double, fill double, product string, broker string, lot int")
-    got = {r["id"]: r["units"] for r in K.size_orders(df).collect()}
-    assert got == {o[0]: units_by_trial(*o[1:]) for o in orders}
+    product, broker = F.col("product"), F.col("broker")
+    # cash that just covers some number of units, charges included, is where rounding bites
+    exact = df.filter("lot = 1").withColumn("n", F.ceil(F.col("id") / 10)).withColumn("value", F.col("n") * F.col("fill"))
+    exact = exact.withColumn("cash", F.col("value") + M.total_charge("buy", product, F.col("value"), broker) + F.when(F.col("id") % 2 == 0, 1e-6).otherwise(-1e-6))
+    exact = exact.withColumn("budget", F.col("cash"))
+    df = df.unionByName(exact.select(*df.columns))
+    sized = K.size_orders(df).withColumn("value", F.col("units") * F.col("fill")).withColumn("more", (F.col("units") + F.col("lot")) * F.col("fill"))
+    sized = sized.withColumns({"cost": F.col("value") + M.total_charge("buy", product, F.col("value"), broker),
+                               "cost_more": F.col("more") + M.total_charge("buy", product, F.col("more"), broker)})
+    fits = (F.col("units") == 0) | ((F.col("cost") <= F.col("cash")) & (F.col("value") <= F.col("budget") * (1 + 1e-12)))
+    largest = (F.col("cost_more") > F.col("cash")) | (F.col("more") > F.least("budget", "cash") * (1 - 1e-12))
+    assert sized.filter(~(fits & largest & (F.col("units") % F.col("lot") == 0) & (F.col("units") >= 0))).isEmpty()
+    assert sized.filter("units > 0").count() > 2000
 
 
 def test_whole_shares_and_rejections(spark):
@@ -53,38 +56,35 @@ def test_whole_shares_and_rejections(spark):
     assert [r["units"] for r in K.size_orders(df).collect()] == [1, 0, 0]
 
 
-def sequential(orders, floor, stop):
-    """Twin of one account's buys: list of (units, cash after)."""
-    cash, stopped, out = orders[0][1], False, []
-    for budget, _, fill in orders:
-        size = min(budget, cash)
-        if size < floor:
-            stopped = stopped or stop
-            out.append((0, cash))
-            continue
-        n = 0 if stopped else units_by_trial(size, cash, fill, "delivery", "zerodha", 1)
-        cash -= n * fill + total_charges("buy", "delivery", n * fill) if n else 0.0
-        out.append((n, cash))
-    return out
-
-
-@pytest.mark.parametrize("floor,stop,chunk", [(0.0, False, 2048), (900.0, False, 2048), (900.0, True, 2048),
-                                              (0.0, False, 7), (900.0, False, 7), (900.0, True, 7)])
-def test_sequential_buys_share_one_purse(spark, floor, stop, chunk):
+@pytest.mark.parametrize("floor,stop,cash_floor", [(0.0, False, 0.0), (900.0, False, 0.0), (900.0, True, 0.0), (0.0, False, 5_000.0)])
+def test_sequential_buys_share_one_purse(spark, floor, stop, cash_floor):
+    """Each order is sized by what the ones before it left, as `size_orders` sizes it alone."""
     rng = random.Random(3)
-    data, want = [], {}
+    data = []
     for account in ("a", "b", "c"):
         cash = rng.uniform(5_000, 60_000)
-        orders = [(rng.uniform(200, 6000), cash, rng.uniform(10, 900)) for _ in range(rng.randint(5, 40))]
-        want[account] = sequential(orders, floor, stop)
-        data += [(account, i, *o) for i, o in enumerate(orders)]
-    df = spark.createDataFrame(data, "account string, pos int, budget double, cash double, fill double")
+        data += [(account, i, rng.uniform(200, 6000), cash, rng.uniform(10, 900), i % 9 == 4) for i in range(rng.randint(5, 40))]
+    df = spark.createDataFrame(data, "account string, pos int, budget double, cash double, fill double, blocked boolean")
     df = df.withColumns({"product": F.lit("delivery"), "broker": F.lit("zerodha"), "lot": F.lit(1)})
-    got = K.fill_batch(df, ["account"], ["pos"], floor, stop, chunk=chunk).orderBy("account", "pos").collect()
-    for account, expected in want.items():
-        mine = [(r["units"], r["cash_after"]) for r in got if r["account"] == account]
-        assert [u for u, _ in mine] == [u for u, _ in expected]
-        assert [c for _, c in mine] == pytest.approx([c for _, c in expected])
+    got = K.fill_batch(df, ["account"], ["pos"], floor, stop, cash_floor).withColumn("left", F.col("cash_after") + F.col("spent"))
+    alone = K.size_orders(got.withColumnRenamed("units", "bought").withColumn("cash", F.col("left")).withColumn("budget", F.least("budget", "left")))
+    rows = sorted(alone.collect(), key=lambda r: (r["account"], r["pos"]))
+    stopped = {}
+    for before, r in zip([None, *rows], rows):
+        start = {d[0]: d[3] for d in data}[r["account"]] if before is None or before["account"] != r["account"] else before["cash_after"]
+        assert r["left"] == pytest.approx(start)
+        small = r["budget"] < floor
+        over = stopped.get(r["account"], False) or r["left"] < cash_floor or (stop and small)
+        stopped[r["account"]] = over
+        assert r["bought"] == (0 if over or small or r["blocked"] else r["units"])
+        assert r["bought"] > 0 or r["spent"] == 0
+
+
+def test_an_account_of_a_hundred_thousand_orders(spark):
+    df = spark.range(100_000).selectExpr("'a' as account", "id as pos", "100.0D as budget", "5000.0D as cash", "99.0D as fill",
+                                         "'delivery' as product", "'zerodha' as broker", "1 as lot")
+    out = K.fill_batch(df, ["account"], ["pos"]).groupBy("units").count().collect()
+    assert {r["units"]: r["count"] for r in out} == {1: 50, 0: 99_950}
 
 
 def value_of(spark, column):
@@ -116,6 +116,27 @@ def test_calibration_interpolates_and_gates(spark):
     assert {(r["expected_net"], r["go"]) for r in none.collect()} == {(None, False)}
 
 
+def test_calibration_of_any_size(spark):
+    """More points than slices, ties, nulls and scores beyond both ends, against a search in the sorted points."""
+    rng = random.Random(12)
+    points = sorted({round(rng.gauss(0, 1) ** 3, 3): rng.uniform(-1, 1) for _ in range(9_000)}.items())
+    xs = [x for x, _ in points]
+    asked = [rng.gauss(0, 2) ** 3 for _ in range(3_000)] + xs[::50] + [None, -1e9, 1e9]
+    df = spark.createDataFrame([(i, x, "k") for i, x in enumerate(asked)], "id int, score double, _slice string")
+    got = {r["id"]: r["expected_net"] for r in K.calibrate(df, spark.createDataFrame(points, "score double, expected_net double")).collect()}
+    for i, x in enumerate(asked):
+        if x is None:
+            assert got[i] is None
+            continue
+        k = bisect.bisect_left(xs, x)
+        want = points[0][1] if k == 0 else points[-1][1] if k == len(xs) else None
+        if want is None:
+            (x0, y0), (x1, y1) = points[k - 1], points[k]
+            want = y0 + (y1 - y0) * (x - x0) / (x1 - x0)
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    assert len(got) == len(asked)
+
+
 def test_normal_distribution_function(spark):
     xs = [i / 7 for i in range(-280, 281)]
     df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("p", normal_cdf(F.col("x")))

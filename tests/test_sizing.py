@@ -1,9 +1,11 @@
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from twins import shares_by_filling, weights_by_passes
+from checks import are_capped_shares
 from tickloom.operators import sizing as Z
 
 
@@ -12,14 +14,24 @@ def groups(seed, n, low, high, draw):
     return {g: [draw(rng) for _ in range(rng.randint(low, high))] for g in range(n)}
 
 
-def test_confidence_weights_match_the_passes(spark):
+def test_confidence_weights_are_capped_and_follow_the_scores(spark):
     data = groups(1, 300, 2, 12, lambda r: r.gauss(0, 1) ** 3)
     df = spark.createDataFrame([(g, i, s, 0.9) for g, ss in data.items() for i, s in enumerate(ss)],
                                "g int, i int, score double, rank_pct double")
     got = {(r["g"], r["i"]): r["weight"] for r in Z.confidence_weights(df, ["g"]).collect()}
     for g, ss in data.items():
-        for i, w in enumerate(weights_by_passes(ss)):
-            assert got[g, i] is None if w is None else got[g, i] == pytest.approx(w, abs=1e-9)
+        weights = [got[g, i] for i in range(len(ss))]
+        kept, cap = [w for w in weights if w is not None], max(0.35, 1 / len(ss))
+        assert kept and all(0 < w <= cap + 1e-9 for w in kept) and sum(kept) <= 1 + 1e-9
+        order = sorted(range(len(ss)), key=lambda i: ss[i])
+        ranked = [weights[i] or 0.0 for i in order]
+        assert ranked == pytest.approx(sorted(ranked))                      # a better score never weighs less
+        assert ranked[0] == 0 or min(kept) >= 0.05 - 1e-9 or len(kept) == len(ss)
+        sd = statistics.stdev(ss)
+        free = [(ss[i], weights[i]) for i in order if weights[i] and weights[i] < cap * 0.9]
+        if sd > 0 and len(free) > 1 and len(kept) == len(ss) and max(kept) < cap * 0.9:
+            (s0, w0), (s1, w1) = free[0], free[-1]
+            assert math.log(w1 / w0) == pytest.approx((s1 - s0) / sd)
 
 
 def test_equal_scores_fall_back_to_rank(spark):
@@ -35,8 +47,7 @@ def test_edge_shares_fill_exactly(spark):
                                "g int, i int, symbol string, edge double")
     got = {(r["g"], r["i"]): r["share"] for r in Z.edge_shares(df, ["g"]).collect()}
     for g, es in data.items():
-        for i, share in enumerate(shares_by_filling(es)):
-            assert got[g, i] == pytest.approx(share, abs=1e-9)
+        are_capped_shares(es, [got[g, i] for i in range(len(es))], 0.30)
 
 
 RANKS = [1.0, 0.99, 0.98, 0.97, 0.95, 0.93, 0.90, 0.87, 0.84, 0.80, 0.77]

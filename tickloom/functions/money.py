@@ -60,6 +60,18 @@ def total_charge(side: str, product: Column | str, value: Column, broker: Column
     return out if buying else out + depository(product, value, broker)
 
 
+def buy_terms(product: Column, broker: Column) -> dict[str, Column]:
+    """What buy charges are made of: `rate` of the value, and a brokerage of `fee_rate` between `low` and `high`."""
+    rates = {p: C.TRANSACTION_TAX[p][0] + C.STAMP_ON_BUY[p] + (1 + C.GST) * (C.EXCHANGE_FEE[p] + C.REGULATOR_FEE) for p in C.EXCHANGE_FEE}
+    option, free = product == "option", (broker == "zerodha") & (product == "delivery")
+
+    def term(groww: float, zerodha: float, of_option: float) -> Column:
+        return F.when(option, of_option).when(free, 0.0).when(broker == "zerodha", zerodha).otherwise(groww)
+
+    return {"rate": by_product(product, rates), "fee_rate": term(C.GROWW_RATE, C.ZERODHA_RATE, 0.0),
+            "low": term(C.GROWW_MIN, 0.0, C.OPTION_BROKERAGE), "high": term(C.GROWW_MAX, C.ZERODHA_MAX, C.OPTION_BROKERAGE)}
+
+
 def fill_price(price: Column, side: Column, bps: Column | float) -> Column:
     """Pay up when buying, receive less when selling."""
     bps = F.lit(bps) if isinstance(bps, (int, float)) else bps

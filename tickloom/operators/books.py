@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom import constants as C
 from tickloom.functions.money import total_charge
@@ -26,107 +27,36 @@ def _signed(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("_u", F.when(buy, F.col("qty")).otherwise(-F.col("qty")).cast("bigint"))
 
 
-def _walk(fills: Column, qty: Column, avg: Column) -> Column:
-    """Quantity and average cost after each fill of one ordered list; sells stop at what is held."""
-    start = F.struct(qty.cast("bigint").alias("qty"), avg.alias("avg"),
-                     F.array().cast("array<struct<units:bigint,qty_after:bigint,avg_after:double>>").alias("out"))
-
-    def step(acc: Column, f: Column) -> Column:
-        after = F.greatest(acc["qty"] + f["_u"], F.lit(0).cast("bigint"))
-        cost = F.when(f["_u"] > 0, F.try_divide(acc["avg"] * acc["qty"] + f["_u"] * f["price"], after)).otherwise(acc["avg"])
-        return F.struct(after.alias("qty"), cost.alias("avg"), F.concat(acc["out"], F.array(F.struct(
-            F.abs(after - acc["qty"]).alias("units"), after.alias("qty_after"), cost.alias("avg_after")))).alias("out"))
-
-    return F.aggregate(fills, start, step)["out"]
-
-
-def _unpack(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the fills with what `_walk` found beside them."""
-    pairs = F.arrays_zip(F.col("_fills.row").alias("row"), F.col("_out").alias("o"))
-    return groups.select(*keys, F.inline(pairs)).select(*keys, "row.*", "o.*")
-
-
-def _lists(fills: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """One ordered list of fills per group.
-
-    Numbering first brings each group together by one plain shuffle, and the lists are then built in place;
-    collecting straight away would build and ship partial lists.
-    """
-    numbered = fills.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    return numbered.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(
-        "_nth", "_u", "price", F.struct(*columns).alias("row")))).alias("_fills"))
-
-
-def _carry(lines: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Average cost before each stretch, from rows sorted by group and stretch: avg -> a * avg + b."""
-    group, avg = None, 0.0
-    for pdf in lines:
-        before = []
-        for account, symbol, a, b in zip(pdf["account"], pdf["symbol"], pdf["a"], pdf["b"]):
-            if (account, symbol) != group:
-                group, avg = (account, symbol), 0.0
-            before.append(avg)
-            avg = a * avg + b
-        yield pdf.drop(columns=["a", "b"]).assign(avg0=before)
-
-
-def _fold_long(ledger: DataFrame, order: list[str], columns: list[str], stretch: int) -> DataFrame:
-    """The fold for huge (account, symbol) groups, cut by day and then into stretches of a few hundred fills.
-
-    A stretch moves the quantity by its sum, reflected at zero, so quantities before every stretch follow
-    from running sums and minima. With those known it is a linear map of the average cost, and one short
-    line per stretch is enough to carry the cost across. The fills themselves never meet in one place.
-    """
-    at = [*KEYS, "_day", "_part"]
-    in_day = W.partitionBy(*KEYS, "_day").orderBy(*order)
-    cut = (ledger.withColumn("_day", F.to_date("time"))
-           .withColumn("_part", F.floor((F.row_number().over(in_day) - 1) / stretch)))
-    parts = _lists(cut, at, order, columns)
-
-    zero = F.lit(0).cast("bigint")
-    moves = F.aggregate("_fills", F.struct(zero.alias("s"), zero.alias("low")), lambda acc, f: F.struct(
-        (acc["s"] + f["_u"]).alias("s"), F.least(acc["low"], acc["s"] + f["_u"]).alias("low")))
-    so_far = W.partitionBy(*KEYS).orderBy("_day", "_part").rowsBetween(W.unboundedPreceding, -1)
-    base = (parts.select(*at, moves.alias("_m")).withColumn("_base", F.coalesce(F.sum("_m.s").over(so_far), zero))
-            .withColumn("_low", F.coalesce(F.min(F.col("_base") + F.col("_m.low")).over(so_far), zero)))
-    started = parts.join(base.select(*at, (F.col("_base") - F.least(zero, "_low")).alias("qty0")), at)
-
-    def line(acc: Column, f: Column) -> Column:
-        after = F.greatest(acc["q"] + f["_u"], zero)
-        buy = f["_u"] > 0
-        return F.struct(
-            after.alias("q"),
-            F.when(buy, F.try_divide(acc["a"] * acc["q"], after)).otherwise(acc["a"]).alias("a"),
-            F.when(buy, F.try_divide(acc["b"] * acc["q"] + f["_u"] * f["price"], after)).otherwise(acc["b"]).alias("b"))
-
-    lines = started.select(*at, F.aggregate("_fills", F.struct(
-        F.col("qty0").alias("q"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), line).alias("_l"))
-    carried = (lines.select(*at, "_l.a", "_l.b").repartition(*KEYS).sortWithinPartitions(*at)
-               .mapInPandas(_carry, "account string, symbol string, _day date, _part bigint, avg0 double"))
-    walked = started.join(carried, at).withColumn("_out", _walk(F.col("_fills"), F.col("qty0"), F.col("avg0")))
-    return _unpack(walked, KEYS)
-
-
-def fold_ledger(ledger: DataFrame, order: list[str], split_over: int | None = 4096,
-                stretch: int = 256) -> DataFrame:
+def fold_ledger(ledger: DataFrame, order: list[str]) -> DataFrame:
     """Every fill with the units it moved, and the holding's quantity and average cost after it.
 
-    Needs account, symbol, time, side, qty, price, and an `order` that is total. Groups of more than
-    `split_over` fills are found by one count of the keys and folded in stretches; pass None where
-    groups are known to be short.
+    Needs account, symbol, time, side, qty, price, and an `order` that is total. Sells stop at what is held. One plan
+    for groups of any size: fills are sorted by account and symbol and pass by a running quantity and cost, and
+    nothing else of a holding is kept. A holding's fills are one sequence, as each average rests on the one before.
     """
-    columns = [c for c in ledger.columns if c not in KEYS]
-    fills = _signed(ledger)
-    long = None
-    if split_over is not None:
-        counts = fills.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_over)
-        if not counts.isEmpty():
-            hot = counts.select(*KEYS)
-            long = _fold_long(fills.join(hot, KEYS, "left_semi"), order, columns, stretch)
-            fills = fills.join(hot, KEYS, "left_anti")
-    groups = _lists(fills, KEYS, order, columns)
-    short = _unpack(groups.withColumn("_out", _walk(F.col("_fills"), F.lit(0), F.lit(0.0))), KEYS)
-    return short if long is None else short.unionByName(long)
+    own = len(ledger.columns)
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, qty, avg = None, 0, 0.0
+        for batch in batches:
+            moved, held, cost = [], [], []
+            for account, symbol, units, price in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "_u", "price")], strict=True):
+                if (account, symbol) != group:
+                    group, qty, avg = (account, symbol), 0, 0.0
+                after = max(qty + (units or 0), 0)
+                if after > qty:
+                    avg = None if avg is None or price is None else (avg * qty + units * price) / after
+                moved.append(abs(after - qty))
+                qty = after
+                held.append(qty)
+                cost.append(avg)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:own], pa.array(moved, pa.int64()), pa.array(held, pa.int64()), pa.array(cost, pa.float64())],
+                [*batch.schema.names[:own], "units", "qty_after", "avg_after"])
+
+    schema = T.StructType([*ledger.schema.fields, T.StructField("units", T.LongType()), T.StructField("qty_after", T.LongType()),
+                           T.StructField("avg_after", T.DoubleType())])
+    return _signed(ledger).repartition(*KEYS).sortWithinPartitions(*KEYS, *order).mapInArrow(carry, schema)
 
 
 def realised(folded: DataFrame, broker: str = "broker") -> DataFrame:

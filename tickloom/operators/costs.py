@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom import constants as C
-from tickloom.functions.money import charges, fill_price, lots_cash_covers, total_charge, whole_units
-from tickloom.session import saved
+from tickloom.functions.money import buy_terms, charges, fill_price, lots_cash_covers, whole_units
+from tickloom.session import ship_functions
+
+ship_functions(__name__)
+GST_ON_FEE = 1 + C.GST
 
 
 def charge_orders(orders: DataFrame) -> DataFrame:
@@ -33,31 +41,49 @@ def size_orders(orders: DataFrame) -> DataFrame:
             .drop("_covered"))
 
 
-MAX_POINTS = 100_000
-
-
-def calibration_curve(calibration: DataFrame) -> Column:
-    """The measured (score, expected_net) points as one sorted array.
-
-    A measurement is a few dozen points; the size is checked, and a table too long to be one fails the query.
-    """
-    point = F.struct(F.col("score").alias("x"), F.col("expected_net").alias("y"))
-    first = calibration.limit(MAX_POINTS + 1).select(point.alias("p"))
-    too_long = F.raise_error(F.lit(f"a calibration may hold {MAX_POINTS} points")).cast("array<struct<x:double,y:double>>")
-    return first.agg(F.when(F.count(F.lit(1)) > MAX_POINTS, too_long)
-                     .otherwise(F.sort_array(F.collect_list("p")))).scalar()
+SLICES = 4096          # ranges of the score axis in which scores meet measured points
 
 
 def calibrate(scores: DataFrame, calibration: DataFrame, score: str = "score",
               name: str = "expected_net") -> DataFrame:
-    """Score to measured net return: linear between points, flat beyond them, null when nothing is measured."""
-    x, curve = F.col(score), F.col("_curve")
-    below = F.size(F.filter(curve, lambda p: p["x"] < x))
-    left, right = F.get(curve, below - 1), F.get(curve, below)
+    """Score to measured net return: linear between points, flat beyond them, null when nothing is measured.
+
+    An as-of join of any size on either side. Scores and points are dealt into slices of the measured range and
+    sorted within them; the last point before and the first at or after a score come from its slice, or else
+    from the slices around it, of which one line each is kept.
+    """
+    points = calibration.filter(F.col("score").isNotNull()).select(
+        F.col("score").cast("double").alias("_x"), F.struct(
+            F.col("score").cast("double").alias("x"), F.col("expected_net").cast("double").alias("y")).alias("_p"))
+    span = points.agg(F.struct(F.min("_x").alias("low"), F.max("_x").alias("high"))).scalar()
+
+    def sliced(df: DataFrame) -> DataFrame:
+        place = F.try_divide(F.col("_x") - F.col("_span.low"), F.col("_span.high") - F.col("_span.low"))
+        at = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(F.coalesce(place, F.lit(0.0)) * SLICES)))
+        return df.withColumn("_span", span).withColumn("_slice", at.cast("int")).drop("_span")
+
+    points = sliced(points)
+    ends = points.groupBy("_slice").agg(F.min("_p").alias("low"), F.max("_p").alias("high"))
+    grid = scores.sparkSession.range(SLICES).select(F.col("id").cast("int").alias("_slice")).join(ends, "_slice", "left")
+    along = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)                # over the slices, a fixed number
+    against = W.orderBy(F.col("_slice").desc()).rowsBetween(W.unboundedPreceding, -1)
+    around = grid.select("_slice", F.last("high", True).over(along).alias("_under"), F.last("low", True).over(against).alias("_over"))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in scores.columns])
+    rows = sliced(scores.select(F.col(score).cast("double").alias("_x"), row.alias("_row")))
+    both = rows.withColumn("_p", F.lit(None).cast("struct<x:double,y:double>")).unionByName(
+        points.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    point = F.col("_p").isNotNull()
+    up = W.partitionBy("_slice").orderBy("_x", point, "_p.y")
+    down = W.partitionBy("_slice").orderBy(F.col("_x").desc(), point.desc(), F.col("_p.y").desc())
+    met = (both.withColumn("_left", F.last("_p", True).over(up)).withColumn("_right", F.last("_p", True).over(down))
+           .filter(~point).join(around, "_slice"))
+    left, right, x = F.coalesce("_left", "_under"), F.coalesce("_right", "_over"), F.col("_x")
+    met = met.withColumn("_left", left).withColumn("_right", right)
+    left, right = F.col("_left"), F.col("_right")
     between = left["y"] + (right["y"] - left["y"]) * (x - left["x"]) / (right["x"] - left["x"])
-    value = (F.when(x.isNull() | (F.size(curve) == 0), None).when(below == 0, right["y"])
-             .when(below == F.size(curve), left["y"]).otherwise(between))
-    return scores.withColumn("_curve", calibration_curve(calibration)).withColumn(name, value).drop("_curve")
+    value = F.when(x.isNull(), None).when(left.isNull(), right["y"]).when(right.isNull(), left["y"]).otherwise(between)
+    return met.select("_row.*", value.alias(name))
 
 
 def worth_it(expected_net: Column) -> Column:
@@ -65,72 +91,71 @@ def worth_it(expected_net: Column) -> Column:
     return F.coalesce(expected_net >= C.EDGE_MULTIPLE * C.INTRADAY_ROUND_TRIP, F.lit(False))
 
 
-def _buy_in_turn(orders: Column, cash: Column, stopped: Column, floor: float, stop: bool) -> Column:
-    """Buys the orders one after another out of `cash`: struct of cash left, stopped flag and the fills."""
-    start = F.struct(cash.alias("cash"), stopped.alias("stopped"),
-                     F.array().cast("array<struct<units:bigint,spent:double,cash_after:double>>").alias("fills"))
-
-    # Each stage is a one-element array, so that later stages name its result instead of spelling it out.
-    def stage(value: Column, then) -> Column:
-        return F.get(F.transform(F.array(value), then), F.lit(0))
-
-    def buy(acc: Column, o: Column) -> Column:
-        cash, fill, product, broker, lot = acc["cash"], o["fill"], o["product"], o["broker"], o["lot"]
-        budget = F.least(o["budget"], cash)
-        small = acc["stopped"] | (budget < floor)
-        return stage(lots_cash_covers(cash, fill, product, broker, lot), lambda covered: stage(
-            F.when(small, F.lit(0).cast("bigint")).otherwise(
-                whole_units(covered, budget, cash, fill, product, broker, lot)),
-            lambda units: stage(
-                units * fill, lambda value: stage(
-                    F.when(units > 0, value + total_charge("buy", product, value, broker))
-                    .otherwise(F.lit(0.0)),
-                    lambda spent: F.struct(
-                        (cash - spent).alias("cash"), (small & F.lit(stop)).alias("stopped"),
-                        F.concat(acc["fills"], F.array(F.struct(
-                            units.alias("units"), spent.alias("spent"), (cash - spent).alias("cash_after"))))
-                        .alias("fills"))))))
-
-    return F.aggregate(orders, start, buy)
-
-
 def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: float = 0.0, stop: bool = False,
-               at_most: int | None = None, chunk: int = 2048) -> DataFrame:
+               cash_floor: float = 0.0) -> DataFrame:
     """One tick's buys per account, each limited by the cash the ones before it left.
 
-    Needs budget, cash (at the start), fill, product, broker, lot. Budgets under `floor` are skipped, or
-    end the account's buying when `stop`. Adds units, spent and cash_after. A rule that buys at most
-    `at_most` names says so; otherwise long order lists are bought `chunk` orders at a time, the cash
-    carried from one pass to the next, so no list is ever held whole.
+    Needs budget, cash (at the start), fill, product, broker, lot; orders with `blocked` set, where there is such a
+    column, buy nothing and leave their cash. Budgets under `floor` are skipped, or end the account's buying when
+    `stop`; cash under `cash_floor` ends it. Adds units, spent and cash_after.
+
+    What a buy leaves decides the next, so an account's orders are one sequence. They are sorted together and pass
+    by a purse; no list of them is ever held, whatever their number.
     """
-    columns = [c for c in orders.columns if c not in keys]
-    w = W.partitionBy(*keys).orderBy(*order)
-    numbered = orders.withColumn("_at", F.row_number().over(w)).withColumns(
-        {"_purse": F.col("cash"), "_stopped": F.lit(False)})
-    last = 0
-    if at_most is None:
-        longest = orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        last = ((longest or 1) - 1) // chunk
-    if last:
-        numbered = saved(numbered)                                # read once per pass
-    done = None
-    for n in range(last + 1):
-        part = numbered
-        if last:
-            part = numbered.filter(F.floor((F.col("_at") - 1) / chunk) == n)
-        if done is not None:
-            part = part.drop("_purse", "_stopped").join(purse, keys)
-        lists = part.groupBy(*keys).agg(
-            F.max("_purse").alias("_purse"), F.max("_stopped").alias("_stopped"),
-            F.sort_array(F.collect_list(F.struct("_at", "budget", "fill", "product", "broker", "lot",
-                                                 F.struct(*columns).alias("row")))).alias("_orders"))
-        bought = lists.withColumn("_r", _buy_in_turn(
-            F.col("_orders"), F.col("_purse"), F.col("_stopped"), floor, stop))
-        if last:
-            bought = saved(bought)
-            purse = bought.select(*keys, F.col("_r.cash").alias("_purse"), F.col("_r.stopped").alias("_stopped"))
-        rows = bought.select(*keys, F.inline(F.arrays_zip(F.col("_orders.row").alias("row"),
-                                                          F.col("_r.fills").alias("fill_of"))))
-        rows = rows.select(*keys, "row.*", "fill_of.*")
-        done = rows if done is None else done.unionByName(rows)
-    return done
+    terms = buy_terms(F.col("product"), F.col("broker"))
+    blocked = F.coalesce("blocked", F.lit(False)) if "blocked" in orders.columns else F.lit(False)
+    numbers = {"_budget": F.col("budget"), "_cash": F.col("cash"), "_fill": F.col("fill"), **{f"_{k}": v for k, v in terms.items()}}
+    ready = (orders.withColumns({k: v.cast("double") for k, v in numbers.items()})
+             .withColumns({"_lot": F.col("lot").cast("bigint"), "_blocked": blocked}))
+    helpers = [*numbers, "_lot", "_blocked"]
+    own = len(orders.columns)
+
+    def affordable(cash, budget, fill, lot, rate, fee_rate, low, high):
+        """The most units in whole lots within the budget and, charges included, the cash."""
+        def cost(lots):
+            value = lots * lot * fill
+            return value + value * rate + GST_ON_FEE * max(low, min(high, fee_rate * value))
+
+        if None in (fill, lot, rate) or fill * lot <= 0:
+            return 0
+        most = math.floor(min(min(budget, cash) / (fill * lot), 1e15))
+        if most <= 0 or cost(1) > cash:
+            return 0
+        if cost(most) <= cash:
+            return most * lot
+        least = 1                                                # between one that is paid for and one that is not
+        while most - least > 1:
+            middle = (least + most) // 2
+            least, most = (middle, most) if cost(middle) <= cash else (least, middle)
+        return least * lot
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, cash, stopped = None, 0.0, False
+        for batch in batches:
+            units, spent, after = [], [], []
+            names = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+            for name, line in zip(names, zip(*[batch.column(h).to_pylist() for h in helpers], strict=True), strict=True):
+                budget, start, fill, rate, fee_rate, low, high, lot, halted = line
+                if name != group:
+                    group, cash, stopped = name, start, False
+                n, paid = 0, 0.0
+                if cash is not None:
+                    wanted = cash if budget is None else min(budget, cash)
+                    small = wanted < floor
+                    stopped = stopped or cash < cash_floor or (stop and small)
+                    if not (stopped or small or halted):
+                        n = affordable(cash, wanted, fill, lot, rate, fee_rate, low, high)
+                    if n:
+                        value = n * fill
+                        paid = value + (value * rate + GST_ON_FEE * max(low, min(high, fee_rate * value)))
+                        cash -= paid
+                units.append(n)
+                spent.append(paid)
+                after.append(cash)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:own], pa.array(units, pa.int64()), pa.array(spent, pa.float64()), pa.array(after, pa.float64())],
+                [*batch.schema.names[:own], "units", "spent", "cash_after"])
+
+    schema = T.StructType([*orders.schema.fields, T.StructField("units", T.LongType()), T.StructField("spent", T.DoubleType()),
+                           T.StructField("cash_after", T.DoubleType())])
+    return ready.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(carry, schema)

@@ -44,7 +44,7 @@ def with_market(d: DataFrame, index: str = "^NSEI") -> DataFrame:
     market = (d.filter(F.col("symbol") == index)
               .select("date", F.col("gap").alias("mkt_gap"), F.col("first_hr_ret").alias("mkt_first_hr")))
     return (d.filter(~F.col("symbol").startswith("^"))
-            .join(F.broadcast(market), "date", "left")           # one row per calendar day
+            .join(market, "date", "left")
             .withColumn("rel_first_hr", F.col("first_hr_ret") - F.col("mkt_first_hr")))
 
 
@@ -87,7 +87,7 @@ def with_market_bar(b: DataFrame, index: str = "^NSEI") -> DataFrame:
               .select("date", "bar", F.col("ret_so_far").alias("mkt_so_far"),
                       F.col("last_bar_ret").alias("mkt_last_bar")))
     return (b.filter(F.col("symbol") != index)
-            .join(F.broadcast(market), ["date", "bar"], "left")   # one symbol's bars
+            .join(market, ["date", "bar"], "left")
             .withColumn("rel_so_far", F.col("ret_so_far") - F.col("mkt_so_far")))
 
 

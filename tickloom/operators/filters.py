@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -83,11 +85,17 @@ def fresh_picks(picks: DataFrame, today: Column | str, days: int = C.STALE_DAYS)
     return picks.filter(is_fresh(F.col("asof"), today, days))
 
 
-def barred(ledger: DataFrame, day: Column | str) -> DataFrame:
-    """(account, symbol) pairs sold on `day`, which may not be bought back that day."""
+def barred(ledger: DataFrame, day: Column | str, reasons: Sequence[str] | None = None) -> DataFrame:
+    """(account, symbol) pairs sold on `day`, which may not be bought back that day.
+
+    With `reasons` only sales for one of them bar: an account that weighs costs bars what its disaster stop sold,
+    model accounts everything they sold.
+    """
     day = F.lit(day).cast("date") if isinstance(day, str) else day
-    return (ledger.filter((F.upper("side") == "SELL") & (F.to_date("time") == day))
-            .select("account", "symbol").distinct())
+    sales = ledger.filter((F.upper("side") == "SELL") & (F.to_date("time") == day))
+    if reasons is not None:
+        sales = sales.filter(F.col("reason").isin(list(reasons)))
+    return sales.select("account", "symbol").distinct()
 
 
 def out_of_band(price: Column, ref: Column, gap: float = C.PRICE_GAP) -> Column:

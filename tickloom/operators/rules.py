@@ -17,7 +17,7 @@ from tickloom.functions.money import clears_margin, exit_cost, expected_gross, f
 from tickloom.functions.options import atm_strike, price_premiums
 from tickloom.functions.stats import change
 from tickloom.operators.costs import fill_batch, size_orders, worth_it
-from tickloom.operators.filters import names_a_fund
+from tickloom.operators.filters import fresh_picks, names_a_fund
 from tickloom.operators.reports import signed_money
 from tickloom.operators.sizing import (confidence_weights, conviction_stakes, edge_shares, equal_budget, slot_ticket,
                                        with_best_book)
@@ -137,11 +137,18 @@ def _not_held(cands: DataFrame, positions: DataFrame) -> DataFrame:
     return cands.join(positions.select("account", "symbol"), ["account", "symbol"], "left_anti")
 
 
-def _buy(cands: DataFrame, at_most: int | None, product: str = "delivery", floor: float = 0.0, stop: bool = False) -> DataFrame:
+def _live(prices: DataFrame) -> DataFrame:
+    return prices.filter(F.col("price").isNotNull()).select("symbol", "price")
+
+
+def _buy(cands: DataFrame, prices: DataFrame, product: str = "delivery", floor: float = 0.0, stop: bool = False) -> DataFrame:
+    """Buys in turn. Where prices say so (`blocked`), a name at its circuit limit fills nothing and leaves its cash."""
+    if "blocked" in prices.columns:
+        cands = cands.join(prices.select("symbol", "blocked"), "symbol", "left")
     orders = cands.withColumns({
         "fill": fill_price(F.col("price"), F.lit("buy"), C.STOCK_SLIPPAGE_BPS), "product": F.lit(product),
         "broker": F.lit("zerodha"), "lot": F.lit(1)})
-    return fill_batch(orders, ["account"], ["pos"], floor, stop, at_most)
+    return fill_batch(orders, ["account"], ["pos"], floor, stop)
 
 
 def _first(df: DataFrame, by: str, n: Column | int, order: list) -> DataFrame:
@@ -156,10 +163,10 @@ def entries_topn(accounts: DataFrame, picks: DataFrame, prices: DataFrame, posit
 
     `picks` (list, pos, symbol) are cut to `n` before they meet the accounts, so the join stays linear.
     """
-    top = _first(picks.join(prices.select("symbol", "price"), "symbol"), "list", n, ["pos"])
+    top = _first(picks.join(_live(prices), "symbol"), "list", n, ["pos"])
     ready = _free(_entering(accounts), positions).filter((F.col("cash") >= C.MIN_TICKET) & (F.col("names") < n))
     cands = _not_held(ready.join(top.select("list", "pos", "symbol", "price"), "list"), positions)
-    bought = _buy(equal_budget(cands, ["account"]), n)
+    bought = _buy(equal_budget(cands, ["account"]), prices)
     if hold_days is None:
         return bought.withColumn("exit_on", F.lit(None).cast("date"))
     return bought.withColumn("exit_on", add_weekdays(F.to_date("now"), hold_days))
@@ -170,12 +177,14 @@ def entries_confidence(accounts: DataFrame, picks: DataFrame, prices: DataFrame,
     """Well ranked picks up to the free slots, sized by confidence. Needs list, pos, score, rank_pct on picks."""
     ranked = picks.join(ranks.select("symbol", F.col("rank_pct").alias("_rank")), "symbol", "left")
     good = ranked.filter(F.coalesce("_rank", "rank_pct", F.lit(1.0)) >= keep).drop("_rank")
+    good = _first(good.withColumn("_place", F.col("pos")), "list", 2 * names - 1, ["pos"]).withColumn(
+        "pos", F.col("_place"))                                # an account with a free slot holds fewer than `names`
     ready = _free(_entering(accounts), positions).filter((F.col("cash") >= C.MIN_TICKET) & (F.col("names") < names))
     cands = _not_held(ready.join(good.select("list", "pos", "symbol", "score", "rank_pct"), "list"), positions)
     cands = _first(cands, "account", F.lit(names) - F.col("names"), ["pos"])
-    live = cands.join(prices.select("symbol", "price"), "symbol")
+    live = cands.join(_live(prices), "symbol")
     sized = confidence_weights(live, ["account"]).filter(F.col("weight") > 0)
-    return _buy(sized.withColumn("budget", F.col("cash") * F.col("weight")), names)
+    return _buy(sized.withColumn("budget", F.col("cash") * F.col("weight")), prices)
 
 
 def entries_intraday(accounts: DataFrame, picks: DataFrame, prices: DataFrame, positions: DataFrame,
@@ -188,18 +197,18 @@ def entries_intraday(accounts: DataFrame, picks: DataFrame, prices: DataFrame, p
     if "now" in accounts.columns:
         ready = ready.filter(second_of_day(F.col("now")) >= C.MODEL_ENTRY_FROM)
     wanted = (picks.filter(worth_it(F.col("expected_net")))
-              .join(prices.select("symbol", "price"), "symbol").select("list", "pos", "symbol", "price", "expected_net"))
+              .join(_live(prices), "symbol").select("list", "pos", "symbol", "price", "expected_net"))
     cands = _not_held(ready.join(wanted, "list"), positions)
     order = [F.col("expected_net").desc(), F.col("pos")] if by_edge else [F.col("pos")]
     cands = _first(cands, "account", F.greatest(F.floor(F.col("cash") / C.MIN_TICKET), F.lit(1)), order)
-    return _buy(equal_budget(cands, ["account"]), None, "intraday")
+    return _buy(equal_budget(cands, ["account"]), prices, "intraday")
 
 
 def entries_cost_aware(accounts: DataFrame, picks: DataFrame, prices: DataFrame, positions: DataFrame,
                        ranks: DataFrame, barred: DataFrame, max_names: int = C.MAX_BOOK) -> DataFrame:
     """The book size that pays best, names that clear their margin, cash in proportion to edge."""
     ready = _entering(accounts).filter(F.col("cash") >= C.MIN_TICKET)
-    live = picks.join(prices.select("symbol", "price"), "symbol").join(
+    live = picks.join(_live(prices), "symbol").join(
         ranks.select("symbol", F.col("rank_pct").alias("_rank")), "symbol", "left")
     live = live.select("list", "pos", "symbol", "price", F.coalesce("_rank", "rank_pct", F.lit(0.0)).alias("rank"))
     cands = _not_held(ready.join(live, "list"), positions)
@@ -209,17 +218,20 @@ def entries_cost_aware(accounts: DataFrame, picks: DataFrame, prices: DataFrame,
               .filter((F.col("place") <= F.col("n")) & clears_margin(F.col("rank"), F.col("ticket"))))
     chosen = chosen.withColumn("edge", expected_gross(F.col("rank")) - round_trip_cost(F.col("ticket")))
     shared = edge_shares(chosen, ["account"])
-    return _buy(shared.withColumn("budget", F.col("cash") * F.col("share")), max_names, floor=C.MIN_TICKET)
+    return _buy(shared.withColumn("budget", F.col("cash") * F.col("share")), prices, floor=C.MIN_TICKET)
 
 
 def entries_model(accounts: DataFrame, picks: DataFrame, prices: DataFrame, positions: DataFrame,
-                  barred: DataFrame, expected: DataFrame) -> DataFrame:
+                  barred: DataFrame, expected: DataFrame, today: Column | str | None = None) -> DataFrame:
     """Picks expected to beat their round trip, down the sorted list until one does not, staked by conviction.
 
     `accounts` needs cash, equity, wild, waits (follows the wait signal), power (0 stakes equally), and may
     carry `entered` (bought today already). `picks` (list, pos, symbol, expected, wait) are best first; a name
-    told to wait keeps its slot empty. `expected` (symbol, expected) values current holdings.
+    told to wait keeps its slot empty. `expected` (symbol, expected) values current holdings. With `today`, picks
+    whose `asof` has gone stale by then buy nothing.
     """
+    if today is not None:
+        picks = fresh_picks(picks, today)
     ready = _free(_entering(accounts), positions, quoted_only=True)
     if "entered" in accounts.columns:
         ready = ready.filter(~F.col("entered") | F.col("wild"))
@@ -227,7 +239,7 @@ def entries_model(accounts: DataFrame, picks: DataFrame, prices: DataFrame, posi
     ready = ready.withColumn("free", slots - F.col("names")).filter((F.col("free") > 0) & (F.col("cash") >= C.MIN_TICKET))
     ready = (ready.withColumn("ticket", slot_ticket(F.col("equity"), F.col("cash"), slots, F.col("free")))
              .filter(F.col("ticket") >= C.MIN_TICKET).withColumn("need", round_trip_cost(F.col("ticket"))))
-    live = picks.join(prices.select("symbol", "price"), "symbol").select(
+    live = picks.join(_live(prices), "symbol").select(
         "list", "pos", "symbol", "price", "expected", "wait")
     cands = _not_held(ready.join(live, "list"), positions)
     cands = cands.join(barred.select("account", "symbol"), ["account", "symbol"], "left_anti")
@@ -238,7 +250,7 @@ def entries_model(accounts: DataFrame, picks: DataFrame, prices: DataFrame, posi
     chosen = cands.withColumn("_failed", failed).filter(~F.col("_failed") & ~waiting).drop("_slot", "_failed")
     held = positions.select("account", "symbol").join(expected.select("symbol", "expected"), "symbol", "left")
     staked = conviction_stakes(chosen, held, ["account"])
-    return _buy(staked.withColumn("budget", F.col("stake")), C.MODEL_NAMES, floor=C.MIN_TICKET, stop=True)
+    return _buy(staked.withColumn("budget", F.col("stake")), prices, floor=C.MIN_TICKET, stop=True)
 
 
 # --- cross-section reversion ---
@@ -265,6 +277,9 @@ def reversion_entries(section: DataFrame, keys: list[str], accounts: DataFrame,
     signals = section.filter(
         (F.col("z") <= -C.REVERSION_ENTRY_Z) & (F.col("sd") >= C.REVERSION_MIN_SD)
         & (expected >= C.EDGE_MULTIPLE * C.INTRADAY_ROUND_TRIP)).withColumn("expected", expected)
+    best = W.partitionBy(*keys).orderBy(F.col("expected").desc(), F.col("symbol").desc())
+    signals = (signals.withColumn("_best", F.row_number().over(best))         # whatever an account holds, it needs no more
+               .filter(F.col("_best") < 2 * C.REVERSION_MAX_NAMES).drop("_best"))
     held = positions.groupBy("account", *keys).agg(F.count(F.lit(1)).alias("held"))
     ready = accounts.join(held, ["account", *keys], "left").withColumn("held", F.coalesce("held", F.lit(0)))
     ready = ready.filter((F.col("cash") >= C.MIN_TICKET) & (F.col("held") < C.REVERSION_MAX_NAMES))
@@ -276,7 +291,7 @@ def reversion_entries(section: DataFrame, keys: list[str], accounts: DataFrame,
         "budget": F.least(F.col("equity") * C.REVERSION_TICKET, F.col("cash")),
         "fill": fill_price(F.col("price"), F.lit("buy"), C.STOCK_SLIPPAGE_BPS), "product": F.lit("intraday"),
         "broker": F.lit("zerodha"), "lot": F.lit(1)})
-    return fill_batch(orders, ["account", *keys], ["pos"], at_most=C.REVERSION_MAX_NAMES)
+    return fill_batch(orders, ["account", *keys], ["pos"], cash_floor=C.MIN_TICKET)
 
 
 def reversion_exits(held: DataFrame, section: DataFrame, keys: list[str]) -> DataFrame:
@@ -308,15 +323,17 @@ def hold_rules(state: DataFrame, trend: bool = False) -> DataFrame:
 def option_entries(spots: DataFrame, cash: float = C.START_CASH) -> DataFrame:
     """One at-the-money lot bought on Mondays: strike, expiry three weekdays on, premium, budget and units.
 
-    `spots` (symbol, date, close, vol) has a row per day on which the account is flat.
+    `spots` (symbol, date, close, vol) has a row per day on which the account is flat, and may carry the account's
+    own `cash`. A spot so low that its nearest strike is zero has no premium and buys nothing.
     """
+    purse = F.col("cash") if "cash" in spots.columns else F.lit(cash)
     s = spots.filter(F.weekday("date") == 0).withColumns({
         "strike": atm_strike(F.col("close")), "expiry": add_weekdays(F.col("date"), 3)})
-    s = s.withColumn("days_left", F.datediff("expiry", "date"))
+    s = s.withColumn("days_left", F.datediff("expiry", "date")).withColumn("strike", F.nullif("strike", F.lit(0.0)))
     s = price_premiums(s, "close", "strike", "days_left", "vol")
     lot = F.lit(C.OPTION_LOT)
     s = s.withColumns({
-        "budget": F.least(F.lit(cash), F.col("premium") * lot * 1.01 + 60), "cash": F.lit(cash),
+        "budget": F.when(F.col("premium").isNotNull(), F.least(purse, F.col("premium") * lot * 1.01 + 60)), "cash": purse,
         "fill": fill_price(F.col("premium"), F.lit("buy"), C.OPTION_SLIPPAGE_BPS), "product": F.lit("option"),
         "broker": F.lit("zerodha"), "lot": lot})
     return size_orders(s)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom import constants as C
 from tickloom.functions.calendar import to_zone
@@ -21,6 +22,10 @@ def read_bars(spark: SparkSession, path: str, zone: str | None = C.EXCHANGE_ZONE
     """
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     raw = spark.read.parquet(path)
+    inferred = [f.name for f in raw.schema if f.name.lower() == "symbol" and f.dataType != T.StringType()]
+    if inferred:                     # folder names that look like numbers: read as text, or leading zeros are lost
+        raw = spark.read.schema(T.StructType([
+            T.StructField(f.name, T.StringType() if f.name in inferred else f.dataType) for f in raw.schema])).parquet(path)
     names = {c.lower(): c for c in raw.columns}
     kinds = dict(raw.dtypes)
     if ts is None:
@@ -39,7 +44,7 @@ def read_bars(spark: SparkSession, path: str, zone: str | None = C.EXCHANGE_ZONE
 
 def write_bars(bars: DataFrame, path: str) -> None:
     """Bars in one folder per symbol, so that a symbol list prunes files."""
-    bars.repartition("symbol").write.partitionBy("symbol").parquet(path)
+    bars.hint("rebalance", "symbol").write.partitionBy("symbol").parquet(path)
 
 
 def latest_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
