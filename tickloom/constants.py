@@ -24,6 +24,7 @@ GROWW_DEPOSITORY_FROM = 100.0
 STOCK_SLIPPAGE_BPS = 15.0
 ETF_SLIPPAGE_BPS = 5.0
 OPTION_SLIPPAGE_BPS = 50.0
+PRICE_STEP = 0.05
 START_CASH = 200_000.0
 MIN_TICKET = 5_000.0
 TAKE_PROFIT = 0.02

@@ -106,7 +106,8 @@ def clears_margin(rank: Column, value: Column) -> Column:
 
 def whole(money: Column, each: Column) -> Column:
     """How many whole times `each` goes into `money`; nothing is free, so a zero price buys none."""
-    return F.coalesce(F.floor(F.least(F.try_divide(money, each), F.lit(1e15))), F.lit(0))
+    times = F.try_divide(money, each)
+    return F.coalesce(F.when(times.isNotNull(), F.floor(F.least(times, F.lit(1e15)))), F.lit(0))
 
 
 def lots_cash_covers(cash: Column, fill: Column, product: Column, broker: Column, lot: Column) -> Column:

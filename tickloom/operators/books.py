@@ -107,7 +107,7 @@ def account_equity(accounts: DataFrame, positions: DataFrame, prices: DataFrame)
 def close_coverage(positions: DataFrame, closes: DataFrame, at_least: float = 0.9) -> DataFrame:
     """One row: distinct quoted holdings, how many have a close, and whether that is enough."""
     held = held_symbols(positions).join(
-        closes.select("symbol", F.lit(1).alias("_has")).distinct(), "symbol", "left")
+        closes.filter(F.col("price").isNotNull()).select("symbol", F.lit(1).alias("_has")).distinct(), "symbol", "left")
     return held.agg(F.count(F.lit(1)).alias("held"), F.count("_has").alias("closed")).withColumn(
         "enough", (F.col("held") > 0) & (F.col("closed") >= at_least * F.col("held")))
 

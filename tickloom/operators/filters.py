@@ -115,7 +115,7 @@ def without_gaps(prices: DataFrame, positions: DataFrame, gap: float = C.PRICE_G
 
 def open_candidates(picks: DataFrame, prices: DataFrame, positions: DataFrame) -> DataFrame:
     """An account's picks that have a live price and that it does not hold."""
-    return (picks.join(prices.select("symbol"), "symbol", "left_semi")
+    return (picks.join(prices.filter(F.col("price").isNotNull()).select("symbol"), "symbol", "left_semi")
             .join(positions.select("account", "symbol"), ["account", "symbol"], "left_anti"))
 
 

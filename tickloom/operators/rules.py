@@ -324,7 +324,8 @@ def option_entries(spots: DataFrame, cash: float = C.START_CASH) -> DataFrame:
     """One at-the-money lot bought on Mondays: strike, expiry three weekdays on, premium, budget and units.
 
     `spots` (symbol, date, close, vol) has a row per day on which the account is flat, and may carry the account's
-    own `cash`. A spot so low that its nearest strike is zero has no premium and buys nothing.
+    own `cash`. A spot so low that its nearest strike is zero has no premium and buys nothing, nor does a premium under
+    the smallest price step.
     """
     purse = F.col("cash") if "cash" in spots.columns else F.lit(cash)
     s = spots.filter(F.weekday("date") == 0).withColumns({
@@ -333,7 +334,8 @@ def option_entries(spots: DataFrame, cash: float = C.START_CASH) -> DataFrame:
     s = price_premiums(s, "close", "strike", "days_left", "vol")
     lot = F.lit(C.OPTION_LOT)
     s = s.withColumns({
-        "budget": F.when(F.col("premium").isNotNull(), F.least(purse, F.col("premium") * lot * 1.01 + 60)), "cash": purse,
+        "budget": F.when(F.col("premium") >= C.PRICE_STEP, F.least(purse, F.col("premium") * lot * 1.01 + 60)).otherwise(0.0),
+        "cash": purse,
         "fill": fill_price(F.col("premium"), F.lit("buy"), C.OPTION_SLIPPAGE_BPS), "product": F.lit("option"),
         "broker": F.lit("zerodha"), "lot": lot})
     return size_orders(s)
@@ -352,7 +354,7 @@ def option_exits(held: DataFrame) -> DataFrame:
 
 def live_exit_features(inputs: DataFrame, prices: DataFrame) -> DataFrame:
     """Last night's exit features with gain, peak gain and fall from the peak restated at the live price."""
-    f = inputs.filter(F.col("base") != 0).join(prices.select("symbol", "price"), "symbol")
+    f = inputs.filter(F.col("base") != 0).join(_live(prices), "symbol")
     f = f.withColumn("gain", change(F.col("price"), F.col("base")))
     f = f.withColumn("peak_gain", F.greatest(change(F.col("peak_px"), F.col("base")), F.col("gain"), F.lit(0.0)))
     return f.withColumn("from_peak", change(1 + F.col("gain"), 1 + F.col("peak_gain")))

@@ -14,7 +14,7 @@ from tickloom.plans import views as V
 from tickloom.plans.pricing import sql_cdf, sql_charges
 from tickloom.plans.registry import query, r, report, rs
 from tickloom.plans.views import FILL_ORDER, VIEWS, with_more, with_views
-from tickloom.session import saved, scratch_path
+from tickloom.session import scratch_path
 from tickloom.sources import accounts as A
 from tickloom.sources import bars as SB
 from tickloom.sources import picks as P
@@ -147,11 +147,18 @@ def f11(spark, sf):
     return L.barred(V.ledger(spark, sf), "1997-03-10")
 
 
+@query("f11_barred_by_reason", with_views("ledger", """
+ SELECT DISTINCT account, symbol FROM ledger WHERE side = 'SELL' AND CAST(time AS DATE) = DATE '1997-03-10'
+   AND reason IN ('1-URGENT', '5-LOW')"""))
+def f11_by_reason(spark, sf):
+    return L.barred(V.ledger(spark, sf), "1997-03-10", ["1-URGENT", "5-LOW"])
+
+
 # --- joins and sets ---
 
-@query("j06_open_candidates", with_views("accounts pick_lists prices book", """
+@query("j06_open_candidates", with_views("accounts pick_lists live_prices book", """
  SELECT a.account, p.symbol, p.pos FROM accounts a JOIN pick_lists p ON a.list = p.list
- WHERE p.symbol IN (SELECT symbol FROM prices)
+ WHERE p.symbol IN (SELECT symbol FROM live_prices)
    AND NOT EXISTS (SELECT 1 FROM book b WHERE b.account = a.account AND b.symbol = p.symbol)"""))
 def j06(spark, sf):
     picks = L.picks_by_account(V.accounts(spark, sf).select("account", "list"), V.pick_lists(spark, sf))
@@ -277,7 +284,7 @@ def supply_prices(spark, sf):
  SELECT account, {r('cash', places=2)}, {r('coalesce(held, 0)', 'held', 2)}, {r('cash + coalesce(held, 0)', 'equity', 2)}
  FROM purses LEFT JOIN worth USING (account)"""))
 def a16(spark, sf):
-    done = saved(fills_done(spark, sf))
+    done = fills_done(spark, sf)
     held = B.positions_from_ledger(done, list(FILL_ORDER))
     return report(B.account_equity(B.cash_from_ledger(done), held, supply_prices(spark, sf)), places=2)
 
@@ -326,23 +333,23 @@ def r07(spark, sf):
 
 # --- marks, summaries, profit ---
 
-COVERED = "(SELECT count(p.symbol) >= 9e-1 * count(*) FROM (SELECT DISTINCT symbol FROM book WHERE product NOT IN ('option', 'entitlement')) h LEFT JOIN prices p ON h.symbol = p.symbol)"
+COVERED = "(SELECT count(p.symbol) >= 9e-1 * count(*) FROM (SELECT DISTINCT symbol FROM book WHERE product NOT IN ('option', 'entitlement')) h LEFT JOIN live_prices p ON h.symbol = p.symbol)"
 
 
-@query("a11_close_coverage", with_views("book prices", f"""
+@query("a11_close_coverage", with_views("book live_prices", f"""
  SELECT count(*) AS held, count(p.symbol) AS closed, {COVERED} AS enough
  FROM (SELECT DISTINCT symbol FROM book WHERE product NOT IN ('option', 'entitlement')) h
- LEFT JOIN prices p ON h.symbol = p.symbol"""))
+ LEFT JOIN live_prices p ON h.symbol = p.symbol"""))
 def a11(spark, sf):
     return B.close_coverage(V.book(spark, sf), V.prices(spark, sf))
 
 
-@query("r01_mark_close", with_more("book marked_book gapped prices", f"""
+@query("r01_mark_close", with_more("book marked_book gapped prices live_prices", f"""
  usable AS (SELECT * FROM prices WHERE symbol NOT IN (SELECT symbol FROM gapped) AND {COVERED})""", f"""
  SELECT m.account, m.symbol, {r('coalesce(price, last_price)', 'last_price')}, {r('coalesce(price, prev_close)', 'prev_close')},
         price IS NOT NULL AS marked FROM marked_book m LEFT JOIN usable u ON m.symbol = u.symbol"""))
 def r01(spark, sf):
-    return report(B.mark_close(saved(marked_book(spark, sf)), V.prices(spark, sf)),
+    return report(B.mark_close(marked_book(spark, sf), V.prices(spark, sf)),
                   "account", "symbol", "last_price", "prev_close", "marked")
 
 
@@ -350,7 +357,7 @@ VIEWS["option_book"] = """
  SELECT l_orderkey, l_linenumber, l_partkey, p_retailprice AS spot,
         round_even(p_retailprice / 50, 0) * 50 + (l_linenumber - 4) * 50 AS strike,
         greatest(CAST(l_quantity AS INTEGER) - 20, 0) / 365e0 AS years, (l_tax + 1e-2) * 5 * 115e-2 AS vol
- FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' """
+ FROM lineitem JOIN part ON l_partkey = p_partkey """
 VIEWS["option_terms"] = """
  SELECT *, (ln(spot / strike) + (65e-3 + 5e-1 * vol * vol) * years) / nullif(vol * sqrt(years), 0) AS d1,
         (ln(spot / strike) + (65e-3 + 5e-1 * vol * vol) * years) / nullif(vol * sqrt(years), 0) - vol * sqrt(years) AS d2
@@ -362,7 +369,7 @@ VIEWS["option_terms"] = """
  FROM option_terms"""))
 def r02(spark, sf):
     from tickloom.functions.options import atm_strike
-    o = (V.table(spark, sf, "lineitem").filter("l_linestatus = 'O'")
+    o = (V.table(spark, sf, "lineitem")
          .join(V.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
          .select("l_orderkey", "l_linenumber", "l_partkey", F.col("p_retailprice").alias("spot"),
                  (atm_strike(F.col("p_retailprice")) + (F.col("l_linenumber") - 4) * 50).alias("strike"),
@@ -467,7 +474,7 @@ VIEWS["summaries"] = """
 
 
 def summaries(spark, sf):
-    done = saved(fills_done(spark, sf))
+    done = fills_done(spark, sf)
     purses = B.cash_from_ledger(done).withColumn("start_cash", F.lit(200000.0))
     own = spark.createDataFrame([("A7", 20.0)], "account string, target_pct double")
     return R.account_summary(purses, done, V.equity(spark, sf), B.positions_from_ledger(done, list(FILL_ORDER)), own)
@@ -569,7 +576,7 @@ VIEWS["alert_rows"] = f"""
  SELECT id, kind, account, min(text) AS text FROM alert_rows
  WHERE id NOT IN (SELECT '2001-12-31|' || account || '|' || symbol || '|-0.5' FROM held_now) GROUP BY 1, 2, 3"""))
 def r05(spark, sf):
-    done = saved(fills_done(spark, sf))
+    done = fills_done(spark, sf)
     held = B.positions_from_ledger(done, list(FILL_ORDER))
     now = F.lit("2001-12-31").cast("timestamp_ntz")
     seen = held.select(F.concat_ws("|", F.lit("2001-12-31"), "account", "symbol", F.lit("-0.5")).alias("id"))
@@ -624,11 +631,12 @@ def w09(spark, sf):
 # --- files written and read back ---
 
 @query("s01_bar_files", with_views("bars", f"""
- SELECT symbol, CAST(CAST(ts + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS date,
+ SELECT lpad(regexp_replace(symbol, '[^0-9]', '', 'g'), 7, '0') AS symbol, CAST(CAST(ts + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS date,
         strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS ts, {rs('open high low close volume')} FROM bars"""))
 def s01(spark, sf):
     path = scratch_path(spark, "bars")
-    SB.write_bars(V.bars(spark, sf).drop("date", "bar"), path)
+    digits = F.lpad(F.regexp_replace("symbol", "[^0-9]", ""), 7, "0")          # folder names that look like numbers
+    SB.write_bars(V.bars(spark, sf).drop("date", "bar").withColumn("symbol", digits), path)
     return report(SB.read_bars(spark, path), "symbol", "date", "ts", "open", "high", "low", "close", "volume")
 
 
@@ -636,8 +644,8 @@ def s01(spark, sf):
 def s05(spark, sf):
     root = scratch_path(spark, "snapshots")
     scores = V.scores(spark, sf)
-    scores.filter("score < 950").repartition(1).write.parquet(f"{root}/asof_1.parquet")
-    scores.filter("score >= 950").repartition(1).write.parquet(f"{root}/asof_2.parquet")
+    scores.filter("score < 950").write.parquet(f"{root}/asof_1.parquet")
+    scores.filter("score >= 950").write.parquet(f"{root}/asof_2.parquet")
     return report(SB.latest_snapshot(spark, f"{root}/asof_*.parquet"), "list", "symbol", "score")
 
 
@@ -663,7 +671,7 @@ def s04(spark, sf):
  FROM purses LEFT JOIN held_now USING (account)"""))
 def s07(spark, sf):
     path = scratch_path(spark, "accounts")
-    done = saved(fills_done(spark, sf))
+    done = fills_done(spark, sf)
     held = B.positions_from_ledger(done, list(FILL_ORDER)).select("account", F.create_map("symbol", F.struct(
         "symbol", "qty", "avg_price", F.date_format("opened", "yyyy-MM-dd'T'HH:mm:ss").alias("opened"), "product"))
         .alias("positions"))                                      # one line per holding

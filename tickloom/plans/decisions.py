@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import books as B
 from tickloom.operators import costs as K
+from tickloom.operators import filters as L
 from tickloom.operators import rules as U
 from tickloom.plans import views as V
 from tickloom.plans.pricing import (measured, sql_cdf, sql_charges, sql_exit_cost, sql_round_trip)
@@ -130,7 +131,7 @@ def d06(spark, sf):
 
 # --- entries ---
 
-def sql_fills(product: str = "'delivery'", floor: float = 0, stop: bool = False, key: str = "account") -> str:
+def sql_fills(product: str = "'delivery'", floor: float = 0, stop: bool = False, key: str = "account", cash_floor: float = 0) -> str:
     """CTE `steps` over `offers` (key, nth, budget, fill, cash): units of each buy and the cash left after it."""
     value = "n * o.fill"
     fee = sql_charges("'buy'", product, value)["total"]
@@ -143,8 +144,8 @@ def sql_fills(product: str = "'delivery'", floor: float = 0, stop: bool = False,
    UNION ALL
    SELECT {key}, nth, units, CASE WHEN units > 0 THEN left_over - units * fill - {paid} ELSE left_over END, stopped FROM (
      SELECT {', '.join('o.' + k.strip() for k in key.split(','))}, o.nth, s.left_over, o.fill,
-            s.stopped OR ({str(stop).lower()} AND {small}) AS stopped,
-            CASE WHEN s.stopped OR {small} THEN 0 ELSE coalesce(list_max(list_filter(
+            s.stopped OR ({str(stop).lower()} AND {small}) OR s.left_over < {cash_floor} AS stopped,
+            CASE WHEN s.stopped OR {small} OR s.left_over < {cash_floor} THEN 0 ELSE coalesce(list_max(list_filter(
               range(1, CAST(floor(least(o.budget, s.left_over) / o.fill) AS BIGINT) + 1),
               lambda n: {value} + {fee} <= s.left_over)), 0) END AS units
      FROM steps s JOIN offers o ON {' AND '.join(f'o.{k.strip()} = s.{k.strip()}' for k in key.split(','))}
@@ -157,8 +158,9 @@ BOUGHT = f"""
 NOT_HELD = "NOT EXISTS (SELECT 1 FROM book b WHERE b.account = a.account AND b.symbol = p.symbol)"
 VIEWS["slots"] = "SELECT account, count(*) AS names, count(*) FILTER (WHERE product <> 'entitlement') AS traded FROM book GROUP BY 1 "
 VIEWS["bought_back"] = """
- SELECT DISTINCT 'C' || o_custkey AS account, 'P' || l_partkey AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey
- WHERE l_returnflag = 'R' """
+ SELECT DISTINCT 'C' || l_orderkey AS account, 'P' || (l_partkey + 1) AS symbol,
+        CASE WHEN l_linenumber % 2 = 0 THEN 'disaster stop' ELSE 'deteriorated' END AS reason
+ FROM lineitem WHERE l_returnflag = 'R' """
 
 
 def bought(df):
@@ -166,12 +168,14 @@ def bought(df):
     return report(df, "account", "symbol", "pos", "units", "budget", "cash_after", places=3)
 
 
-def bought_back(spark, sf):
-    heads = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return (V.table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
-            .join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("account"),
-                    F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol")).distinct())
+def bought_back(spark, sf, reasons=None):
+    """What each account sold today and may not buy back: the neighbours of its returned parts."""
+    today = V.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
+        F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("account"),
+        F.concat(F.lit("P"), (F.col("l_partkey") + 1).cast("string")).alias("symbol"),
+        F.lit("SELL").alias("side"), F.lit("1998-06-02 10:00:00").cast("timestamp_ntz").alias("time"),
+        F.when(F.col("l_linenumber") % 2 == 0, "disaster stop").otherwise("deteriorated").alias("reason"))
+    return L.barred(today, "1998-06-02", reasons)
 
 
 def parts(spark, sf):
@@ -179,9 +183,9 @@ def parts(spark, sf):
     return V.accounts(spark, sf), V.pick_lists(spark, sf), V.prices(spark, sf), V.book(spark, sf)
 
 
-@query("d07_entries_topn", with_more("accounts pick_lists prices book slots", f"""
+@query("d07_entries_topn", with_more("accounts pick_lists live_prices book slots", f"""
  first5 AS (SELECT * FROM (SELECT list, symbol, price, row_number() OVER (PARTITION BY list ORDER BY pos) AS k
-            FROM pick_lists JOIN prices USING (symbol)) WHERE k <= 5),
+            FROM pick_lists JOIN live_prices USING (symbol)) WHERE k <= 5),
  offers AS (SELECT a.account, p.symbol, a.cash, a.cash / count(*) OVER (PARTITION BY a.account) AS budget,
               price * 10015e-4 AS fill, row_number() OVER (PARTITION BY a.account ORDER BY k) AS nth
             FROM accounts a JOIN first5 p ON a.list = p.list LEFT JOIN slots s ON s.account = a.account
@@ -213,7 +217,7 @@ def sql_weights(group: str, source: str) -> str:
    FROM cap_steps WHERE step = len(w)) WHERE all_small OR x >= 5e-2)"""
 
 
-@query("d08_entries_confidence", with_more("accounts pick_lists prices book slots ranks", f"""
+@query("d08_entries_confidence", with_more("accounts pick_lists live_prices book slots ranks", f"""
  room AS (SELECT * FROM (
    SELECT a.account, a.cash, p.symbol, p.pos, p.score, p.rank_pct, 8 - coalesce(names, 0) AS free,
           row_number() OVER (PARTITION BY a.account ORDER BY p.pos) AS k
@@ -221,7 +225,7 @@ def sql_weights(group: str, source: str) -> str:
    LEFT JOIN ranks q ON q.symbol = p.symbol
    WHERE cash >= 5000 AND coalesce(names, 0) < 8 AND coalesce(q.rank_pct, p.rank_pct) >= 75e-2 AND {NOT_HELD})
    WHERE k <= free),
- live AS (SELECT account, cash, symbol, k AS pos, score, rank_pct, price FROM room JOIN prices USING (symbol)),
+ live AS (SELECT account, cash, symbol, k AS pos, score, rank_pct, price FROM room JOIN live_prices USING (symbol)),
  {sql_weights('account', 'live')},
  offers AS (SELECT l.account, l.symbol, cash, cash * weight AS budget, price * 10015e-4 AS fill,
               row_number() OVER (PARTITION BY l.account ORDER BY l.pos) AS nth
@@ -239,10 +243,10 @@ VIEWS["measured_picks"] = """
 
 
 def entries_intraday_sql(order: str) -> str:
-    return with_more("accounts measured_picks prices book", f"""
+    return with_more("accounts measured_picks live_prices book", f"""
  fresh AS (SELECT * FROM (
    SELECT a.account, a.cash, p.symbol, price, row_number() OVER (PARTITION BY a.account ORDER BY {order}) AS nth
-   FROM accounts a JOIN measured_picks p ON a.list = p.list JOIN prices q ON q.symbol = p.symbol
+   FROM accounts a JOIN measured_picks p ON a.list = p.list JOIN live_prices q ON q.symbol = p.symbol
    WHERE cash >= 5000 AND net >= 2 * 36e-4 AND {NOT_HELD}) WHERE nth <= greatest(floor(cash / 5000), 1)),
  offers AS (SELECT *, cash / count(*) OVER (PARTITION BY account) AS budget, price * 10015e-4 AS fill FROM fresh),
  {sql_fills("'intraday'")}""", BOUGHT)
@@ -266,13 +270,13 @@ def d09_edge(spark, sf):
     return bought(U.entries_intraday(a, picks, prices, book, by_edge=True))
 
 
-@query("d10_entries_cost_aware", with_more("accounts pick_lists prices book ranks bought_back", f"""
+@query("d10_entries_cost_aware", with_more("accounts pick_lists live_prices book ranks bought_back", f"""
  room AS (SELECT * FROM (
    SELECT a.account, a.cash, p.symbol, price, coalesce(q.rank_pct, p.rank_pct) AS rnk,
           row_number() OVER (PARTITION BY a.account ORDER BY p.pos) AS pos
-   FROM accounts a JOIN pick_lists p ON a.list = p.list JOIN prices x ON x.symbol = p.symbol
+   FROM accounts a JOIN pick_lists p ON a.list = p.list JOIN live_prices x ON x.symbol = p.symbol
    LEFT JOIN ranks q ON q.symbol = p.symbol
-   WHERE cash >= 5000 AND {NOT_HELD} AND (a.account, p.symbol) NOT IN (SELECT (account, symbol) FROM bought_back))
+   WHERE cash >= 5000 AND {NOT_HELD} AND (a.account, p.symbol) NOT IN (SELECT (account, symbol) FROM bought_back WHERE reason = 'disaster stop'))
    WHERE pos <= 12),
  sizes AS (SELECT a.account, a.pos AS n, a.cash / a.pos AS ticket, avg(11e-3 * (b.rnk - 5e-1) / 5e-1) AS mean_gross,
              min(11e-3 * (b.rnk - 5e-1) / 5e-1) AS worst FROM room a JOIN room b ON a.account = b.account AND b.pos <= a.pos
@@ -295,7 +299,7 @@ def d09_edge(spark, sf):
             FROM live l LEFT JOIN at_level t ON t.account = l.account), {sql_fills(floor=5000)}""", BOUGHT))
 def d10(spark, sf):
     a, picks, prices, book = parts(spark, sf)
-    return bought(U.entries_cost_aware(a, picks, prices, book, V.ranks(spark, sf), bought_back(spark, sf)))
+    return bought(U.entries_cost_aware(a, picks, prices, book, V.ranks(spark, sf), bought_back(spark, sf, ["disaster stop"])))
 
 
 VIEWS["funded"] = """
@@ -309,7 +313,7 @@ def funded(a, prices, book):
         "power", F.when(F.col("waits"), 0.0).otherwise(2.0))
 
 
-@query("d11_entries_model", with_more("funded pick_lists prices book slots ranks bought_back", f"""
+@query("d11_entries_model", with_more("funded pick_lists live_prices prices book slots ranks bought_back", f"""
  ready AS (SELECT *, {sql_round_trip('ticket')} AS need FROM (
    SELECT f.*, CASE WHEN wild THEN 3 ELSE 6 END - coalesce(traded, 0) AS free,
           least(equity / CASE WHEN wild THEN 3 ELSE 6 END, cash / nullif(CASE WHEN wild THEN 3 ELSE 6 END - coalesce(traded, 0), 0)) AS ticket
@@ -317,7 +321,7 @@ def funded(a, prices, book):
  open_to AS (SELECT a.*, p.symbol, p.pos, p.expected, p.wait, price,
      row_number() OVER (PARTITION BY a.account ORDER BY p.pos) AS slot,
      max(CASE WHEN p.expected <= need THEN 1 ELSE 0 END) OVER (PARTITION BY a.account ORDER BY p.pos) AS failed
-   FROM ready a JOIN pick_lists p ON a.list = p.list JOIN prices q ON q.symbol = p.symbol
+   FROM ready a JOIN pick_lists p ON a.list = p.list JOIN live_prices q ON q.symbol = p.symbol
    WHERE {NOT_HELD} AND (a.account, p.symbol) NOT IN (SELECT (account, symbol) FROM bought_back)),
  chosen AS (SELECT * FROM open_to WHERE slot <= free AND failed = 0 AND NOT (waits AND wait > 0)),
  views_held AS (SELECT b.account, sum((rank_pct - 5e-1) * 1e-1) AS s, count(rank_pct) AS n FROM book b JOIN ranks USING (symbol) GROUP BY 1),
@@ -360,7 +364,7 @@ def a12(spark, sf):
 
 
 VIEWS["tick_accounts"] = """
- SELECT DISTINCT 'R' || isodow(ts) AS account, ts, 30000e0 + 10000 * isodow(ts) AS cash, 200000e0 AS equity FROM moves """
+ SELECT DISTINCT 'R' || isodow(ts) AS account, ts, 22000e0 + 6000 * isodow(ts) AS cash, 200000e0 AS equity FROM moves """
 
 
 # Each tick's account holds the names that were up at the tick.
@@ -371,14 +375,14 @@ VIEWS["tick_accounts"] = """
      (abs(z) - 25e-2) * sd AS gap, row_number() OVER (PARTITION BY a.account, a.ts ORDER BY (abs(z) - 25e-2) * sd DESC, s.symbol DESC) AS nth
    FROM ready a JOIN section s ON a.ts = s.ts WHERE z <= -1.5 AND sd >= 3e-3 AND (abs(z) - 25e-2) * sd >= 72e-4 AND move <= 1)
    WHERE nth <= 8 - held),
- {sql_fills("'intraday'", key='account, ts')}""", f"""
+ {sql_fills("'intraday'", key='account, ts', cash_floor=5000)}""", f"""
  SELECT o.account, strftime(o.ts, '%Y-%m-%d %H:%M:%S') AS ts, o.symbol, s.units, {r('gap', 'expected')}, {r('s.left_over', 'cash_after', 3)}
  FROM offers o JOIN steps s ON o.account = s.account AND o.ts = s.ts AND o.nth = s.nth"""))
 def d12(spark, sf):
     sec = section(spark, sf)
     day = F.weekday("ts") + 1
     accounts = sec.select("ts").distinct().select(
-        F.concat(F.lit("R"), day.cast("string")).alias("account"), "ts", (30000.0 + 10000 * day).alias("cash"),
+        F.concat(F.lit("R"), day.cast("string")).alias("account"), "ts", (22000.0 + 6000 * day).alias("cash"),
         F.lit(200000.0).alias("equity"))
     held = sec.filter("move > 1").select(F.concat(F.lit("R"), day.cast("string")).alias("account"), "ts", "symbol")
     out = U.reversion_entries(sec, ["ts"], accounts, held)
@@ -436,18 +440,18 @@ VIEWS["vols"] = """
 VIEWS["mondays"] = f"""
  SELECT *, close * {sql_cdf('d1')} - strike * exp(-65e-3 * 3e0 / 365) * {sql_cdf('d2')} AS premium FROM (
    SELECT *, {D1} AS d1, {D2} AS d2 FROM (
-     SELECT *, round_even(close / 50, 0) * 50 AS strike, date + 3 AS expiry FROM vols WHERE isodow(date) = 1 AND close >= 1000)) """
+     SELECT *, nullif(round_even(close / 50, 0) * 50, 0) AS strike, date + 3 AS expiry FROM vols WHERE isodow(date) = 1)) """
 
 
 def mondays(spark, sf):
-    return U.option_entries(B.running_vol(V.daily(spark, sf)).filter("close >= 1000"), 400000.0)
+    return U.option_entries(B.running_vol(V.daily(spark, sf)), 400000.0)
 
 
 LOT_FEE = sql_charges("'buy'", "'option'", "n * 75 * fill")["total"]
 
 
 @query("d14_option_entries", with_more("mondays", f"""
- offers AS (SELECT *, premium * 1005e-3 AS fill, least(400000, premium * 75 * 101e-2 + 60) AS budget FROM mondays)""", f"""
+ offers AS (SELECT *, premium * 1005e-3 AS fill, CASE WHEN premium >= 5e-2 THEN least(400000, premium * 75 * 101e-2 + 60) ELSE 0 END AS budget FROM mondays)""", f"""
  SELECT symbol, CAST(date AS VARCHAR) AS date, CAST(expiry AS VARCHAR) AS expiry, {r('strike')}, {r('premium', places=3)},
    CAST(75 * coalesce(list_max(list_filter(range(1, CAST(floor(budget / (fill * 75)) AS BIGINT) + 1),
      lambda n: n * 75 * fill + {LOT_FEE} <= 400000)), 0) AS BIGINT) AS units FROM offers"""))

@@ -149,11 +149,10 @@ def s02(spark, sf):
 
 
 @query("s03_wide_quotes_to_long", with_views("bars", f"""
- SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {rs('open close volume')} FROM bars
- WHERE symbol IN ('S1', 'S2', 'S3', '^IDX')"""))
+ SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {rs('open close volume')} FROM bars"""))
 def s03(spark, sf):
-    names = ["S1", "S2", "S3", INDEX]
-    wide = (V.bars(spark, sf).filter(F.col("symbol").isin(names)).groupBy("ts").pivot("symbol", names)
+    names = [*[f"S{i}" for i in range(1, 20)], INDEX]
+    wide = (V.bars(spark, sf).groupBy("ts").pivot("symbol", names)
             .agg(*[F.first(c).alias(c) for c in ("open", "close", "volume")]))
     wide = wide.toDF(*[c if c == "ts" else "|".join(c.rsplit("_", 1)) for c in wide.columns])
     return report(B.quotes_to_long(wide, [*names, "NOT_LISTED"]), "symbol", "ts", "open", "close", "volume")

@@ -172,20 +172,21 @@ VIEWS["scores"] = """
 
 
 def ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """Model rank per symbol; the largest sizes are not scored."""
-    return (scores(spark, sf).filter(F.col("size") <= 40)
-            .select("symbol", F.round((F.col("score") - 900) / 100, 4).alias("rank_pct")))
+    """Model rank per symbol; the largest sizes are not scored (null)."""
+    rank = F.round((F.col("score") - 900) / 100, 4)
+    return scores(spark, sf).select("symbol", F.when(F.col("size") <= 40, rank).alias("rank_pct"))
 
 
-VIEWS["ranks"] = "SELECT symbol, round((score - 900) / 100, 4) AS rank_pct FROM scores WHERE size <= 40 "
+VIEWS["ranks"] = "SELECT symbol, CASE WHEN size <= 40 THEN round((score - 900) / 100, 4) END AS rank_pct FROM scores "
 
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
-    """Live price per symbol; size 50 has not traded today."""
-    return scores(spark, sf).filter(F.col("size") < 50).select("symbol", F.col("score").alias("price"))
+    """Live price per symbol; size 50 has not traded today (null)."""
+    return scores(spark, sf).select("symbol", F.when(F.col("size") < 50, F.col("score")).alias("price"))
 
 
-VIEWS["prices"] = "SELECT symbol, score AS price FROM scores WHERE size < 50 "
+VIEWS["prices"] = "SELECT symbol, CASE WHEN size < 50 THEN score END AS price FROM scores "
+VIEWS["live_prices"] = "SELECT * FROM prices WHERE price IS NOT NULL "
 
 
 def pick_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,25 +206,23 @@ VIEWS["pick_lists"] = """
 
 
 def accounts(spark: SparkSession, sf: str) -> DataFrame:
-    """One account per customer, following one pick list."""
-    return table(spark, sf, "customer").select(
-        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("account"),
-        F.concat(F.lit("Brand#"), (F.col("c_custkey") % 25 + 1).cast("string")).alias("list"),
-        F.abs(F.col("c_acctbal") * 20).alias("cash"), (F.col("c_custkey") % 4 == 0).alias("wild"),
-        (F.col("c_custkey") % 3 == 0).alias("waits"))
+    """One account per order, following one pick list."""
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("C"), key.cast("string")).alias("account"),
+        F.concat(F.lit("Brand#"), (key % 25 + 1).cast("string")).alias("list"),
+        (F.col("o_totalprice") / 2).alias("cash"), (key % 4 == 0).alias("wild"), (key % 3 == 0).alias("waits"))
 
 
 VIEWS["accounts"] = """
- SELECT 'C' || c_custkey AS account, 'Brand#' || (c_custkey % 25 + 1) AS list, abs(c_acctbal * 20) AS cash,
-        c_custkey % 4 = 0 AS wild, c_custkey % 3 = 0 AS waits FROM customer """
+ SELECT 'C' || o_orderkey AS account, 'Brand#' || (o_orderkey % 25 + 1) AS list, o_totalprice / 2 AS cash,
+        o_orderkey % 4 = 0 AS wild, o_orderkey % 3 = 0 AS waits FROM orders """
 
 
 def book(spark: SparkSession, sf: str) -> DataFrame:
-    """Open holdings per customer account: the lots of 45 and more that were not returned."""
-    lines = table(spark, sf, "lineitem").filter((F.col("l_quantity") >= 45) & (F.col("l_returnflag") != "R"))
-    heads = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return (lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("account"),
+    """Open holdings per account: the lines of its order."""
+    return (table(spark, sf, "lineitem")
+            .groupBy(F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("account"),
                      F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"))
             .agg(F.sum("l_quantity").cast("bigint").alias("qty"),
                  F.round(F.sum(F.col("l_discount") * 400 + 850) / F.count(F.lit(1)), 4).alias("avg_price"),
@@ -233,11 +232,10 @@ def book(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VIEWS["book"] = """
- SELECT 'C' || o_custkey AS account, 'P' || l_partkey AS symbol, CAST(sum(l_quantity) AS BIGINT) AS qty,
+ SELECT 'C' || l_orderkey AS account, 'P' || l_partkey AS symbol, CAST(sum(l_quantity) AS BIGINT) AS qty,
         round(sum(l_discount * 400 + 850) / count(*), 4) AS avg_price, min(l_shipdate) AS opened,
         CASE min(l_suppkey) % 10 WHEN 0 THEN 'entitlement' WHEN 1 THEN 'intraday' ELSE 'delivery' END AS product
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45 AND l_returnflag <> 'R'
- GROUP BY 1, 2 """
+ FROM lineitem GROUP BY 1, 2 """
 
 
 # --- every order line as a holding on its own clock ---
