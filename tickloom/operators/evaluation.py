@@ -70,21 +70,27 @@ def threshold_sweep(preds: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.4,
 
     Needs date, prob, net, success. Thresholds no trade reaches are left out.
     """
-    rules = [F.struct(F.lit("all trades").alias("rule"), F.lit(float("-inf")).alias("floor"))]
-    rules += [F.struct(F.lit(f"probability >= {t:.0%}").alias("rule"), F.lit(float(t)).alias("floor"))
-              for t in thresholds]
-    prob = F.coalesce("prob", F.lit(float("-inf")))
-    taken = preds.select("date", "net", "success", F.inline(F.filter(F.array(*rules), lambda r: r["floor"] <= prob)))
-    # One table of counts serves both the daily totals and the medians.
-    cells = taken.groupBy("rule", "date", "net").agg(F.count(F.lit(1)).alias("n"), F.sum("success").alias("won"))
-    known = F.col("net").isNotNull()
-    days = cells.groupBy("rule", "date").agg(
-        F.sum("n").alias("n"), F.sum("won").alias("won"), F.sum(F.col("net") * F.col("n")).alias("net"),
-        F.sum(F.when(known, F.col("n"))).alias("n_net"))
+    rules = {"all trades": F.lit(True)}
+    rules |= {f"probability >= {t:.0%}": F.coalesce(F.col("prob") >= t, F.lit(False)) for t in thresholds}
+
+    def per_rule(grouped, columns: dict) -> DataFrame:
+        """One aggregation for all rules, then a line per rule and group; the trades are not copied per rule."""
+        wide = grouped.agg(*[F.struct(*[of(taken).alias(c) for c, of in columns.items()]).alias(f"_{i}")
+                             for i, taken in enumerate(rules.values())])
+        lines = F.array(*[F.struct(F.lit(rule).alias("rule"), *[F.col(f"_{i}.{c}").alias(c) for c in columns])
+                          for i, rule in enumerate(rules)])
+        keys = [c for c in wide.columns if not c.startswith("_")]
+        return wide.select(*keys, F.inline(lines)).filter(F.col("n") > 0)
+
+    count = F.count_if
+    days = per_rule(preds.groupBy("date"), {
+        "n": count, "won": lambda t: F.sum(F.when(t, F.col("success"))), "net": lambda t: F.sum(F.when(t, F.col("net"))),
+        "n_net": lambda t: F.count(F.when(t, F.col("net")))})
+    ladder = per_rule(preds.groupBy("net"), {"n": count})
     totals = days.groupBy("rule").agg(
         F.avg("n").alias("trades_per_day"), (F.sum("won") / F.sum("n")).alias("success_rate"),
         F.try_divide(F.sum("net"), F.sum("n_net")).alias("avg_net"), F.count(F.lit(1)).alias("_days"))
-    return (totals.join(exact_median(cells, ["rule"], "net", "median_net", weight="n"), "rule", "left")
+    return (totals.join(exact_median(ladder, ["rule"], "net", "median_net", weight="n"), "rule", "left")
             .withColumn("days_with_trades", F.when(F.col("rule") != "all trades", F.col("_days"))).drop("_days"))
 
 
