@@ -19,6 +19,7 @@ from tickloom.functions.stats import change
 from tickloom.operators.costs import fill_batch, size_orders, worth_it
 from tickloom.operators.filters import fresh_picks, names_a_fund
 from tickloom.operators.reports import signed_money
+from tickloom.operators.ranking import stable_hash
 from tickloom.operators.sizing import (confidence_weights, conviction_stakes, edge_shares, equal_budget, slot_ticket,
                                        with_best_book)
 
@@ -126,6 +127,12 @@ def exits_forced(held: DataFrame, policy: DataFrame, blocklist: DataFrame | None
 
 # --- entries ---
 
+def random_hold(day: Column, symbol: Column, low: int = 2, high: int = 40) -> Column:
+    """A holding period of `low` to `high` weekdays, drawn from a hash of day and symbol: the same wherever it is asked."""
+    return (F.pmod(stable_hash(day.cast("string"), symbol), F.lit(high - low + 1)) + low).cast("int")
+
+
+
 def _free(accounts: DataFrame, positions: DataFrame, quoted_only: bool = False) -> DataFrame:
     """Accounts with `names`, the number of holdings that take a slot."""
     counted = F.count_if(F.col("product") != "entitlement") if quoted_only else F.count(F.lit(1))
@@ -158,10 +165,11 @@ def _first(df: DataFrame, by: str, n: Column | int, order: list) -> DataFrame:
 
 
 def entries_topn(accounts: DataFrame, picks: DataFrame, prices: DataFrame, positions: DataFrame,
-                 n: int = C.TOP_N, hold_days: int | None = None) -> DataFrame:
+                 n: int = C.TOP_N, hold_days: int | Column | None = None) -> DataFrame:
     """The first `n` priced picks of the account's list, minus what it holds, cash split evenly.
 
-    `picks` (list, pos, symbol) are cut to `n` before they meet the accounts, so the join stays linear.
+    `picks` (list, pos, symbol) are cut to `n` before they meet the accounts, so the join stays linear. `hold_days` sets
+    the date of sale: a number of weekdays, or a column such as `random_hold(F.to_date("now"), F.col("symbol"))`.
     """
     top = _first(picks.join(_live(prices), "symbol"), "list", n, ["pos"])
     ready = _free(_entering(accounts), positions).filter((F.col("cash") >= C.MIN_TICKET) & (F.col("names") < n))

@@ -660,8 +660,7 @@ def s06_ranks(spark, sf):
 def s04(spark, sf):
     path = scratch_path(spark, "picks")
     docs, _ = P.export_picks(V.scores(spark, sf), by=["list"])
-    docs.select(F.lit("1998-06-01").alias("asof"), F.lit("X").alias("market"), F.col("list").alias("source"),
-                "top").write.json(path)
+    P.write_picks(docs, path, "1998-06-01", "X", F.col("list"))
     top, _, _ = P.read_picks(spark, f"{path}/*.json", schema=P.PICKS_SCHEMA, one_per_line=True)
     return report(top, "source", "symbol", "pos", "score", "rank_pct", rank_pct=4)
 

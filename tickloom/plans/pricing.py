@@ -9,8 +9,8 @@ from tickloom.functions import calendar as D
 from tickloom.functions import money as M
 from tickloom.functions import options as O
 from tickloom.operators import costs as K
+from tickloom.operators import rules as U
 from tickloom.operators import sizing as Z
-from tickloom.operators.ranking import stable_hash
 from tickloom.plans import views as V
 from tickloom.plans.registry import query, r, report
 from tickloom.plans.views import VIEWS, with_more, with_views
@@ -391,7 +391,6 @@ def d15(spark, sf):
     li = V.table(spark, sf, "lineitem")
     day = F.to_date("l_shipdate")
     symbol = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
-    hold = F.pmod(stable_hash(day.cast("string"), symbol), F.lit(39)) + 2
-    li = li.withColumn("hold", hold)
+    li = li.withColumn("hold", U.random_hold(day, symbol).cast("bigint"))
     return report(li.select("l_orderkey", "l_linenumber", "l_partkey", "hold",
                             D.add_weekdays(day, F.col("hold").cast("int")).alias("exit_on")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.filters import companies_only, drop_funds
@@ -54,6 +54,14 @@ def rank_scores(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return pct_rank(drop_funds(scores), by or [], "score", "rank_pct")
 
 
+def write_picks(docs: DataFrame, path: str, asof: Column | str, market: str, source: Column | str) -> None:
+    """Pick documents as JSON, one per line, each headed by its date, market and source."""
+    def text(value):
+        return F.lit(value) if isinstance(value, str) else value
+
+    docs.select(text(asof).alias("asof"), F.lit(market).alias("market"), text(source).alias("source"), "top").write.json(path)
+
+
 def export_picks(scores: DataFrame, top: int = 30, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(one document per list with its `top` best rows, one row per symbol with its rank).
 
