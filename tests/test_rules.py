@@ -144,6 +144,23 @@ def test_top_five_even_tickets(spark, market):
     assert sorted(r["symbol"] for r in fewer) == [f"S{i}.NS" for i in range(1, 5)]       # top five first, then what is held
 
 
+def test_a_name_at_its_limit_fills_nothing(spark, market):
+    picks, prices, _, nothing = market
+    stuck = prices.withColumn("blocked", F.col("symbol") == "S1.NS")
+    out = {r["symbol"]: r for r in U.entries_topn(account(spark), picks, stuck, nothing).collect()}
+    assert out["S1.NS"]["units"] == 0 and out["S1.NS"]["spent"] == 0 and out["S0.NS"]["units"] == 99
+    assert out["S1.NS"]["cash_after"] == out["S0.NS"]["cash_after"]
+
+
+def test_random_exit_dates_hold(spark, market):
+    picks, prices, _, nothing = market
+    rule = U.random_hold(F.to_date("now"), F.col("symbol"))
+    first, again = ({r["symbol"]: r["exit_on"] for r in U.entries_topn(account(spark), picks, prices, nothing, hold_days=rule).collect()}
+                    for _ in range(2))
+    assert first == again and len(set(first.values())) > 1 and all(d.weekday() < 5 for d in first.values())
+    assert all(dt.date(2026, 9, 23) < d <= dt.date(2026, 11, 17) for d in first.values())
+
+
 def test_confidence_entries_fill_the_free_slots(spark, market):
     picks, prices, ranks, _ = market
     book = spark.createDataFrame([("t", f"H{i}.NS", "delivery") for i in range(5)], "account string, symbol string, product string")
@@ -194,6 +211,12 @@ def test_model_entries(spark):
     exp = {**{s: 0.05 - i * 0.002 for i, s in enumerate(NAMES[:7])}, "HHH.NS": 0.001}
     even = buy_model(spark, model_world(spark, exp))
     assert sorted(even) == NAMES[:6] and all(30_000 < v < 34_000 for v in even.values())
+    picks, prices, expected = model_world(spark, exp)
+    nobody, flags = spark.createDataFrame([], "account string, symbol string, product string"), {"wild": False, "waits": False, "power": 0.0}
+    old = picks.withColumn("asof", F.lit("2026-09-10").cast("date"))
+    for today, bought in (("2026-09-11", 6), ("2026-09-22", 0)):                # stale picks buy nothing
+        out = U.entries_model(account(spark, cash=200_000.0, equity=200_000.0, **flags), old, prices, nobody, nobody, expected, today)
+        assert out.count() == bought
     poor = buy_model(spark, model_world(spark, {"AAA.NS": 0.05, "HHH.NS": 0.001}))
     assert set(poor) == {"AAA.NS"}
     waiting = model_world(spark, exp, {"AAA.NS": 0.004, "BBB.NS": -0.002})
@@ -222,6 +245,8 @@ def test_reversion_buys_the_laggard_only(spark):
     none = spark.createDataFrame([], "account string, tick int, symbol string")
     out = U.reversion_entries(sec, ["tick"], acc, none).collect()
     assert [r["symbol"] for r in out] == ["N00"] and out[0]["units"] * out[0]["fill"] <= 6_000
+    poor = spark.createDataFrame([("t", 1, 4_999.0, 50_000.0)], acc.schema)
+    assert U.reversion_entries(sec, ["tick"], poor, none).collect() == []
     closed = moves.withColumn("move", F.when(F.col("symbol") == "N00", 0.009).otherwise(F.col("move")))
     mine = spark.createDataFrame([("t", 1, "N00", 95.0, 100.9)], "account string, tick int, symbol string, avg_price double, price double")
     assert reasons(U.reversion_exits(mine, U.cross_section(closed, ["tick"]), ["tick"])) == {"N00": "gap closed"}
@@ -283,6 +308,9 @@ def test_freshness_bars_and_gaps(spark):
     ledger = spark.createDataFrame([("a", "x", "SELL", at("2026-09-30 10:00")), ("a", "y", "BUY", at("2026-09-30 10:00")),
                                     ("a", "z", "SELL", at("2026-09-29 10:00"))], "account string, symbol string, side string, time timestamp_ntz")
     assert [tuple(r) for r in L.barred(ledger, "2026-09-30").collect()] == [("a", "x")]
+    said = ledger.withColumn("reason", F.when(F.col("symbol") == "x", "deteriorated").otherwise("disaster stop"))
+    assert L.barred(said, "2026-09-30", ["disaster stop"]).collect() == []
+    assert [tuple(r) for r in L.barred(said, "2026-09-30", ["deteriorated"]).collect()] == [("a", "x")]
     pos = spark.createDataFrame([("a", "x", 100.0), ("b", "y", 100.0), ("c", "z", None)], "account string, symbol string, prev_close double")
     px = spark.createDataFrame([("x", 75.0), ("y", 74.9), ("z", 1.0)], "symbol string, price double")
     assert [r[0] for r in L.corporate_gaps(pos, px).collect()] == ["y"]
