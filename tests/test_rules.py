@@ -75,7 +75,8 @@ def test_cost_aware_exits(spark):
              ("day", 100.0, 50.0, "intraday", "2026-09-30 10:00"))
     ranks = spark.createDataFrame([("quiet", 0.60), ("bad", 0.02), ("crash", 0.99), ("served", 0.60)], "symbol string, rank_pct double")
     assert reasons(U.exits_cost_aware(h, ranks)) == {
-        "bad": "deteriorated", "crash": "disaster stop", "served": "no longer covers selling"}
+        "bad": "deteriorated after 0 sessions, not merely gone quiet", "crash": "down -30% from entry; selling regardless of rank",
+        "served": "held 86 sessions; expected return no longer covers selling"}
 
 
 def policy(spark, **over):
@@ -92,11 +93,16 @@ def test_model_exits(spark):
                                    "symbol string, expected double, pred double, age int")
     h = h.join(scores, "symbol", "left")
     assert reasons(U.exits_model(h, policy(spark))) == {
-        "sold": "exit model", "unscored": "no longer scored", "poor": "expected below selling cost", "crash": "disaster stop"}
-    assert reasons(U.exits_model(h, policy(spark, fresh=False))) == {"crash": "disaster stop"}
+        "sold": "model exit model: switching expected to beat holding by 5.00% over 10 sessions (held 12 sessions)",
+        "unscored": "model exit: no longer scored", "poor": "model exit: expects +0.05%, selling costs 0.41%",
+        "crash": "disaster stop -30.0%"}
+    assert reasons(U.exits_model(h, policy(spark, fresh=False))) == {"crash": "disaster stop -30.0%"}
     assert "sold" not in reasons(U.exits_model(h, policy(spark, uses_exit_model=False)))
     wild = reasons(U.exits_model(h, policy(spark, wild=True)))
-    assert wild["young"] == "exit model" and "crash" not in wild
+    assert wild["young"].endswith("(held 4 sessions)") and "crash" not in wild
+    asked = h.filter("symbol = 'young'").withColumns({"live": F.lit(True), "age": F.lit(None).cast("int")})
+    assert reasons(U.exits_model(asked, policy(spark, wild=True))) == {
+        "young": "model exit model (live, at 100.00): switching expected to beat holding by 5.00% over 10 sessions (held 0 sessions)"}
 
 
 def test_forced_exits(spark):
@@ -249,7 +255,11 @@ def test_reversion_buys_the_laggard_only(spark):
     assert U.reversion_entries(sec, ["tick"], poor, none).collect() == []
     closed = moves.withColumn("move", F.when(F.col("symbol") == "N00", 0.009).otherwise(F.col("move")))
     mine = spark.createDataFrame([("t", 1, "N00", 95.0, 100.9)], "account string, tick int, symbol string, avg_price double, price double")
-    assert reasons(U.reversion_exits(mine, U.cross_section(closed, ["tick"]), ["tick"])) == {"N00": "gap closed"}
+    assert reasons(U.reversion_exits(mine, U.cross_section(closed, ["tick"]), ["tick"])) == {"N00": "gap closed +6.21%"}
+    for clock, why in (("15:05", {"N00": "flat before the close"}), ("09:29", {})):
+        late = mine.withColumn("now", F.lit(at(f"2026-09-30 {clock}")))
+        assert reasons(U.reversion_exits(late, sec.limit(0), ["tick"])) == why
+        assert U.reversion_entries(sec, ["tick"], acc.withColumn("now", F.lit(at(f"2026-09-30 {clock}"))), none).isEmpty()
     flat = U.cross_section(moves.withColumn("move", F.lit(0.0)), ["tick"])
     assert U.reversion_entries(flat, ["tick"], acc, none).collect() == []
     assert U.cross_section(moves.limit(11), ["tick"]).filter("z IS NOT NULL").count() == 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -43,13 +45,15 @@ def trade_day(epoch: Column, zone: str | None) -> Column:
     return F.to_date(to_zone(F.timestamp_seconds(seconds), zone))
 
 
-def valid_quotes(quotes: DataFrame, today: Column | str, zone: str | None = C.EXCHANGE_ZONE) -> DataFrame:
-    """Quotes of exchange symbols with a price, volume and a trade on `today`."""
-    today = F.lit(today).cast("date") if isinstance(today, str) else today
-    return quotes.filter(
+def valid_quotes(quotes: DataFrame, today: Column | str | None = None, zone: str | None = C.EXCHANGE_ZONE) -> DataFrame:
+    """Quotes of exchange symbols with a price, volume and a trade on `today` (on any day without one)."""
+    good = quotes.filter(
         F.col("symbol").endswith(".NS") & (F.col("ltp") > 0) & (F.coalesce("volume", F.lit(0)) != 0)
-        & (F.coalesce("last_trade_epoch", F.lit(0)) != 0)
-        & (trade_day(F.col("last_trade_epoch"), zone) == today))
+        & (F.coalesce("last_trade_epoch", F.lit(0)) != 0))
+    if today is None:
+        return good
+    today = F.lit(today).cast("date") if isinstance(today, str) else today
+    return good.filter(trade_day(F.col("last_trade_epoch"), zone) == today)
 
 
 def circuit_flag(quotes: DataFrame) -> DataFrame:
@@ -88,13 +92,13 @@ def fresh_picks(picks: DataFrame, today: Column | str, days: int = C.STALE_DAYS)
 def barred(ledger: DataFrame, day: Column | str, reasons: Sequence[str] | None = None) -> DataFrame:
     """(account, symbol) pairs sold on `day`, which may not be bought back that day.
 
-    With `reasons` only sales for one of them bar: an account that weighs costs bars what its disaster stop sold,
-    model accounts everything they sold.
+    With `reasons` only sales whose reason begins with one of them bar: an account that weighs costs bars what fell too
+    far below its entry, model accounts everything they sold.
     """
     day = F.lit(day).cast("date") if isinstance(day, str) else day
     sales = ledger.filter((F.upper("side") == "SELL") & (F.to_date("time") == day))
     if reasons is not None:
-        sales = sales.filter(F.col("reason").isin(list(reasons)))
+        sales = sales.filter(reduce(or_, [F.col("reason").startswith(r) for r in reasons], F.lit(False)))
     return sales.select("account", "symbol").distinct()
 
 

@@ -38,8 +38,8 @@ def _move() -> Column:
     return change(F.col("price"), F.col("avg_price"))
 
 
-def _with_percent(text: str, move: Column) -> Column:
-    return F.concat(F.lit(text + " "), signed_money(100 * move, 2), F.lit("%"))
+def _with_percent(text: str, move: Column, places: int = 2) -> Column:
+    return F.concat(F.lit(text + " "), signed_money(100 * move, places), F.lit("%"))
 
 
 def _entering(accounts: DataFrame) -> DataFrame:
@@ -84,29 +84,44 @@ def exits_cost_aware(held: DataFrame, ranks: DataFrame, min_hold: int = C.MIN_HO
          .withColumn("_cost", exit_cost(F.col("qty") * F.col("price")))
          .withColumn("sessions", sessions_held(F.to_date("opened"), F.to_date("now"))))
     young = F.col("sessions") < min_hold
-    reason = (F.when(_move() <= C.DISASTER_STOP, "disaster stop")
-              .when(young & (F.col("_expected") < -F.col("_cost")), "deteriorated")
-              .when(~young & (F.col("_expected") <= F.col("_cost")), "no longer covers selling"))
+    held_for = F.col("sessions").cast("string")
+    # --- fixed values: reason texts ---
+    reason = (F.when(_move() <= C.DISASTER_STOP, F.concat(
+                  F.lit("down "), F.format_number(100 * _move(), 0), F.lit("% from entry; selling regardless of rank")))
+              .when(young & (F.col("_expected") < -F.col("_cost")), F.concat(
+                  F.lit("deteriorated after "), held_for, F.lit(" sessions, not merely gone quiet")))
+              .when(~young & (F.col("_expected") <= F.col("_cost")), F.concat(
+                  F.lit("held "), held_for, F.lit(" sessions; expected return no longer covers selling"))))
     return _leaving(h, reason).drop("_rank", "_expected", "_cost")
 
 
-def exits_model(held: DataFrame, policy: DataFrame) -> DataFrame:
+def exits_model(held: DataFrame, policy: DataFrame, model: str = "model") -> DataFrame:
     """Exits on a model's view of each holding.
 
-    `held` also needs expected, pred and age (null when unscored); `policy` (account) holds fresh, wild,
-    uses_exit_model, min_age and margin. Stale picks sell nothing but a collapse, and wild accounts have no
-    disaster stop and no minimum age or margin.
+    `held` also needs expected, pred and age (null when unscored), and may say whether pred is `live`, that is, asked at
+    the live price (its age may then be unknown and counts as 0). `policy` (account) holds fresh, wild, uses_exit_model,
+    min_age and margin. Stale picks sell nothing but a collapse, and wild accounts have no disaster stop and no minimum
+    age or margin. Reasons name the `model`.
     """
+    live = F.coalesce("live", F.lit(False)) if "live" in held.columns else F.lit(False)
+    held = held.withColumn("age", F.when(live, F.coalesce("age", F.lit(0))).otherwise(F.col("age")))
     h = held.join(policy, "account").withColumn("_cost", exit_cost(F.col("qty") * F.col("price")))
     wild = F.col("wild")
     age = F.when(wild, 0).otherwise(F.coalesce("min_age", F.lit(C.EXIT_MIN_AGE)))
     margin = F.when(wild, 0.0).otherwise(F.coalesce("margin", F.lit(C.EXIT_MARGIN)))
     switch = F.col("uses_exit_model") & (F.col("age") >= age) & (F.col("pred") < -margin)
-    reason = (F.when(~wild & (_move() <= C.DISASTER_STOP), "disaster stop")
+    # --- fixed values: reason texts ---
+    asked = F.when(live, F.concat(F.lit(" (live, at "), F.format_number("price", 2), F.lit(")"))).otherwise("")
+    reason = (F.when(~wild & (_move() <= C.DISASTER_STOP), _with_percent("disaster stop", _move(), 1))
               .when(~F.col("fresh"), None)
-              .when(switch, "exit model")
-              .when(F.col("expected").isNull(), "no longer scored")
-              .when(F.col("expected") <= F.col("_cost"), "expected below selling cost"))
+              .when(switch, F.concat(
+                  F.lit(model + " exit model"), asked, F.lit(": switching expected to beat holding by "),
+                  F.format_number(-100 * F.col("pred"), 2), F.lit("% over 10 sessions (held "), F.col("age").cast("string"),
+                  F.lit(" sessions)")))
+              .when(F.col("expected").isNull(), model + " exit: no longer scored")
+              .when(F.col("expected") <= F.col("_cost"), F.concat(
+                  F.lit(model + " exit: expects "), signed_money(100 * F.col("expected"), 2), F.lit("%, selling costs "),
+                  F.format_number(100 * F.col("_cost"), 2), F.lit("%"))))
     return _leaving(h, reason).drop("_cost", *[c for c in policy.columns if c != "account"])
 
 
@@ -279,8 +294,12 @@ def reversion_entries(section: DataFrame, keys: list[str], accounts: DataFrame,
                       min_names: int = C.REVERSION_MIN_NAMES) -> DataFrame:
     """Names far below their peers whose gap is worth several times its cost, widest first, up to eight held.
 
-    `accounts` (account, *keys, cash, equity); `positions` (account, *keys, symbol).
+    `accounts` (account, *keys, cash, equity); `positions` (account, *keys, symbol). Accounts that carry their clock
+    (`now`) enter only in trading hours, before everything is sold for the day.
     """
+    accounts = _entering(accounts)
+    if "now" in accounts.columns:
+        accounts = accounts.filter(second_of_day(F.col("now")) < C.HARD_EXIT_FROM).drop("now")
     expected = (F.abs("z") - C.REVERSION_EXIT_Z) * F.col("sd")
     signals = section.filter(
         (F.col("z") <= -C.REVERSION_ENTRY_Z) & (F.col("sd") >= C.REVERSION_MIN_SD)
@@ -303,13 +322,22 @@ def reversion_entries(section: DataFrame, keys: list[str], accounts: DataFrame,
 
 
 def reversion_exits(held: DataFrame, section: DataFrame, keys: list[str]) -> DataFrame:
-    """Holdings whose gap to the crowd has closed, or that hit the stop; a name off the tape counts as closed."""
-    stats = section.filter(F.col("z").isNotNull()).select(*keys, "symbol", "z", "mean", "move")
-    live_ticks = stats.select(*keys).distinct()
-    h = held.join(live_ticks, keys, "left_semi").join(stats, [*keys, "symbol"], "left")
+    """Holdings whose gap to the crowd has closed, or that hit the stop; a name off the tape counts as closed.
+
+    Holdings that carry the tick's clock (`now`) are all sold from the day's last exit time on, and none before entries begin.
+    """
+    stats = section.filter(F.col("z").isNotNull()).select(*keys, "symbol", "z", "mean", F.col("move").alias("_day_move"))
+    live_ticks = stats.select(*keys).distinct().withColumn("_live", F.lit(True))
+    h = held.join(live_ticks, keys, "left").join(stats, [*keys, "symbol"], "left")
     closed = (F.coalesce("z", F.lit(0.0)) >= -C.REVERSION_EXIT_Z) | (
-        F.coalesce(F.col("mean") - F.col("move"), F.lit(0.0)) <= C.REVERSION_EXIT_GAP)
-    return _leaving(h, F.when(closed, "gap closed").when(_move() <= C.STOP_LOSS, "stop loss")).drop("z", "mean", "move")
+        F.coalesce(F.col("mean") - F.col("_day_move"), F.lit(0.0)) <= C.REVERSION_EXIT_GAP)
+    # --- fixed values: reason texts ---
+    reason = (F.when(F.col("_live").isNull(), None).when(closed, _with_percent("gap closed", _move()))
+              .when(_move() <= C.STOP_LOSS, _with_percent("stop loss", _move())))
+    if "now" in held.columns:
+        at = second_of_day(F.col("now"))
+        reason = F.when(at >= C.HARD_EXIT_FROM, "flat before the close").when(at >= C.ENTRY_FROM, reason)
+    return _leaving(h, reason).drop("z", "mean", "_day_move", "_live")
 
 
 # --- single-symbol holds and options ---

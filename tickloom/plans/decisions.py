@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from tickloom.operators import books as B
 from tickloom.operators import costs as K
 from tickloom.operators import filters as L
+from tickloom.operators import learning as M
 from tickloom.operators import rules as U
 from tickloom.plans import views as V
 from tickloom.plans.pricing import (measured, sql_cdf, sql_charges, sql_exit_cost, sql_round_trip)
 from tickloom.plans.registry import query, r, report, rs
 from tickloom.plans.views import VIEWS, with_more, with_views
+from tickloom.session import ship_functions
+
+ship_functions(__name__)
 
 LINE = "account, order_id, line, symbol, avg_price"
 LINE_COLUMNS = ("account", "order_id", "line", "symbol", "avg_price")
@@ -75,8 +79,9 @@ AGE = "CAST(greatest(trunc((CAST(now AS DATE) - CAST(opened AS DATE)) * 5 / 7),
 @query("d04_exits_cost_aware", sell_sql(
     "holdings ranks", f"""SELECT h.*, 11e-3 * (coalesce(rank_pct, 0) - 5e-1) / 5e-1 AS gross, {AGE} AS sessions,
       {sql_exit_cost('qty * price')} AS cost FROM holdings h LEFT JOIN ranks USING (symbol) WHERE product <> 'intraday'""",
-    f"""WHEN {MOVE} <= -25e-2 THEN 'disaster stop' WHEN sessions < 63 AND gross < -cost THEN 'deteriorated'
-        WHEN sessions >= 63 AND gross <= cost THEN 'no longer covers selling'""", ", sessions"))
+    f"""WHEN {MOVE} <= -25e-2 THEN 'down ' || format('{{:,.0f}}', 100 * ({MOVE})) || '% from entry; selling regardless of rank'
+        WHEN sessions < 63 AND gross < -cost THEN 'deteriorated after ' || sessions || ' sessions, not merely gone quiet'
+        WHEN sessions >= 63 AND gross <= cost THEN 'held ' || sessions || ' sessions; expected return no longer covers selling'""", ", sessions"))
 def d04(spark, sf):
     return sold(U.exits_cost_aware(V.holdings(spark, sf), V.ranks(spark, sf)), "sessions")
 
@@ -96,13 +101,18 @@ def policies(spark, sf):
         F.when(g % 3 == 0, 8).alias("min_age"), F.when(g % 3 == 0, 0.05).alias("margin"))
 
 
+SIGNED_EXPECTED = "CASE WHEN expected >= 0 THEN '+' ELSE '' END || format('{:,.2f}', 100 * expected)"
+
+
 @query("d05_exits_model", sell_sql(
     "holdings ranks policies", f"""SELECT h.*, p.* EXCLUDE (account), (rank_pct - 5e-1) * 1e-1 AS expected,
       {sql_exit_cost('qty * price')} AS cost FROM holdings h JOIN policies p USING (account) LEFT JOIN ranks USING (symbol)""",
-    f"""WHEN NOT wild AND {MOVE} <= -25e-2 THEN 'disaster stop' WHEN NOT fresh THEN NULL
+    f"""WHEN NOT wild AND {MOVE} <= -25e-2 THEN 'disaster stop ' || format('{{:,.1f}}', 100 * ({MOVE})) || '%' WHEN NOT fresh THEN NULL
         WHEN uses_exit_model AND age >= CASE WHEN wild THEN 0 ELSE coalesce(min_age, 10) END
-         AND pred < -CASE WHEN wild THEN 0 ELSE coalesce(margin, 2e-2) END THEN 'exit model'
-        WHEN expected IS NULL THEN 'no longer scored' WHEN expected <= cost THEN 'expected below selling cost'"""))
+         AND pred < -CASE WHEN wild THEN 0 ELSE coalesce(margin, 2e-2) END THEN 'model exit model: switching expected to beat holding by ' || format('{{:,.2f}}', -100 * pred)
+           || '% over 10 sessions (held ' || age || ' sessions)'
+        WHEN expected IS NULL THEN 'model exit: no longer scored'
+        WHEN expected <= cost THEN 'model exit: expects ' || {SIGNED_EXPECTED} || '%, selling costs ' || format('{{:,.2f}}', 100 * cost) || '%'"""))
 def d05(spark, sf):
     scored = V.ranks(spark, sf).select("symbol", ((F.col("rank_pct") - 0.5) * 0.1).alias("expected"))
     held = V.holdings(spark, sf).join(scored, "symbol", "left")
@@ -159,7 +169,8 @@ NOT_HELD = "NOT EXISTS (SELECT 1 FROM book b WHERE b.account = a.account AND b.s
 VIEWS["slots"] = "SELECT account, count(*) AS names, count(*) FILTER (WHERE product <> 'entitlement') AS traded FROM book GROUP BY 1 "
 VIEWS["bought_back"] = """
  SELECT DISTINCT 'C' || l_orderkey AS account, 'P' || (l_partkey + 1) AS symbol,
-        CASE WHEN l_linenumber % 2 = 0 THEN 'disaster stop' ELSE 'deteriorated' END AS reason
+        CASE WHEN l_linenumber % 2 = 0 THEN 'down -30% from entry; selling regardless of rank'
+          ELSE 'deteriorated after 9 sessions, not merely gone quiet' END AS reason
  FROM lineitem WHERE l_returnflag = 'R' """
 
 
@@ -174,7 +185,8 @@ def bought_back(spark, sf, reasons=None):
         F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("account"),
         F.concat(F.lit("P"), (F.col("l_partkey") + 1).cast("string")).alias("symbol"),
         F.lit("SELL").alias("side"), F.lit("1998-06-02 10:00:00").cast("timestamp_ntz").alias("time"),
-        F.when(F.col("l_linenumber") % 2 == 0, "disaster stop").otherwise("deteriorated").alias("reason"))
+        F.when(F.col("l_linenumber") % 2 == 0, "down -30% from entry; selling regardless of rank")
+        .otherwise("deteriorated after 9 sessions, not merely gone quiet").alias("reason"))
     return L.barred(today, "1998-06-02", reasons)
 
 
@@ -276,7 +288,7 @@ def d09_edge(spark, sf):
           row_number() OVER (PARTITION BY a.account ORDER BY p.pos) AS pos
    FROM accounts a JOIN pick_lists p ON a.list = p.list JOIN live_prices x ON x.symbol = p.symbol
    LEFT JOIN ranks q ON q.symbol = p.symbol
-   WHERE cash >= 5000 AND {NOT_HELD} AND (a.account, p.symbol) NOT IN (SELECT (account, symbol) FROM bought_back WHERE reason = 'disaster stop'))
+   WHERE cash >= 5000 AND {NOT_HELD} AND (a.account, p.symbol) NOT IN (SELECT (account, symbol) FROM bought_back WHERE reason LIKE 'down %'))
    WHERE pos <= 12),
  sizes AS (SELECT a.account, a.pos AS n, a.cash / a.pos AS ticket, avg(11e-3 * (b.rnk - 5e-1) / 5e-1) AS mean_gross,
              min(11e-3 * (b.rnk - 5e-1) / 5e-1) AS worst FROM room a JOIN room b ON a.account = b.account AND b.pos <= a.pos
@@ -299,7 +311,7 @@ def d09_edge(spark, sf):
             FROM live l LEFT JOIN at_level t ON t.account = l.account), {sql_fills(floor=5000)}""", BOUGHT))
 def d10(spark, sf):
     a, picks, prices, book = parts(spark, sf)
-    return bought(U.entries_cost_aware(a, picks, prices, book, V.ranks(spark, sf), bought_back(spark, sf, ["disaster stop"])))
+    return bought(U.entries_cost_aware(a, picks, prices, book, V.ranks(spark, sf), bought_back(spark, sf, ["down "])))
 
 
 VIEWS["funded"] = """
@@ -370,7 +382,8 @@ VIEWS["tick_accounts"] = """
 # Each tick's account holds the names that were up at the tick.
 @query("d12_reversion_entries", with_more("section tick_accounts", f"""
  ready AS (SELECT a.*, coalesce(n, 0) AS held FROM tick_accounts a LEFT JOIN (
-     SELECT ts, count(*) AS n FROM moves WHERE move > 1 GROUP BY 1) h ON h.ts = a.ts WHERE coalesce(n, 0) < 8),
+     SELECT ts, count(*) AS n FROM moves WHERE move > 1 GROUP BY 1) h ON h.ts = a.ts
+   WHERE coalesce(n, 0) < 8 AND CAST(a.ts AS TIME) >= TIME '09:30:00' AND CAST(a.ts AS TIME) < TIME '15:05:00'),
  offers AS (SELECT * FROM (SELECT a.account, a.ts, s.symbol, cash, least(equity * 12e-2, cash) AS budget, price * 10015e-4 AS fill, held,
      (abs(z) - 25e-2) * sd AS gap, row_number() OVER (PARTITION BY a.account, a.ts ORDER BY (abs(z) - 25e-2) * sd DESC, s.symbol DESC) AS nth
    FROM ready a JOIN section s ON a.ts = s.ts WHERE z <= -1.5 AND sd >= 3e-3 AND (abs(z) - 25e-2) * sd >= 72e-4 AND move <= 1)
@@ -383,24 +396,30 @@ def d12(spark, sf):
     day = F.weekday("ts") + 1
     accounts = sec.select("ts").distinct().select(
         F.concat(F.lit("R"), day.cast("string")).alias("account"), "ts", (22000.0 + 6000 * day).alias("cash"),
-        F.lit(200000.0).alias("equity"))
+        F.lit(200000.0).alias("equity"), F.col("ts").alias("now"))
     held = sec.filter("move > 1").select(F.concat(F.lit("R"), day.cast("string")).alias("account"), "ts", "symbol")
     out = U.reversion_entries(sec, ["ts"], accounts, held)
     return report(out, "account", "ts", "symbol", "units", "expected", "cash_after", cash_after=3)
 
 
+DAY_GAIN = ("CASE WHEN h.price / avg_price - 1 >= 0 THEN '+' ELSE '' END || "
+            "format('{:,.2f}', 100 * (h.price / avg_price - 1)) || '%'")
+
+
 @query("d12_reversion_exits", with_more("section moves", """
  held AS (SELECT 'R' AS account, ts, symbol, price, price / (1 + move / 2) AS avg_price FROM moves WHERE move < 0 AND move > -1),
  live AS (SELECT DISTINCT ts FROM section WHERE z IS NOT NULL)""", f"""
  SELECT account, symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, reason FROM (
-   SELECT h.*, CASE WHEN coalesce(z, 0) >= -25e-2 OR coalesce(mean - move, 0) <= 3e-3 THEN 'gap closed'
-     WHEN h.price / avg_price - 1 <= -15e-3 THEN 'stop loss' END AS reason
-   FROM held h JOIN live USING (ts) LEFT JOIN section s ON s.ts = h.ts AND s.symbol = h.symbol AND z IS NOT NULL)
+   SELECT h.*, CASE WHEN CAST(h.ts AS TIME) >= TIME '15:05:00' THEN 'flat before the close'
+     WHEN CAST(h.ts AS TIME) < TIME '09:30:00' OR live.ts IS NULL THEN NULL
+     WHEN coalesce(z, 0) >= -25e-2 OR coalesce(mean - move, 0) <= 3e-3 THEN 'gap closed ' || {DAY_GAIN}
+     WHEN h.price / avg_price - 1 <= -15e-3 THEN 'stop loss ' || {DAY_GAIN} END AS reason
+   FROM held h LEFT JOIN live ON live.ts = h.ts LEFT JOIN section s ON s.ts = h.ts AND s.symbol = h.symbol AND z IS NOT NULL)
  WHERE reason IS NOT NULL"""))
 def d12_exits(spark, sf):
     sec = section(spark, sf)
     held = sec.filter("move < 0 AND move > -1").select(
-        F.lit("R").alias("account"), "ts", "symbol", "price", (F.col("price") / (1 + F.col("move") / 2)).alias("avg_price"))
+        F.lit("R").alias("account"), "ts", F.col("ts").alias("now"), "symbol", "price", (F.col("price") / (1 + F.col("move") / 2)).alias("avg_price"))
     return report(U.reversion_exits(held, sec, ["ts"]), "account", "symbol", "ts", "reason")
 
 
@@ -479,3 +498,40 @@ def d16(spark, sf):
         "base": F.col("avg_price"), "peak_px": F.col("avg_price") * (1 + F.col("age") / 100)})
     out = U.live_exit_features(inputs, V.prices(spark, sf)).withColumnRenamed("peak_gain", "peak")
     return report(out, "order_id", "line", "avg_price", "symbol", "gain", "peak", "from_peak")
+
+
+LIVE_FEATURES = ("gain", "peak_gain", "from_peak")
+
+
+def fixed_scorer():
+    """Stands in for a trained exit model: one weighted sum per row."""
+    return lambda f: 0.05 * f["gain"] - 0.4 * f["peak_gain"] + 0.2 * f["from_peak"]
+
+
+@query("d05_live_exit_chain", with_more("holdings ranks policies live_prices", f"""
+ asked AS (SELECT * EXCLUDE (price, pred) FROM (SELECT *, row_number() OVER (
+   PARTITION BY account ORDER BY now, order_id, line, symbol, avg_price) AS nth FROM holdings) WHERE nth % 3 = 0),
+ gains AS (SELECT a.*, price, price / avg_price - 1 AS gain,
+   greatest(avg_price * (1 + age / 100.0) / avg_price - 1, price / avg_price - 1, 0) AS peak FROM asked a JOIN live_prices USING (symbol)),
+ scored AS (SELECT g.*, p.* EXCLUDE (account), 5e-2 * gain - 4e-1 * peak + 2e-1 * ((1 + gain) / nullif(1 + peak, 0) - 1) AS pred,
+   (rank_pct - 5e-1) * 1e-1 AS expected, {sql_exit_cost('qty * price')} AS cost
+   FROM gains g JOIN policies p USING (account) LEFT JOIN ranks USING (symbol))""", f"""
+ SELECT account, order_id, line, symbol, {r('avg_price')}, {r('pred')}, reason FROM (SELECT *, CASE
+   WHEN NOT wild AND {MOVE} <= -25e-2 THEN 'disaster stop ' || format('{{:,.1f}}', 100 * ({MOVE})) || '%' WHEN NOT fresh THEN NULL
+   WHEN uses_exit_model AND age >= CASE WHEN wild THEN 0 ELSE coalesce(min_age, 10) END
+     AND pred < -CASE WHEN wild THEN 0 ELSE coalesce(margin, 2e-2) END
+   THEN 'model exit model (live, at ' || format('{{:,.2f}}', price) || '): switching expected to beat holding by '
+     || format('{{:,.2f}}', -100 * pred) || '% over 10 sessions (held ' || age || ' sessions)'
+   WHEN expected IS NULL THEN 'model exit: no longer scored'
+   WHEN expected <= cost THEN 'model exit: expects ' || {SIGNED_EXPECTED} || '%, selling costs ' || format('{{:,.2f}}', 100 * cost) || '%'
+   END AS reason FROM scored) WHERE reason IS NOT NULL"""))
+def d05_chain(spark, sf):
+    """Every third tick of an account: features at the live price, the model's answer, the exits that follow from it."""
+    ticks = V.holdings(spark, sf).drop("price", "pred").withColumns({
+        "ts": F.col("now"), "seq": F.struct("order_id", "line", "symbol", "avg_price"),
+        "base": F.col("avg_price"), "peak_px": F.col("avg_price") * (1 + F.col("age") / 100)})
+    asked = U.live_exit_features(L.every_nth(ticks, 3).drop("seq"), V.prices(spark, sf))
+    scored = M.score_with(asked, fixed_scorer, LIVE_FEATURES).withColumn("live", F.lit(True))
+    expected = V.ranks(spark, sf).select("symbol", ((F.col("rank_pct") - 0.5) * 0.1).alias("expected"))
+    policy = policies(spark, sf).select("account", "fresh", "wild", "uses_exit_model", "min_age", "margin")
+    return sold(U.exits_model(scored.join(expected, "symbol", "left"), policy), "pred")

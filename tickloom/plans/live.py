@@ -10,7 +10,7 @@ from tickloom.operators import learning as M
 from tickloom.operators import ranking as K
 from tickloom.plans import research as R
 from tickloom.plans import views as V
-from tickloom.plans.books import TODAY, ZONE
+from tickloom.plans.books import ZONE
 from tickloom.plans.registry import query, r, report, rs
 from tickloom.plans.views import FILL_ORDER, INDEX, with_views
 from tickloom.session import scratch_path
@@ -40,22 +40,28 @@ def t01(spark, sf):
     return report(J.run_to_files(J.stream_bars(live_ticks(spark, sf)), "bars"))
 
 
+def in_turn(df, clock, name, stream, mode="append"):
+    """What the stream writes of `df` arriving in three turns by `clock`, going on from its state after each."""
+    spark = df.sparkSession
+    folder, at = scratch_path(spark, f"{name}-in"), scratch_path(spark, name)
+    cuts = df.agg(F.percentile_approx(clock, [0.33, 0.67]).alias("cuts")).first()["cuts"] or []
+    for turn in range(len(cuts) + 1):
+        low = F.col(clock) > cuts[turn - 1] if turn else F.lit(True)
+        high = F.col(clock) <= cuts[turn] if turn < len(cuts) else F.lit(True)
+        df.filter(low & high).write.mode("append").parquet(folder)
+        out = J.run_to_files(stream(J.stream_files(spark, folder, df.schema)), name, mode, at)
+    return out
+
+
 @query("t02_stream_latest_quotes", with_views("dated_quotes", f"""
- SELECT symbol, {r('ltp', 'price')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY
+ SELECT symbol, CAST(trade_day AS VARCHAR) AS date, {r('ltp', 'price')} FROM (
+   SELECT *, row_number() OVER (PARTITION BY symbol, trade_day ORDER BY
    CASE WHEN last_trade_epoch > 1e11 THEN last_trade_epoch // 1000 ELSE last_trade_epoch END DESC, seq DESC) AS k
-   FROM dated_quotes WHERE symbol LIKE '%.NS' AND ltp > 0 AND volume <> 0 AND trade_day = DATE '{TODAY}') WHERE k = 1"""))
+   FROM dated_quotes WHERE symbol LIKE '%.NS' AND ltp > 0 AND volume <> 0) WHERE k = 1"""))
 def t02(spark, sf):
-    e = events(spark, sf)
-    epoch = F.unix_seconds("ts")
-    quotes = e.select(
-        F.when(F.col("user_id") % 20 == 0, F.concat(F.lit("^I"), F.col("user_id").cast("string")))
-        .otherwise(F.concat(F.lit("Q"), F.col("user_id").cast("string"), F.lit(".NS"))).alias("symbol"),
-        F.when(F.col("event_type") == "purchase", 0.0).otherwise(F.col("value")).alias("ltp"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("volume"),
-        F.when(F.col("event_id") % 2 == 1, epoch * 1000).otherwise(epoch).alias("last_trade_epoch"),
-        F.col("event_id").alias("seq"))
-    changes = J.run_to_files(J.stream_latest_quotes(quotes, TODAY, ZONE), "quotes", "update")
-    return report(changes.groupBy("symbol").agg(F.max_by("price", "batch").alias("price")))
+    quotes = V.quotes(spark, sf).select("symbol", "ltp", "volume", "last_trade_epoch", "seq", "asof")
+    changes = in_turn(quotes, "asof", "quotes", lambda q: J.stream_latest_quotes(q, ZONE), "update")
+    return report(changes.groupBy("symbol", "date").agg(F.max_by("price", "batch").alias("price")))
 
 
 @query("t03_stream_day_open", with_views("ticks", f"""
@@ -66,14 +72,26 @@ def t03(spark, sf):
     return report(changes.groupBy("symbol", "date").agg(F.max_by("open", "batch").alias("open")))
 
 
+def streamed_fills(spark, sf):
+    fills = V.ledger(spark, sf).drop("reason")
+    return in_turn(fills, "time", "positions", lambda f: J.stream_positions(f, list(FILL_ORDER)))
+
+
 @query("t04_stream_positions", with_views("fills_done", f"""
- SELECT account, symbol, order_id, line, part, side, units, qty_after, {r('avg_after', places=4)} FROM fills_done"""))
+ SELECT account, symbol, order_id, line, part, side, units, qty_after,
+        {r('CASE WHEN units > 0 THEN avg_after END', 'avg_after', 4)}, {r('costs', places=4)}, {r('pnl', places=3)} FROM fills_done"""))
 def t04(spark, sf):
-    folder = scratch_path(spark, "fills")
-    V.ledger(spark, sf).select("account", "symbol", *FILL_ORDER, "side", "qty", "price").write.parquet(folder)
-    fills = J.stream_files(spark, folder, spark.read.parquet(folder).schema)
-    out = J.run_to_files(J.stream_positions(fills, list(FILL_ORDER)), "positions")
-    return report(out, "account", "symbol", "order_id", "line", "part", "side", "units", "qty_after", "avg_after", places=4)
+    return report(streamed_fills(spark, sf), "account", "symbol", "order_id", "line", "part", "side", "units", "qty_after",
+                  "avg_after", "costs", "pnl", places=4, pnl=3)
+
+
+@query("t04_stream_cash", with_views("fills_done", f"""
+ SELECT account, {r("200000 + sum(CASE WHEN side = 'BUY' THEN -moved ELSE moved END - costs)", 'cash_after', 2)},
+        {r('sum(costs)', 'costs', 2)}, {r('sum(pnl)', 'pnl', 2)}, count(*) AS fills FROM fills_done GROUP BY 1"""))
+def t04_cash(spark, sf):
+    changes = in_turn(streamed_fills(spark, sf), "time", "cash", J.stream_cash, "update")
+    last = changes.groupBy("account").agg(F.max_by(F.struct("cash", "costs", "pnl", "fills"), "batch").alias("last"))
+    return report(last.select("account", F.col("last.cash").alias("cash_after"), "last.costs", "last.pnl", "last.fills"), places=2)
 
 
 @query("t05_stream_alert_ids", """

@@ -10,13 +10,16 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom import constants as C
-from tickloom.functions.calendar import second_of_day
+from tickloom.functions.calendar import second_of_day, to_zone
 from tickloom.functions.stats import order_key
+from tickloom.operators.books import realised
 from tickloom.operators.filters import valid_quotes
 from tickloom.session import scratch_path, ship_functions
 
@@ -34,26 +37,38 @@ def stream_files(spark: SparkSession, folder: str, schema, name: str = "*.parque
     return reader.parquet(folder)
 
 
-def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over everything available and returns what it wrote.
+def run_to_files(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Runs the stream over everything that has arrived since the last run and returns all that it wrote.
 
-    Append mode writes parquet directly. Update mode writes each batch's changed rows with its `batch` id,
-    so a consumer keeps the newest row per key.
+    Output and state lie under `at`, so that a later run goes on from there; a new folder by default. Append mode writes
+    parquet directly. Update mode writes each batch's changed rows with its `batch` id, so a consumer keeps the newest
+    row per key.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
-    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode(mode)
+    at = at or scratch_path(spark, name)
+    out = f"{at}/out"
+    writer = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode(mode)
+    schema = stream.schema
     if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-        schema = stream.schema
+        writer = writer.format("parquet").option("path", out)
     else:
         def save(batch: DataFrame, n: int) -> None:
             batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/part={n}")
-        query = writer.foreachBatch(save).start()
-        schema = None
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(out) if schema is not None else spark.read.parquet(out).drop("part")
+        writer = writer.foreachBatch(save)
+        schema = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)                  # a query keeps the store it was started with
+    try:
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    try:
+        return spark.read.schema(schema).parquet(out).select(*schema.names)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":       # nothing has arrived yet
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def stream_bars(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -69,13 +84,20 @@ def stream_bars(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
         .select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume"))
 
 
-def stream_latest_quotes(quotes: DataFrame, today: Column | str, zone: str | None = C.EXCHANGE_ZONE) -> DataFrame:
-    """Newest valid quote per symbol; stale and foreign quotes never enter the state. Update mode."""
-    order = F.struct("last_trade_epoch", "seq")
-    seconds = F.when(F.col("last_trade_epoch") > 1e11, F.floor(F.col("last_trade_epoch") / 1000)).otherwise(
-        F.col("last_trade_epoch"))
-    return (valid_quotes(quotes, today, zone).withColumn("last_trade_epoch", seconds)
-            .groupBy("symbol").agg(F.max_by("ltp", order).alias("price"), F.max("last_trade_epoch").alias("epoch")))
+def stream_latest_quotes(quotes: DataFrame, zone: str | None = C.EXCHANGE_ZONE, delay: str = "1 day") -> DataFrame:
+    """Newest valid quote per symbol and trade day. Update mode.
+
+    Quotes older than the delay and quotes dated after the clock of their micro-batch never enter the state, and a day
+    leaves it once the delay has passed. The reader picks the day it calls today.
+    """
+    epoch = F.col("last_trade_epoch")
+    seconds = F.when(epoch > 1e11, F.floor(epoch / 1000)).otherwise(epoch)
+    good = valid_quotes(quotes).withColumn("last_trade_epoch", seconds).filter(
+        F.timestamp_seconds("last_trade_epoch") <= F.current_timestamp())
+    return (good.withColumn("traded", to_zone(F.timestamp_seconds("last_trade_epoch"), zone)).withWatermark("traded", delay)
+            .groupBy("symbol", F.window("traded", "1 day").alias("w"))
+            .agg(F.max_by("ltp", F.struct("last_trade_epoch", "seq")).alias("price"), F.max("last_trade_epoch").alias("epoch"))
+            .select("symbol", F.to_date("w.start").alias("date"), "price", "epoch"))
 
 
 def stream_day_open(ticks: DataFrame, opens_at: int = C.SESSION_OPEN) -> DataFrame:
@@ -87,7 +109,7 @@ def stream_day_open(ticks: DataFrame, opens_at: int = C.SESSION_OPEN) -> DataFra
 
 
 class HoldingState(StatefulProcessor):
-    """Quantity and moving-average cost of one account's holding, fill by fill."""
+    """Quantity and moving-average cost of one account's open holding, fill by fill; forgotten once it is sold."""
 
     def __init__(self, order: list[str]):
         self.order = order
@@ -99,35 +121,51 @@ class HoldingState(StatefulProcessor):
         qty, avg = self.holding.get() if self.holding.exists() else (0, 0.0)
         fills = pd.concat(list(rows)).sort_values(self.order)      # one key's fills of one micro-batch
         units, after, cost = [], [], []
-        for side, n, price in zip(fills["side"], fills["qty"], fills["price"]):
-            if side == "BUY":
-                avg = (avg * qty + n * price) / (qty + n)
-                qty += n
-            else:
+        for side, n, price in zip(fills["side"].str.upper(), fills["qty"], fills["price"]):
+            n = 0 if pd.isna(n) else int(n)
+            if side != "BUY":
                 n = min(n, qty)
                 qty -= n
+            elif n:
+                avg = (avg * qty + n * price) / (qty + n)
+                qty += n
             units.append(n)
             after.append(qty)
-            cost.append(avg)
-        self.holding.update((int(qty), float(avg)))
-        yield fills.assign(units=units, qty_after=after, avg_after=cost)
+            cost.append(avg if n else None)
+        if qty:
+            self.holding.update((int(qty), float(avg)))
+        elif self.holding.exists():
+            self.holding.clear()
+        yield fills.assign(units=units, qty_after=after, avg_after=pd.Series(cost, index=fills.index, dtype="float64"))
 
     def close(self) -> None:
         pass
 
 
 def stream_positions(fills: DataFrame, order: list[str]) -> DataFrame:
-    """Fills with the holding after each, keyed by account and symbol so that no account is one task.
+    """Fills with the holding after each, its charges and what a sale earned.
 
-    Fills must arrive in time order from one micro-batch to the next; within one they are sorted.
-    Needs account, symbol, side, qty, price and `order`.
+    Keyed by account and symbol so that no account is one task; charges and profit follow without state. Fills must
+    arrive in time order from one micro-batch to the next; within one they are sorted. A fill that moves nothing has no
+    average. Needs account, symbol, side, qty, price, product, broker and `order`.
     """
-    columns = ["account", "symbol", *order, "side", "qty", "price"]
+    columns = ["account", "symbol", *order, "side", "qty", "price", "product", "broker"]
     rows = fills.select(*dict.fromkeys(columns))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in rows.columns) + ", units bigint, qty_after bigint, avg_after double"
-    return rows.groupBy("account", "symbol").transformWithStateInPandas(
-        HoldingState(order), schema, outputMode="Append", timeMode="None")
+    return realised(rows.groupBy("account", "symbol").transformWithStateInPandas(
+        HoldingState(order), schema, outputMode="Append", timeMode="None"))
+
+
+def stream_cash(done: DataFrame, start_cash: float = C.START_CASH) -> DataFrame:
+    """Cash, charges paid and realised profit of each account after its fills so far. Update mode.
+
+    Takes what `stream_positions` wrote. Sums, so the fills of an account meet in partial sums and in any order.
+    """
+    flow = F.when(F.lower("side") == "buy", -F.col("value")).otherwise(F.col("value")) - F.col("costs")
+    sums = done.groupBy("account").agg(
+        F.sum(flow).alias("flow"), F.sum("costs").alias("costs"), F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("fills"))
+    return sums.select("account", (F.lit(start_cash) + F.col("flow")).alias("cash"), "costs", "pnl", "fills")
 
 
 def stream_alerts(events: DataFrame, delay: str = "2 days") -> DataFrame:
