@@ -51,6 +51,19 @@ def test_pick_files(spark, tmp_path):
     assert P.read_picks(spark, str(tmp_path / "absent.json"))[0].count() == 0
 
 
+def test_model_maps(spark, tmp_path):
+    doc = {"asof": "2026-09-29", "entry_wait": {"A.NS": 0.01}, "exit_rule": {"min_age": 5, "margin": 0.03},
+           "exit_scores": {"x": {"A.NS": {"pred": -0.1, "age": 7}}, "y": {}}, "exit_inputs": {"x": {"A.NS": {"base": 9.0, "peak_px": None}}}}
+    (tmp_path / "m.json").write_text(json.dumps(doc, indent=1))
+    wait, scores, rule, inputs = P.read_model_maps(spark, str(tmp_path / "m.json"))
+    assert wait.select("asof", "symbol", "wait").collect() == [("2026-09-29", "A.NS", 0.01)]
+    assert scores.select("account", "symbol", "pred", "age").collect() == [("x", "A.NS", -0.1, 7)]
+    assert rule.select("min_age", "margin").collect() == [(5, 0.03)]
+    assert sorted(tuple(r) for r in inputs.select("account", "symbol", "name", "value").collect()) == [
+        ("x", "A.NS", "base", 9.0), ("x", "A.NS", "peak_px", None)]
+    assert [t.count() for t in P.read_model_maps(spark, str(tmp_path / "absent.json"))] == [0, 0, 0, 0]
+
+
 def test_export(spark):
     scores = spark.createDataFrame([(f"S{i}", "n", float(i // 2)) for i in range(10)] + [("GILT1", "n", 99.0)],
                                    "symbol string, name string, score double")

@@ -79,7 +79,7 @@ DEFAULT_VOL = 0.2
 # --- fixed values: books and alerts ---
 ALLOCATOR_LOOKBACK, SWITCH_COST, ALLOCATOR_MIN_ROWS = 20, 0.002, 5
 BIG_MOVE = 0.02
-GOAL_PCT = 10.0
+GOAL_PCT, GOAL_BY = 10.0, "2026-10-31"
 
 # --- fixed values: names that are not companies ---
 FUND_WORDS = ("ETF", "BEES", "LIQUID", "LIQID", "BETA", "NEXT50", "NIFTY", "SENSEX", "GOLD", "SILVER",

@@ -72,13 +72,14 @@ def realised(folded: DataFrame, broker: str = "broker") -> DataFrame:
 
 
 def positions_from_ledger(folded: DataFrame, order: list[str]) -> DataFrame:
-    """Open holdings: quantity, average cost, and when and as what the current holding was opened."""
+    """Open holdings: quantity, average cost, and when and as what (and until when, if fills say) the current one was opened."""
     at = F.struct(*order)
     opens = (F.upper("side") == "BUY") & (F.col("qty_after") == F.col("units"))
     return (folded.groupBy(*KEYS).agg(
         F.max_by("qty_after", at).alias("qty"), F.max_by("avg_after", at).alias("avg_price"),
         F.max(F.when(opens, F.col("time"))).alias("opened"),
-        F.max_by("product", F.when(opens, at)).alias("product")).filter(F.col("qty") > 0))
+        F.max_by("product", F.when(opens, at)).alias("product"),
+        *[F.max_by(c, F.when(opens, at)).alias(c) for c in ("exit_on",) if c in folded.columns]).filter(F.col("qty") > 0))
 
 
 def cash_from_ledger(done: DataFrame, start_cash: float = C.START_CASH) -> DataFrame:
@@ -126,6 +127,22 @@ def mark_close(positions: DataFrame, closes: DataFrame, at_least: float = 0.9) -
             .withColumn("marked", F.col("_close").isNotNull()).drop("_close"))
 
 
+def close_equity(accounts: DataFrame, positions: DataFrame, closes: DataFrame, day: Column | str,
+                 at_least: float = 0.9) -> DataFrame:
+    """One mark per account at the session's end, after `mark_close`: cash and holdings at their official closes.
+
+    Holdings without one keep their last mark. No marks while too few holdings have a close. Values are exact; reports
+    round them to cents. `accounts` (account, cash).
+    """
+    day = F.lit(day).cast("date") if isinstance(day, str) else day
+    covered = close_coverage(positions, closes, at_least).select((F.col("enough") | (F.col("held") == 0)).alias("ok")).scalar()
+    held = mark_close(positions, closes, at_least).groupBy("account").agg(
+        F.sum(F.col("qty") * F.coalesce("last_price", "avg_price")).alias("_held"))
+    at = day.cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(C.SESSION_CLOSE))
+    return accounts.join(held, "account", "left").filter(covered).select(
+        "account", at.alias("time"), (F.col("cash") + F.coalesce("_held", F.lit(0.0))).alias("equity"))
+
+
 # --- equity curves ---
 
 def day_marks(equity: DataFrame) -> DataFrame:

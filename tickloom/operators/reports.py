@@ -48,9 +48,10 @@ def account_summary(accounts: DataFrame, ledger: DataFrame, equity: DataFrame, p
 
 
 def holdings_report(valued: DataFrame) -> DataFrame:
-    """The summary's holdings: average and last price rounded for display."""
+    """The summary's holdings: average and last price rounded for display, and the day each is to be sold (if any)."""
+    until = F.col("exit_on") if "exit_on" in valued.columns else F.lit(None).cast("date")
     return valued.select("account", "symbol", "qty", F.round("avg_price", 2).alias("avg_price"),
-                         F.round("mark", 2).alias("last"))
+                         F.round("mark", 2).alias("last"), until.alias("exit_on"))
 
 
 def leaderboard(summary: DataFrame, by: str = "return_pct") -> DataFrame:
@@ -67,6 +68,19 @@ def summary_document(summary: DataFrame) -> DataFrame:
     return summary.select("account", F.to_json(F.struct(*summary.columns), {"ignoreNullFields": "false"}).alias("doc"))
 
 
+def summary_head(combined: DataFrame, updated: str, picks_asof: str, start_cash: float = C.START_CASH,
+                 target: float = C.GOAL_PCT, by: str = C.GOAL_BY) -> DataFrame:
+    """The summary's common part as one JSON text: when it was made, the goal and the combined book's newest day.
+
+    Its accounts are the rows of `summary_document`, its holdings those of `holdings_report`, its weights those of
+    `allocator_weights`: a document holds no table of unknown size.
+    """
+    last = combined.agg(F.max_by(F.struct(F.col("day").cast("string").alias("date"), "equity"), "day").alias("combined"))
+    head = F.struct(F.lit(updated).alias("updated"), F.lit(picks_asof).alias("picks_asof"), F.lit(start_cash).alias("start_cash"),
+                    F.struct(F.lit(target).alias("target_pct"), F.lit(by).alias("by")).alias("goal"), "combined")
+    return last.select(F.to_json(head, {"ignoreNullFields": "false"}).alias("doc"))
+
+
 def signed_money(value: Column, places: int = 0) -> Column:
     """Thousands separated, with an explicit sign."""
     text = F.format_number(value, places)

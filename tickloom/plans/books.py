@@ -353,6 +353,16 @@ def r01(spark, sf):
                   "account", "symbol", "last_price", "prev_close", "marked")
 
 
+@query("r01_close_equity", with_more("book accounts marked_book gapped prices live_prices", f"""
+ usable AS (SELECT * FROM prices WHERE symbol NOT IN (SELECT symbol FROM gapped) AND {COVERED})""", f"""
+ SELECT account, '1998-06-02 15:30:00' AS time, {r('cash + coalesce(held, 0)', 'equity', 2)}
+ FROM accounts LEFT JOIN (SELECT account, sum(qty * coalesce(price, last_price, avg_price)) AS held
+   FROM marked_book m LEFT JOIN usable u ON m.symbol = u.symbol GROUP BY 1) USING (account) WHERE {COVERED}"""))
+def r01_equity(spark, sf):
+    marks = B.close_equity(V.accounts(spark, sf), marked_book(spark, sf), V.prices(spark, sf), "1998-06-02")
+    return report(marks, "account", "time", "equity", places=2)
+
+
 VIEWS["option_book"] = """
  SELECT l_orderkey, l_linenumber, l_partkey, p_retailprice AS spot,
         round_even(p_retailprice / 50, 0) * 50 + (l_linenumber - 4) * 50 AS strike,
@@ -489,11 +499,16 @@ def a04(spark, sf):
     return report(summaries(spark, sf), "account", "open_positions", "closed_trades", *SUMMARY_NUMBERS.split(), places=3)
 
 
-@query("a04_holdings", with_views("held_now supply_prices", f"""
- SELECT account, symbol, qty, {r('avg_price', places=2)}, {r('coalesce(price, avg_price)', 'last', 2)}
- FROM held_now LEFT JOIN supply_prices USING (symbol)"""))
+@query("a04_holdings", with_more("fills_done held_now supply_prices", """
+ until AS (SELECT account, symbol, arg_max(CAST(CAST(time AS DATE) + CAST(qty AS INTEGER) AS VARCHAR), nth)
+             FILTER (WHERE side = 'BUY' AND qty_after = units) AS exit_on FROM fills_done WHERE product = 'delivery' GROUP BY 1, 2)""", f"""
+ SELECT account, symbol, qty, {r('avg_price', places=2)}, {r('coalesce(price, avg_price)', 'last', 2)}, exit_on
+ FROM held_now LEFT JOIN supply_prices USING (symbol) LEFT JOIN until USING (account, symbol)"""))
 def a04_holdings(spark, sf):
-    return report(R.holdings_report(B.value_positions(held_now(spark, sf), supply_prices(spark, sf))), places=2)
+    dated = V.ledger(spark, sf).withColumn("exit_on", F.when(
+        F.col("product") == "delivery", F.date_add(F.to_date("time"), F.col("qty").cast("int"))))
+    held = B.positions_from_ledger(B.fold_ledger(dated, list(FILL_ORDER)), list(FILL_ORDER))
+    return report(R.holdings_report(B.value_positions(held, supply_prices(spark, sf))), places=2)
 
 
 @query("r06_goal_progress", with_views("summaries", f"""
@@ -519,12 +534,18 @@ def k03(spark, sf):
     return report(t, "account", "symbol", "side", "day", "order_id", "line")
 
 
-@query("r03_summary_document", with_views("summaries", """
+@query("r03_summary_document", with_views("summaries alloc_days", """
  SELECT account, CAST(to_json({account: account, equity: equity, return_pct: return_pct, open_positions: open_positions,
-   closed_trades: closed_trades, win_rate_pct: win_rate_pct}) AS VARCHAR) AS doc FROM summaries"""))
+   closed_trades: closed_trades, win_rate_pct: win_rate_pct, goal_pct: goal_pct, goal_progress_pct: goal_progress_pct})
+   AS VARCHAR) AS doc FROM summaries
+ UNION ALL SELECT NULL, CAST(to_json({updated: '1998-08-02T15:30:00', picks_asof: '1998-08-01', start_cash: 200000e0,
+   goal: {target_pct: 10e0, "by": '2026-10-31'}, combined: {date: CAST(max(day) AS VARCHAR), equity: arg_max(equity, day)}})
+   AS VARCHAR) FROM alloc_days"""))
 def r03(spark, sf):
-    return R.summary_document(summaries(spark, sf).select(
-        "account", "equity", "return_pct", "open_positions", "closed_trades", "win_rate_pct"))
+    accounts = R.summary_document(summaries(spark, sf).select(
+        "account", "equity", "return_pct", "open_positions", "closed_trades", "win_rate_pct", "goal_pct", "goal_progress_pct"))
+    head = R.summary_head(B.allocator(V.equity(spark, sf)), "1998-08-02T15:30:00", "1998-08-01")
+    return accounts.unionByName(head, allowMissingColumns=True)
 
 
 @query("r04_report_lines", with_views("summaries", """
@@ -655,6 +676,41 @@ def s06_ranks(spark, sf):
     return report(P.export_picks(V.scores(spark, sf))[1], places=4)
 
 
+@query("s04_model_maps", with_views("pick_lists", f"""
+ SELECT list AS source, NULL AS account, symbol, 'wait' AS name, {r('wait', 'value')} FROM pick_lists
+ UNION ALL SELECT list, 'desk ' || list, symbol, 'pred', {r('expected', 'value')} FROM pick_lists
+ UNION ALL SELECT list, 'desk ' || list, symbol, 'age', {r('size', 'value')} FROM pick_lists
+ UNION ALL SELECT list, 'desk ' || list, symbol, 'gain', {r('round(score / 1000, 6)', 'value')} FROM pick_lists
+ UNION ALL SELECT list, 'desk ' || list, symbol, 'rank', {r('pos', 'value')} FROM pick_lists
+ UNION ALL SELECT list, NULL, NULL, 'min_age', {r('min(size)', 'value')} FROM pick_lists GROUP BY list
+ UNION ALL SELECT list, NULL, NULL, 'margin', {r('max(wait)', 'value')} FROM pick_lists GROUP BY list"""))
+def s04_maps(spark, sf):
+    def by_symbol(value):
+        return F.map_from_entries(F.collect_list(F.struct("symbol", value)))
+
+    def by_desk(value):
+        return F.create_map(F.concat(F.lit("desk "), F.col("source")), by_symbol(value))
+
+    path = scratch_path(spark, "model-picks")
+    inputs = F.create_map(F.lit("gain"), F.round(F.col("score") / 1000, 6), F.lit("rank"), F.col("pos").cast("double"))
+    (V.pick_lists(spark, sf).withColumnRenamed("list", "source").groupBy("source").agg(
+        by_symbol(F.col("wait")).alias("entry_wait"),
+        by_desk(F.struct(F.col("expected").alias("pred"), F.col("size").cast("int").alias("age"))).alias("exit_scores"),
+        F.struct(F.min("size").cast("int").alias("min_age"), F.max("wait").alias("margin")).alias("exit_rule"),
+        by_desk(inputs).alias("exit_inputs")).write.json(path))
+    wait, scores, rule, features = P.read_model_maps(spark, f"{path}/*.json", one_per_line=True)
+    none = F.lit(None).cast("string")
+
+    def rows(df, account, symbol, *names):
+        pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
+        return df.select("source", account.alias("account"), symbol.alias("symbol"), F.inline(pairs))
+
+    desk, symbol = F.col("account"), F.col("symbol")
+    out = rows(wait, none, symbol, "wait").unionByName(rows(scores, desk, symbol, "pred", "age")).unionByName(
+        rows(rule, none, none, "min_age", "margin")).unionByName(features.select("source", "account", "symbol", "name", "value"))
+    return report(out)
+
+
 @query("s04_pick_files", with_views("pick_lists", f"""
  SELECT list AS source, symbol, pos, {r('round(score, 6)', 'score')}, {r('round(rank_pct, 4)', 'rank_pct', 4)} FROM pick_lists"""))
 def s04(spark, sf):

@@ -14,7 +14,8 @@ PICKS_SCHEMA = ("asof string, market string, source string, "
                 "horizon:int,rank:int>>, ranks map<string,double>, expected map<string,double>, "
                 "entry_wait map<string,double>, "
                 "exit_scores map<string,map<string,struct<pred:double,age:int>>>, "
-                "exit_rule struct<min_age:int,margin:double>")
+                "exit_rule struct<min_age:int,margin:double>, "
+                "exit_inputs map<string,map<string,map<string,double>>>")
 
 
 def _documents(spark: SparkSession, path: str, schema: str, one_per_line: bool = False) -> DataFrame:
@@ -42,6 +43,25 @@ def read_picks(spark: SparkSession, path: str, blocklist: DataFrame | None = Non
     return tuple(companies_only(t, blocklist) for t in (top, ranks, expected))
 
 
+def read_model_maps(spark: SparkSession, path: str, schema: str = PICKS_SCHEMA, one_per_line: bool = False
+                    ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a model's pick file says beyond its picks, as tables headed by asof, market and source.
+
+    (symbol, wait): what waiting a session is worth. (account, symbol, pred, age): last night's exit scores. (min_age,
+    margin): the rule they are read by. (account, symbol, name, value): the exit model's inputs, one row each.
+    """
+    docs = _documents(spark, path, schema, one_per_line).withColumn("asof", F.coalesce("asof", F.lit("unknown")))
+    head = ["asof", "market", "source"]
+    wait = docs.select(*head, F.explode("entry_wait").alias("symbol", "wait"))
+    scores = (docs.select(*head, F.explode("exit_scores").alias("account", "_m"))
+              .select(*head, "account", F.explode("_m").alias("symbol", "_s")).select(*head, "account", "symbol", "_s.*"))
+    rule = docs.filter(F.col("exit_rule").isNotNull()).select(*head, "exit_rule.*")
+    inputs = (docs.select(*head, F.explode("exit_inputs").alias("account", "_m"))
+              .select(*head, "account", F.explode("_m").alias("symbol", "_f"))
+              .select(*head, "account", "symbol", F.explode("_f").alias("name", "value")))
+    return wait, scores, rule, inputs
+
+
 def as_of(spark: SparkSession, path: str) -> DataFrame:
     """The file's as-of text: `unknown` when it has none, `none` when there is no file."""
     docs = _documents(spark, path, PICKS_SCHEMA)
