@@ -81,7 +81,8 @@ def test_encoder_equals_the_tokenizer(vocabulary):
     texts = ["", "a\x1cb ĿÉ ÉÉÉ, don't it's. x.,y a|b | || É.  z\xa0q İstanbul ΣΑΣ. <|endoftext|>A <|EndOfText|> KK é. ́x .,a. 1. 12, ,.",
              "... 'S 'LL we'Ve. a.' a,'s ŉ Å ﬁ ß ẞ straße… x…, „y“. 漢字。 été, É!! naïve-ly co­op", "\x0b\x0c\x85 x y\r\n\tz"]
     rng = random.Random(5)
-    alphabet = "aAéÉßẞ.,'|<> \t\n12½²́…İıŒŸ漢🙂-"
+    texts += ["J\u030c H\u0331 T\u0308 W\u030a Y\u030a I\u0327\u0307 JJ\u030cJ, I\u0344 J I", "AI\u0327\u0307\u2028\x00"]
+    alphabet = "JI\u030c\u0307\u0327aAéÉßẞ.,'|<> \t\n12½²́…İıŒŸ漢🙂-"
     texts += ["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(2_000)]
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text

@@ -12,6 +12,7 @@ import numpy as np
 HELD = 64 << 20                        # bytes of words and ids kept per worker
 # lower-case Latin letters that are single characters in composed form, then marks of ASCII but the apostrophe
 LETTERS = "a-zß-öø-įı-ňŊ-ſ"
+COMBINING = re.compile(b"[\xcc\xcd]")   # first bytes of U+0300 to U+037F, the marks that compose with A-Z
 PLAIN = re.compile(f"([{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
 
 
@@ -33,7 +34,10 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if "<|" in text:                                   # may hold a special token, which has a case
             return self.whole([text])[0]
-        words = text.encode().lower().split()              # on bytes: A-Z and ASCII white space alone
+        body = text.encode()
+        if not COMBINING.search(body):                     # a capital may compose with a mark where its small letter does not
+            body = body.lower()
+        words = body.split()                               # on bytes: A-Z and ASCII white space alone
         ids = list(map(self.known.get, words))
         if None in ids:
             new = {w for w, known in zip(words, ids, strict=True) if known is None}
