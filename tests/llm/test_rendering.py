@@ -38,6 +38,8 @@ def test_keeps_all_text_whatever_the_markup():
     assert shown(deep) == "core"
     assert shown("<a " * 50_000) == ""
     assert shown("<p>x</i>" * 20_000).count("x") == 20_000
+    nested = shown("<ul><li>x" * 5_000)
+    assert nested.count("x") == 5_000 and len(nested) < 5_000 * 80
     wide = "<table>" + "<tr><td>" + "y" * 5_000 + "<td>z" * 3 + "</table>"
     assert shown(wide).count("y") == 5_000 and shown(wide).count("z") == 3
 

@@ -37,6 +37,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 WHITE = re.compile("[ \t\n\r\f]+")
 PADDED = 80             # widest column that others are aligned behind
+INDENTS = 32            # levels of lists and quotes that are shown by an indent; deeper ones stand like the last
 
 
 class Node:
@@ -204,9 +205,9 @@ class Lines:
         if self.done:
             self.done.extend([""] * self.gap)
         self.gap = 0
-        lead = "".join(self.indent)
+        lead = "".join(self.indent[:INDENTS])
         if self.mark:
-            lead = lead[:len(lead) - len(self.mark)] + self.mark
+            lead = lead[:max(0, len(lead) - len(self.mark))] + self.mark
             self.mark = ""
         self.done.append((lead + line).rstrip())
 
