@@ -55,3 +55,10 @@ def test_cut_text_keeps_its_white_space(spark):
     df = spark.createDataFrame([(1, "a\n b  c\td e", "s", 11)], "doc_id bigint, text string, source string, n_chars bigint")
     got = sorted(mixed_documents(df).collect(), key=lambda r: -len(r["text"]))
     assert [(r["text"], r["n_chars"]) for r in got] == [("a\n b  c\td e", 11), ("a\n b", 4)]
+
+
+def test_extra_columns_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", {"k": 1}, [{"k": 2}]), (1, "a b", "s", None, None)],
+                                 "doc_id int, text string, source string, m map<string, int>, size array<map<string, int>>")
+    out = mixed_documents(docs, share=2.0)
+    assert out.columns == docs.columns and sorted(str(r["m"]) for r in out.collect()) == ["None", "None", "{'k': 1}", "{'k': 1}"]

@@ -57,12 +57,13 @@ def mix(rows: DataFrame, id: str, source: str, size: str, weights: Sequence[floa
     of a result column are replaced. Runs agree.
     """
     own = [c for c in rows.columns if c not in ("source_size", "target", "taken")]
+    maps = [c for c in own if "map<" in rows.schema[c].dataType.simpleString()]        # have no hash, but a text
     packed = rows.select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(source, F.lit("")).alias("s"),
         F.col(source).isNull().alias("none"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"),
         F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id).cast("string"), F.lit("null")))), 1, 15),
                16, 10).cast("bigint").alias("key"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in own]).alias("tie"))
+        F.xxhash64(*[F.col(f"`{c}`").cast("string") if c in maps else F.col(f"`{c}`") for c in own]).alias("tie"))
     packed = packed.withColumn("part", F.shiftright("key", KEY_BITS - RANGE_BITS))
     part = ["none", "s", "part"]
     ranges = saved(packed.groupBy(*part).agg(F.sum("size").alias("size")))
