@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 BUCKETS, DIMENSIONS = 4_096, 16
 PER_LANGUAGE, LANGUAGES = 500, 100       # texts of a language in the sample, and languages, at most
 EPOCHS, RATE, BATCH = 40, 20.0, 32
+SPLITS = 64                              # splits in which a language's first texts are sought
 REJECTED = 0.001                         # share of rightly labelled texts that may be rejected
 AT_ONCE = 2 << 20                        # bytes of text hashed at once
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -141,9 +142,11 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     known = docs.select(F.col(id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).isNotNull().alias("ok"),
                         F.xxhash64(id).alias("mark")).where("ok and lang is not null and id is not null").where(~held_out(F.col("id")))
     common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    first = Window.partitionBy("lang").orderBy("mark", "id")
-    picked = (known.join(F.broadcast(common), "lang").select("id", "lang", "mark").withColumn("place", F.row_number().over(first))
-              .where(F.col("place") <= PER_LANGUAGE).select("id", "lang", "mark"))
+    picked = known.join(F.broadcast(common), "lang").select("id", "lang", "mark", (F.spark_partition_id() % SPLITS).alias("split"))
+    for keys in (["lang", "split"], ["lang"]):             # each task's first, then each split's, then a language's
+        first = Window.partitionBy(*keys).orderBy("mark", "id")
+        picked = picked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PER_LANGUAGE).drop("place")
+    picked = picked.drop("split")
     texts = docs.select(F.col(id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     # at most PER_LANGUAGE x LANGUAGES rows, each a short id
     sample = texts.join(F.broadcast(picked), ["id", "lang"]).where("text is not null").dropDuplicates(["id", "lang"])
