@@ -4,7 +4,7 @@ import xxhash
 
 from tickloom.llm import simhash
 from tickloom.llm.shared import Links, components, forest
-from tickloom.llm.simhash import near_dedup, near_links, simhash_groups
+from tickloom.llm.simhash import near_dedup, near_links, shingle_set, similar_dedup, simhash_groups
 
 
 def plain_fingerprint(text, width):
@@ -112,3 +112,56 @@ def test_long_text_in_pieces(monkeypatch):
     text = " ".join(f"word{i % 313}" for i in range(20_000))
     monkeypatch.setattr(simhash, "VOTES", 1_000)
     assert simhash.majority(simhash.shingle_hashes(text.encode(), 5)) & (2 ** 64 - 1) == plain_fingerprint(text, 5)
+
+
+def by_resemblance(texts, similarity=0.8):
+    """Ids that stay, by exact resemblance of all pairs."""
+    sets = {i: set(shingle_set((t or "").encode(), 5).tolist()) for i, t in texts.items()}
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or
+            len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity)]
+    return set(groups(ids, near).values())
+
+
+def test_pipeline_stage_matches_brute_force_resemblance(spark, small):
+    import corpus_pipeline
+    kept = corpus_pipeline.simhash_dedup(spark, small, "")
+    assert {r["doc_id"] for r in kept.collect()} == by_resemblance({r["doc_id"]: r["text"] for r in small.collect()})
+
+
+def test_resemblance_decides_at_its_very_bound(spark):
+    """Copies with some words changed, from just over to just under the bound; a chain; a common beginning and end."""
+    rng = np.random.default_rng(5)
+    texts = {}
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, int(rng.integers(3, 300)))]
+        for copy in range(5):
+            changed = list(words)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 1 + len(words) // 40))):
+                changed[at] = f"c{copy}"
+            texts[10 * base + copy] = " ".join(changed)
+    common = " ".join(f"same{i}" for i in range(60))
+    for i in range(40):
+        texts[1_000 + i] = common + "".join(f" own{i}x{k}" for k in range(10 + i % 8))
+    texts |= {2_000: " ".join(f"x{i}" for i in range(13)), 2_001: " ".join(f"x{i}" for i in range(12))}    # 8 of 9
+    texts |= {2_002: " ".join(f"y{i}" for i in range(9)), 2_003: " ".join(f"y{i}" for i in range(8))}      # 4 of 5
+    texts |= {2_004: " ".join(f"z{i}" for i in range(8)), 2_005: " ".join(f"z{i}" for i in range(7))}      # 3 of 4
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in similar_dedup(df).collect()}
+    assert kept == by_resemblance(texts) and not kept & {2_001, 2_003} and kept >= {2_004, 2_005}
+
+
+def test_resemblance_of_odd_rows(odd_docs, no_docs):
+    kept = similar_dedup(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (False, 6), (False, 7), (False, 8), (True, None)]
+    assert similar_dedup(no_docs).collect() == []
+
+
+def test_parities_rule_out_no_pair_that_resembles():
+    rng = np.random.default_rng(1)
+    for n in (1, 9, 300, 5_000):
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 10:], rng.integers(0, 2 ** 63, n // 10).astype(np.uint64)]))
+        bits = np.bitwise_count(simhash.parities(a) ^ simhash.parities(b)).sum()
+        assert bits <= len(np.setxor1d(a, b))

@@ -1,4 +1,4 @@
-"""SimHash near copies: fingerprints, and all links between them within a number of bits.
+"""SimHash near copies: fingerprints, and all links between them within a number of bits; exact links by resemblance.
 
 A fingerprint is seen as a point: one coordinate per two-bit segment, the segment's count of ones. The Manhattan
 distance of two points never exceeds the number of differing bits, so fingerprints within `distance` bits lie
@@ -28,6 +28,9 @@ from tickloom.session import saved
 SEED = 42
 CELL = 65_536          # points of a cell that one task compares; larger cells are split, never cut
 VOTES = 1 << 17        # shingles whose bits are counted at once
+SLOTS = 18             # bits of a shingle's hash that number its slot in the table of counts
+PARITY = 16            # 64-bit words of a shingle set's parities
+SEEN = 1 << 20         # shingle sets that a task remembers, so as not to send them twice
 EVEN = 0x5555555555555555
 
 
@@ -246,3 +249,144 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
     kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(*[f"best.{c}" for c in key])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     return keyed(row).join(kept, key, "left_semi").dropDuplicates(key).select("_row.*")
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_number(shingles: np.ndarray) -> int:
+    """One number for a set of shingles, as a signed 64-bit integer."""
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+
+
+def as_bytes(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+
+
+def slot_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """How many texts have a shingle of each slot; a task sends one row per slot at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(counts, shingle_set(t.as_buffer().to_pybytes(), width) >> np.uint64(64 - SLOTS), 1)
+        slots = np.flatnonzero(counts)
+        for at in range(0, len(slots), 50_000):
+            part = slots[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["slot", "n"])
+
+    found = (docs.select(as_bytes(F.col(text)).alias("text")).mapInArrow(run, "slot int, n bigint")
+             .groupBy("slot").agg(F.sum("n").alias("n")).toArrow())
+    counts = np.zeros(1 << SLOTS, np.int64)
+    counts[np.asarray(found["slot"])] = np.asarray(found["n"])
+    return counts
+
+
+def beginning(shingles: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in one order for all sets, by the count of their slot and by their hash.
+
+    Sets of a resemblance of `similarity` or more share at least that part of the larger one, so one shingle at least
+    lies in the beginnings of both. The order only decides how many other sets meet there: common shingles come last.
+    """
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[shingles >> np.uint64(64 - SLOTS)]))
+    return shingles[order[:n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def beginnings(docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """(shingle, node): the beginning of each text's set. Equal sets of one task are sent once while it remembers them."""
+    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            first, nodes, sizes = [np.empty(0, np.uint64)], [], []
+            for t in batch.column(0):
+                shingles = shingle_set(t.as_buffer().to_pybytes(), width)
+                node = set_number(shingles)
+                if not len(shingles) or node in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                first.append(beginning(shingles, similarity, counts.value))
+                nodes.append(node)
+                sizes.append(len(first[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)),
+                                              pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["shingle", "node"])
+    return docs.select(as_bytes(F.col(text)).alias("text")).mapInArrow(run, "shingle bigint, node bigint")
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 x `PARITY` slots of the hashes: whether an odd number of the set's shingles lie there."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_resemble(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) without those that sizes and parities rule out: sets differ in a shingle per differing parity
+    at least, and sets of this resemblance in at most (1 - similarity) / (1 + similarity) of the sum of their sizes."""
+    a, b = (points.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("odd").alias(f"{n}_odd")) for n in ("u", "v"))
+    x, y = F.col("u_size"), F.col("v_size")
+    differ = F.aggregate(F.zip_with("u_odd", "v_odd", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+    return (pairs.join(a, "u").join(b, "v").where(F.least(x, y) / F.greatest(x, y) >= similarity)
+            .where(differ <= (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("u", "v"))
+
+
+def similar_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one document per group of near copies: the one with the smallest id (null ids last, then by text).
+
+    Two texts link if the Jaccard resemblance of their sets of `width`-word shingles is `similarity` or more, all of
+    them and no others. Candidates share a shingle in the beginnings of their sets, and what sizes and parities do not
+    rule out is counted exactly: each set with the least of each of its shingles' sets first, so that a large group is found in as many pairs as it
+    has members, then all pairs whose sets these links have not joined.
+    Rows without text or words form one group. Rows that are equal throughout are one row then. All columns return.
+    """
+    @F.arrow_udf("struct<node: bigint, size: int, odd: array<bigint>>")
+    def marks(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t.as_buffer().to_pybytes(), width) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([set_number(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                                           pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["node", "size", "odd"])
+
+    @F.arrow_udf("array<bigint>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_buffer().to_pybytes(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    def keyed(*rest):
+        return docs.select(F.coalesce(F.col(id).cast("string"), F.lit("")).alias("_key"), F.col(id).isNull().alias("_none"),
+                           F.xxhash64(F.col(text)).alias("_tie"), *rest)
+
+    key = ["_key", "_none", "_tie"]
+    best = F.min(F.struct("_none", "_id", "_tie", "_key")).alias("best")
+    points = saved(keyed(F.col(id).alias("_id"), marks(as_bytes(F.col(text))).alias("m"))
+                   .select("*", "m.*").groupBy("node").agg(best, F.first("size").alias("size"), F.first("odd").alias("odd")))
+
+    def resembling(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets resemble each other, by exact count; only their texts are fetched."""
+        near = saved(may_resemble(pairs, points, similarity))
+        nodes = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        wanted = saved(nodes.join(points, "node").select("node", *[f"best.{c}" for c in key]))
+        sets = saved(keyed(as_bytes(F.col(text)).alias("_text")).join(wanted, key).dropDuplicates(["node"])
+                     .select("node", shingles("_text").alias("shingles")))
+        a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("u", "v"))
+        both, x, y = F.size(F.array_intersect("u_set", "v_set")), F.size("u_set"), F.size("v_set")
+        return saved(near.join(a, "u").join(b, "v").where(both / (x + y - both) >= similarity).select("u", "v"))
+
+    ends = Window.partitionBy("shingle")
+    shared = saved(beginnings(docs, text, width, similarity)
+                   .withColumn("least", F.min("node").over(ends)).withColumn("most", F.max("node").over(ends))
+                   .where("least <> most").select("shingle", "node", "least").distinct())
+    tried = saved(shared.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct())
+    links = resembling(tried)
+    roots = components(links)
+    open_ = saved(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                  .withColumn("least", F.min("root").over(ends)).withColumn("most", F.max("root").over(ends))
+                  .where("least <> most").select("shingle", "node", "root"))
+    a, b = (open_.select("shingle", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("u", "v"))
+    rest = a.join(b, "shingle").where("u < v and u_root <> v_root").select("u", "v").distinct()
+    links = links.union(resembling(rest.join(tried, ["u", "v"], "left_anti")))
+    placed = points.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(*[f"best.{c}" for c in key])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return keyed(row).join(kept, key, "left_semi").dropDuplicates(key).select("_row.*")
