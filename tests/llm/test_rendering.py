@@ -61,3 +61,12 @@ def test_null_and_no_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "", "t")], "page_id int, html string, text string")
     assert [r[0] for r in df.orderBy("page_id").select(visible_text(F.col("html"))).collect()] == [None, "", ""]
     assert df.where("page_id > 5").select(visible_text(F.col("html"))).collect() == []
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<head><title>T</title><p>Hello <b>you</b>", "Hello you"), ("<html><head><meta charset=x>bare text<p>p", "bare text\n\np"),
+    ("<head><link rel=x><style>s{}</style><script>1</script> <div>d</div></head><p>p", "d\n\np"),
+    ("<head><noscript><img src=x><p>no</noscript><title>T</title></head>b", "b"), ("<head> <base href=x>\n</head>b", "b"),
+    ("<head><template><p>no</p></template><title>T</title><h1>H</h1>", "H"), ("<head><title>T</title><body>b", "b")])
+def test_head_ends_where_the_body_begins(html, text):
+    assert shown(html) == text

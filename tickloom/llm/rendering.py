@@ -24,6 +24,7 @@ BLOCK = MARGIN | frozenset("address article aside body center caption dd details
                            "form header hgroup html legend li listing main menu nav option optgroup section summary "
                            "tbody td tfoot th thead tr search xmp".split())
 ENDS_P = BLOCK - frozenset("option optgroup li dd dt td th tr tbody thead tfoot caption body html summary".split())
+IN_HEAD = frozenset("title style script noscript template base basefont bgsound link meta head html noframes".split())  # else it ends
 # a start tag ends open elements of these kinds, up to one of the barriers
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
            "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
@@ -126,8 +127,14 @@ def build(html: str) -> Node:
         if last is not None:
             pop_to(last)
 
+    def in_head():
+        """An open head that no element hidden for itself (a noscript or template) stands in between."""
+        return open_["head"] and not (open_["template"] or open_["noscript"])
+
     for kind, value, more in tokens(html):
         if kind == "text":
+            if stack[-1].tag == "head" and not more and WHITE.sub("", value):
+                end({"head"}, set())
             stack[-1].children.append(value if more else entities.unescape(value))
         elif kind == "start":
             if value in ENDS_P and open_["p"]:
@@ -136,7 +143,7 @@ def build(html: str) -> Node:
                 end(*IMPLIED[value])
             if value in ("td", "th") and open_["table"] and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 push("tr", {})
-            if value == "body" and open_["head"]:
+            if value not in IN_HEAD and in_head():
                 end({"head"}, set())
             push(value, more)
         elif open_[value]:
