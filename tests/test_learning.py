@@ -65,3 +65,22 @@ def test_evaluation_by_hand(spark):
     r = E.evaluate_ranker(p, top=1).first()
     assert r["days"] == 2 and r["mean_ic"] == pytest.approx(1.0) and r["ic_t"] is None       # day 2 has no spread
     assert r["top_avg_ret"] == pytest.approx(0.02) and r["top_hit_vs_avg"] == 1.0 and r["days_net_positive"] == 1.0
+
+
+@pytest.mark.parametrize(("name", "leaf"), [("m01_walk_forward_ranker", 200), ("m02_walk_forward_classifier", 500), ("m03_m04_fit_and_score_latest", 200)])
+def test_registered_learners_run_the_whole_job(spark, monkeypatch, name, leaf):
+    from tickloom.plans import load
+    asked, plain = set(), M.booster
+
+    def one_tree(label, features, classify, trees, min_rows, seed):
+        asked.add((trees, min_rows))
+        return plain(label, features, classify, 1, 1, seed)
+    monkeypatch.setattr(M, "booster", one_tree)
+    load()[0][name](spark, "/root/testdata/sf0.01")
+    assert asked == {(300, leaf)}
+
+
+def test_learners_walk_by_month_where_there_are_enough(spark):
+    from tickloom.plans.live import walk
+    days = spark.range(250).selectExpr("date_add(date'2024-01-01', cast(id as int)) as date")
+    assert walk(days) == {} and walk(days.limit(30)) == {"min_train": 2, "period": "week"}

@@ -113,23 +113,29 @@ def t06(spark, sf):
     return report(changes.groupBy("account", "date").agg(F.max_by("seq", "batch").alias("seq")))
 
 
-# The hourly history covers a month, so the learners walk by week; fewer trees than the default suffice for it.
+def walk(d):
+    """The operators' own walk; by week after two of them where the table has no more than the six months it trains on first."""
+    months = d.select(F.date_trunc("month", "date")).distinct().limit(7).count()
+    return {} if months > 6 else {"min_train": 2, "period": "week"}
 
 @query("m01_walk_forward_ranker")
 def m01(spark, sf):
-    p = M.walk_forward_regress(R.labelled(spark, sf), min_train=2, period="week", trees=8, min_rows=5)
+    d = R.labelled(spark, sf)
+    p = M.walk_forward_regress(d, **walk(d))
     return report(p, "symbol", "date", "label_ret", "label_excess", "prediction")
 
 
 @query("m01_ranker_report")
 def m01_report(spark, sf):
-    p = M.walk_forward_regress(R.labelled(spark, sf), min_train=2, period="week", trees=8, min_rows=5)
+    d = R.labelled(spark, sf)
+    p = M.walk_forward_regress(d, **walk(d))
     return report(E.evaluate_ranker(p))
 
 
 @query("m02_walk_forward_classifier")
 def m02(spark, sf):
-    p = M.walk_forward_classify(R.trades(spark, sf), min_train=2, period="week", trees=8, min_rows=20)
+    t = R.trades(spark, sf)
+    p = M.walk_forward_classify(t, **walk(t))
     return report(p, "symbol", "date", "entry_bar", "hold_bars", "net", "success", "prob")
 
 
@@ -137,6 +143,6 @@ def m02(spark, sf):
 def m03(spark, sf):
     path = scratch_path(spark, "model")
     d = R.features(spark, sf)
-    M.fit_final(X.labels(d), path, trees=8, min_rows=5)
+    M.fit_final(X.labels(d), path)
     best = K.top_k(M.score(X.latest_cross_section(d), path), [], 5, [F.col("score").desc(), F.col("symbol")])
     return report(best, "symbol", "date", "pos", "score")
