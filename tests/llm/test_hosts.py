@@ -88,3 +88,16 @@ def test_no_python_and_no_rows(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert judge_pages(spark.createDataFrame([], PAGES), RULES).collect() == []
     assert judge_pages(fixture(spark), []).where("verdict = 'block'").isEmpty()
+
+
+def test_verdict_does_not_depend_on_size_or_distance(spark):
+    """A long chain to a blocked host, and faint distrust among very many judged pages."""
+    from tickloom.llm.hosts import propagate
+    chain = [(i, f"https://h{i}.io/", link(f"h{i + 1}.io")) for i in range(24)] + [(24, "https://h24.io/", link("bad.org")), (25, "https://bad.org/", "")]
+    pages = spark.createDataFrame([(*p, "h", "v") for p in chain], PAGES)
+    got = judge_pages(pages, [("bad.org", "/", "block")]).select("page_id", "verdict").collect()
+    assert all(r["verdict"] == "block" for r in got)
+    links = spark.createDataFrame([(f"f{i}", "bad", 1) for i in range(30)], "host string, to string, n bigint")
+    seeds = spark.createDataFrame([("bad", 0, 1), ("big", 10 ** 14, 0), *[(f"f{i}", 0, 0) for i in range(30)]], "host string, allowed bigint, blocked bigint")
+    scores = {r["host"]: r for r in propagate(seeds, links).collect()}
+    assert all(scores[f"f{i}"]["distrust"] > 0 == scores[f"f{i}"]["trust"] for i in range(30))

@@ -18,7 +18,7 @@ from tickloom.session import saved
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]*)"""
-DAMPING, ROUNDS, CLOSE, SHARE = 0.85, 20, 1e-9, 0.5
+DAMPING, CLOSE, SHARE = 0.85, 1e-9, 0.5
 
 
 def url_host(url: Column) -> Column:
@@ -64,12 +64,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("`to` <> '' and `to` <> host").groupBy("host", "to").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
     """(host, trust, distrust) from seeds (host, allowed, blocked: page counts) and links (host, to, n).
 
     A round is one join of scores with links and one sum per host, with partial sums before the shuffle. Rounds end
-    when scores move by less than `close` in all, or after `rounds`; each round's scores, a row per host, are written
-    to the shared folder.
+    when no score moves by more than `close` of itself, however small it is or far from a seed; each round's scores, a
+    row per host, are written to the shared folder.
     """
     total = float(seeds.agg(F.sum(F.col("allowed") + F.col("blocked"))).first()[0] or 1) or 1.0
     out = links.groupBy("host").agg(F.sum("n").alias("all"))
@@ -85,13 +85,13 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     start = (everyone.groupBy("host").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
              .select("host", kinds.alias("k")).select("host", "k.kind", "k.seed"))
     now = saved(start.withColumn("score", F.col("seed") * (1 - damping)))
-    for _ in range(rounds):
+    while True:
         given = (arcs.join(now.where("score > 0").select("host", "kind", "score"), ["host", "kind"])
                  .groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("score") * F.col("share")).alias("given")))
         score = (1 - damping) * F.col("seed") + damping * F.coalesce("given", F.lit(0.0))
         now = saved(now.withColumnRenamed("score", "was").join(given, ["host", "kind"], "left")
                     .select("host", "kind", "seed", score.alias("score"), "was"))
-        if (now.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0) < close:
+        if now.where(F.abs(F.col("score") - F.col("was")) > close * F.col("score")).isEmpty():
             break
         now = now.drop("was")
     return now.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
@@ -110,7 +110,8 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id: str
     count = lambda verdict: F.sum(F.when(F.col("said") == verdict, 1).otherwise(0))                     # noqa: E731
     seeds = ruled.where("host <> ''").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked"))
     scores = propagate(saved(seeds), saved(host_links(parsed)))
-    bad = F.round("distrust", 12) > F.round(share * (F.col("trust") + F.col("distrust")), 12)
+    both = F.col("trust") + F.col("distrust")
+    bad = F.when(both > 0, F.round(F.col("distrust") / both, 6) > share)     # in relation: scores shrink as tables grow
     own = F.when(bad, "block").otherwise("allow")
     return ruled.join(scores, "host", "left").select(
         F.col("id").alias(id), "host", "path", "rule", F.coalesce("said", own).alias("verdict"),
