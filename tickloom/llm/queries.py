@@ -156,3 +156,9 @@ def op7_visible_text(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     return pages.select("page_id", visible_text(F.col("html")).alias("text")).withColumn(
         "n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op13_learned_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from tickloom.llm.rulelists import judge
+    return judge(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "quality"))
