@@ -162,3 +162,9 @@ def op7_visible_text(spark: SparkSession, sf: str) -> DataFrame:
 def op13_learned_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     from tickloom.llm.rulelists import judge
     return judge(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "quality"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from tickloom.llm.variants import spelling_variants
+    return spelling_variants(table(spark, sf, "documents").select("doc_id", "text"))
