@@ -168,3 +168,9 @@ def op13_learned_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     from tickloom.llm.variants import spelling_variants
     return spelling_variants(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    from tickloom.llm.repair import damaged_turns, repair_conversations
+    return repair_conversations(damaged_turns(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")))
