@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom import constants as C
 from tickloom.functions.money import total_charge
 from tickloom.functions.stats import change, order_key, trailing
 from tickloom.operators.filters import corporate_gaps, held_symbols
-from tickloom.session import ship_functions
-
-ship_functions(__name__)
+from tickloom.operators.scans import HOT, along, blended, floored_sum
 
 KEYS = ["account", "symbol"]
 
@@ -27,36 +21,23 @@ def _signed(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("_u", F.when(buy, F.col("qty")).otherwise(-F.col("qty")).cast("bigint"))
 
 
-def fold_ledger(ledger: DataFrame, order: list[str]) -> DataFrame:
+def fold_ledger(ledger: DataFrame, order: list[str], hot: int = HOT) -> DataFrame:
     """Every fill with the units it moved, and the holding's quantity and average cost after it.
 
-    Needs account, symbol, time, side, qty, price, and an `order` that is total. Sells stop at what is held. One plan
-    for groups of any size: fills are sorted by account and symbol and pass by a running quantity and cost, and
-    nothing else of a holding is kept. A holding's fills are one sequence, as each average rests on the one before.
+    Needs account, symbol, time, side, qty, price, and an `order` that is total. Sells stop at what is held and keep the
+    average; a buy without a price leaves none from there on. A fill is a map of quantity, q -> max(q + u, 0), and a buy one
+    of the average, a -> a * q / (q + u) + price * u / (q + u). Such maps compose, so a holding with more than `hot`
+    fills is folded in parts, joined by one row per part.
     """
-    own = len(ledger.columns)
-
-    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, qty, avg = None, 0, 0.0
-        for batch in batches:
-            moved, held, cost = [], [], []
-            for account, symbol, units, price in zip(*[batch.column(c).to_pylist() for c in (*KEYS, "_u", "price")], strict=True):
-                if (account, symbol) != group:
-                    group, qty, avg = (account, symbol), 0, 0.0
-                after = max(qty + (units or 0), 0)
-                if after > qty:
-                    avg = None if avg is None or price is None else (avg * qty + units * price) / after
-                moved.append(abs(after - qty))
-                qty = after
-                held.append(qty)
-                cost.append(avg)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:own], pa.array(moved, pa.int64()), pa.array(held, pa.int64()), pa.array(cost, pa.float64())],
-                [*batch.schema.names[:own], "units", "qty_after", "avg_after"])
-
-    schema = T.StructType([*ledger.schema.fields, T.StructField("units", T.LongType()), T.StructField("qty_after", T.LongType()),
-                           T.StructField("avg_after", T.DoubleType())])
-    return _signed(ledger).repartition(*KEYS).sortWithinPartitions(*KEYS, *order).mapInArrow(carry, schema)
+    def run(rows: DataFrame, span: DataFrame | None) -> DataFrame:
+        rows = floored_sum(rows, KEYS, order, "_u", "_held", "qty_after", span)
+        bought = F.col("qty_after") > F.col("_held")
+        rows = rows.withColumns({"_factor": F.when(bought, F.col("_held") / F.col("qty_after")).otherwise(1.0),
+                                 "_unpriced": bought & F.col("price").isNull()})
+        rows = blended(rows, KEYS, order, "_factor", "price", "avg_after", "_unpriced", span)
+        return rows.select(*ledger.columns, F.abs(F.col("qty_after") - F.col("_held")).alias("units"), "qty_after", "avg_after")
+
+    return along(_signed(ledger).withColumn("_u", F.coalesce("_u", F.lit(0).cast("bigint"))), KEYS, order, run, hot)
 
 
 def realised(folded: DataFrame, broker: str = "broker") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from tickloom import constants as C
 from tickloom.functions.money import buy_terms, charges, fill_price, lots_cash_covers, whole_units
+from tickloom.operators.scans import HOT, PART, along, running_sum
 from tickloom.session import ship_functions
 
 ship_functions(__name__)
@@ -91,24 +93,39 @@ def worth_it(expected_net: Column) -> Column:
     return F.coalesce(expected_net >= C.EDGE_MULTIPLE * C.INTRADAY_ROUND_TRIP, F.lit(False))
 
 
+def _free_buys(orders: DataFrame, floor: float) -> DataFrame:
+    """Adds `_units` and `_need`: what each order buys and pays where cash is no matter, that is, by its budget alone."""
+    budget, fill, lot, rate = (F.col(c) for c in ("_budget", "_fill", "_lot", "_rate"))
+    unit = fill * lot
+    lots = F.when((unit > 0) & rate.isNotNull() & (budget >= floor), F.floor(F.least(F.try_divide(budget, unit), F.lit(1e15))))
+    wanted = F.when(F.col("_blocked") | F.col("_cash").isNull(), F.lit(0)).otherwise(F.greatest(F.coalesce(lots, F.lit(0)), F.lit(0)))
+    value = F.col("_units") * fill
+    fee = F.greatest("_low", F.least(F.col("_high"), F.col("_fee_rate") * value))
+    return orders.withColumn("_units", (wanted * F.coalesce(lot, F.lit(0))).cast("bigint")).withColumn(
+        "_need", F.when(F.col("_units") > 0, value + (value * rate + GST_ON_FEE * fee)).otherwise(0.0))
+
+
 def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: float = 0.0, stop: bool = False,
-               cash_floor: float = 0.0) -> DataFrame:
+               cash_floor: float = 0.0, hot: int | None = HOT) -> DataFrame:
     """One tick's buys per account, each limited by the cash the ones before it left.
 
-    Needs budget, cash (at the start), fill, product, broker, lot; orders with `blocked` set, where there is such a
-    column, buy nothing and leave their cash. Budgets under `floor` are skipped, or end the account's buying when
-    `stop`; cash under `cash_floor` ends it. Adds units, spent and cash_after.
+    Needs budget, cash (at the start, the same for all of an account), fill, product, broker, lot; orders with `blocked` set,
+    where there is such a column, buy nothing and leave their cash. Budgets under `floor` are skipped, or end the account's
+    buying when `stop`; cash under `cash_floor` ends it. Adds units, spent and cash_after.
 
-    What a buy leaves decides the next, so an account's orders are one sequence. They are sorted together and pass
-    by a purse; no list of them is ever held, whatever their number.
+    Running sums of what the budgets alone would buy say where cash first binds: until there they are the result. From
+    there on each buy decides the next, and the rest of an account's orders pass by a purse, sorted, without being held.
+    An account with more than `hot` orders is summed in parts, and takes one task only for what comes after cash binds
+    (None: accounts are known to have few).
     """
     terms = buy_terms(F.col("product"), F.col("broker"))
     blocked = F.coalesce("blocked", F.lit(False)) if "blocked" in orders.columns else F.lit(False)
     numbers = {"_budget": F.col("budget"), "_cash": F.col("cash"), "_fill": F.col("fill"), **{f"_{k}": v for k, v in terms.items()}}
     ready = (orders.withColumns({k: v.cast("double") for k, v in numbers.items()})
              .withColumns({"_lot": F.col("lot").cast("bigint"), "_blocked": blocked}))
-    helpers = [*numbers, "_lot", "_blocked"]
-    own = len(orders.columns)
+    helpers = ["_budget", "_before", "_fill", *[f"_{k}" for k in terms], "_lot", "_blocked"]
+    free = ["_units", "_need", "_before", "_binds"]
+    own = list(orders.columns)
 
     def affordable(cash, budget, fill, lot, rate, fee_rate, low, high):
         """The most units in whole lots within the budget and, charges included, the cash."""
@@ -132,30 +149,46 @@ def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: floa
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, cash, stopped = None, 0.0, False
         for batch in batches:
-            units, spent, after = [], [], []
-            names = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
-            for name, line in zip(names, zip(*[batch.column(h).to_pylist() for h in helpers], strict=True), strict=True):
+            units, spent, before, binds = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in free)
+            after, bound = before - spent, np.flatnonzero(binds > 0)
+            rest = batch.take(pa.array(bound))
+            names = zip(*[rest.column(k).to_pylist() for k in keys], strict=True)
+            for i, name, line in zip(bound, names, zip(*[rest.column(h).to_pylist() for h in helpers], strict=True), strict=True):
                 budget, start, fill, rate, fee_rate, low, high, lot, halted = line
                 if name != group:
                     group, cash, stopped = name, start, False
+                wanted = cash if budget is None else min(budget, cash)
+                small = wanted < floor
+                stopped = stopped or cash < cash_floor or (stop and small)
                 n, paid = 0, 0.0
-                if cash is not None:
-                    wanted = cash if budget is None else min(budget, cash)
-                    small = wanted < floor
-                    stopped = stopped or cash < cash_floor or (stop and small)
-                    if not (stopped or small or halted):
-                        n = affordable(cash, wanted, fill, lot, rate, fee_rate, low, high)
-                    if n:
-                        value = n * fill
-                        paid = value + (value * rate + GST_ON_FEE * max(low, min(high, fee_rate * value)))
-                        cash -= paid
-                units.append(n)
-                spent.append(paid)
-                after.append(cash)
+                if not (stopped or small or halted):
+                    n = affordable(cash, wanted, fill, lot, rate, fee_rate, low, high)
+                if n:
+                    value = n * fill
+                    paid = value + (value * rate + GST_ON_FEE * max(low, min(high, fee_rate * value)))
+                    cash -= paid
+                units[i], spent[i], after[i] = n, paid, cash
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:own], pa.array(units, pa.int64()), pa.array(spent, pa.float64()), pa.array(after, pa.float64())],
-                [*batch.schema.names[:own], "units", "spent", "cash_after"])
+                [*[batch.column(c) for c in own], pa.array(units, pa.int64()), pa.array(spent, pa.float64()),
+                 pa.array(after, pa.float64(), mask=np.isnan(before))], [*own, "units", "spent", "cash_after"])
 
     schema = T.StructType([*orders.schema.fields, T.StructField("units", T.LongType()), T.StructField("spent", T.DoubleType()),
                            T.StructField("cash_after", T.DoubleType())])
-    return ready.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(carry, schema)
+
+    def run(rows: DataFrame, span: DataFrame | None) -> DataFrame:
+        rows = rows if span is not None else rows.repartition(*keys)
+        rows = running_sum(_free_buys(rows, floor), keys, order, "_need", "_through", span)
+        rows = rows.withColumn("_before", F.col("_cash") - (F.col("_through") - F.col("_need")))
+        left = F.col("_before")
+        binds = F.col("_budget").isNull() | (left < cash_floor) | ((F.col("_units") > 0) & ((left < F.col("_need")) | (left < floor)))
+        if stop:
+            binds = binds | (F.least("_budget", left) < floor)
+        rows = rows.withColumn("_bind", (F.coalesce(binds, F.lit(False)) & left.isNotNull()).cast("int"))
+        rows = running_sum(rows, keys, order, "_bind", "_binds", span)
+        if span is None:                                         # an account's rows lie together, in the order of the sums
+            return rows.sortWithinPartitions(PART, *keys, *order).mapInArrow(carry, schema)
+        spent = F.col("_need")
+        unbound = rows.filter("_binds = 0").select(*own, F.col("_units").alias("units"), spent.alias("spent"), (left - spent).alias("cash_after"))
+        return unbound.union(rows.filter("_binds > 0").repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(carry, schema))
+
+    return along(ready, keys, order, run, hot)

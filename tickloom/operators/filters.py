@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickloom import constants as C
 from tickloom.functions.calendar import to_zone
 from tickloom.functions.stats import order_key
+from tickloom.operators.scans import HOT, PART, along, numbered
 
 
 def names_a_fund(symbol: Column, words: tuple[str, ...] = C.FUND_WORDS) -> Column:
@@ -165,16 +166,11 @@ def picks_by_account(mapping: DataFrame, picks: DataFrame) -> DataFrame:
     return mapping.join(picks, "list")
 
 
-def every_nth(ticks: DataFrame, n: int = 3, account: str = "account") -> DataFrame:
-    """Every n-th tick of an account, counted across days.
+def every_nth(ticks: DataFrame, n: int = 3, account: str = "account", hot: int = HOT) -> DataFrame:
+    """Every n-th tick of an account in the order of ts and seq, counted across days.
 
-    Ticks are numbered inside each day and shifted by the days before, so no task sorts an account whole.
+    An account with more than `hot` ticks is numbered in range parts, shifted by the parts before, however they lie in days.
     """
-    days = ticks.groupBy(account, F.to_date("ts").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    before = days.select(account, "_day", (F.sum("_n").over(
-        W.partitionBy(account).orderBy("_day").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    w = W.partitionBy(account, "_day").orderBy("ts", "seq")
-    return (ticks.withColumn("_day", F.to_date("ts")).withColumn("_in_day", F.row_number().over(w))
-            .join(before, [account, "_day"])
-            .withColumn("nth", F.col("_before") + F.col("_in_day")).filter(F.col("nth") % n == 0)
-            .drop("_day", "_in_day", "_before"))
+    order = ["ts", "seq"]
+    placed = along(ticks, [account], order, lambda rows, span: numbered(rows, [account], order, "nth", span), hot)
+    return placed.filter(F.col("nth") % n == 0).drop(PART)

@@ -164,13 +164,16 @@ def _live(prices: DataFrame) -> DataFrame:
 
 
 def _buy(cands: DataFrame, prices: DataFrame, product: str = "delivery", floor: float = 0.0, stop: bool = False) -> DataFrame:
-    """Buys in turn. Where prices say so (`blocked`), a name at its circuit limit fills nothing and leaves its cash."""
+    """Buys in turn. Where prices say so (`blocked`), a name at its circuit limit fills nothing and leaves its cash.
+
+    Candidates are cut to an account's slots, or to the minimum tickets its cash holds, so accounts have few.
+    """
     if "blocked" in prices.columns:
         cands = cands.join(prices.select("symbol", "blocked"), "symbol", "left")
     orders = cands.withColumns({
         "fill": fill_price(F.col("price"), F.lit("buy"), C.STOCK_SLIPPAGE_BPS), "product": F.lit(product),
         "broker": F.lit("zerodha"), "lot": F.lit(1)})
-    return fill_batch(orders, ["account"], ["pos"], floor, stop)
+    return fill_batch(orders, ["account"], ["pos"], floor, stop, hot=None)
 
 
 def _first(df: DataFrame, by: str, n: Column | int, order: list) -> DataFrame:
@@ -318,7 +321,7 @@ def reversion_entries(section: DataFrame, keys: list[str], accounts: DataFrame,
         "budget": F.least(F.col("equity") * C.REVERSION_TICKET, F.col("cash")),
         "fill": fill_price(F.col("price"), F.lit("buy"), C.STOCK_SLIPPAGE_BPS), "product": F.lit("intraday"),
         "broker": F.lit("zerodha"), "lot": F.lit(1)})
-    return fill_batch(orders, ["account", *keys], ["pos"], cash_floor=C.MIN_TICKET)
+    return fill_batch(orders, ["account", *keys], ["pos"], cash_floor=C.MIN_TICKET, hot=None)
 
 
 def reversion_exits(held: DataFrame, section: DataFrame, keys: list[str]) -> DataFrame:

@@ -113,29 +113,28 @@ def t06(spark, sf):
     return report(changes.groupBy("account", "date").agg(F.max_by("seq", "batch").alias("seq")))
 
 
-def walk(d):
-    """The operators' own walk; by week after two of them where the table has no more than the six months it trains on first."""
-    months = d.select(F.date_trunc("month", "date")).distinct().limit(7).count()
-    return {} if months > 6 else {"min_train": 2, "period": "week"}
+# the operators walk by month after six of them; bars and their trades cover one month here and are walked by week after two
+BY_WEEK = {"min_train": 2, "period": "week"}
+
 
 @query("m01_walk_forward_ranker")
 def m01(spark, sf):
     d = R.labelled(spark, sf)
-    p = M.walk_forward_regress(d, **walk(d))
+    p = M.walk_forward_regress(d, **BY_WEEK)
     return report(p, "symbol", "date", "label_ret", "label_excess", "prediction")
 
 
 @query("m01_ranker_report")
 def m01_report(spark, sf):
     d = R.labelled(spark, sf)
-    p = M.walk_forward_regress(d, **walk(d))
+    p = M.walk_forward_regress(d, **BY_WEEK)
     return report(E.evaluate_ranker(p))
 
 
 @query("m02_walk_forward_classifier")
 def m02(spark, sf):
     t = R.trades(spark, sf)
-    p = M.walk_forward_classify(t, **walk(t))
+    p = M.walk_forward_classify(t, **BY_WEEK)
     return report(p, "symbol", "date", "entry_bar", "hold_bars", "net", "success", "prob")
 
 
