@@ -45,3 +45,17 @@ def test_entry_gives_the_flagship(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
     assert df.columns[:3] == ["symbol", "date", "pos"] and df.filter("pos > 5").isEmpty() and not df.isEmpty()
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    """HotSpot interprets methods of more than 8,000 bytes; plans are taken as they stand before they run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, query in QUERIES.items():
+            if name.startswith(("t0", "m0")):                    # run while they are built
+                continue
+            stages = query(spark, SF)._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+            assert max(sizes, default=0) <= 8_000, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

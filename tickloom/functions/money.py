@@ -110,37 +110,30 @@ def whole(money: Column, each: Column) -> Column:
     return F.coalesce(F.when(times.isNotNull(), F.floor(F.least(times, F.lit(1e15)))), F.lit(0))
 
 
-def lots_cash_covers(cash: Column, fill: Column, product: Column, broker: Column, lot: Column) -> Column:
-    """Most lots whose value and buy charges `cash` covers, up to rounding.
-
-    Buy charges are piecewise linear in the value, so each fee branch has a closed form.
-    """
-    linear = by_product(product, {
-        p: 1 + C.TRANSACTION_TAX[p][0] + C.STAMP_ON_BUY[p] + (1 + C.GST) * (C.EXCHANGE_FEE[p] + C.REGULATOR_FEE)
-        for p in C.EXCHANGE_FEE})
-    unit, gst = fill * lot, 1 + C.GST
+def buy_cost(value: Column, terms: dict[str, Column]) -> Column:
+    """A buy's value and all its charges, from `buy_terms`."""
+    fee = F.greatest(terms["low"], F.least(terms["high"], terms["fee_rate"] * value))
+    return value + value * terms["rate"] + (1 + C.GST) * fee
 
-    def flat(fee: float) -> Column:
-        return whole(cash - gst * fee, unit * linear)
 
-    def rated(rate: float) -> Column:
-        return whole(cash, unit * (linear + gst * rate))
+def lots_cash_covers(cash: Column, fill: Column, lot: Column, terms: dict[str, Column]) -> Column:
+    """Most lots whose value and buy charges `cash` covers, up to rounding.
 
-    return (F.when(product == "option", flat(C.OPTION_BROKERAGE))
-            .when((broker == "zerodha") & (product == "delivery"), rated(0.0))
-            .when(broker == "zerodha", F.greatest(rated(C.ZERODHA_RATE), flat(C.ZERODHA_MAX)))
-            .otherwise(F.least(flat(C.GROWW_MIN), F.greatest(rated(C.GROWW_RATE), flat(C.GROWW_MAX)))))
+    Buy charges are piecewise linear in the value: the dearer of a least and a usual fee, which is the cheaper of a rate and a
+    highest fee. So the value covered is the lesser of what one and the greater of what the others leave.
+    """
+    linear, gst = 1 + terms["rate"], 1 + C.GST
+    usual = F.greatest(cash / (linear + gst * terms["fee_rate"]), (cash - gst * terms["high"]) / linear)
+    return whole(F.least((cash - gst * terms["low"]) / linear, usual), fill * lot)
 
 
-def whole_units(covered: Column, budget: Column, cash: Column, fill: Column, product: Column, broker: Column,
-                lot: Column) -> Column:
+def whole_units(covered: Column, budget: Column, cash: Column, fill: Column, lot: Column, terms: dict[str, Column]) -> Column:
     """Units in whole lots within the budget and, charges included, the cash.
 
     `covered` comes from `lots_cash_covers`; trying the lot above and the lot itself absorbs its rounding.
     """
     def pays(lots: Column) -> Column:
-        value = lots * lot * fill
-        return value + total_charge("buy", product, value, broker) <= cash
+        return buy_cost(lots * lot * fill, terms) <= cash
 
     lots = F.when(pays(covered + 1), covered + 1).when(pays(covered), covered).otherwise(covered - 1)
     wanted = whole(F.least(budget, cash), fill * lot)

@@ -36,11 +36,13 @@ def size_orders(orders: DataFrame) -> DataFrame:
 
     Needs budget, cash, fill, product, broker, lot.
     """
-    budget, cash, fill, product, broker, lot = (F.col(c) for c in (
-        "budget", "cash", "fill", "product", "broker", "lot"))
-    return (orders.withColumn("_covered", lots_cash_covers(cash, fill, product, broker, lot))
-            .withColumn("units", whole_units(F.col("_covered"), budget, cash, fill, product, broker, lot))
-            .drop("_covered"))
+    budget, cash, fill, lot = (F.col(c) for c in ("budget", "cash", "fill", "lot"))
+    terms = buy_terms(F.col("product"), F.col("broker"))
+    named = {k: F.col(f"_{k}") for k in terms}
+    return (orders.withColumns({f"_{k}": v for k, v in terms.items()})
+            .withColumn("_covered", lots_cash_covers(cash, fill, lot, named))
+            .withColumn("units", whole_units(F.col("_covered"), budget, cash, fill, lot, named))
+            .drop("_covered", *[f"_{k}" for k in terms]))
 
 
 SLICES = 4096          # ranges of the score axis in which scores meet measured points

@@ -29,9 +29,18 @@ def priced(held: DataFrame, prices: DataFrame, on: tuple[str, ...] = ("symbol",)
     return held.join(prices.select(*on, "price"), list(on), "left")
 
 
-def _leaving(held: DataFrame, reason: Column) -> DataFrame:
-    """Priced holdings for which a reason applies."""
-    return held.withColumn("reason", F.when(F.col("price").isNotNull(), reason)).filter(F.col("reason").isNotNull())
+def _leaving(held: DataFrame, *rules: tuple[Column, Column | str | None]) -> DataFrame:
+    """Priced holdings to which a rule applies, with the first one's reason; a rule without a reason keeps the holding.
+
+    Rules are looked at first and reasons are written for what leaves only, so that the texts are worked out once.
+    """
+    which, texts = F, F
+    for i, (applies, text) in enumerate(rules):
+        which = which.when(applies, F.lit(None if text is None else i).cast("int"))
+        if text is not None:
+            texts = texts.when(F.col("_rule") == i, text)
+    found = held.withColumn("_rule", F.when(F.col("price").isNotNull(), which)).filter(F.col("_rule").isNotNull())
+    return found.withColumn("reason", texts).drop("_rule")
 
 
 def _move() -> Column:
@@ -52,28 +61,28 @@ def _entering(accounts: DataFrame) -> DataFrame:
 # --- exits ---
 
 def exits_due(held: DataFrame, reason: str = "holding period elapsed") -> DataFrame:
-    return _leaving(held, F.when(F.col("exit_on") <= F.to_date("now"), reason))
+    return _leaving(held, (F.col("exit_on") <= F.to_date("now"), reason))
 
 
 def exits_intraday(held: DataFrame, wanted: DataFrame, on: tuple[str, ...] = ("symbol",),
                    dropped: str = "model dropped it") -> DataFrame:
     """Missed close, hard exit, target, stop, or no longer wanted, in that order."""
     flag = wanted.select(*on).distinct().withColumn("_wanted", F.lit(True))
-    h = held.join(flag, list(on), "left")
-    move = _move()
-    reason = (F.when(F.to_date("opened") < F.to_date("now"), "missed close; sold next session")
-              .when(second_of_day(F.col("now")) >= C.HARD_EXIT_FROM, "intraday hard exit")
-              .when(move >= C.TAKE_PROFIT, _with_percent("target hit", move))
-              .when(move <= C.STOP_LOSS, _with_percent("stop loss", move))
-              .when(F.col("_wanted").isNull(), _with_percent(dropped, move)))
-    return _leaving(h, reason).drop("_wanted")
+    h = held.join(flag, list(on), "left").withColumn("_by", _move())
+    move = F.col("_by")
+    # --- fixed values: reason texts ---
+    return _leaving(h, (F.to_date("opened") < F.to_date("now"), "missed close; sold next session"),
+                    (second_of_day(F.col("now")) >= C.HARD_EXIT_FROM, "intraday hard exit"),
+                    (move >= C.TAKE_PROFIT, _with_percent("target hit", move)),
+                    (move <= C.STOP_LOSS, _with_percent("stop loss", move)),
+                    (F.col("_wanted").isNull(), _with_percent(dropped, move))).drop("_wanted", "_by")
 
 
 def exits_rank(held: DataFrame, ranks: DataFrame, keep: float = C.KEEP_RANK) -> DataFrame:
     """Holdings below the model's top quarter, a missing rank counting as 0; nothing when no ranks exist."""
     any_rank = ranks.limit(1).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     h = held.join(ranks.select("symbol", F.col("rank_pct").alias("_rank")), "symbol", "left")
-    return _leaving(h, F.when(any_rank & (F.coalesce("_rank", F.lit(0.0)) < keep), "fell out of the top 25%")).drop("_rank")
+    return _leaving(h, (any_rank & (F.coalesce("_rank", F.lit(0.0)) < keep), "fell out of the top 25%")).drop("_rank")
 
 
 def exits_cost_aware(held: DataFrame, ranks: DataFrame, min_hold: int = C.MIN_HOLD_SESSIONS) -> DataFrame:
@@ -86,13 +95,13 @@ def exits_cost_aware(held: DataFrame, ranks: DataFrame, min_hold: int = C.MIN_HO
     young = F.col("sessions") < min_hold
     held_for = F.col("sessions").cast("string")
     # --- fixed values: reason texts ---
-    reason = (F.when(_move() <= C.DISASTER_STOP, F.concat(
-                  F.lit("down "), F.format_number(100 * _move(), 0), F.lit("% from entry; selling regardless of rank")))
-              .when(young & (F.col("_expected") < -F.col("_cost")), F.concat(
-                  F.lit("deteriorated after "), held_for, F.lit(" sessions, not merely gone quiet")))
-              .when(~young & (F.col("_expected") <= F.col("_cost")), F.concat(
-                  F.lit("held "), held_for, F.lit(" sessions; expected return no longer covers selling"))))
-    return _leaving(h, reason).drop("_rank", "_expected", "_cost")
+    return _leaving(
+        h, (_move() <= C.DISASTER_STOP, F.concat(
+            F.lit("down "), F.format_number(100 * _move(), 0), F.lit("% from entry; selling regardless of rank"))),
+        (young & (F.col("_expected") < -F.col("_cost")), F.concat(
+            F.lit("deteriorated after "), held_for, F.lit(" sessions, not merely gone quiet"))),
+        (~young & (F.col("_expected") <= F.col("_cost")), F.concat(
+            F.lit("held "), held_for, F.lit(" sessions; expected return no longer covers selling")))).drop("_rank", "_expected", "_cost")
 
 
 def exits_model(held: DataFrame, policy: DataFrame, model: str = "model") -> DataFrame:
@@ -112,17 +121,15 @@ def exits_model(held: DataFrame, policy: DataFrame, model: str = "model") -> Dat
     switch = F.col("uses_exit_model") & (F.col("age") >= age) & (F.col("pred") < -margin)
     # --- fixed values: reason texts ---
     asked = F.when(live, F.concat(F.lit(" (live, at "), F.format_number("price", 2), F.lit(")"))).otherwise("")
-    reason = (F.when(~wild & (_move() <= C.DISASTER_STOP), _with_percent("disaster stop", _move(), 1))
-              .when(~F.col("fresh"), None)
-              .when(switch, F.concat(
-                  F.lit(model + " exit model"), asked, F.lit(": switching expected to beat holding by "),
-                  F.format_number(-100 * F.col("pred"), 2), F.lit("% over 10 sessions (held "), F.col("age").cast("string"),
-                  F.lit(" sessions)")))
-              .when(F.col("expected").isNull(), model + " exit: no longer scored")
-              .when(F.col("expected") <= F.col("_cost"), F.concat(
-                  F.lit(model + " exit: expects "), signed_money(100 * F.col("expected"), 2), F.lit("%, selling costs "),
-                  F.format_number(100 * F.col("_cost"), 2), F.lit("%"))))
-    return _leaving(h, reason).drop("_cost", *[c for c in policy.columns if c != "account"])
+    return _leaving(
+        h, (~wild & (_move() <= C.DISASTER_STOP), _with_percent("disaster stop", _move(), 1)), (~F.col("fresh"), None),
+        (switch, F.concat(
+            F.lit(model + " exit model"), asked, F.lit(": switching expected to beat holding by "),
+            F.format_number(-100 * F.col("pred"), 2), F.lit("% over 10 sessions (held "), F.col("age").cast("string"), F.lit(" sessions)"))),
+        (F.col("expected").isNull(), model + " exit: no longer scored"),
+        (F.col("expected") <= F.col("_cost"), F.concat(
+            F.lit(model + " exit: expects "), signed_money(100 * F.col("expected"), 2), F.lit("%, selling costs "),
+            F.format_number(100 * F.col("_cost"), 2), F.lit("%")))).drop("_cost", *[c for c in policy.columns if c != "account"])
 
 
 def exits_forced(held: DataFrame, policy: DataFrame, blocklist: DataFrame | None = None) -> DataFrame:
@@ -135,9 +142,8 @@ def exits_forced(held: DataFrame, policy: DataFrame, blocklist: DataFrame | None
         listed = blocklist.select("symbol").distinct().withColumn("_listed", F.lit(True))
         h = h.join(listed, "symbol", "left").withColumn("_fund", F.col("_fund") | F.coalesce("_listed", F.lit(False))).drop("_listed")
     open_now = second_of_day(F.col("now")) >= C.ENTRY_FROM
-    reason = (F.when(F.col("_fund") & ~F.col("holds_funds"), "not a company")
-              .when(F.col("retired") & open_now & (F.col("product") != "entitlement"), "account retired"))
-    return _leaving(h, reason).drop("_fund", "retired", "holds_funds")
+    return _leaving(h, (F.col("_fund") & ~F.col("holds_funds"), "not a company"),
+                    (F.col("retired") & open_now & (F.col("product") != "entitlement"), "account retired")).drop("_fund", "retired", "holds_funds")
 
 
 # --- entries ---
@@ -335,12 +341,13 @@ def reversion_exits(held: DataFrame, section: DataFrame, keys: list[str]) -> Dat
     closed = (F.coalesce("z", F.lit(0.0)) >= -C.REVERSION_EXIT_Z) | (
         F.coalesce(F.col("mean") - F.col("_day_move"), F.lit(0.0)) <= C.REVERSION_EXIT_GAP)
     # --- fixed values: reason texts ---
-    reason = (F.when(F.col("_live").isNull(), None).when(closed, _with_percent("gap closed", _move()))
-              .when(_move() <= C.STOP_LOSS, _with_percent("stop loss", _move())))
+    h = h.withColumn("_by", _move())
+    rules = [(F.col("_live").isNull(), None), (closed, _with_percent("gap closed", F.col("_by"))),
+             (F.col("_by") <= C.STOP_LOSS, _with_percent("stop loss", F.col("_by")))]
     if "now" in held.columns:
         at = second_of_day(F.col("now"))
-        reason = F.when(at >= C.HARD_EXIT_FROM, "flat before the close").when(at >= C.ENTRY_FROM, reason)
-    return _leaving(h, reason).drop("z", "mean", "_day_move", "_live")
+        rules = [(at >= C.HARD_EXIT_FROM, "flat before the close"), (at < C.ENTRY_FROM, None), *rules]
+    return _leaving(h, *rules).drop("z", "mean", "_day_move", "_live", "_by")
 
 
 # --- single-symbol holds and options ---
