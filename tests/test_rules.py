@@ -325,3 +325,20 @@ def test_freshness_bars_and_gaps(spark):
     px = spark.createDataFrame([("x", 75.0), ("y", 74.9), ("z", 1.0)], "symbol string, price double")
     assert [r[0] for r in L.corporate_gaps(pos, px).collect()] == ["y"]
     assert sorted(r["symbol"] for r in L.without_gaps(px, pos).collect()) == ["x", "z"]
+
+
+def test_accounts_go_down_a_list_no_further_than_they_need(spark):
+    """Rows joined per account follow from its slots and bars; what is free behind many bars is still found."""
+    lists = spark.createDataFrame([(name, i, f"s{i}") for name, n in (("long", 500), ("short", 3)) for i in range(n)], "list string, pos int, symbol string")
+    accounts = spark.createDataFrame([("a", "long", 4), ("b", "long", 40), ("c", "short", 9), ("d", "none", 2), ("e", "long", 1)],
+                                     "account string, list string, slots int")
+    held = spark.createDataFrame([("a", f"s{i}") for i in range(60)] + [("c", "s1"), ("e", "s400")], "account string, symbol string")
+    met = U._down_the_list(U._barring(accounts, held), lists, F.col("slots"), ["pos"])
+    counts = {r["account"]: r["count"] for r in met.groupBy("account").count().collect()}
+    assert counts == {"a": 64, "b": 40, "c": 3, "e": 2}
+    free = {}
+    for r in U._not_held(met, held).orderBy("pos").collect():
+        free.setdefault(r["account"], []).append(r["symbol"])
+    assert free["a"] == [f"s{i}" for i in range(60, 64)] and free["c"] == ["s0", "s2"] and free["e"][0] == "s0"
+    joined = [x for x in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
+    assert any("_block" in x and "list" in x for x in joined)

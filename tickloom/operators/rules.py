@@ -165,6 +165,33 @@ def _not_held(cands: DataFrame, positions: DataFrame) -> DataFrame:
     return cands.join(positions.select("account", "symbol"), ["account", "symbol"], "left_anti")
 
 
+LIST_BLOCK = 16        # rows of a list that an account meets at once
+
+
+def _barring(accounts: DataFrame, *names: DataFrame) -> DataFrame:
+    """Accounts with `_barring`, how many names of `names` (account, symbol) they may find barred in their list at most."""
+    rows = names[0].select("account", "symbol")
+    for more in names[1:]:
+        rows = rows.union(more.select("account", "symbol"))
+    counts = rows.groupBy("account").agg(F.count(F.lit(1)).alias("_barring"))
+    return accounts.join(counts, "account", "left").withColumn("_barring", F.coalesce("_barring", F.lit(0)))
+
+
+def _down_the_list(accounts: DataFrame, lists: DataFrame, slots: Column | int, order: list) -> DataFrame:
+    """Accounts beside the first rows of their list, as far as they can need them: `slots` and what may be barred (`_barring`).
+
+    Lists, which name a symbol once, are numbered in `order` and cut into blocks. An account asks for the blocks it may reach
+    and joins them by list and block, so what is joined per account follows from its own slots and bars, not from the list.
+    """
+    ranked = lists.withColumn("_rank", F.row_number().over(W.partitionBy("list").orderBy(*order)))
+    ranked = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / LIST_BLOCK))
+    ends = ranked.groupBy("list").agg(F.max("_block").alias("_end"))
+    reach = accounts.withColumn("_reach", (F.lit(slots) if isinstance(slots, int) else slots).cast("bigint") + F.col("_barring"))
+    last = F.least(F.col("_end"), F.floor((F.col("_reach") - 1) / LIST_BLOCK))
+    asked = reach.join(ends, "list").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return asked.join(ranked, ["list", "_block"]).filter(F.col("_rank") <= F.col("_reach")).drop("_rank", "_block", "_reach", "_end", "_barring")
+
+
 def _live(prices: DataFrame) -> DataFrame:
     return prices.filter(F.col("price").isNotNull()).select("symbol", "price")
 
@@ -230,9 +257,10 @@ def entries_intraday(accounts: DataFrame, picks: DataFrame, prices: DataFrame, p
         ready = ready.filter(second_of_day(F.col("now")) >= C.MODEL_ENTRY_FROM)
     wanted = (picks.filter(worth_it(F.col("expected_net")))
               .join(_live(prices), "symbol").select("list", "pos", "symbol", "price", "expected_net"))
-    cands = _not_held(ready.join(wanted, "list"), positions)
     order = [F.col("expected_net").desc(), F.col("pos")] if by_edge else [F.col("pos")]
-    cands = _first(cands, "account", F.greatest(F.floor(F.col("cash") / C.MIN_TICKET), F.lit(1)), order)
+    slots = F.greatest(F.floor(F.col("cash") / C.MIN_TICKET), F.lit(1))
+    cands = _not_held(_down_the_list(_barring(ready, positions), wanted, slots, order), positions)
+    cands = _first(cands, "account", slots, order)
     return _buy(equal_budget(cands, ["account"]), prices, "intraday")
 
 
@@ -243,7 +271,7 @@ def entries_cost_aware(accounts: DataFrame, picks: DataFrame, prices: DataFrame,
     live = picks.join(_live(prices), "symbol").join(
         ranks.select("symbol", F.col("rank_pct").alias("_rank")), "symbol", "left")
     live = live.select("list", "pos", "symbol", "price", F.coalesce("_rank", "rank_pct", F.lit(0.0)).alias("rank"))
-    cands = _not_held(ready.join(live, "list"), positions)
+    cands = _not_held(_down_the_list(_barring(ready, positions, barred), live, max_names, ["pos"]), positions)
     cands = cands.join(barred.select("account", "symbol"), ["account", "symbol"], "left_anti")
     sized = with_best_book(cands.withColumn("budget", F.col("cash")), ["account"], "rank", "budget", max_names)
     chosen = (sized.withColumn("pos", F.col("place")).drop("budget")
@@ -273,7 +301,7 @@ def entries_model(accounts: DataFrame, picks: DataFrame, prices: DataFrame, posi
              .filter(F.col("ticket") >= C.MIN_TICKET).withColumn("need", round_trip_cost(F.col("ticket"))))
     live = picks.join(_live(prices), "symbol").select(
         "list", "pos", "symbol", "price", "expected", "wait")
-    cands = _not_held(ready.join(live, "list"), positions)
+    cands = _not_held(_down_the_list(_barring(ready, positions, barred), live, F.col("free"), ["pos"]), positions)
     cands = cands.join(barred.select("account", "symbol"), ["account", "symbol"], "left_anti")
     w = W.partitionBy("account").orderBy("pos")
     cands = cands.withColumn("_slot", F.row_number().over(w)).filter(F.col("_slot") <= F.col("free"))
