@@ -1,10 +1,11 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 import xxhash
 
 from tickloom.llm import simhash
 from tickloom.llm.shared import Links, components, forest
-from tickloom.llm.simhash import near_dedup, near_links, shingle_set, similar_dedup, simhash_groups
+from tickloom.llm.simhash import candidate_links, grid_masks, near_dedup, near_links, radius_at, shingle_set, simhash_groups
 
 
 def plain_fingerprint(text, width):
@@ -73,17 +74,29 @@ def test_dedup_keeps_one_of_each_group(spark, odd_docs, no_docs):
     assert near_dedup(no_docs).collect() == []
 
 
-def test_dedup_matches_brute_force_on_128_bits(small):
-    from tickloom.llm.simhash import distance_at, majority, remixed, shingle_hashes
-    prints = {}
-    for r in small.collect():
-        h = shingle_hashes((r["text"] or "").encode(), 5)
-        prints[r["doc_id"]] = (majority(h), majority(remixed(h)))
-    d, ids = distance_at(0.8), sorted(prints)
-    bits = lambda a, b: ((a ^ b) & (2 ** 64 - 1)).bit_count()                       # noqa: E731
-    near = [(a, b) for a in ids for b in ids if a < b and bits(prints[a][0], prints[b][0]) <= d
-            and sum(map(bits, prints[a], prints[b])) <= 2 * d]
-    assert {r["doc_id"] for r in near_dedup(small).select("doc_id").collect()} == set(groups(ids, near).values())
+def test_candidates_lie_within_the_radius(spark):
+    """Two partners per node at most, all within the radius; a group of any size hangs together."""
+    rng = np.random.default_rng(2)
+    rows, centre = [], rng.integers(-2 ** 63, 2 ** 63, 2)
+    for i in range(400):
+        first, second = (int(x) for x in (centre if i < 200 else rng.integers(-2 ** 63, 2 ** 63, 2)))
+        for bit in rng.integers(0, 63, 4):
+            first ^= 1 << int(bit)
+        rows.append((i, first, second))
+    points = spark.createDataFrame(rows, "node bigint, first bigint, second bigint")
+    at = {r[0]: r[1:] for r in rows}
+    bits = lambda a, b: sum(((x ^ y) & (2 ** 64 - 1)).bit_count() for x, y in zip(at[a], at[b], strict=True))
+    found = [(r["u"], r["v"]) for r in candidate_links(points, 20).collect()]
+    assert all(a < b and bits(a, b) <= 20 for a, b in found) and 150 < len(found) <= 800
+    assert set(groups(range(200), [p for p in found if p[1] < 200]).values()) == {0}
+    split = {(r["u"], r["v"]) for r in simhash.candidate_links(points, 20, cell=40).collect()}
+    assert set(groups(range(200), split).values()) == {0}
+
+
+def test_grids_and_radius():
+    masks = grid_masks()
+    assert len(masks) == 84 and all((a & (2 ** 64 - 1)).bit_count() + (b & (2 ** 64 - 1)).bit_count() == 18 for a, b in masks)
+    assert radius_at(0.8) == 28
 
 
 def test_components_of_long_chain_and_cycle(spark):
@@ -123,18 +136,24 @@ def by_resemblance(texts, similarity=0.8):
     return set(groups(ids, near).values())
 
 
-def test_pipeline_stage_matches_brute_force_resemblance(spark, small):
+def is_nearly_all(kept, texts):
+    """Nothing goes that exact resemblance of all pairs would keep, and nine in ten of what it would not keep go."""
+    want = by_resemblance(texts)
+    assert kept >= want and len(texts) - len(kept) >= 0.9 * (len(texts) - len(want))
+
+
+def test_pipeline_stage_against_brute_force_resemblance(spark, small):
     import corpus_pipeline
-    kept = corpus_pipeline.simhash_dedup(spark, small, "")
-    assert {r["doc_id"] for r in kept.collect()} == by_resemblance({r["doc_id"]: r["text"] for r in small.collect()})
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, small, "").collect()}
+    is_nearly_all(kept, {r["doc_id"]: r["text"] for r in small.collect()})
 
 
-def test_resemblance_decides_at_its_very_bound(spark):
-    """Copies with some words changed, from just over to just under the bound; a chain; a common beginning and end."""
+def test_resemblance_decides_among_candidates(spark):
+    """Copies with some words changed, from just over to just under the bound; a chain; a common beginning."""
     rng = np.random.default_rng(5)
     texts = {}
     for base in range(40):
-        words = [f"w{x}" for x in rng.integers(0, 100_000, int(rng.integers(3, 300)))]
+        words = [f"w{x}" for x in rng.integers(0, 100_000, int(rng.integers(40, 300)))]
         for copy in range(5):
             changed = list(words)
             for at in rng.integers(0, len(words), int(rng.integers(0, 1 + len(words) // 40))):
@@ -143,25 +162,12 @@ def test_resemblance_decides_at_its_very_bound(spark):
     common = " ".join(f"same{i}" for i in range(60))
     for i in range(40):
         texts[1_000 + i] = common + "".join(f" own{i}x{k}" for k in range(10 + i % 8))
-    texts |= {2_000: " ".join(f"x{i}" for i in range(13)), 2_001: " ".join(f"x{i}" for i in range(12))}    # 8 of 9
-    texts |= {2_002: " ".join(f"y{i}" for i in range(9)), 2_003: " ".join(f"y{i}" for i in range(8))}      # 4 of 5
-    texts |= {2_004: " ".join(f"z{i}" for i in range(8)), 2_005: " ".join(f"z{i}" for i in range(7))}      # 3 of 4
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    kept = {r["doc_id"] for r in similar_dedup(df).collect()}
-    assert kept == by_resemblance(texts) and not kept & {2_001, 2_003} and kept >= {2_004, 2_005}
-
-
-def test_resemblance_of_odd_rows(odd_docs, no_docs):
-    kept = similar_dedup(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (False, 6), (False, 7), (False, 8), (True, None)]
-    assert similar_dedup(no_docs).collect() == []
+    is_nearly_all({r["doc_id"] for r in near_dedup(df).collect()}, texts)
 
 
-def test_parities_rule_out_no_pair_that_resembles():
-    rng = np.random.default_rng(1)
-    for n in (1, 9, 300, 5_000):
-        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[n // 10:], rng.integers(0, 2 ** 63, n // 10).astype(np.uint64)]))
-        bits = np.bitwise_count(simhash.parities(a) ^ simhash.parities(b)).sum()
-        assert bits <= len(np.setxor1d(a, b))
+def test_rows_equal_in_id_and_text(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "other words than those before", "z"), (None, "a b c d e f", "n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    first, second = (sorted(map(tuple, near_dedup(x).collect())) for x in (df, df.orderBy(F.desc("source")).repartition(3)))
+    assert first == second and [r[1][0] for r in first] == ["a", "o"]
