@@ -137,6 +137,17 @@ def test_calibration_of_any_size(spark):
     assert len(got) == len(asked)
 
 
+@pytest.mark.parametrize("scores", [[5.0] * 4_000, [1e6 + i for i in range(4_000)], [-1e6 - i for i in range(4_000)], [None] * 4_000])
+def test_calibration_of_scores_off_the_curve(spark, scores):
+    """All equal, all above, all below, all null: the same values, and no slice holds more than its share of the distinct ones."""
+    points = spark.createDataFrame([(float(i), i / 10) for i in range(10)], "score double, expected_net double")
+    df = spark.createDataFrame([(i, s, "k") for i, s in enumerate(scores)], "id int, score double, _x string")
+    out = K.calibrate(df, points, slices=16)
+    want = {5.0: 0.5, None: None}.get(scores[0], 0.9 if (scores[0] or 0) > 0 else 0.0)
+    assert out.columns == ["id", "score", "_x", "expected_net"] and {r["expected_net"] for r in out.collect()} == {want}
+    assert out.count() == 4_000
+
+
 def test_normal_distribution_function(spark):
     xs = [i / 7 for i in range(-280, 281)]
     df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("p", normal_cdf(F.col("x")))

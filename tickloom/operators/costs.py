@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tickloom import constants as C
 from tickloom.functions.money import buy_terms, charges, fill_price, lots_cash_covers, whole_units
 from tickloom.operators.scans import HOT, PART, along, running_sum
-from tickloom.session import ship_functions
+from tickloom.session import saved, ship_functions
 
 ship_functions(__name__)
 GST_ON_FEE = 1 + C.GST
@@ -45,49 +45,46 @@ def size_orders(orders: DataFrame) -> DataFrame:
             .drop("_covered", *[f"_{k}" for k in terms]))
 
 
-SLICES = 4096          # ranges of the score axis in which scores meet measured points
+SLICES = 512           # ranges, of about as many rows each, in which scores meet measured points
 
 
 def calibrate(scores: DataFrame, calibration: DataFrame, score: str = "score",
-              name: str = "expected_net") -> DataFrame:
+              name: str = "expected_net", slices: int = SLICES) -> DataFrame:
     """Score to measured net return: linear between points, flat beyond them, null when nothing is measured.
 
-    An as-of join of any size on either side. Scores and points are dealt into slices of the measured range and
-    sorted within them; the last point before and the first at or after a score come from its slice, or else
-    from the slices around it, of which one line each is kept.
+    An as-of join of any size on either side. Each distinct score is looked up once, so that equal scores do not meet in a
+    task, and null scores take no part. Scores and points are cut at the quantiles of both together, from a mergeable sketch, and
+    sorted within these slices, however the scores lie to the curve; the last point before and the first at or after a score
+    come from its slice, or else are carried over from the slices around it, of which one line each is kept. Where the cuts
+    fall changes no result.
     """
     points = calibration.filter(F.col("score").isNotNull()).select(
         F.col("score").cast("double").alias("_x"), F.struct(
             F.col("score").cast("double").alias("x"), F.col("expected_net").cast("double").alias("y")).alias("_p"))
-    span = points.agg(F.struct(F.min("_x").alias("low"), F.max("_x").alias("high"))).scalar()
-
-    def sliced(df: DataFrame) -> DataFrame:
-        place = F.try_divide(F.col("_x") - F.col("_span.low"), F.col("_span.high") - F.col("_span.low"))
-        at = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(F.coalesce(place, F.lit(0.0)) * SLICES)))
-        return df.withColumn("_span", span).withColumn("_slice", at.cast("int")).drop("_span")
+    row = F.struct(*[F.col(f"`{c}`") for c in scores.columns])
+    rows = scores.select(F.col(score).cast("double").alias("_x"), row.alias("_row"))
+    asked = saved(rows.filter(F.col("_x").isNotNull()).select("_x").distinct())
+    both = asked.withColumn("_p", F.lit(None).cast("struct<x:double,y:double>")).unionByName(points)
+    found = both.agg(F.percentile_approx("_x", [i / slices for i in range(1, slices)], 4 * slices)).first()[0] or []
+    cuts = F.array(*[F.lit(c) for c in sorted(set(found))]).cast("array<double>")
+    both = both.withColumn("_slice", F.size(F.filter(cuts, lambda c: c < F.col("_x"))))
 
-    points = sliced(points)
-    ends = points.groupBy("_slice").agg(F.min("_p").alias("low"), F.max("_p").alias("high"))
-    grid = scores.sparkSession.range(SLICES).select(F.col("id").cast("int").alias("_slice")).join(ends, "_slice", "left")
+    point = F.col("_p").isNotNull()
+    ends = both.filter(point).groupBy("_slice").agg(F.min("_p").alias("low"), F.max("_p").alias("high"))
+    grid = scores.sparkSession.range(len(set(found)) + 1).select(F.col("id").cast("int").alias("_slice")).join(ends, "_slice", "left")
     along = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)                # over the slices, a fixed number
     against = W.orderBy(F.col("_slice").desc()).rowsBetween(W.unboundedPreceding, -1)
     around = grid.select("_slice", F.last("high", True).over(along).alias("_under"), F.last("low", True).over(against).alias("_over"))
 
-    row = F.struct(*[F.col(f"`{c}`") for c in scores.columns])
-    rows = sliced(scores.select(F.col(score).cast("double").alias("_x"), row.alias("_row")))
-    both = rows.withColumn("_p", F.lit(None).cast("struct<x:double,y:double>")).unionByName(
-        points.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
-    point = F.col("_p").isNotNull()
     up = W.partitionBy("_slice").orderBy("_x", point, "_p.y")
     down = W.partitionBy("_slice").orderBy(F.col("_x").desc(), point.desc(), F.col("_p.y").desc())
     met = (both.withColumn("_left", F.last("_p", True).over(up)).withColumn("_right", F.last("_p", True).over(down))
            .filter(~point).join(around, "_slice"))
-    left, right, x = F.coalesce("_left", "_under"), F.coalesce("_right", "_over"), F.col("_x")
-    met = met.withColumn("_left", left).withColumn("_right", right)
-    left, right = F.col("_left"), F.col("_right")
+    met = met.withColumn("_left", F.coalesce("_left", "_under")).withColumn("_right", F.coalesce("_right", "_over"))
+    left, right, x = F.col("_left"), F.col("_right"), F.col("_x")
     between = left["y"] + (right["y"] - left["y"]) * (x - left["x"]) / (right["x"] - left["x"])
-    value = F.when(x.isNull(), None).when(left.isNull(), right["y"]).when(right.isNull(), left["y"]).otherwise(between)
-    return met.select("_row.*", value.alias(name))
+    value = F.when(left.isNull(), right["y"]).when(right.isNull(), left["y"]).otherwise(between)
+    return rows.join(met.select("_x", value.alias("_value")), "_x", "left").select("_row.*", F.col("_value").alias(name))
 
 
 def worth_it(expected_net: Column) -> Column:

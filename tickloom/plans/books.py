@@ -269,13 +269,13 @@ VIEWS["purses"] = """
  SELECT account, 200000 + sum(CASE WHEN side = 'BUY' THEN -moved ELSE moved END - costs) AS cash
  FROM fills_done GROUP BY 1 """
 VIEWS["supply_prices"] = """
- SELECT 'L' || s_suppkey AS symbol, abs(s_acctbal) + 100 AS price FROM supplier WHERE s_nationkey <> 0 """
+ SELECT 'L' || s_suppkey AS symbol, CASE WHEN s_nationkey <> 0 THEN abs(s_acctbal) + 100 END AS price FROM supplier """
 
 
 def supply_prices(spark, sf):
-    return V.table(spark, sf, "supplier").filter("s_nationkey <> 0").select(
+    return V.table(spark, sf, "supplier").select(
         F.concat(F.lit("L"), F.col("s_suppkey").cast("string")).alias("symbol"),
-        (F.abs("s_acctbal") + 100).alias("price"))
+        F.when(F.col("s_nationkey") != 0, F.abs("s_acctbal") + 100).alias("price"))
 
 
 @query("a16_account_equity", with_more("purses held_now supply_prices", """

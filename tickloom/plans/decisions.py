@@ -407,7 +407,7 @@ DAY_GAIN = ("CASE WHEN h.price / avg_price - 1 >= 0 THEN '+' ELSE '' END || "
 
 
 @query("d12_reversion_exits", with_more("section moves", """
- held AS (SELECT 'R' AS account, ts, symbol, price, price / (1 + move / 2) AS avg_price FROM moves WHERE move < 0 AND move > -1),
+ held AS (SELECT 'R' AS account, ts, symbol, price, price / (1 + greatest(coalesce(move, 0), -9e-1) / 2) AS avg_price FROM moves),
  live AS (SELECT DISTINCT ts FROM section WHERE z IS NOT NULL)""", f"""
  SELECT account, symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, reason FROM (
    SELECT h.*, CASE WHEN CAST(h.ts AS TIME) >= TIME '15:05:00' THEN 'flat before the close'
@@ -418,8 +418,8 @@ DAY_GAIN = ("CASE WHEN h.price / avg_price - 1 >= 0 THEN '+' ELSE '' END || "
  WHERE reason IS NOT NULL"""))
 def d12_exits(spark, sf):
     sec = section(spark, sf)
-    held = sec.filter("move < 0 AND move > -1").select(
-        F.lit("R").alias("account"), "ts", F.col("ts").alias("now"), "symbol", "price", (F.col("price") / (1 + F.col("move") / 2)).alias("avg_price"))
+    moved = F.greatest(F.coalesce("move", F.lit(0.0)), F.lit(-0.9))
+    held = sec.select(F.lit("R").alias("account"), "ts", F.col("ts").alias("now"), "symbol", "price", (F.col("price") / (1 + moved / 2)).alias("avg_price"))
     return report(U.reversion_exits(held, sec, ["ts"]), "account", "symbol", "ts", "reason")
 
 
