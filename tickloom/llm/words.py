@@ -5,15 +5,17 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from struct import pack
+from struct import Struct
 
 import numpy as np
 
-HELD = 64 << 20                        # bytes of words and ids kept per worker
+HELD = 96 << 20                        # bytes of words and ids kept per worker
 # lower-case Latin letters that are single characters in composed form, then marks of ASCII but the apostrophe
 LETTERS = "a-zß-öø-įı-ňŊ-ſ"
 COMBINING = re.compile(b"[\xcc\xcd]")   # first bytes of U+0300 to U+037F, the marks that compose with A-Z
-PLAIN = re.compile(f"([{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
+PLAIN = re.compile(f"[{LETTERS}]+")
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PACK = [Struct(f"<{n}I").pack for n in range(64)]
 
 
 class WordEncoder:
@@ -27,7 +29,8 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks share the cores
         from tokenizers import Tokenizer
-        self.tokenizer, self.known, self.size = Tokenizer.from_file(path), {}, 0
+        self.tokenizer, self.known, self.older, self.size = Tokenizer.from_file(path), {}, {}, 0
+        self.tokens = self.tokenizer.model.tokenize
         letters = (c for c in map(chr, range(0x80, 0x180)) if PLAIN.fullmatch(c))
         self.bytewise = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
 
@@ -40,31 +43,39 @@ class WordEncoder:
         words = body.split()                               # on bytes: A-Z and ASCII white space alone
         ids = list(map(self.known.get, words))
         if None in ids:
-            new = {w for w, known in zip(words, ids, strict=True) if known is None}
-            if self.size > HELD:
-                self.known, self.size, new = {}, 0, set(words)
-            self.learn(new)
-            ids = map(self.known.__getitem__, words)
+            self.learn({w for w, known in zip(words, ids, strict=True) if known is None})
+            ids = list(map(self.known.__getitem__, words))
+            if self.size > HELD // 2:                      # words not met again by the time the next half is full are forgotten
+                self.known, self.older, self.size = {}, self.known, 0
         return b"".join(ids)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        others, tokens = [], self.tokenizer.model.tokenize
+        others, size, known, older, mark = [], 0, self.known, self.older, self.mark
         for word in words:
-            plain = PLAIN.fullmatch(word.decode().lower())
-            if not plain:
-                others.append(word)
-                continue
-            letters, marks = plain.groups()
-            body = self.known.get(word[:-len(marks)]) if marks else None
-            if body is None:
-                ids = [t.id for t in tokens(letters if letters.isascii() else letters.translate(self.bytewise))]
-                body = pack(f"<{len(ids)}I", *ids)
-            self.known[word] = body + self.mark(marks) if marks else body
-        self.known.update(zip(others, self.whole([w.decode() for w in others]), strict=True))
-        self.size += sum(8 * len(w) + 200 for w in words)
+            size += len(word)
+            ids = older.get(word)
+            if ids is None:
+                stem = word.rstrip(MARKS)
+                letters = stem.decode()
+                if not (stem.isalpha() or PLAIN.fullmatch(letters.lower())):
+                    others.append(word)
+                    continue
+                marked = len(stem) < len(word)
+                ids = (known.get(stem) or older.get(stem)) if marked else None
+                if ids is None:
+                    ids = self.of_letters(letters.lower())
+                if marked:
+                    ids += mark(word[len(stem):].decode())
+            known[word] = ids
+        known.update(zip(others, self.whole([w.decode() for w in others]), strict=True))
+        self.size += 8 * size + 200 * len(words)
+
+    def of_letters(self, letters: str) -> bytes:
+        ids = [t.id for t in self.tokens(letters if letters.isascii() else letters.translate(self.bytewise))]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
 
     @lru_cache(maxsize=4_096)                              # noqa: B019  encoders live as long as their worker
     def mark(self, marks: str) -> bytes:
