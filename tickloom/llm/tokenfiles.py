@@ -24,6 +24,7 @@ SHARD = 4 << 20            # bytes of frames after which a shard ends
 SAMPLE = 2_000             # documents the dictionary is trained on, at most
 SAMPLE_BYTES = 16 << 10    # bytes of ids taken from each of them, at most
 DICTIONARY = 64 << 10      # bytes of the dictionary, at most
+WORDS = 256 << 20          # bytes of words and ids that a worker keeps
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id: str, text: str, end: int) -> bytes:
@@ -36,7 +37,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id: str, text: str, end: i
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array([serialized(tokenizer, t.as_py(), end)[:SAMPLE_BYTES] for t in texts], pa.binary())
+        return pa.array([serialized(tokenizer, t.as_py(), end, WORDS)[:SAMPLE_BYTES] for t in texts], pa.binary())
 
     sample = (docs.select(mark.alias("_mark"), F.col(text).cast("string").alias("_text"))
               .join(F.broadcast(picked), "_mark", "left_semi").dropDuplicates(["_mark"])
@@ -81,7 +82,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
         for batch in batches:
             id_type = batch.schema.field(0).type
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = serialized(tokenizer, body.as_py(), end)
+                raw = serialized(tokenizer, body.as_py(), end, WORDS)
                 frame = packer.compress(raw)
                 ids.append(key)
                 starts.append(held)

@@ -9,7 +9,7 @@ from struct import Struct
 
 import numpy as np
 
-HELD = 96 << 20                        # bytes of words and ids kept per worker
+HELD = 64 << 20                        # bytes of words and ids kept per worker, unless said otherwise
 # lower-case Latin letters that are single characters in composed form, then marks of ASCII but the apostrophe
 LETTERS = "a-zß-öø-įı-ňŊ-ſ"
 COMBINING = re.compile(b"[\xcc\xcd]")   # first bytes of U+0300 to U+037F, the marks that compose with A-Z
@@ -26,11 +26,11 @@ class WordEncoder:
     holds it. A word of Latin letters goes straight to the tokenizer's model, as normalising leaves it as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = HELD):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks share the cores
         from tokenizers import Tokenizer
         self.tokenizer, self.known, self.older, self.size = Tokenizer.from_file(path), {}, {}, 0
-        self.tokens = self.tokenizer.model.tokenize
+        self.tokens, self.held = self.tokenizer.model.tokenize, held
         letters = (c for c in map(chr, range(0x80, 0x180)) if PLAIN.fullmatch(c))
         self.bytewise = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
 
@@ -45,7 +45,7 @@ class WordEncoder:
         if None in ids:
             self.learn({w for w, known in zip(words, ids, strict=True) if known is None})
             ids = list(map(self.known.__getitem__, words))
-            if self.size > HELD // 2:                      # words not met again by the time the next half is full are forgotten
+            if self.size > self.held // 2:                      # words not met again by the time the next half is full are forgotten
                 self.known, self.older, self.size = {}, self.known, 0
         return b"".join(ids)
 
@@ -83,10 +83,10 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, held: int = HELD) -> WordEncoder:
     """The worker's encoder, kept from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, held)
 
 
-def serialized(path: str, text: str | None, end: int) -> bytes:
-    return encoder(path).encode(text or "") + end.to_bytes(4, "little")
+def serialized(path: str, text: str | None, end: int, held: int = HELD) -> bytes:
+    return encoder(path, held).encode(text or "") + end.to_bytes(4, "little")
