@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from tickloom.llm import langid
-from tickloom.llm.langid import cleaned, features, identify, keep_identified, shares, subwords
+from tickloom.llm.langid import Sparse, cleaned, features, identify, keep_identified, shares, subwords, train
 
 
 def test_held_out_accuracy(spark):
@@ -43,3 +43,36 @@ def test_long_texts_count_whole(monkeypatch):
     pieces = next(features([text]))
     assert np.abs(whole - pieces).sum() < 0.02                  # runs at the seams count twice
     assert len(list(features(["a", text, "b"]))) == 3
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    """150 languages, each with words of its own; few texts of each fit in the sample, but none is left out."""
+    rows = [(150 * k + n, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}x{chr(97 + (n * 7 + j) % 26)}" for j in range(12)), f"l{n:03}")
+            for k in range(12) for n in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE", 450)
+    model = train(docs)
+    assert len(model.languages) == 150
+    monkeypatch.setattr(langid, "SAMPLE", 20)                   # fewer than languages: one text of each all the same
+    assert len(train(docs).languages) == 150
+
+
+def test_sparse_rows_and_plain_softmax():
+    """Predictions of the model against the same worked out text by text, from a table of subwords by plain loops."""
+    texts = ["die Katze sitzt", "the cat sits", "le chat dort", "der Hund", "a dog", "un chien"] * 6
+    x = np.concatenate(list(features(texts)))
+    sparse = Sparse([(np.flatnonzero(r).astype(np.uint16).tobytes(), r[np.flatnonzero(r)].tobytes()) for r in x])
+    assert (sparse[np.arange(len(texts))] == x).all()
+    y = np.array([0, 1, 2] * 12)
+    model, same = langid.fit(sparse, y, ["de", "en", "fr"]), langid.fit(x, y, ["de", "en", "fr"])
+    assert (model.table == same.table).all() and model.least == same.least and model.temperature == same.temperature
+    for text, got in zip(texts[:6], model.scores(x[:6]), strict=True):
+        body, hits = cleaned(text), []
+        for n in (2, 3, 4):
+            for i in range(len(body) - n + 1):
+                code = int.from_bytes(body[i:i + n], "little")
+                hits.append((code * 0x9E3779B1 + (n * 0x85EBCA6B & 0xFFFFFFFF)) % 2 ** 32 >> 20)
+        mean = sum(model.table[h].astype(float) for h in hits) / len(hits)
+        z = [(sum(mean[d] * model.layer[d, k] for d in range(len(mean))) + model.bias[k]) / model.temperature for k in range(3)]
+        want = [np.exp(v) / sum(np.exp(w) for w in z) for v in z]
+        assert np.allclose(got, want, atol=1e-3)

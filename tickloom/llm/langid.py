@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, DIMENSIONS = 4_096, 16
-PER_LANGUAGE, LANGUAGES = 500, 100       # texts of a language in the sample, and languages, at most
+PER_LANGUAGE, SAMPLE = 500, 20_000       # texts of a language, and of all, in the sample at most; every language has one
 EPOCHS, RATE, BATCH = 40, 20.0, 32
 SPLITS = 64                              # splits in which a language's first texts are sought
 REJECTED = 0.001                         # share of rightly labelled texts that may be rejected
 AT_ONCE = 2 << 20                        # bytes of text hashed at once
+ROWS = 512                               # rows of counts held at once
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -63,7 +64,7 @@ def features(texts: list[str]) -> Iterator[np.ndarray]:
             continue
         run.append(body)
         held += len(body)
-        if held > AT_ONCE or len(run) >= 512:
+        if held > AT_ONCE or len(run) >= ROWS:
             yield shares(subwords(run))
             run, held = [], 0
     if run:
@@ -79,6 +80,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+class Sparse:
+    """Rows of which only what is not zero is held, at six bytes each: (buckets as uint16, shares as float32) a row."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]]):
+        self.at = [np.frombuffer(at, np.uint16) for at, _ in rows]
+        self.share = [np.frombuffer(share, np.float32) for _, share in rows]
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        """The rows in full; ask for few at once."""
+        dense = np.zeros((len(which), BUCKETS), np.float32)
+        for row, i in zip(dense, which, strict=True):
+            row[self.at[i]] = self.share[i]
+        return dense
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -95,35 +111,43 @@ class Model:
         return softmax(self.logits(x).astype(np.float64) / self.temperature)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) -> Model:
-    """Fits on four fifths of the rows, calibrates on the rest (on all rows where that is too few)."""
+def fit(x: Sparse | np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) -> Model:
+    """Fits on four fifths of the rows, calibrates on the rest (on all rows where that is too few).
+
+    Works on a batch, or on `ROWS` rows, at once: nothing grows with rows times languages.
+    """
     rng = np.random.default_rng(seed)
     model = Model(languages, rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS,
                   np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
     order = rng.permutation(len(y))
     kept, rest = order[:len(y) // 5], order[len(y) // 5:]
-    truth = np.eye(len(languages), dtype=np.float32)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for at in np.array_split(rng.permutation(rest), max(1, len(rest) // BATCH)):
-            hidden = x[at] @ model.table
-            wrong = (softmax(hidden @ model.layer + model.bias) - truth[y[at]]).astype(np.float32) / max(1, len(at))
+            batch = x[at]
+            hidden = batch @ model.table
+            wrong = softmax(hidden @ model.layer + model.bias)
+            wrong[np.arange(len(at)), y[at]] -= 1
+            wrong = wrong.astype(np.float32) / max(1, len(at))
             back = wrong @ model.layer.T
             model.layer -= 0.1 * rate * hidden.T @ wrong
             model.bias -= 0.01 * rate * wrong.sum(axis=0)
-            model.table -= rate * x[at].T @ back
+            model.table -= rate * batch.T @ back
     if len(kept) < 10 * len(languages):
         kept = order
-    z = model.logits(x[kept]).astype(np.float64)
-
-    def loss(t):
-        return -np.log(np.maximum(softmax(z / t)[np.arange(len(kept)), y[kept]], 1e-12)).mean()
-
-    if len(kept):
-        model.temperature = float(min(np.geomspace(0.2, 5, 33), key=loss))
-        p = model.scores(x[kept])
-        right = p.max(axis=1)[p.argmax(axis=1) == y[kept]]
-        if len(right):
+    blocks = [kept[i:i + ROWS] for i in range(0, len(kept), ROWS)]
+    if blocks:
+        warmths = np.geomspace(0.2, 5, 33)
+        loss = np.zeros(len(warmths))
+        for at in blocks:
+            z = model.logits(x[at]).astype(np.float64)
+            loss -= [np.log(np.maximum(softmax(z / t)[np.arange(len(at)), y[at]], 1e-12)).sum() for t in warmths]
+        model.temperature = float(warmths[loss.argmin()])
+        right = []
+        for at in blocks:
+            p = model.scores(x[at])
+            right.extend(p.max(axis=1)[p.argmax(axis=1) == y[at]])
+        if right:
             model.least = float(min(0.5, np.quantile(right, REJECTED)))
     return model
 
@@ -134,39 +158,42 @@ def held_out(id: Column) -> Column:
 
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model from at most `PER_LANGUAGE` texts of each of the `LANGUAGES` commonest languages, those first in the
-    order of their id's hash; held-out rows, null labels, null ids and null texts are left out. None without any.
+    """A model of every language that labels name, from at most `PER_LANGUAGE` texts of each, fewer where `SAMPLE` texts
+    among all languages give less, one at least: those first in the order of their id's hash. Held-out rows, null labels,
+    null ids and null texts are left out. None without any.
 
-    The sample's subword counts are made by Spark; what comes to the driver is bounded by the two parameters.
+    The sample's subword counts are made by Spark; what comes to the driver is `SAMPLE` rows (or one per language, if there
+    are more languages) of at most 6 x `BUCKETS` bytes, six for each bucket that a text touches.
     """
     known = docs.select(F.col(id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).isNotNull().alias("ok"),
                         F.xxhash64(id).alias("mark")).where("ok and lang is not null and id is not null").where(~held_out(F.col("id")))
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    picked = known.join(F.broadcast(common), "lang").select("id", "lang", "mark", (F.spark_partition_id() % SPLITS).alias("split"))
+    labels = known.select("lang").distinct().count()
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, labels)))
+    picked = known.select("id", "lang", "mark", (F.spark_partition_id() % SPLITS).alias("split"))
     for keys in (["lang", "split"], ["lang"]):             # each task's first, then each split's, then a language's
         first = Window.partitionBy(*keys).orderBy("mark", "id")
-        picked = picked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PER_LANGUAGE).drop("place")
+        picked = picked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).drop("place")
     picked = picked.drop("split")
     texts = docs.select(F.col(id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    # at most PER_LANGUAGE x LANGUAGES rows, each a short id
+    # at most SAMPLE rows, or one per language, each a short id
     sample = texts.join(F.broadcast(picked), ["id", "lang"]).where("text is not null").dropDuplicates(["id", "lang"])
 
-    @F.arrow_udf("struct<at: array<int>, share: array<float>>")
+    @F.arrow_udf("struct<at: binary, share: binary>")
     def counted(column: pa.Array) -> pa.Array:
-        rows = [r for block in features(column.to_pylist()) for r in block]
-        at = [np.flatnonzero(r).astype(np.int32) for r in rows]
-        return pa.StructArray.from_arrays(
-            [pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(rows, at, strict=True)], pa.list_(pa.float32()))],
-            ["at", "share"])
+        at, share = [], []
+        for block in features(column.to_pylist()):
+            for row in block:
+                some = np.flatnonzero(row)
+                at.append(some.astype(np.uint16).tobytes())
+                share.append(row[some].tobytes())
+        return pa.StructArray.from_arrays([pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["at", "share"])
 
     found = sorted(sample.select("mark", "id", "lang", counted("text").alias("f")).collect(), key=lambda r: (r["mark"], r["id"], r["lang"]))
     if not found:
         return None
     languages = sorted({r["lang"] for r in found})
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for row, r in zip(x, found, strict=True):
-        row[r["f"]["at"]] = r["f"]["share"]
-    return fit(x, np.array([languages.index(r["lang"]) for r in found]), languages)
+    number = {name: i for i, name in enumerate(languages)}
+    return fit(Sparse([tuple(r["f"]) for r in found]), np.array([number[r["lang"]] for r in found]), languages)
 
 
 def predicted(text: Column, model: Model | None) -> Column:
@@ -177,13 +204,11 @@ def predicted(text: Column, model: Model | None) -> Column:
         bodies = texts.to_pylist()
         lang, score, rejected = [UNKNOWN] * len(bodies), np.zeros(len(bodies)), np.ones(len(bodies), bool)
         which = [i for i, t in enumerate(bodies) if t and LETTER.search(t)] if model else []
-        if which:
-            p = np.concatenate([model.scores(block) for block in features([bodies[i] for i in which])])
-            best = p.argmax(axis=1)
-            score[which] = p[np.arange(len(p)), best]
-            rejected[which] = score[which] < model.least
-            for i, b in zip(which, best, strict=True):
-                lang[i] = model.languages[b]
+        left = iter(which)
+        for block in features([bodies[i] for i in which]):
+            p = model.scores(block)
+            for best, row, i in zip(p.argmax(axis=1), p, left):            # the block first, so that no index is lost
+                lang[i], score[i], rejected[i] = model.languages[best], row[best], row[best] < model.least
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                                           ["lang", "score", "rejected"])
     return run(text.cast("string"))
