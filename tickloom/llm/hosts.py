@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]*)"""
 DAMPING, CLOSE, SHARE = 0.85, 1e-9, 0.5
+BLOCK = 8              # rounds in one job
+DIGITS = 6             # of the share that decides
 
 
 def url_host(url: Column) -> Column:
@@ -64,38 +66,86 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("`to` <> '' and `to` <> host").groupBy("host", "to").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
+def arcs_between(links: DataFrame) -> DataFrame:
+    """(host, to, ahead, back, keep) from links (host, to, n): what part of a host's trust and distrust goes where in a
+    round. Trust follows links, distrust goes back. A row from each host to itself keeps what the host has gathered."""
+    out = links.groupBy("host").agg(F.sum("n").alias("all"))
+    into = links.groupBy("to").agg(F.sum("n").alias("all"))
+    none = F.lit(0.0)
+    ahead = links.join(out, "host").select("host", "to", (F.col("n") / F.col("all")).alias("ahead"), none.alias("back"), none.alias("keep"))
+    back = links.join(into, "to").select(F.col("to").alias("host"), F.col("host").alias("to"), none.alias("ahead"),
+                                         (F.col("n") / F.col("all")).alias("back"), none.alias("keep"))
+    return ahead.union(back)
+
+
+def ends_of(kind: str, rates: dict) -> tuple[Column, Column]:
+    """The least and the greatest that a host's score can come to, from how the last two blocks of rounds compare.
+
+    Rounds are linear and add nothing negative: where each host gained at most r and at least s times in the last block
+    what it gained in the one before, it will in all later ones, and r / (1 - r) and s / (1 - s) of it are still to come.
+    """
+    most, least = rates[f"{kind}_most"] or 0.0, rates[f"{kind}_least"] or 0.0
+    left = lambda rate: F.col(f"{kind}_score") + F.col(f"{kind}_gained") * F.lit(rate / (1 - rate))          # noqa: E731
+    return left(min(least, most)), left(most)
+
+
+def blocked_share(trust: Column, distrust: Column) -> Column:
+    """In relation, since scores shrink as tables grow; null where there is neither."""
+    both = trust + distrust
+    return F.when(both > 0, F.round(distrust / both, DIGITS))
+
+
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, close: float = CLOSE, share: float = SHARE) -> DataFrame:
     """(host, trust, distrust) from seeds (host, allowed, blocked: page counts) and links (host, to, n).
 
-    A round is one join of scores with links and one sum per host, with partial sums before the shuffle. Rounds end
-    when no score moves by more than `close` of itself, however small it is or far from a seed; each round's scores, a
-    row per host, are written to the shared folder.
+    Every judged page weighs the same, whatever the verdict. A round passes on only what the round before brought, by one
+    join with the arcs and one sum per host, with partial sums before the shuffle. `BLOCK` rounds make one job: its arcs
+    are shuffled once, its scores, a row per host, written to the shared folder. Blocks end when no host's verdict for
+    `share` can change any more (`ends_of`), or when no score moves by more than `close` of itself. Scores are then the
+    least that they can come to.
     """
+    links = saved(links)
     total = float(seeds.agg(F.sum(F.col("allowed") + F.col("blocked"))).first()[0] or 1) or 1.0
-    out = links.groupBy("host").agg(F.sum("n").alias("all"))
-    into = links.groupBy("to").agg(F.sum("n").alias("all"))
-    ahead = links.join(out, "host").select("host", "to", F.lit("trust").alias("kind"), (F.col("n") / F.col("all")).alias("share"))
-    back = links.join(into, "to").select(F.col("to").alias("host"), F.col("host").alias("to"), F.lit("distrust").alias("kind"),
-                                         (F.col("n") / F.col("all")).alias("share"))
-    arcs = saved(ahead.union(back))
-    kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), (F.col(column) / total).alias("seed"))
-                                for kind, column in (("trust", "allowed"), ("distrust", "blocked"))]))
-    everyone = seeds.select("host", "allowed", "blocked").unionByName(
-        links.select(F.col("to").alias("host"), F.lit(0).alias("allowed"), F.lit(0).alias("blocked")))
-    start = (everyone.groupBy("host").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
-             .select("host", kinds.alias("k")).select("host", "k.kind", "k.seed"))
-    now = saved(start.withColumn("score", F.col("seed") * (1 - damping)))
+    columns = {"trust": ("allowed", "ahead"), "distrust": ("blocked", "back")}
+    everyone = seeds.select("host", "allowed", "blocked")
+    for end in ("host", "to"):
+        everyone = everyone.unionByName(links.select(F.col(end).alias("host"), F.lit(0).alias("allowed"), F.lit(0).alias("blocked")))
+    start = everyone.groupBy("host").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+    for kind, (count, _) in columns.items():
+        first = (1 - damping) * F.col(count) / total
+        start = start.withColumns({f"{kind}_step": first, f"{kind}_score": first, f"{kind}_gained": F.lit(0.0)})
+    now = saved(start.drop("allowed", "blocked"))
+    if links.isEmpty():                                                          # nothing flows
+        return now.select("host", *[F.col(f"{kind}_score").alias(kind) for kind in columns])
+    alone = now.select("host", F.col("host").alias("to"), F.lit(0.0).alias("ahead"), F.lit(0.0).alias("back"), F.lit(1.0).alias("keep"))
+    arcs = saved(arcs_between(links).union(alone))
     while True:
-        given = (arcs.join(now.where("score > 0").select("host", "kind", "score"), ["host", "kind"])
-                 .groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("score") * F.col("share")).alias("given")))
-        score = (1 - damping) * F.col("seed") + damping * F.coalesce("given", F.lit(0.0))
-        now = saved(now.withColumnRenamed("score", "was").join(given, ["host", "kind"], "left")
-                    .select("host", "kind", "seed", score.alias("score"), "was"))
-        if now.where(F.abs(F.col("score") - F.col("was")) > close * F.col("score")).isEmpty():
-            break
-        now = now.drop("was")
-    return now.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
-                                   F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
+        now = now.select("host", *[f"{kind}_{x}" for kind in columns for x in ("step", "score")],
+                         *[F.col(f"{kind}_gained").alias(f"{kind}_was") for kind in columns],
+                         *[F.lit(0.0).alias(f"{kind}_gained") for kind in columns])
+        for _ in range(BLOCK):
+            sums = []
+            for kind, (_, flow) in columns.items():
+                sums.append((damping * F.sum(F.col(f"{kind}_step") * F.col(flow))).alias(f"{kind}_step"))
+                sums += [F.sum(F.col(f"{kind}_{x}") * F.col("keep")).alias(f"{kind}_{x}") for x in ("score", "was", "gained")]
+            now = now.join(arcs, "host").groupBy(F.col("to").alias("host")).agg(*sums)
+            for kind in columns:
+                now = now.withColumns({f"{kind}_{x}": F.col(f"{kind}_{x}") + F.col(f"{kind}_step") for x in ("score", "gained")})
+        now = saved(now)
+        asked = []
+        for kind in columns:
+            gained, was = F.col(f"{kind}_gained"), F.col(f"{kind}_was")
+            asked += [F.max(F.when(gained > 0, F.when(was > 0, gained / was).otherwise(float("inf")))).alias(f"{kind}_most"),
+                      F.min(F.when(was > 0, gained / was)).alias(f"{kind}_least"),
+                      F.max(gained > close * F.col(f"{kind}_score")).alias(f"{kind}_moves")]
+        rates = now.agg(*asked).first().asDict()
+        if not any(rates[f"{kind}_moves"] for kind in columns):
+            return now.select("host", *[F.col(f"{kind}_score").alias(kind) for kind in columns])
+        if all((rates[f"{kind}_most"] or 0.0) < 1 for kind in columns):
+            (trust, more_trust), (distrust, more_distrust) = (ends_of(kind, rates) for kind in columns)
+            mild, hard = blocked_share(more_trust, distrust) > share, blocked_share(trust, more_distrust) > share
+            if now.where(~mild.eqNullSafe(hard)).isEmpty():
+                return now.select("host", trust.alias("trust"), distrust.alias("distrust"))
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id: str = "page_id", share: float = SHARE) -> DataFrame:
@@ -109,10 +159,8 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id: str
     ruled = saved(with_rules(parsed.drop("html"), rule_table(pages, rules)))
     count = lambda verdict: F.sum(F.when(F.col("said") == verdict, 1).otherwise(0))                     # noqa: E731
     seeds = ruled.where("host <> ''").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked"))
-    scores = propagate(saved(seeds), saved(host_links(parsed)))
-    both = F.col("trust") + F.col("distrust")
-    bad = F.when(both > 0, F.round(F.col("distrust") / both, 6) > share)     # in relation: scores shrink as tables grow
-    own = F.when(bad, "block").otherwise("allow")
+    scores = propagate(saved(seeds), host_links(parsed), share=share)
+    own = F.when(blocked_share(F.col("trust"), F.col("distrust")) > share, "block").otherwise("allow")
     return ruled.join(scores, "host", "left").select(
         F.col("id").alias(id), "host", "path", "rule", F.coalesce("said", own).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
