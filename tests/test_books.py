@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import statistics
 
 import pytest
 
@@ -126,3 +127,57 @@ def test_trend_needs_more_than_the_window(spark):
     rows = [("x", dt.date(2023, 1, 1) + dt.timedelta(days=d), 100.0 + d) for d in range(205)]
     out = B.trend_flag(spark.createDataFrame(rows, "symbol string, date date, close double")).orderBy("date").collect()
     assert [r["above"] for r in out].index(True) == 200
+
+
+@pytest.mark.parametrize("lookback", [6, 20])
+def test_allocator_matches_the_whole_grid(spark, lookback):
+    """Against a grid of all accounts by all days in plain Python: gaps, late starts, idle, null and ruined accounts."""
+    rng = random.Random(lookback)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(d) for d in range(45)]
+    marks = {}
+    for n in range(9):
+        value = 200_000.0
+        for i, day in enumerate(days):
+            if n == 0 or (rng.random() < (0.1, 0.3, 0.9, 1.0)[n % 4] and i >= 3 * n):
+                value *= 1 if n == 1 else 1 + rng.gauss(0.002, 0.01 if i != 20 else 0.9)
+                marks[f"a{n}", day] = None if rng.random() < 0.05 else 0.0 if n == 5 and i > 30 else value
+    marks["never", days[7]] = None
+    rows = [(a, dt.datetime.combine(d, dt.time(15)), 1, e) for (a, d), e in marks.items()]
+    equity = spark.createDataFrame(rows, "account string, time timestamp_ntz, seq int, equity double")
+
+    accounts, seen = sorted({a for a, _ in marks}), sorted({d for _, d in marks})
+    rets, scores = {}, {}
+    for a in accounts:
+        last, line = 200_000.0, []
+        for d in seen:
+            now = marks.get((a, d))
+            now = last if now is None else now
+            line.append(now / last - 1 if line and last else 0.0)
+            last = now
+        rets[a] = line
+        for i in range(len(seen)):
+            span = line[max(0, i - lookback):i]
+            sd = statistics.stdev(span) if len(span) >= 5 else 0
+            scores[a, i] = max(statistics.fmean(span) / sd, 0) if sd else 0.0
+    weight, want, value = {}, [], 1.0
+    for i, d in enumerate(seen):
+        total = sum(scores[a, i] for a in accounts)
+        for a in accounts:
+            weight[a, i] = scores[a, i] / total if total > 0 else 1 / len(accounts)
+        gain = sum(weight[a, i] * rets[a][i] for a in accounts)
+        turnover = sum(abs(weight[a, i] - weight[a, i - 1]) / 2 for a in accounts) if i else 0.0
+        value *= (1 + gain) * (1 - turnover * 0.002)
+        want.append((d, gain, turnover, value * 200_000))
+    got = {(r["account"], r["day"]): r for r in B.allocator_weights(equity, lookback).collect()}
+    assert len(got) == len(accounts) * len(seen)
+    for i, d in enumerate(seen):
+        for a in accounts:
+            assert got[a, d]["weight"] == pytest.approx(weight[a, i], abs=1e-9) and got[a, d]["ret"] == pytest.approx(rets[a][i], abs=1e-12)
+            assert got[a, d]["moved"] == pytest.approx(abs(weight[a, i] - weight[a, max(i - 1, 0)]) / 2, abs=1e-9)
+    book = B.allocator(equity, lookback).orderBy("day").collect()
+    assert [r["day"] for r in book] == seen
+    for r, (_, gain, turnover, value) in zip(book, want, strict=True):
+        assert (r["ret"], r["turnover"], r["equity"]) == pytest.approx((gain, turnover, value), rel=1e-7, abs=1e-9)
+    table = B.allocator_table(equity, ["a2", "nobody"], lookback).orderBy("day").collect()
+    assert [r["w_a2"] for r in table] == pytest.approx([round(weight["a2", i], 3) for i in range(len(seen))], abs=1.1e-3)
+    assert B.allocator(equity.limit(0)).collect() == []

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tickloom import constants as C
 from tickloom.functions.money import total_charge
-from tickloom.functions.stats import change, order_key, trailing
+from tickloom.functions.stats import change, order_key
 from tickloom.operators.filters import corporate_gaps, held_symbols
 from tickloom.operators.scans import HOT, along, blended, floored_sum
+from tickloom.session import saved
 
 KEYS = ["account", "symbol"]
 
@@ -157,52 +158,122 @@ def day_move(equity: DataFrame) -> DataFrame:
     return day_marks(equity).withColumn("move", change(F.col("close"), F.col("open")))
 
 
-def _grid(last: DataFrame, start_cash: float) -> DataFrame:
-    """Accounts by marked days with equity carried forward, the starting cash before the first mark.
+# --- the risk-adjusted allocator ---
+# A return is zero but where a mark moved, and a score changes only where a return comes into the days before or leaves them.
+# So all is worked out on these points, a few per mark; a day's total score is carried as what came less what went.
 
-    The days are one small array (a calendar), so each account unfolds its own rows.
+EXACT = "decimal(38,18)"       # scores are added and taken away again without a rest
+
+
+def _marked_days(last: DataFrame) -> DataFrame:
+    """(day, _at): the days that any account marked, numbered from 0."""
+    return last.select("day").distinct().withColumn("_at", F.row_number().over(W.orderBy("day")) - 1)   # one row per calendar day
+
+
+def _points(last: DataFrame, days: DataFrame, lookback: int, start_cash: float) -> DataFrame:
+    """(account, _at, ret, score, was): the days on which an account's return is not zero or its score may change, and day
+    0; `was` is the score before. Equity starts at the starting cash and is carried over days without a mark.
+
+    The returns among the days before are few; the days without are zeros, which mean and deviation take in by number.
     """
-    days = last.agg(F.sort_array(F.collect_set("day"))).scalar()
-    every = last.select("account").distinct().select("account", F.explode(days).alias("day"))
-    w = W.partitionBy("account").orderBy("day")
-    return every.join(last, ["account", "day"], "left").withColumn("equity", F.coalesce(
-        F.last("equity", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(start_cash)))
+    w = W.partitionBy("account").orderBy("_at")
+    marks = last.filter(F.col("equity").isNotNull()).join(days, "day")
+    before = F.coalesce(F.lag("equity").over(w), F.lit(start_cash))
+    ret = F.when(F.col("_at") > 0, F.coalesce(change(F.col("equity"), before), F.lit(0.0))).otherwise(0.0)
+    moves = marks.withColumn("ret", ret).filter(F.col("ret") != 0).withColumn("_next", F.lead("_at").over(w))
+    at = F.col("_at")
+    # while there are fewer days than are looked back on, the number of zeros grows daily
+    early = F.when(at < lookback, F.sequence(at + 1, F.least(F.coalesce("_next", F.lit(lookback)), F.lit(lookback))))
+    places = F.array_union(F.array(at, at + 1, at + lookback + 1), F.coalesce(early, F.array().cast("array<int>")))
+    rows = moves.select("account", F.explode(places).alias("_place"), F.when(F.col("_place") == at, F.col("ret")).alias("ret"))
+    starts = last.select("account").distinct().select("account", F.lit(0).alias("_place"), F.lit(None).cast("double").alias("ret"))
+    points = rows.unionByName(starts).groupBy("account", F.col("_place").alias("_at")).agg(F.max("ret").alias("ret"))
+
+    span = w.rangeBetween(-lookback, -1)
+    n, k = F.least(at, F.lit(lookback)), F.count("ret").over(span)
+    own, spread = F.avg("ret").over(span), F.var_pop("ret").over(span) * k
+    mean = F.when(k == n, own).otherwise(F.try_divide(own * k, n))
+    sd = F.sqrt(F.try_divide(spread + F.when(k < n, own * own * k * F.try_divide(n - k, n)).otherwise(0.0), n - 1))
+    score = F.when(n >= C.ALLOCATOR_MIN_ROWS, F.greatest(F.coalesce(F.try_divide(mean, sd), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    points = points.withColumn("score", score).withColumn("was", F.coalesce(F.lag("score").over(w), F.lit(0.0)))
+    return points.join(days, "_at", "left_semi")                    # none after the last day
+
+
+def _day_totals(points: DataFrame, days: DataFrame) -> DataFrame:
+    """(day, _at, _total, _before, _all) for every day: all accounts' scores, those of the day before, and the accounts."""
+    sums = points.groupBy("_at").agg(
+        F.sum(F.col("score").cast(EXACT)).alias("_came"), F.sum(F.col("was").cast(EXACT)).alias("_went"),
+        F.sum((F.col("score") > 0).cast("int") - (F.col("was") > 0).cast("int")).alias("_more"),
+        F.sum((F.col("_at") == 0).cast("int")).alias("_starts"))
+    w = W.orderBy("_at")                                            # one row per calendar day
+    so_far = lambda c: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0))                                # noqa: E731
+    total = F.when(so_far("_more") > 0, (so_far("_came") - so_far("_went")).cast("double")).otherwise(0.0)
+    carried = days.join(sums, "_at", "left").withColumns({"_total": total, "_all": so_far("_starts")})
+    return carried.select("day", "_at", "_total", F.coalesce(F.lag("_total").over(w), F.lit(0.0)).alias("_before"), "_all")
+
+
+def _share(score: str, total: str) -> Column:
+    """Weight of a score on a day with that total; equal weights where nobody has earned any."""
+    return F.when(F.col(total) > 0, F.col(score) / F.col(total)).otherwise(1 / F.col("_all"))
+
+
+def _allocator_state(equity: DataFrame, lookback: int, start_cash: float) -> tuple[DataFrame, DataFrame]:
+    last = day_marks(equity).select("account", "day", F.col("close").alias("equity"))
+    days = saved(_marked_days(last))
+    points = saved(_points(last, days, lookback, start_cash))
+    return points, saved(_day_totals(points, days))
+
+
+def _unfolded(points: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every day of the points' accounts, with return, weight and what the weight moved. No shuffle by day: each point is
+    unfolded up to the next, and totals are one row per calendar day."""
+    until = F.coalesce(F.lead("_at").over(W.partitionBy("account").orderBy("_at")), totals.agg(F.max("_at") + 1).scalar())
+    each = points.withColumn("_until", until).withColumn("_day", F.explode(F.sequence(F.col("_at"), F.col("_until") - 1)))
+    first = F.col("_day") == F.col("_at")
+    each = each.select("account", F.col("_day").alias("_at"), F.when(first, F.coalesce("ret", F.lit(0.0))).otherwise(0.0).alias("ret"),
+                       "score", F.when(first, F.col("was")).otherwise(F.col("score")).alias("was"))
+    moved = F.when(F.col("_at") > 0, F.abs(F.col("weight") - _share("was", "_before")) / 2).otherwise(0.0)
+    return (each.join(totals, "_at").withColumn("weight", _share("score", "_total"))
+            .select("day", "account", "ret", "weight", moved.alias("moved")))
 
 
 def allocator_weights(equity: DataFrame, lookback: int = C.ALLOCATOR_LOOKBACK,
                       start_cash: float = C.START_CASH) -> DataFrame:
     """Per day and account: return, and the weight earned by the risk-adjusted return of the days before."""
-    last = day_marks(equity).select("account", "day", F.col("close").alias("equity"))
-    w = W.partitionBy("account").orderBy("day")
-    ret = F.coalesce(change(F.col("equity"), F.lag("equity").over(w)), F.lit(0.0))
-    g = _grid(last, start_cash).withColumn("ret", ret)
-    mean = trailing(F.avg, F.col("ret"), w, lookback, C.ALLOCATOR_MIN_ROWS)
-    sd = trailing(F.stddev_samp, F.col("ret"), w, lookback, C.ALLOCATOR_MIN_ROWS)
-    g = g.withColumn("_score", F.greatest(F.coalesce(F.try_divide(mean, sd), F.lit(0.0)), F.lit(0.0)))
-    day = W.partitionBy("day")                                    # one row per account
-    total = F.sum("_score").over(day)
-    g = g.withColumn("weight", F.when(total > 0, F.col("_score") / total).otherwise(1 / F.count(F.lit(1)).over(day)))
-    moved = F.abs(F.col("weight") - F.lag("weight").over(w)) / 2
-    return g.withColumn("moved", F.coalesce(moved, F.lit(0.0))).select("day", "account", "ret", "weight", "moved")
+    return _unfolded(*_allocator_state(equity, lookback, start_cash))
+
+
+def _combined(points: DataFrame, totals: DataFrame, cost: float, start_cash: float) -> DataFrame:
+    at = points.join(totals, "_at").withColumn("_w", _share("score", "_total"))
+    sums = at.groupBy("_at").agg(
+        F.sum(F.col("_w") * F.col("ret")).alias("ret"), F.sum(F.abs(F.col("_w") - _share("was", "_before"))).alias("_moved"),
+        F.sum("was").alias("_was"), F.count(F.lit(1)).alias("_n"))
+    # the weights of all others move by the change of the total alone
+    now, before = F.col("_total"), F.col("_before")
+    rest = F.greatest(before - F.coalesce("_was", F.lit(0.0)), F.lit(0.0))
+    others = (F.when((now > 0) & (before > 0), rest * F.abs(1 / now - 1 / before))
+              .when((now > 0) | (before > 0), 1 - F.coalesce("_n", F.lit(0)) / F.col("_all")).otherwise(0.0))
+    turnover = F.when(F.col("_at") > 0, (F.coalesce("_moved", F.lit(0.0)) + others) / 2).otherwise(0.0)
+    days = totals.join(sums, "_at", "left").select("day", F.coalesce("ret", F.lit(0.0)).alias("ret"), turnover.alias("turnover"))
+    grown = F.product((1 + F.col("ret")) * (1 - F.col("turnover") * cost)).over(
+        W.orderBy("day").rowsBetween(W.unboundedPreceding, 0))    # one row per calendar day
+    return days.withColumn("equity", F.round(F.lit(start_cash) * grown, 2))
 
 
 def allocator(equity: DataFrame, lookback: int = C.ALLOCATOR_LOOKBACK, cost: float = C.SWITCH_COST,
               start_cash: float = C.START_CASH) -> DataFrame:
-    """The combined book: one row per day with its compounded value and turnover."""
-    days = allocator_weights(equity, lookback, start_cash).groupBy("day").agg(
-        F.sum(F.col("weight") * F.col("ret")).alias("ret"), F.sum("moved").alias("turnover"))
-    grown = F.product((1 + F.col("ret")) * (1 - F.col("turnover") * cost)).over(
-        W.orderBy("day").rowsBetween(W.unboundedPreceding, 0))    # one row per calendar day
-    return days.withColumn("equity", F.round(F.lit(start_cash) * grown, 2))
+    """The combined book: one row per day with its compounded value and turnover. Accounts are never laid out by day."""
+    return _combined(*_allocator_state(equity, lookback, start_cash), cost, start_cash)
 
 
 def allocator_table(equity: DataFrame, accounts: list[str], lookback: int = C.ALLOCATOR_LOOKBACK,
                     cost: float = C.SWITCH_COST, start_cash: float = C.START_CASH) -> DataFrame:
-    """The combined book as it is exported: date, equity and one rounded weight column per account."""
-    wide = (allocator_weights(equity, lookback, start_cash).groupBy("day").pivot("account", accounts)
+    """The combined book as it is exported: date, equity and one rounded weight column per account named."""
+    points, totals = _allocator_state(equity, lookback, start_cash)
+    wide = (_unfolded(points.filter(F.col("account").isin(accounts)), totals).groupBy("day").pivot("account", accounts)
             .agg(F.round(F.first("weight"), 3)))
     wide = wide.withColumnsRenamed({a: f"w_{a}" for a in accounts})
-    return allocator(equity, lookback, cost, start_cash).select("day", "equity").join(wide, "day")
+    return _combined(points, totals, cost, start_cash).select("day", "equity").join(wide, "day", "left")
 
 
 def all_children(children: dict[str, DataFrame], tag: str = "account") -> DataFrame:
