@@ -40,8 +40,9 @@ def t01(spark, sf):
     return report(J.run_to_files(J.stream_bars(live_ticks(spark, sf)), "bars"))
 
 
-def in_turn(df, clock, name, stream, mode="append"):
-    """What the stream writes of `df` arriving in three turns by `clock`, going on from its state after each."""
+def in_turn(df, clock, name, stream, keys=None):
+    """What the stream writes of `df` arriving in three turns by `clock`, going on from its state after each; with `keys`,
+    its newest row for each, read from a snapshot after every other batch."""
     spark = df.sparkSession
     folder, at = scratch_path(spark, f"{name}-in"), scratch_path(spark, name)
     cuts = df.agg(F.percentile_approx(clock, [0.33, 0.67]).alias("cuts")).first()["cuts"] or []
@@ -49,7 +50,8 @@ def in_turn(df, clock, name, stream, mode="append"):
         low = F.col(clock) > cuts[turn - 1] if turn else F.lit(True)
         high = F.col(clock) <= cuts[turn] if turn < len(cuts) else F.lit(True)
         df.filter(low & high).write.mode("append").parquet(folder)
-        out = J.run_to_files(stream(J.stream_files(spark, folder, df.schema)), name, mode, at)
+        arriving = stream(J.stream_files(spark, folder, df.schema))
+        out = J.run_to_latest(arriving, name, keys, at, every=2) if keys else J.run_to_files(arriving, name, at=at)
     return out
 
 
@@ -60,16 +62,14 @@ def in_turn(df, clock, name, stream, mode="append"):
    FROM dated_quotes WHERE symbol LIKE '%.NS' AND ltp > 0 AND volume <> 0) WHERE k = 1"""))
 def t02(spark, sf):
     quotes = V.quotes(spark, sf).select("symbol", "ltp", "volume", "last_trade_epoch", "seq", "asof")
-    changes = in_turn(quotes, "asof", "quotes", lambda q: J.stream_latest_quotes(q, ZONE), "update")
-    return report(changes.groupBy("symbol", "date").agg(F.max_by("price", "batch").alias("price")))
+    return report(in_turn(quotes, "asof", "quotes", lambda q: J.stream_latest_quotes(q, ZONE), ["symbol", "date"]), "symbol", "date", "price")
 
 
 @query("t03_stream_day_open", with_views("ticks", f"""
  SELECT symbol, CAST(date AS VARCHAR) AS date, {r('arg_min(price, (ts, seq))', 'open')} FROM ticks
  WHERE CAST(ts AS TIME) >= TIME '09:15:00' GROUP BY symbol, date"""))
 def t03(spark, sf):
-    changes = J.run_to_files(J.stream_day_open(live_ticks(spark, sf)), "opens", "update")
-    return report(changes.groupBy("symbol", "date").agg(F.max_by("open", "batch").alias("open")))
+    return report(J.run_to_latest(J.stream_day_open(live_ticks(spark, sf)), "opens", ["symbol", "date"]), "symbol", "date", "open")
 
 
 def streamed_fills(spark, sf):
@@ -89,9 +89,8 @@ def t04(spark, sf):
  SELECT account, {r("200000 + sum(CASE WHEN side = 'BUY' THEN -moved ELSE moved END - costs)", 'cash_after', 2)},
         {r('sum(costs)', 'costs', 2)}, {r('sum(pnl)', 'pnl', 2)}, count(*) AS fills FROM fills_done GROUP BY 1"""))
 def t04_cash(spark, sf):
-    changes = in_turn(streamed_fills(spark, sf), "time", "cash", J.stream_cash, "update")
-    last = changes.groupBy("account").agg(F.max_by(F.struct("cash", "costs", "pnl", "fills"), "batch").alias("last"))
-    return report(last.select("account", F.col("last.cash").alias("cash_after"), "last.costs", "last.pnl", "last.fills"), places=2)
+    last = in_turn(streamed_fills(spark, sf), "time", "cash", J.stream_cash, ["account"])
+    return report(last.select("account", F.col("cash").alias("cash_after"), "costs", "pnl", "fills"), places=2)
 
 
 @query("t05_stream_alert_ids", """
@@ -109,8 +108,7 @@ def t05(spark, sf):
 def t06(spark, sf):
     e = events(spark, sf).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("account"), "ts",
                                  F.col("event_id").alias("seq"))
-    changes = J.run_to_files(J.stream_once_per_day(e), "entries", "update")
-    return report(changes.groupBy("account", "date").agg(F.max_by("seq", "batch").alias("seq")))
+    return report(J.run_to_latest(J.stream_once_per_day(e), "entries", ["account", "date"]), "account", "date", "seq")
 
 
 # the operators walk by month after six of them; bars and their trades cover one month here and are walked by week after two

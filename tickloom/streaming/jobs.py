@@ -25,6 +25,7 @@ from tickloom.session import scratch_path, ship_functions
 
 ship_functions(__name__)
 
+SNAPSHOT_EVERY = 16       # batches of changes that a reader of the latest state has to go through at most, about
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -71,6 +72,46 @@ def run_to_files(stream: DataFrame, name: str, mode: str = "append", at: str | N
         raise
 
 
+def folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers n of the complete folders named `something=n` under `path`, in order; none where there is no such path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(hadoop(path)):
+        return []
+    found = [str(f.getPath().getName()) for f in fs.listStatus(hadoop(path)) if f.isDirectory()]
+    return sorted(int(name.split("=")[1]) for name in found if "=" in name and fs.exists(hadoop(f"{path}/{name}/_SUCCESS")))
+
+
+def latest_rows(spark: SparkSession, at: str, schema: T.StructType, keys: list[str]) -> tuple[DataFrame, int, int]:
+    """The newest row per key of an update-mode stream under `at`, the batch it stands at (-1: none), and how many batches
+    lie after the snapshot it starts from. Reads that snapshot and the later batches, nothing else."""
+    snapshots, batches = folders(spark, f"{at}/snapshots"), folders(spark, f"{at}/out")
+    base = snapshots[-1] if snapshots else -1
+    later = [n for n in batches if n > base]
+    paths = [f"{at}/snapshots/upto={base}"] * bool(snapshots) + [f"{at}/out/part={n}" for n in later]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    whole = F.struct(*schema.names)
+    newest = rows.groupBy(*keys).agg(F.max_by(whole, "batch").alias("_row")).select("_row.*")
+    return newest, (later or [base])[-1], len(later)
+
+
+def run_to_latest(stream: DataFrame, name: str, keys: list[str], at: str | None = None, every: int = SNAPSHOT_EVERY) -> DataFrame:
+    """Runs an update-mode stream over what has arrived and returns the newest row per key.
+
+    As soon as `every` batches lie after the last snapshot, the newest rows are written as the next one, so a reader never
+    goes through more than that many batches. A snapshot counts once it is complete. A batch is written under its number:
+    one that runs again after a failure replaces itself, and changes nothing if a snapshot holds it already. Null keys are keys.
+    """
+    spark = stream.sparkSession
+    at = at or scratch_path(spark, name)
+    schema = run_to_files(stream, name, "update", at).schema
+    rows, upto, later = latest_rows(spark, at, schema, keys)
+    if later >= every:
+        rows.write.mode("overwrite").parquet(f"{at}/snapshots/upto={upto}")
+        rows, _, _ = latest_rows(spark, at, schema, keys)
+    return rows
+
+
 def stream_bars(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Hourly bars that start a quarter past, emitted once the watermark has passed their end.
 
