@@ -1,8 +1,10 @@
+from concurrent.futures import ThreadPoolExecutor
 import datetime as dt
 import json
 
 import pandas as pd
 
+from tickloom.session import folders
 from tickloom.sources import accounts as A
 from tickloom.sources import bars as SB
 from tickloom.sources import picks as P
@@ -105,6 +107,40 @@ def test_log_takes_each_id_once(spark, tmp_path):
     assert sorted(r["id"] for r in SR.read_log(spark, log, "id string, text string").filter("id IS NOT NULL").collect()) == ["1", "2", "3"]
 
 
+def test_writers_at_once_append_each_id_once(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "day string, id string, text string"
+    batches = [spark.createDataFrame([(f"d{i % 3}", f"i{i}", f"{w}") for i in range(w, w + 40)] * 2, schema) for w in (0, 10, 20)]
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(lambda b: SR.append_once(b, log), batches))
+    commits = sorted(n for n in numbers if n >= 0)                    # the middle batch may find all its rows in the others'
+    assert commits in ([0, 1], [0, 1, 2])
+    got = SR.read_once(spark, log, batches[0].schema)
+    assert sorted((r["day"], r["id"]) for r in got.collect()) == sorted((f"d{i % 3}", f"i{i}") for i in range(60))
+    assert SR.append_once(batches[1], log) == -1 and folders(spark, log) == commits
+
+
+def test_the_loser_of_a_race_leaves_out_what_the_winner_wrote(spark, tmp_path, monkeypatch):
+    log, schema = str(tmp_path / "log"), "id string, day string, text string"
+    rows = lambda text, *keys: spark.createDataFrame([(k, d, text) for k, d in keys], schema)
+    plain, first = SR.claim, []
+
+    def late(session, staged, target):
+        if not first:
+            first.append(target)
+            assert SR.append_once(rows("winner", ("a", "d1"), (None, "d1"), ("b", None)), log) == 0
+        return plain(session, staged, target)
+    monkeypatch.setattr(SR, "claim", late)
+    assert SR.append_once(rows("loser", ("a", "d1"), ("a", "d2"), (None, "d1"), ("b", None), (None, None)), log) == 1
+    got = {(r["id"], r["day"]): r["text"] for r in SR.read_once(spark, log, rows("x").schema).collect()}
+    assert got == {("a", "d1"): "winner", (None, "d1"): "winner", ("b", None): "winner", ("a", "d2"): "loser", (None, None): "loser"}
+
+
+def test_a_log_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "id string, day string")
+    assert SR.append_once(none, str(tmp_path / "log")) == -1
+    assert SR.read_once(spark, str(tmp_path / "log"), none.schema).isEmpty()
+
+
 def test_reports_on_disk(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5)], "account string, equity double")
     SR.write_reports({"equity": df, "summary": df}, str(tmp_path))

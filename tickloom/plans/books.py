@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from tickloom.functions import calendar as D
@@ -769,3 +772,18 @@ def s10(spark, sf):
     SR.append_new(rows.filter("o_orderstatus = 'F'").select("id", F.lit("first").alias("batch")), log)
     SR.append_new(rows.select("id", F.lit("second").alias("batch")), log)
     return SR.read_log(spark, log, "id string, batch string")
+
+
+@query("s10_log_of_two_writers", """
+ SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(CAST(ts AS DATE) AS VARCHAR) || '|' || user_id || '|' || event_type AS id
+ FROM events""")
+def s10_writers(spark, sf):
+    """Two writers append overlapping halves of all alerts to one log at the same time."""
+    log = scratch_path(spark, "alerts")
+    day = F.to_date("ts").cast("string")
+    e = V.table(spark, sf, "events")
+    alerts = e.select("event_id", day.alias("day"), F.concat_ws("|", day, F.col("user_id").cast("string"), "event_type").alias("id"))
+    halves = [alerts.filter(F.col("event_id") % 3 != n).drop("event_id") for n in (0, 1)]
+    with ThreadPoolExecutor(len(halves)) as writers:
+        list(writers.map(inheritable_thread_target(spark)(lambda half: SR.append_once(half, log)), halves))
+    return SR.read_once(spark, log, halves[0].schema)

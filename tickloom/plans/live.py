@@ -77,12 +77,28 @@ def streamed_fills(spark, sf):
     return in_turn(fills, "time", "positions", lambda f: J.stream_positions(f, list(FILL_ORDER)))
 
 
-@query("t04_stream_positions", with_views("fills_done", f"""
+POSITIONS = with_views("fills_done", f"""
  SELECT account, symbol, order_id, line, part, side, units, qty_after,
-        {r('CASE WHEN units > 0 THEN avg_after END', 'avg_after', 4)}, {r('costs', places=4)}, {r('pnl', places=3)} FROM fills_done"""))
+        {r('CASE WHEN units > 0 THEN avg_after END', 'avg_after', 4)}, {r('costs', places=4)}, {r('pnl', places=3)} FROM fills_done""")
+
+
+def report_positions(done):
+    return report(done, "account", "symbol", "order_id", "line", "part", "side", "units", "qty_after", "avg_after", "costs", "pnl",
+                  places=4, pnl=3)
+
+
+@query("t04_stream_positions", POSITIONS)
 def t04(spark, sf):
-    return report(streamed_fills(spark, sf), "account", "symbol", "order_id", "line", "part", "side", "units", "qty_after",
-                  "avg_after", "costs", "pnl", places=4, pnl=3)
+    return report_positions(streamed_fills(spark, sf))
+
+
+@query("t04_late_fills", POSITIONS)
+def t04_late(spark, sf):
+    """Each fill arrives up to 29 days after its time, so every turn brings some that belong before those of the last one."""
+    fills = V.ledger(spark, sf).drop("reason").withColumn(
+        "arrives", F.date_add(F.to_date("time"), (F.crc32(F.col("order_id").cast("string")) % 30).cast("int")))
+    return report_positions(in_turn(fills, "arrives", "late", lambda f: J.stream_late_positions(
+        f, list(FILL_ORDER), "31 days", "1000 days"), ["account", "symbol", *FILL_ORDER]))
 
 
 @query("t04_stream_cash", with_views("fills_done", f"""

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +22,18 @@ from tickloom.functions.calendar import second_of_day, to_zone
 from tickloom.functions.stats import order_key
 from tickloom.operators.books import realised
 from tickloom.operators.filters import valid_quotes
-from tickloom.session import scratch_path, ship_functions
+from tickloom.session import folders, scratch_path, ship_functions
 
 ship_functions(__name__)
 
+FILES_PER_BATCH = 1000    # files that one micro-batch reads at most
 SNAPSHOT_EVERY = 16       # batches of changes that a reader of the latest state has to go through at most, about
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_files(spark: SparkSession, folder: str, schema, name: str = "*.parquet",
-                 files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files appearing in `folder` as a stream."""
+                 files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
+    """Parquet files appearing in `folder` as a stream, a bounded number of them per micro-batch."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -72,16 +74,6 @@ def run_to_files(stream: DataFrame, name: str, mode: str = "append", at: str | N
         raise
 
 
-def folders(spark: SparkSession, path: str) -> list[int]:
-    """Numbers n of the complete folders named `something=n` under `path`, in order; none where there is no such path."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(hadoop(path)):
-        return []
-    found = [str(f.getPath().getName()) for f in fs.listStatus(hadoop(path)) if f.isDirectory()]
-    return sorted(int(name.split("=")[1]) for name in found if "=" in name and fs.exists(hadoop(f"{path}/{name}/_SUCCESS")))
-
-
 def latest_rows(spark: SparkSession, at: str, schema: T.StructType, keys: list[str]) -> tuple[DataFrame, int, int]:
     """The newest row per key of an update-mode stream under `at`, the batch it stands at (-1: none), and how many batches
     lie after the snapshot it starts from. Reads that snapshot and the later batches, nothing else."""
@@ -149,6 +141,24 @@ def stream_day_open(ticks: DataFrame, opens_at: int = C.SESSION_OPEN) -> DataFra
             .select("symbol", F.to_date("w.start").alias("date"), "open"))
 
 
+def moved(fills: pd.DataFrame, qty: int, avg: float) -> tuple[pd.DataFrame, int, float]:
+    """One holding's fills, in their order, with the units each moves and the holding after it; and the holding after all."""
+    units, after, cost = [], [], []
+    for side, n, price in zip(fills["side"].str.upper(), fills["qty"], fills["price"]):
+        n = 0 if pd.isna(n) else int(n)
+        if side != "BUY":
+            n = min(n, qty)
+            qty -= n
+        elif n:
+            avg = (avg * qty + n * price) / (qty + n)
+            qty += n
+        units.append(n)
+        after.append(qty)
+        cost.append(avg if n else None)
+    done = fills.assign(units=units, qty_after=after, avg_after=pd.Series(cost, index=fills.index, dtype="float64"))
+    return done, int(qty), float(avg) if qty else 0.0
+
+
 class HoldingState(StatefulProcessor):
     """Quantity and moving-average cost of one account's open holding, fill by fill; forgotten once it is sold."""
 
@@ -159,30 +169,91 @@ class HoldingState(StatefulProcessor):
         self.holding = handle.getValueState("holding", "qty bigint, avg double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        qty, avg = self.holding.get() if self.holding.exists() else (0, 0.0)
+        qty, avg = self.holding.get() or (0, 0.0)
         fills = pd.concat(list(rows)).sort_values(self.order)      # one key's fills of one micro-batch
-        units, after, cost = [], [], []
-        for side, n, price in zip(fills["side"].str.upper(), fills["qty"], fills["price"]):
-            n = 0 if pd.isna(n) else int(n)
-            if side != "BUY":
-                n = min(n, qty)
-                qty -= n
-            elif n:
-                avg = (avg * qty + n * price) / (qty + n)
-                qty += n
-            units.append(n)
-            after.append(qty)
-            cost.append(avg if n else None)
+        done, qty, avg = moved(fills, qty, avg)
         if qty:
-            self.holding.update((int(qty), float(avg)))
+            self.holding.update((qty, avg))
         elif self.holding.exists():
             self.holding.clear()
-        yield fills.assign(units=units, qty_after=after, avg_after=pd.Series(cost, index=fills.index, dtype="float64"))
+        yield done
 
     def close(self) -> None:
         pass
 
 
+class LateHoldingState(StatefulProcessor):
+    """As `HoldingState`, for fills that come out of order: keeps those that a later arrival may still precede.
+
+    Fills wait in slices of time, each with the holding after it. What arrives is folded from its slice on, until a slice
+    without new fills starts as it did before; all that was folded goes out again. A timer settles a slice once the
+    watermark has passed it. In memory are one slice of one holding and the frame that has arrived.
+    """
+
+    def __init__(self, order: list[str], width_ms: int):
+        self.order, self.width_ms = order, width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "qty bigint, avg double")
+        self.ends = handle.getMapState("ends", "slice bigint", "qty bigint, avg double")
+        self.fills = handle.getMapState("fills", "slice bigint", "rows binary")
+
+    def expiry(self, at: int) -> int:
+        return max(1, (at + 1) * self.width_ms)
+
+    def waiting(self, at: int) -> pd.DataFrame:
+        return pa.ipc.open_stream(self.fills.getValue((at,))[0]).read_pandas()
+
+    def keep(self, at: int, fills: pd.DataFrame) -> None:
+        table, sink = pa.Table.from_pandas(fills, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.fills.updateValue((at,), (sink.getvalue().to_pybytes(),))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        ends = {int(at): (int(qty), float(avg)) for (at,), (qty, avg) in self.ends.iterator()}
+        fresh: set[int] = set()
+        for frame in rows:
+            for at, part in frame.groupby("at_slice"):
+                at = int(at)
+                self.keep(at, pd.concat([self.waiting(at), part]) if at in ends or at in fresh else part)
+                fresh.add(at)
+        now = was = self.settled.get() or (0, 0.0)
+        for at in sorted(fresh | set(ends)):
+            if at not in fresh and now == was:
+                now = was = ends[at]
+                continue
+            fills = self.waiting(at).sort_values(self.order, kind="stable", na_position="first")
+            done, *after = moved(fills, *now)
+            now, was = tuple(after), ends.get(at, was)
+            self.ends.updateValue((at,), now)
+            if at not in ends:
+                self.handle.registerTimer(self.expiry(at))
+            yield done.drop(columns=["at_time", "at_slice"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        past = [row for row in self.ends.iterator() if self.expiry(int(row[0][0])) <= expiredTimerInfo.getExpiryTimeInMs()]
+        for (at,), (qty, avg) in sorted(past):
+            if qty:
+                self.settled.update((int(qty), float(avg)))
+            elif self.settled.exists():
+                self.settled.clear()
+            self.ends.removeKey((at,))
+            self.fills.removeKey((at,))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def fill_columns(fills: DataFrame, order: list[str]) -> tuple[DataFrame, str]:
+    """The columns that a holding needs, and the schema of the fills once they are folded."""
+    rows = fills.select(*dict.fromkeys(["account", "symbol", *order, "side", "qty", "price", "product", "broker"]))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows, types + ", units bigint, qty_after bigint, avg_after double"
+
+
 def stream_positions(fills: DataFrame, order: list[str]) -> DataFrame:
     """Fills with the holding after each, its charges and what a sale earned.
 
@@ -190,14 +261,29 @@ def stream_positions(fills: DataFrame, order: list[str]) -> DataFrame:
     arrive in time order from one micro-batch to the next; within one they are sorted. A fill that moves nothing has no
     average. Needs account, symbol, side, qty, price, product, broker and `order`.
     """
-    columns = ["account", "symbol", *order, "side", "qty", "price", "product", "broker"]
-    rows = fills.select(*dict.fromkeys(columns))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{c} {types[c]}" for c in rows.columns) + ", units bigint, qty_after bigint, avg_after double"
+    rows, schema = fill_columns(fills, order)
     return realised(rows.groupBy("account", "symbol").transformWithStateInPandas(
         HoldingState(order), schema, outputMode="Append", timeMode="None"))
 
 
+def stream_late_positions(fills: DataFrame, order: list[str], delay: str = "1 day", width: str | None = None) -> DataFrame:
+    """As `stream_positions`, for fills that arrive up to `delay` behind the newest one. Update mode.
+
+    A late fill goes to its place in the order, and every fill whose holding it changes goes out once more, so readers keep
+    the newest row per account, symbol and `order` (`run_to_latest`). `order` must name each fill of a holding and
+    start with its time; fills without one come first. State holds the fills of the last `delay`, in slices of `width`
+    (the delay itself by default), and the open holding before them; one slice of a holding must fit in a worker. Fills
+    behind the watermark are not taken in; the query's progress counts them (`numRowsDroppedByWatermark`).
+    """
+    rows, schema = fill_columns(fills, order)
+    width_ms = int(pd.Timedelta(width or delay).total_seconds() * 1000)
+    clock = F.col(order[0]).cast("timestamp")
+    at = F.floor(F.unix_millis(clock) / width_ms)
+    placed = rows.withColumns({"at_time": clock, "at_slice": F.coalesce(at, F.lit(-(1 << 40)))}).withWatermark("at_time", delay)
+    return realised(placed.groupBy("account", "symbol").transformWithStateInPandas(
+        LateHoldingState(order, width_ms), schema, outputMode="Update", timeMode="EventTime"))
+
+
 def stream_cash(done: DataFrame, start_cash: float = C.START_CASH) -> DataFrame:
     """Cash, charges paid and realised profit of each account after its fills so far. Update mode.
 
