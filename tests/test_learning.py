@@ -80,7 +80,39 @@ def test_registered_learners_run_the_whole_job(spark, monkeypatch, name, leaf):
     assert asked == {(300, leaf)}
 
 
-def test_learners_walk_by_month_where_there_are_enough(spark):
-    from tickloom.plans.live import walk
-    days = spark.range(250).selectExpr("date_add(date'2024-01-01', cast(id as int)) as date")
-    assert walk(days) == {} and walk(days.limit(30)) == {"min_train": 2, "period": "week"}
+def test_learners_walk_by_month_after_six_of_them(spark):
+    """By default a month is scored by what came before it, once six have passed; prediction ranks by the planted gap."""
+    rng = random.Random(5)
+    rows = [(f"S{s}", dt.date(2024, 1, 1) + dt.timedelta(days=7 * week), *[rng.gauss(0, 1) for _ in C.DAY_FEATURES])
+            for week in range(34) for s in range(20)]
+    d = spark.createDataFrame(rows, "symbol string, date date, " + ", ".join(f"{n} double" for n in C.DAY_FEATURES))
+    gap = F.col(C.DAY_FEATURES[0]) * 0.01
+    d = d.withColumns({"label_ret": gap, "label_excess": gap, "label_rank": 0.5 + 10 * gap})
+    p = M.walk_forward_regress(d, trees=3, min_rows=5)
+    assert {r["m"] for r in p.select(F.month("date").alias("m")).distinct().collect()} == {7, 8}
+    assert p.count() == d.filter("month(date) > 6").count()
+    assert E.evaluate_ranker(p, top=3).first()["mean_ic"] > 0.6
+
+
+def test_classifier_separates_planted_successes(spark):
+    """Success follows one feature for nine trades in ten: scores separate it, and come near the rate it happens at."""
+    rng = random.Random(6)
+    rows = []
+    for d in range(25):
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=d + 2 * (d // 5))
+        for s in range(40):
+            f = [rng.gauss(0, 1) for _ in C.ENTRY_FEATURES]
+            good = (f[0] > 0.3) != (rng.random() < 0.1)
+            rows.append((f"S{s}", day, "10:15", 1, 0.01 if good else -0.01, int(good), *f))
+    keys = ["entry_bar string", "hold_bars int"]
+    keys = [k for k in keys if k.split()[0] not in C.ENTRY_FEATURES]
+    rows = [(*r[:2], *[v for k, v in zip(("entry_bar", "hold_bars"), r[2:4]) if k not in C.ENTRY_FEATURES], *r[4:]) for r in rows]
+    t = spark.createDataFrame(rows, ", ".join(["symbol string", "date date", *keys, "net double", "success int",
+                                               *[f"{n} double" for n in C.ENTRY_FEATURES]]))
+    p = M.walk_forward_classify(t, min_train=3, period="week", trees=4, min_rows=10)
+    got = sorted((r["prob"], r["success"]) for r in p.select("prob", "success").collect())
+    assert len(got) == 2 * 5 * 40
+    ups = [i for i, (_, y) in enumerate(got) if y]
+    area = (sum(ups) - len(ups) * (len(ups) - 1) / 2) / (len(ups) * (len(got) - len(ups)))
+    assert area > 0.85
+    assert abs(sum(x for x, _ in got) / len(got) - len(ups) / len(got)) < 0.08

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +23,7 @@ from tickloom.session import saved, ship_functions
 
 ship_functions(__name__)
 
+AT_ONCE = 4             # folds fitted at the same time; each holds its own training rows in Spark's cache
 MISSING = -1e6          # below every feature value, so trees can send missing rows their own way
 
 
@@ -39,24 +43,27 @@ def _walk(d: DataFrame, label: str, features: tuple[str, ...], keep: list[str],
           period: str, trees: int, min_rows: int, seed: int, cap: int | None, cap_keys: list[str]) -> DataFrame:
     """Scores of every test period by a model fitted on the rows before it.
 
-    The table is written once; the loop runs over periods, whose bounds are all that reaches the driver.
+    The table is written once, and folds are fitted `AT_ONCE` at a time, each in a scheduler pool of its own; only the
+    periods' bounds reach the driver.
     """
     table = saved(filled(d, features).select(*dict.fromkeys([*keep, "date", label, *cap_keys, *features])))
-    out = None
-    for fold in fold_bounds(table, min_train, period).orderBy("fold").collect():
+    spark = table.sparkSession
+
+    def scores(fold) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{fold['fold']}")
         train = table.filter(F.col("date") < fold["cutoff"])
         if cap is not None:
             train = cap_rows(train, cap, cap_keys, seed)
         test = table.filter(F.col("date").between(fold["test_from"], fold["test_to"]))
-        model = booster(label, features, classify, trees, min_rows, seed).fit(train)
-        scored = model.transform(test)
-        value = vector_to_array("probability")[1].alias("prob") if classify else F.col("prediction")
-        scored = scored.select(*keep, value)
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        name = "prob" if classify else "prediction"
-        out = table.select(*keep, F.lit(0.0).alias(name)).limit(0)
-    return out
+        scored = booster(label, features, classify, trees, min_rows, seed).fit(train).transform(test)
+        return scored.select(*keep, vector_to_array("probability")[1].alias("prob") if classify else F.col("prediction"))
+
+    folds = fold_bounds(table, min_train, period).orderBy("fold").collect()
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(scores), folds))
+    if not parts:
+        return table.select(*keep, F.lit(0.0).alias("prob" if classify else "prediction")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def walk_forward_regress(d: DataFrame, min_train: int = 6, period: str = "month", trees: int = 300,
