@@ -70,3 +70,55 @@ def test_null_and_no_rows(spark):
     ("<head><template><p>no</p></template><title>T</title><h1>H</h1>", "H"), ("<head><title>T</title><body>b", "b")])
 def test_head_ends_where_the_body_begins(html, text):
     assert shown(html) == text
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b>too</b></p>no</div>end", "yestoo\n\nend"),
+    ("<div style='visibility:collapse'>no<i style='color:red'>no</i></div>yes", "yes"),
+    ("<div style='display:none'>no<p style='visibility:visible'>no</div>yes", "yes"),
+    ("<p style='backface-visibility:hidden'>yes", "yes"), ("<p style='visibility:hidden;visibility:visible'>yes", "yes"),
+    ("<ul><li>a<li style='visibility:hidden'>no<li>b</ul>", "- a\n- b"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> it is", "so x=2 it is"),
+    ("<svg><title>no</title><defs><text>no</text></defs><text>one</text><g><text>two</text></g></svg>", "one\ntwo")])
+def test_visibility_is_inherited_and_drawings_have_text(html, text):
+    assert shown(html) == text
+
+
+def test_given_pages_against_another_parser(spark):
+    """Letters and digits of each page as Python's own HTML parser hands them out, outside of head, scripts, styles and hidden elements."""
+    from html.parser import HTMLParser
+
+    from pyspark.sql import functions as F
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.cut, self.open_, self.found = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "hr", "img", "input", "link", "meta", "wbr"):
+                return
+            a = dict(attrs)
+            self.open_.append((tag, tag in ("head", "script", "style", "noscript", "template") or "hidden" in a
+                               or "display:none" in (a.get("style") or "").replace(" ", "")))
+
+        def handle_endtag(self, tag):
+            places = [i for i, (name, _) in enumerate(self.open_) if name == tag]
+            if places:
+                del self.open_[places[-1]:]
+
+        def handle_data(self, data):
+            if not any(cut for _, cut in self.open_):
+                self.found.append(data)
+
+    letters = lambda text: "".join(filter(str.isalpha, text))
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    compared = 0
+    for html, text in pages.select("html", visible_text(F.col("html"))).collect():
+        if html is not None:
+            plain = Plain()
+            plain.feed(html)
+            plain.close()
+            assert letters("".join(plain.found)) == letters(text)
+            compared += 1
+    assert compared > 100

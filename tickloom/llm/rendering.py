@@ -1,7 +1,9 @@
 """HTML to text as a page would show it: a tree builder with implied tags, visibility rules and a line layout.
 
 Blocks stand on lines of their own, paragraphs and headings with an empty line around them; lists have bullets or
-numbers and an indent; cells of tables are padded to columns. All visible text is kept, whatever the markup.
+numbers and an indent; cells of tables are padded to columns. All visible text is kept, whatever the markup: formulas as
+their texts in order, each text of a drawing on a line. `display: none` cuts what is below it, `visibility` is inherited and a
+descendant may turn it on again; hidden items and cells keep their place. Only style attributes are read, not style sheets.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())         # no tags inside
 HIDDEN = frozenset("script style template noscript head title iframe noembed noframes audio video canvas object "
-                   "datalist svg math".split())
+                   "datalist defs symbol metadata desc annotation annotation-xml".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure table dl ul ol hr fieldset".split())
 BLOCK = MARGIN | frozenset("address article aside body center caption dd details dialog dir div dt fieldset figcaption footer "
                            "form header hgroup html legend li listing main menu nav option optgroup section summary "
-                           "tbody td tfoot th thead tr search xmp".split())
-ENDS_P = BLOCK - frozenset("option optgroup li dd dt td th tr tbody thead tfoot caption body html summary".split())
+                           "tbody td tfoot th thead tr search xmp text".split())
+ENDS_P = BLOCK - frozenset("option optgroup li dd dt td th tr tbody thead tfoot caption body html summary text".split())
 IN_HEAD = frozenset("title style script noscript template base basefont bgsound link meta head html noframes".split())  # else it ends
 # a start tag ends open elements of these kinds, up to one of the barriers
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
@@ -35,17 +37,18 @@ CELLS = frozenset(("td", "th", "caption"))
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?+""")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+ABSENT = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
 WHITE = re.compile("[ \t\n\r\f]+")
 PADDED = 80             # widest column that others are aligned behind
 INDENTS = 32            # levels of lists and quotes that are shown by an indent; deeper ones stand like the last
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "seen")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.seen = tag, attributes, [], True
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -159,12 +162,18 @@ def build(html: str) -> Node:
 
 def hidden(node: Node, parent: Node) -> bool:
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found" or UNSEEN.search(a.get("style", "")):
+    if node.tag in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found" or ABSENT.search(a.get("style", "")):
         return True
     return (node.tag == "dialog" and "open" not in a) or (
         parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary")
 
 
+def seen(node: Node, parent: Node) -> bool:
+    """Visibility as the element's style says last, else as its parent has it."""
+    rules = VISIBILITY.findall(node.attributes.get("style", ""))
+    return rules[-1].lower() in ("visible", "initial") if rules else parent.seen
+
+
 class Lines:
     """Lays text out in lines: runs of white space are one space, blocks break lines, margins are empty lines."""
 
@@ -259,7 +268,7 @@ def render(root: Node) -> str:
         leaving, node, parent = walk.pop()
         now = writers[-1]
         if isinstance(node, str):
-            if parent.tag != "details" or "open" in parent.attributes:
+            if parent.seen and (parent.tag != "details" or "open" in parent.attributes):
                 now.text(node, kept > 0)
             continue
         tag = node.tag
@@ -292,6 +301,7 @@ def render(root: Node) -> str:
             continue
         if hidden(node, parent):
             continue
+        node.seen = seen(node, parent)
         if tag == "br":
             now.new_line(True)
             continue
@@ -315,7 +325,7 @@ def render(root: Node) -> str:
             if now.mark:                                   # an item that begins with a list
                 now.write("")
             now.indent.append(" " * len(mark))
-            now.mark = mark
+            now.mark = mark if node.seen else ""
         elif tag == "dd":
             now.indent.append("  ")
         elif tag == "blockquote":
