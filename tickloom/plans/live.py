@@ -13,7 +13,7 @@ from tickloom.plans import views as V
 from tickloom.plans.books import ZONE
 from tickloom.plans.registry import query, r, report, rs
 from tickloom.plans.views import FILL_ORDER, INDEX, with_views
-from tickloom.session import scratch_path
+from tickloom.session import saved, scratch_path
 from tickloom.streaming import jobs as J
 
 
@@ -40,21 +40,24 @@ def t01(spark, sf):
     return report(J.run_to_files(J.stream_bars(live_ticks(spark, sf)), "bars"))
 
 
-def in_turn(df, clock, name, stream, keys=None):
-    """What the stream writes of `df` arriving in three turns by `clock`, going on from its state after each; with `keys`,
-    its newest row for each, read from a snapshot after every other batch."""
-    spark = df.sparkSession
+def in_turn(df, clock, name, run):
+    """What `run(stream, at)` gives of `df` arriving in three turns by `clock`, going on from its state after each."""
+    spark, df = df.sparkSession, saved(df)
     folder, at = scratch_path(spark, f"{name}-in"), scratch_path(spark, name)
     cuts = df.agg(F.percentile_approx(clock, [0.33, 0.67]).alias("cuts")).first()["cuts"] or []
     for turn in range(len(cuts) + 1):
         low = F.col(clock) > cuts[turn - 1] if turn else F.lit(True)
         high = F.col(clock) <= cuts[turn] if turn < len(cuts) else F.lit(True)
         df.filter(low & high).write.mode("append").parquet(folder)
-        arriving = stream(J.stream_files(spark, folder, df.schema))
-        out = J.run_to_latest(arriving, name, keys, at, every=2) if keys else J.run_to_files(arriving, name, at=at)
+        out = run(J.stream_files(spark, folder, df.schema), at)
     return out
 
 
+def latest(name, keys, stream):
+    """For `in_turn`: the newest row per key, read from a snapshot after every other batch."""
+    return lambda rows, at: J.run_to_latest(stream(rows), name, keys, at, every=2)
+
+
 @query("t02_stream_latest_quotes", with_views("dated_quotes", f"""
  SELECT symbol, CAST(trade_day AS VARCHAR) AS date, {r('ltp', 'price')} FROM (
    SELECT *, row_number() OVER (PARTITION BY symbol, trade_day ORDER BY
@@ -62,7 +65,7 @@ def in_turn(df, clock, name, stream, keys=None):
    FROM dated_quotes WHERE symbol LIKE '%.NS' AND ltp > 0 AND volume <> 0) WHERE k = 1"""))
 def t02(spark, sf):
     quotes = V.quotes(spark, sf).select("symbol", "ltp", "volume", "last_trade_epoch", "seq", "asof")
-    return report(in_turn(quotes, "asof", "quotes", lambda q: J.stream_latest_quotes(q, ZONE), ["symbol", "date"]), "symbol", "date", "price")
+    return report(in_turn(quotes, "asof", "quotes", latest("quotes", ["symbol", "date"], lambda q: J.stream_latest_quotes(q, ZONE))), "symbol", "date", "price")
 
 
 @query("t03_stream_day_open", with_views("ticks", f"""
@@ -74,7 +77,7 @@ def t03(spark, sf):
 
 def streamed_fills(spark, sf):
     fills = V.ledger(spark, sf).drop("reason")
-    return in_turn(fills, "time", "positions", lambda f: J.stream_positions(f, list(FILL_ORDER)))
+    return in_turn(fills, "time", "positions", lambda f, at: J.run_positions(f, "positions", list(FILL_ORDER), at))
 
 
 POSITIONS = with_views("fills_done", f"""
@@ -97,15 +100,15 @@ def t04_late(spark, sf):
     """Each fill arrives up to 29 days after its time, so every turn brings some that belong before those of the last one."""
     fills = V.ledger(spark, sf).drop("reason").withColumn(
         "arrives", F.date_add(F.to_date("time"), (F.crc32(F.col("order_id").cast("string")) % 30).cast("int")))
-    return report_positions(in_turn(fills, "arrives", "late", lambda f: J.stream_late_positions(
-        f, list(FILL_ORDER), "31 days", "1000 days"), ["account", "symbol", *FILL_ORDER]))
+    return report_positions(in_turn(fills, "arrives", "late", lambda f, at: J.run_late_positions(
+        f, "late", list(FILL_ORDER), "31 days", at)))
 
 
 @query("t04_stream_cash", with_views("fills_done", f"""
  SELECT account, {r("200000 + sum(CASE WHEN side = 'BUY' THEN -moved ELSE moved END - costs)", 'cash_after', 2)},
         {r('sum(costs)', 'costs', 2)}, {r('sum(pnl)', 'pnl', 2)}, count(*) AS fills FROM fills_done GROUP BY 1"""))
 def t04_cash(spark, sf):
-    last = in_turn(streamed_fills(spark, sf), "time", "cash", J.stream_cash, ["account"])
+    last = in_turn(streamed_fills(spark, sf), "time", "cash", latest("cash", ["account"], J.stream_cash))
     return report(last.select("account", F.col("cash").alias("cash_after"), "costs", "pnl", "fills"), places=2)
 
 
