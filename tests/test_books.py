@@ -181,3 +181,10 @@ def test_allocator_matches_the_whole_grid(spark, lookback):
     table = B.allocator_table(equity, ["a2", "nobody"], lookback).orderBy("day").collect()
     assert [r["w_a2"] for r in table] == pytest.approx([round(weight["a2", i], 3) for i in range(len(seen))], abs=1.1e-3)
     assert B.allocator(equity.limit(0)).collect() == []
+
+
+def test_average_that_stands_for_a_tie_goes_up(spark):
+    """3680.715 as a fold leaves it: a hair below, which is no reason to report another cent than the exact average."""
+    from tickloom.operators.reports import holdings_report
+    held = spark.createDataFrame([("a", "x", 4, 3680.7149999999997, 1.005), ("a", "y", 1, 2.0, 2.004)], "account string, symbol string, qty int, avg_price double, mark double")
+    assert [(r["avg_price"], r["last"]) for r in holdings_report(held).orderBy("symbol").collect()] == [(3680.72, 1.01), (2.0, 2.0)]
