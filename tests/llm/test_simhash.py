@@ -171,3 +171,26 @@ def test_rows_equal_in_id_and_text(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     first, second = (sorted(map(tuple, near_dedup(x).collect())) for x in (df, df.orderBy(F.desc("source")).repartition(3)))
     assert first == second and [r[1][0] for r in first] == ["a", "o"]
+
+
+def test_pairs_beyond_two_candidates_are_found(spark):
+    """Every pair of a dense group that no link has joined, but none inside a root or of sizes that rule the similarity out."""
+    rng = np.random.RandomState(4)
+    base, rows = int(rng.randint(0, 2**62)), []
+    for i in range(60):
+        a, b = base ^ (1 << int(rng.randint(0, 60))), base ^ (1 << int(rng.randint(0, 60)))
+        rows.append((i, a, b, i % 3, 100 if i % 5 else 50))
+    points = spark.createDataFrame(rows, "node bigint, first bigint, second bigint, root bigint, size bigint")
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 != j % 3 and (i % 5 == 0) == (j % 5 == 0)}
+    for cell in (simhash.CELL, 40):
+        assert {(r["u"], r["v"]) for r in simhash.open_links(points, 20, 0.8, cell).collect()} == want
+
+
+def test_dedup_finds_links_that_the_first_candidates_leave_out(spark, monkeypatch):
+    """As if a text's two candidates were none of its near copies: the rest of the pairs must still be looked at."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[1:]), " ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    nothing = lambda points, radius: points.select(points.node.alias("u"), points.node.alias("v")).where("false")
+    monkeypatch.setattr(simhash, "candidate_links", nothing)
+    assert {r["doc_id"] for r in near_dedup(docs).collect()} == {0, 3}

@@ -272,27 +272,85 @@ def partners_in_cells(radius: int):
     return run
 
 
-def candidate_links(points: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
-    """(u, v) with u < v: for each node, the least and the nearest of the nodes within `radius` bits of 128 that it meets.
+def open_pairs_in_cells(radius: int, similarity: float):
+    """A function for `mapInArrow` over rows (cell, node, first, second, root, size) sorted by cell: all pairs of a cell within
+    `radius` bits whose roots differ and whose sizes allow the similarity, the smaller node first."""
+    def compare(cell, node, first, second, root, size) -> Iterator[pa.RecordBatch]:
+        total = np.bitwise_count(first.view(np.uint64)).astype(np.int64) + np.bitwise_count(second.view(np.uint64))
+        order = np.lexsort((total, cell))
+        cell, node, first, second, root, size, total = (x[order] for x in (cell, node, first, second, root, size, total))
+        number = np.concatenate([[0], np.cumsum(cell[1:] != cell[:-1])])
+        place = number * 512 + total
+        reach = np.searchsorted(place, place + radius, side="right")
+        at, step = np.arange(len(cell)), 0
+        while True:
+            step += 1
+            at = at[at + step < reach[at]]
+            if not len(at):
+                return
+            to = at + step
+            apart = root[at] != root[to]
+            a, b = at[apart], to[apart]
+            bits = np.bitwise_count((first[a] ^ first[b]).view(np.uint64)).astype(np.int64)
+            bits += np.bitwise_count((second[a] ^ second[b]).view(np.uint64))
+            hit = (bits <= radius) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+            u, v = node[a[hit]], node[b[hit]]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
-    `points`: distinct node, with first and second (bigint). Points are embedded as the counts of ones of their two-bit segments,
-    whose Manhattan distance never exceeds the differing bits; grids are cells of points with equal counts in some segments,
-    range-joined along the sum of all. At most two links per node are kept, whatever the size of its group.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(c) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
+            cut = np.searchsorted(rows[0], rows[0][-1])
+            if cut:
+                yield from compare(*(x[:cut] for x in rows))
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            yield from compare(*held)
+    return run
+
+
+def in_grid_cells(points: DataFrame, own: list[str], find, kind: str, cell: int = CELL) -> DataFrame:
+    """`find` over rows (cell, *own), sorted by cell, of all grids' cells that hold several points; those beyond `cell` points are
+    split into pairs of chunks. `points`: distinct node, first, second and whatever else `own` names."""
     masks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in grid_masks()])
-    rows = (points.select("node", "first", "second", segment_counts(F.col("first")).alias("x"), segment_counts(F.col("second")).alias("y"),
+    rows = (points.select(*own, segment_counts(F.col("first")).alias("x"), segment_counts(F.col("second")).alias("y"),
                           F.posexplode(masks).alias("grid", "mask"))
-            .select(F.xxhash64("grid", F.col("x").bitwiseAND(F.col("mask.a")), F.col("y").bitwiseAND(F.col("mask.b"))).alias("cell"),
-                    "node", "first", "second"))
+            .select(F.xxhash64("grid", F.col("x").bitwiseAND(F.col("mask.a")), F.col("y").bitwiseAND(F.col("mask.b"))).alias("cell"), *own))
     sized = rows.withColumn("n", F.count("*").over(Window.partitionBy("cell")))
-    find, kind, own = partners_in_cells(radius), "v bigint, least bigint, bits bigint, near bigint", ["node", "first", "second"]
     usual = sized.where(f"n between 2 and {cell}").select("cell", *own).mapInArrow(find, kind)     # sorted by cell by the window
     split = (sized.where(f"n > {cell}").withColumn("chunks", F.ceil(2 * F.col("n") / cell).cast("int"))
-             .withColumn("chunk", F.pmod(F.xxhash64(*own), F.col("chunks")).cast("int"))
+             .withColumn("chunk", F.pmod(F.xxhash64("node", "first", "second"), F.col("chunks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .select(F.xxhash64("cell", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), *own)
              .repartition("cell").sortWithinPartitions("cell").mapInArrow(find, kind))
-    best = usual.union(split).groupBy("v").agg(F.min("least").alias("least"), F.min(F.struct("bits", "near")).alias("nearest"))
+    return usual.union(split)
+
+
+def open_links(points: DataFrame, radius: int, similarity: float, cell: int = CELL) -> DataFrame:
+    """(u, v) with u < v: every pair of nodes that meet within `radius` bits and that no link has put under one root yet.
+
+    `points`: distinct node, with first, second, root and size (bigint). The exact way for all that `candidate_links` leaves
+    out: inside a component no pair can change anything, and none across components is left out.
+    """
+    own = ["node", "first", "second", "root", "size"]
+    return in_grid_cells(points, own, open_pairs_in_cells(radius, similarity), "u bigint, v bigint", cell).where("u < v").distinct()
+
+
+def candidate_links(points: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
+    """(u, v) with u < v: for each node, the least and the nearest of the nodes within `radius` bits of 128 that it meets.
+
+    `points`: distinct node, with first and second (bigint). Points are embedded as the counts of ones of their two-bit segments,
+    whose Manhattan distance never exceeds the differing bits; grids are cells of points with equal counts in some segments,
+    range-joined along the sum of all. At most two links per node are kept, whatever the size of its group; `open_links` finds the rest.
+    """
+    found = in_grid_cells(points, ["node", "first", "second"], partners_in_cells(radius), "v bigint, least bigint, bits bigint, near bigint", cell)
+    best = found.groupBy("v").agg(F.min("least").alias("least"), F.min(F.struct("bits", "near")).alias("nearest"))
     return (best.select("v", F.explode(F.array("least", "nearest.near")).alias("u"))
             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
 
@@ -320,8 +378,9 @@ def radius_at(similarity: float, bits: int = 128, deviations: float = 2.2) -> in
 def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document per group of near copies: the one with the smallest id (null ids last, then by text).
 
-    Fingerprints of 128 bits give the candidates, at most two for each distinct text (`candidate_links`); two texts link if
-    the Jaccard resemblance of their sets of `width`-word shingles, counted exactly, is `similarity` or more.
+    Fingerprints of 128 bits give the candidates: first at most two for each distinct text (`candidate_links`), then every
+    other pair that meets and is not yet in one group (`open_links`), so none is left out; two texts link if the Jaccard
+    resemblance of their sets of `width`-word shingles, counted exactly, is `similarity` or more.
     Rows without text or words form one group. Rows that are equal throughout are one row then; of rows equal in id and text
     the one stays whose other columns have the least hash. All columns return.
     """
@@ -349,13 +408,23 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
                    .agg(best, F.first("first").alias("first"), F.first("second").alias("second"), F.first("size").alias("size")))
     a, b = (points.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size")) for n in ("u", "v"))
     x, y = F.col("u_size"), F.col("v_size")
-    pairs = saved(candidate_links(points, radius_at(similarity)).join(a, "u").join(b, "v")
+    wide = radius_at(similarity)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("u").union(pairs.select("v")).distinct().join(points, F.col("u") == F.col("node")).select("node", *[f"best.{c}" for c in key])
+        sets = saved(keyed(as_bytes(F.col(text)).alias("_text")).join(wanted, key).dropDuplicates(["node"]).select("node", shingles("_text").alias("set")))
+        a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"{n}_set")) for n in ("u", "v"))
+        return saved(pairs.join(a, "u").join(b, "v").where(resemblance(F.col("u_set"), F.col("v_set")) >= similarity - 1e-9).select("u", "v"))
+
+    def placed_by(links: DataFrame) -> DataFrame:
+        return points.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    pairs = saved(candidate_links(points, wide).join(a, "u").join(b, "v")
                   .where(F.least(x, y) / F.greatest(x, y) >= similarity).select("u", "v"))
-    wanted = pairs.select("u").union(pairs.select("v")).distinct().join(points, F.col("u") == F.col("node")).select("node", *[f"best.{c}" for c in key])
-    sets = saved(keyed(as_bytes(F.col(text)).alias("_text")).join(wanted, key).dropDuplicates(["node"]).select("node", shingles("_text").alias("set")))
-    a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"{n}_set")) for n in ("u", "v"))
-    links = pairs.join(a, "u").join(b, "v").where(resemblance(F.col("u_set"), F.col("v_set")) >= similarity - 1e-9).select("u", "v")
-    placed = points.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = verified(pairs)
+    first = saved(placed_by(links).select("node", "first", "second", "root", F.col("size").cast("bigint").alias("size")))
+    rest = saved(open_links(first, wide, similarity).join(pairs, ["u", "v"], "left_anti"))
+    placed = placed_by(links.union(verified(rest)))
     kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(*[f"best.{c}" for c in key])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     mine = keyed(row).join(kept, key, "left_semi")
