@@ -188,3 +188,11 @@ def test_average_that_stands_for_a_tie_goes_up(spark):
     from tickloom.operators.reports import holdings_report
     held = spark.createDataFrame([("a", "x", 4, 3680.7149999999997, 1.005), ("a", "y", 1, 2.0, 2.004)], "account string, symbol string, qty int, avg_price double, mark double")
     assert [(r["avg_price"], r["last"]) for r in holdings_report(held).orderBy("symbol").collect()] == [(3680.72, 1.01), (2.0, 2.0)]
+
+
+def test_summaries_fold_the_ledger_once(spark):
+    """The fold's result is read by one aggregation per holding; cash, positions and summaries follow from what that wrote."""
+    from tickloom.plans import books as P
+    for query in (P.a04, P.a16):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
