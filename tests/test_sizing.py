@@ -80,3 +80,14 @@ def test_equal_budget(spark):
     df = spark.createDataFrame([("a", 100.0), ("a", 100.0), ("b", 90.0)], "account string, cash double")
     assert sorted(r["budget"] for r in Z.equal_budget(df, ["account"]).collect()) == [50.0, 50.0, 90.0]
     assert spark.range(1).select(Z.slot_ticket(F.lit(120.0), F.lit(50.0), F.lit(6), F.lit(5))).first()[0] == 10.0
+
+
+@pytest.mark.parametrize("name", ["p01_confidence_weights", "p02_edge_shares", "p03_best_book", "p04_conviction_stakes",
+                                  "p05_equal_budget", "c06_sequential_fills"])
+def test_a_task_sizes_a_bounded_number_of_rows(spark, monkeypatch, name):
+    from tickloom import session
+    from tickloom.plans import load
+    monkeypatch.setattr(session, "TASK_ROWS", 250, raising=False)
+    sized = load()[0][name](spark, "/root/testdata/sf0.001")
+    rows = [r["count"] for r in sized.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) >= 20 and max(rows) <= 500                 # 6,000 lines of 1,500 orders

@@ -105,7 +105,7 @@ def _free_buys(orders: DataFrame, floor: float) -> DataFrame:
 
 
 def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: float = 0.0, stop: bool = False,
-               cash_floor: float = 0.0, hot: int | None = HOT) -> DataFrame:
+               cash_floor: float = 0.0, hot: int | None = HOT, dealt: bool = False) -> DataFrame:
     """One tick's buys per account, each limited by the cash the ones before it left.
 
     Needs budget, cash (at the start, the same for all of an account), fill, product, broker, lot; orders with `blocked` set,
@@ -115,7 +115,7 @@ def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: floa
     Running sums of what the budgets alone would buy say where cash first binds: until there they are the result. From
     there on each buy decides the next, and the rest of an account's orders pass by a purse, sorted, without being held.
     An account with more than `hot` orders is summed in parts, and takes one task only for what comes after cash binds
-    (None: accounts are known to have few).
+    (None: accounts are known to have few). Orders `dealt` by account already are not shuffled again.
     """
     terms = buy_terms(F.col("product"), F.col("broker"))
     blocked = F.coalesce("blocked", F.lit(False)) if "blocked" in orders.columns else F.lit(False)
@@ -175,7 +175,7 @@ def fill_batch(orders: DataFrame, keys: list[str], order: list[str], floor: floa
                            T.StructField("cash_after", T.DoubleType())])
 
     def run(rows: DataFrame, span: DataFrame | None) -> DataFrame:
-        rows = rows if span is not None else rows.repartition(*keys)
+        rows = rows if span is not None or dealt else rows.repartition(*keys)
         rows = running_sum(_free_buys(rows, floor), keys, order, "_need", "_through", span)
         rows = rows.withColumn("_before", F.col("_cash") - (F.col("_through") - F.col("_need")))
         left = F.col("_before")
