@@ -194,3 +194,27 @@ def test_dedup_finds_links_that_the_first_candidates_leave_out(spark, monkeypatc
     nothing = lambda points, radius: points.select(points.node.alias("u"), points.node.alias("v")).where("false")
     monkeypatch.setattr(simhash, "candidate_links", nothing)
     assert {r["doc_id"] for r in near_dedup(docs).collect()} == {0, 3}
+
+
+def test_open_pairs_are_decided_without_being_written(spark, monkeypatch):
+    """Many near copies that are not alike: no more rows than a node has grids, and just the groups of all pairs' links."""
+    rng = np.random.default_rng(8)
+    base, sets = rng.integers(0, 2**64, 150, dtype=np.uint64), {}
+    for i in range(70):
+        own = base.copy()
+        own[rng.permutation(150)[:1 + i % 30]] = rng.integers(0, 2**64, 1 + i % 30, dtype=np.uint64)
+        sets[i] = np.unique(own)
+    fp = {i: (simhash.majority(s), simhash.majority(simhash.remixed(s))) for i, s in sets.items()}
+    points = spark.createDataFrame([(i, *fp[i], i, len(s)) for i, s in sets.items()],
+                                   "node bigint, first bigint, second bigint, root bigint, size bigint").repartition(4)
+    kept = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "node bigint, set binary")
+    near = [(r["u"], r["v"]) for r in simhash.open_links(points, 28, 0.8).collect()]
+    want = groups(sets, [(u, v) for u, v in near if simhash.alike(sets[u], sets[v]) >= 0.8])
+    assert 1 < len(set(want.values())) < 70 and len(near) > 700
+    written = []
+    monkeypatch.setattr(simhash, "saved", lambda df: written.append(df.localCheckpoint()) or written[-1])
+    for cell, most, room in ((simhash.CELL, simhash.MOST, simhash.ROOM), (40, 8, simhash.ROOM), (simhash.CELL, simhash.MOST, 4_096)):
+        found = [(r["u"], r["v"]) for r in simhash.joining_links(points, lambda nodes: kept.join(nodes, "node"), 28, 0.8, cell, most, room).collect()]
+        assert groups(sets, found) == want
+    rows = [(r["cell"], r["node"]) for r in written[0].collect()]
+    assert len(rows) == len(set(rows)) <= 84 * 70

@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import Links, components
+from tickloom.llm.shared import Links, components, forest
 from tickloom.session import saved
 
 SEED = 42
 CELL = 65_536          # points of a cell that one task compares; larger cells are split, never cut
+MOST = 8_192           # nodes, and bytes of shingle sets, of a cell whose pairs one task compares exactly; larger ones are split, too
+ROOM = 32 << 20
 VOTES = 1 << 17        # shingles whose bits are counted at once
 EVEN = 0x5555555555555555
 
@@ -272,54 +274,137 @@ def partners_in_cells(radius: int):
     return run
 
 
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches sorted by `cell`, none of whose cells goes on in the next table."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        cell = rows.column("cell").to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1]))
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut)
+    if held is not None:
+        yield held
+
+
+def open_pairs(rows: pa.Table, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of a cell within `radius` bits whose roots differ and whose sizes allow the similarity. Rows with a
+    column `grid` give a pair in the first grid only where it meets."""
+    cell, first, second, root, size = (rows.column(c).to_numpy() for c in ("cell", "first", "second", "root", "size"))
+    grid = rows.column("grid").to_numpy() if "grid" in rows.column_names else None
+    total = np.bitwise_count(first.view(np.uint64)).astype(np.int64) + np.bitwise_count(second.view(np.uint64))
+    order = np.lexsort((total, cell))
+    cell, first, second, root, size, total = (x[order] for x in (cell, first, second, root, size, total))
+    if grid is not None:
+        grid, x, y, masks = grid[order], counts_of(first), counts_of(second), np.array(grid_masks(), np.int64).view(np.uint64)
+    number = np.concatenate([[0], np.cumsum(cell[1:] != cell[:-1])])
+    place = number * 512 + total
+    reach = np.searchsorted(place, place + radius, side="right")
+    at, step = np.arange(len(cell)), 0
+    while True:
+        step += 1
+        at = at[at + step < reach[at]]
+        if not len(at):
+            return
+        to = at + step
+        apart = root[at] != root[to]
+        a, b = at[apart], to[apart]
+        bits = np.bitwise_count((first[a] ^ first[b]).view(np.uint64)).astype(np.int64)
+        bits += np.bitwise_count((second[a] ^ second[b]).view(np.uint64))
+        hit = (bits <= radius) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        a, b = a[hit], b[hit]
+        if grid is not None and len(a):
+            new, dx, dy = grid[a] == grid[b], x[a] ^ x[b], y[a] ^ y[b]
+            for g, (m, n) in enumerate(masks[:grid[a].max()]):
+                new &= (grid[a] <= g) | ((dx & m) | (dy & n) != 0)
+            a, b = a[new], b[new]
+        if len(a):
+            yield order[a], order[b]
+
+
+def counts_of(fp: np.ndarray) -> np.ndarray:
+    """`segment_counts` of an array, unsigned."""
+    fp, even = fp.view(np.uint64), np.uint64(EVEN)
+    next_ = fp >> np.uint64(1)
+    return ((fp & next_ & even) << np.uint64(1)) | ((fp ^ next_) & even)
+
+
 def open_pairs_in_cells(radius: int, similarity: float):
-    """A function for `mapInArrow` over rows (cell, node, first, second, root, size) sorted by cell: all pairs of a cell within
-    `radius` bits whose roots differ and whose sizes allow the similarity, the smaller node first."""
-    def compare(cell, node, first, second, root, size) -> Iterator[pa.RecordBatch]:
-        total = np.bitwise_count(first.view(np.uint64)).astype(np.int64) + np.bitwise_count(second.view(np.uint64))
-        order = np.lexsort((total, cell))
-        cell, node, first, second, root, size, total = (x[order] for x in (cell, node, first, second, root, size, total))
-        number = np.concatenate([[0], np.cumsum(cell[1:] != cell[:-1])])
-        place = number * 512 + total
-        reach = np.searchsorted(place, place + radius, side="right")
-        at, step = np.arange(len(cell)), 0
-        while True:
-            step += 1
-            at = at[at + step < reach[at]]
-            if not len(at):
-                return
-            to = at + step
-            apart = root[at] != root[to]
-            a, b = at[apart], to[apart]
-            bits = np.bitwise_count((first[a] ^ first[b]).view(np.uint64)).astype(np.int64)
-            bits += np.bitwise_count((second[a] ^ second[b]).view(np.uint64))
-            hit = (bits <= radius) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
-            u, v = node[a[hit]], node[b[hit]]
-            if len(u):
+    """A function for `mapInArrow` over rows (cell, node, first, second, root, size) sorted by cell: its `open_pairs`, the
+    smaller node first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_cells(batches):
+            node = rows.column("node").to_numpy()
+            for a, b in open_pairs(rows, radius, similarity):
+                u, v = node[a], node[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+    return run
+
 
+def open_nodes_in_cells(radius: int, similarity: float):
+    """A function for `mapInArrow` over rows (cell, grid, node, first, second, root, size) sorted by cell: the rows of nodes that
+    have an open pair there, however many the pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [np.asarray(c) for c in batch.columns]
-            if held is not None:
-                rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
-            cut = np.searchsorted(rows[0], rows[0][-1])
-            if cut:
-                yield from compare(*(x[:cut] for x in rows))
-            held = [x[cut:] for x in rows]
-        if held is not None:
-            yield from compare(*held)
+        for rows in whole_cells(batches):
+            open_ = np.zeros(rows.num_rows, bool)
+            for a, b in open_pairs(rows, radius, similarity):
+                open_[a] = open_[b] = True
+            yield from rows.filter(pa.array(open_)).combine_chunks().to_batches()
+    return run
+
+
+def odd_places(shingles: np.ndarray) -> np.ndarray:
+    """512 bits, each set if an odd number of the shingles fall on it: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> float:
+    """The Jaccard resemblance of two shingle sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def open_links_in_cells(radius: int, similarity: float, block: int = 4_096):
+    """A function for `mapInArrow` over rows as for `open_nodes_in_cells` with each node's shingle `set`: open pairs are compared
+    exactly where they meet, unless links found before have joined them; a spanning forest of the roots goes out."""
+    least = similarity - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = Links()
+        for rows in whole_cells(batches):
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("set")]
+            size, odd = rows.column("size").to_numpy(), np.stack([odd_places(s) for s in sets])
+            roots, own = np.unique(rows.column("root").to_numpy(), return_inverse=True)
+            joined = np.arange(len(roots))
+            for left, right in open_pairs(rows, radius, similarity):
+                for at in range(0, len(left), block):
+                    a, b = left[at:at + block], right[at:at + block]
+                    apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+                    may = (joined[own[a]] != joined[own[b]]) & (apart * (1 + least) <= (size[a] + size[b]) * (1 - least) + 1e-6)
+                    hit = np.array([alike(sets[i], sets[j]) >= least for i, j in zip(a[may], b[may], strict=True)], bool)
+                    a, b = own[a[may][hit]], own[b[may][hit]]
+                    if len(a):
+                        links.add(roots[a], roots[b])
+                        child, top = forest(joined[a], joined[b])
+                        moved = np.arange(len(roots))
+                        moved[child] = top
+                        joined = moved[joined]
+        a, b = links.tree()
+        for at in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(b[at:at + 100_000], pa.int64()), pa.array(a[at:at + 100_000], pa.int64())], ["u", "v"])
     return run
 
 
 def in_grid_cells(points: DataFrame, own: list[str], find, kind: str, cell: int = CELL) -> DataFrame:
     """`find` over rows (cell, *own), sorted by cell, of all grids' cells that hold several points; those beyond `cell` points are
-    split into pairs of chunks. `points`: distinct node, first, second and whatever else `own` names."""
+    split into pairs of chunks. `points`: distinct node, first, second and whatever else `own` names, but for the number `grid`."""
     masks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in grid_masks()])
-    rows = (points.select(*own, segment_counts(F.col("first")).alias("x"), segment_counts(F.col("second")).alias("y"),
+    rows = (points.select(*[c for c in own if c != "grid"], segment_counts(F.col("first")).alias("x"), segment_counts(F.col("second")).alias("y"),
                           F.posexplode(masks).alias("grid", "mask"))
             .select(F.xxhash64("grid", F.col("x").bitwiseAND(F.col("mask.a")), F.col("y").bitwiseAND(F.col("mask.b"))).alias("cell"), *own))
     sized = rows.withColumn("n", F.count("*").over(Window.partitionBy("cell")))
@@ -335,19 +420,41 @@ def in_grid_cells(points: DataFrame, own: list[str], find, kind: str, cell: int
 def open_links(points: DataFrame, radius: int, similarity: float, cell: int = CELL) -> DataFrame:
     """(u, v) with u < v: every pair of nodes that meet within `radius` bits and that no link has put under one root yet.
 
-    `points`: distinct node, with first, second, root and size (bigint). The exact way for all that `candidate_links` leaves
-    out: inside a component no pair can change anything, and none across components is left out.
+    `points`: distinct node, with first, second, root and size (bigint). Their number may grow with the square of a group;
+    `joining_links` decides the same pairs without writing them out.
     """
     own = ["node", "first", "second", "root", "size"]
     return in_grid_cells(points, own, open_pairs_in_cells(radius, similarity), "u bigint, v bigint", cell).where("u < v").distinct()
 
 
+def joining_links(points: DataFrame, sets_of, radius: int, similarity: float, cell: int = CELL, most: int = MOST, room: int = ROOM) -> DataFrame:
+    """(u, v): links between roots that join all that the pairs of `open_links` of this resemblance join.
+
+    The exact way for all that `candidate_links` leaves out: inside a component no pair can change anything, and none across
+    components is left out. `sets_of` gives (node, set) for rows with a node. Nodes with open pairs go with their sets to the
+    cells where they meet, one row for each of at most 84 grids, and pairs exist within tasks only. A cell beyond `most` nodes
+    or `room` bytes of sets is dealt out to pairs of chunks.
+    """
+    own = ["grid", "node", "first", "second", "root", "size"]
+    kind = "cell bigint, grid int, node bigint, first bigint, second bigint, root bigint, size bigint"
+    met = saved(in_grid_cells(points, own, open_nodes_in_cells(radius, similarity), kind, cell))
+    each = Window.partitionBy("cell")
+    share = F.greatest(F.count("*").over(each) / most, F.sum("size").over(each) * 8 / room)
+    chunks = F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("int")
+    dealt = (met.withColumn("chunks", chunks)
+             .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+             .withColumn("cell", F.xxhash64("cell", F.least("chunk", "other"), F.greatest("chunk", "other"))))
+    rows = dealt.join(sets_of(met.select("node").distinct()), "node").select("cell", *own, "set")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(open_links_in_cells(radius, similarity), "u bigint, v bigint")
+
+
 def candidate_links(points: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
     """(u, v) with u < v: for each node, the least and the nearest of the nodes within `radius` bits of 128 that it meets.
 
     `points`: distinct node, with first and second (bigint). Points are embedded as the counts of ones of their two-bit segments,
     whose Manhattan distance never exceeds the differing bits; grids are cells of points with equal counts in some segments,
-    range-joined along the sum of all. At most two links per node are kept, whatever the size of its group; `open_links` finds the rest.
+    range-joined along the sum of all. At most two links per node are kept, whatever the size of its group; `joining_links` finds the rest.
     """
     found = in_grid_cells(points, ["node", "first", "second"], partners_in_cells(radius), "v bigint, least bigint, bits bigint, near bigint", cell)
     best = found.groupBy("v").agg(F.min("least").alias("least"), F.min(F.struct("bits", "near")).alias("nearest"))
@@ -359,12 +466,8 @@ def resemblance(a: Column, b: Column) -> Column:
     """The Jaccard resemblance of two packed shingle sets."""
     @F.arrow_udf("double")
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
-        return pa.array(out, pa.float64())
+        sets = ((np.frombuffer(s.as_buffer(), np.uint64) for s in pair) for pair in zip(left, right, strict=True))
+        return pa.array([alike(*pair) for pair in sets], pa.float64())
     return run(a, b)
 
 
@@ -379,7 +482,7 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
     """`docs` with one document per group of near copies: the one with the smallest id (null ids last, then by text).
 
     Fingerprints of 128 bits give the candidates: first at most two for each distinct text (`candidate_links`), then every
-    other pair that meets and is not yet in one group (`open_links`), so none is left out; two texts link if the Jaccard
+    other pair that meets and is not yet in one group (`joining_links`), so none is left out; two texts link if the Jaccard
     resemblance of their sets of `width`-word shingles, counted exactly, is `similarity` or more.
     Rows without text or words form one group. Rows that are equal throughout are one row then; of rows equal in id and text
     the one stays whose other columns have the least hash. All columns return.
@@ -410,9 +513,12 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
     x, y = F.col("u_size"), F.col("v_size")
     wide = radius_at(similarity)
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = nodes.join(points, "node").select("node", *[f"best.{c}" for c in key])
+        return saved(keyed(as_bytes(F.col(text)).alias("_text")).join(wanted, key).dropDuplicates(["node"]).select("node", shingles("_text").alias("set")))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("u").union(pairs.select("v")).distinct().join(points, F.col("u") == F.col("node")).select("node", *[f"best.{c}" for c in key])
-        sets = saved(keyed(as_bytes(F.col(text)).alias("_text")).join(wanted, key).dropDuplicates(["node"]).select("node", shingles("_text").alias("set")))
+        sets = sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
         a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"{n}_set")) for n in ("u", "v"))
         return saved(pairs.join(a, "u").join(b, "v").where(resemblance(F.col("u_set"), F.col("v_set")) >= similarity - 1e-9).select("u", "v"))
 
@@ -423,8 +529,7 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
                   .where(F.least(x, y) / F.greatest(x, y) >= similarity).select("u", "v"))
     links = verified(pairs)
     first = saved(placed_by(links).select("node", "first", "second", "root", F.col("size").cast("bigint").alias("size")))
-    rest = saved(open_links(first, wide, similarity).join(pairs, ["u", "v"], "left_anti"))
-    placed = placed_by(links.union(verified(rest)))
+    placed = placed_by(links.union(saved(joining_links(first, sets_of, wide, similarity))))
     kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(*[f"best.{c}" for c in key])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     mine = keyed(row).join(kept, key, "left_semi")
