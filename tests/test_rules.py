@@ -350,3 +350,11 @@ def test_accounts_are_not_dealt_by_the_list_they_follow(spark, name):
     from tickloom.plans import load
     plan = load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*_block", plan)
+
+
+def test_live_exits_put_only_needed_columns_in_order(spark, monkeypatch):
+    from tickloom.plans import decisions as P
+    seen, real = [], P.L.every_nth
+    monkeypatch.setattr(P.L, "every_nth", lambda ticks, n: seen.append(ticks.columns) or real(ticks, n))
+    P.d05_chain(spark, "/root/testdata/sf0.001")
+    assert seen == [["account", "ts", "seq", "qty", "age"]]

@@ -527,10 +527,11 @@ def fixed_scorer():
    END AS reason FROM scored) WHERE reason IS NOT NULL"""))
 def d05_chain(spark, sf):
     """Every third tick of an account: features at the live price, the model's answer, the exits that follow from it."""
-    ticks = V.holdings(spark, sf).drop("price", "pred").withColumns({
-        "ts": F.col("now"), "seq": F.struct("order_id", "line", "symbol", "avg_price"),
+    # only what the features and rules read is put in order, and each of it once
+    ticks = V.holdings(spark, sf).select("account", F.col("now").alias("ts"), F.struct("order_id", "line", "symbol", "avg_price").alias("seq"), "qty", "age")
+    third = L.every_nth(ticks, 3).select("account", "seq.*", "qty", "age").withColumns({
         "base": F.col("avg_price"), "peak_px": F.col("avg_price") * (1 + F.col("age") / 100)})
-    asked = U.live_exit_features(L.every_nth(ticks, 3).drop("seq"), V.prices(spark, sf))
+    asked = U.live_exit_features(third, V.prices(spark, sf))
     scored = M.score_with(asked, fixed_scorer, LIVE_FEATURES).withColumn("live", F.lit(True))
     expected = V.ranks(spark, sf).select("symbol", ((F.col("rank_pct") - 0.5) * 0.1).alias("expected"))
     policy = policies(spark, sf).select("account", "fresh", "wild", "uses_exit_model", "min_age", "margin")
