@@ -196,3 +196,14 @@ def test_summaries_fold_the_ledger_once(spark):
     for query in (P.a04, P.a16):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan
+
+
+def test_holdings_are_counted_only_where_a_symbol_may_be_hot(spark, monkeypatch):
+    """A symbol has at least the fills of each of its holdings, so few fills of every symbol spare the count."""
+    from tickloom.plans import books as P
+    lines = []
+    monkeypatch.setattr(P.B, "fold_ledger", lambda ledger, order, hot: lines.append(hot))
+    P.folded(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(P, "HOT", 2)
+    P.folded(spark, "/root/testdata/sf0.001")
+    assert lines == [None, 2]
