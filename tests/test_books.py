@@ -207,3 +207,10 @@ def test_holdings_are_counted_only_where_a_symbol_may_be_hot(spark, monkeypatch)
     monkeypatch.setattr(P, "HOT", 2)
     P.folded(spark, "/root/testdata/sf0.001")
     assert lines == [None, 2]
+
+
+def test_alerts_fold_the_ledger_once(spark, monkeypatch):
+    from tickloom.plans import books as P
+    monkeypatch.setattr(P, "saved", lambda df: df.localCheckpoint())
+    plan = P.r05(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "lineitem" not in plan and "Window" not in plan
