@@ -13,7 +13,7 @@ from tickloom.plans import views as V
 from tickloom.plans.books import ZONE
 from tickloom.plans.registry import query, r, report, rs
 from tickloom.plans.views import FILL_ORDER, INDEX, with_views
-from tickloom.session import saved, scratch_path
+from tickloom.session import scratch_path, shuffles_freed
 from tickloom.streaming import jobs as J
 
 
@@ -41,15 +41,18 @@ def t01(spark, sf):
 
 
 def in_turn(df, clock, name, run):
-    """What `run(stream, at)` gives of `df` arriving in three turns by `clock`, going on from its state after each."""
-    spark, df = df.sparkSession, saved(df)
+    """What `run(stream, at)` gives of `df` arriving in three turns by `clock`, going on from its state after each.
+
+    The rows are written once, by turn; each turn streams the folders of all turns so far, and takes its own in one batch.
+    """
+    spark = df.sparkSession
     folder, at = scratch_path(spark, f"{name}-in"), scratch_path(spark, name)
-    cuts = df.agg(F.percentile_approx(clock, [0.33, 0.67]).alias("cuts")).first()["cuts"] or []
+    with shuffles_freed(spark):
+        cuts = df.agg(F.percentile_approx(clock, [0.33, 0.67]).alias("cuts")).first()["cuts"] or []
+        turn = sum(((F.col(clock) > cut).cast("int") for cut in cuts), F.lit(0))
+        df.withColumn("turn", turn).filter("turn IS NOT NULL").write.partitionBy("turn").option("compression", "zstd").parquet(folder)
     for turn in range(len(cuts) + 1):
-        low = F.col(clock) > cuts[turn - 1] if turn else F.lit(True)
-        high = F.col(clock) <= cuts[turn] if turn < len(cuts) else F.lit(True)
-        df.filter(low & high).write.mode("append").parquet(folder)
-        out = run(J.stream_files(spark, folder, df.schema), at)
+        out = run(J.stream_files(spark, f"{folder}/turn=[0-{turn}]", df.schema, files_per_batch=None), at)
     return out
 
 
